@@ -50,3 +50,19 @@ def same(left: Column, right: Column) -> Column:
 
 def text_or_empty(df: DataFrame) -> Column:
     return F.coalesce(df["text"], F.lit(""))
+
+
+#: At most this many groups can each hold more than 1/HEAVY of all rows.
+HEAVY = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total: int) -> DataFrame:
+    """rows joined with the one row that groups has for each key; size is the column with the group's number of rows.
+
+    The groups that hold more than 1/HEAVY of all rows are HEAVY at most, so these alone are broadcast; the rows of all
+    others meet their group in a shuffled join in which no key is large. Keys must not be null.
+    """
+    heavy = groups[size] > total / HEAVY + 1
+    hot = F.broadcast(groups.where(heavy))
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(groups.where(~heavy), key))

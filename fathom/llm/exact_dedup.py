@@ -17,12 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, same, staged, text_or_empty
+from .common import join_groups, prepare, same, staged, text_or_empty
 
 #: Partial sums that a digest may send to its bucket.
 SALTS = 16
-#: At most this many digests can each have more than 1/HEAVY of all rows.
-HEAVY = 1000
 
 
 class CuckooIndex:
@@ -135,19 +133,11 @@ def live_index(rows: DataFrame) -> DataFrame:
 
 
 def mark_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, digest; one row per document.
-
-    The digests that more than 1/HEAVY of all rows share are HEAVY at most, so these alone are broadcast; the rows of
-    all others meet their group in a shuffled join in which no key is large.
-    """
+    """doc_id, keep_id, group_size, kept, digest; one row per document."""
     prepare(docs.sparkSession)
     rows = staged(digests(docs), "digests")
     index = staged(live_index(rows), "live")
-    heavy = index["group_size"] > rows.count() / HEAVY + 1
-    key = ["digest", "bytes"]
-    light = index.filter(~heavy)
-    hot = F.broadcast(index.filter(heavy))
-    marked = rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(light, key))
+    marked = join_groups(rows, index, ["digest", "bytes"], "group_size", rows.count())
     # Only rows that could stay are numbered, so that of repeated doc_ids one stays.
     last = same(F.col("doc_id"), F.col("keep_id"))
     nth = F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy("bytes"))
