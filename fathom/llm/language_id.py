@@ -3,6 +3,8 @@
 A profile is the list of a language's most frequent character n-grams, n from 1 to 3, in order of rank. A document's
 own most frequent n-grams are ranked too, and each language is charged the distance between the two ranks, or the
 largest distance for an n-gram that its profile lacks. The language with the smallest sum is predicted.
+n-grams are numbers made of their code points, so that a text's n-grams are counted by sorting one array; a word's ends
+count as a character, and n-grams of equal frequency are in the order of their numbers.
 
 Profiles are fitted on a bounded sample of labelled documents: those whose hash is lowest, about fit_docs of each
 language. Predictions read whole texts. score is 1 less the smallest distance over the largest possible.
@@ -13,9 +15,9 @@ no labelled rows everything is und; an empty table gives an empty result; other
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import sys
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,16 +30,31 @@ from .common import prepare
 PROFILE = 400
 #: Labelled documents of each language that profiles are fitted on, about.
 FIT_DOCS = 2000
-#: Words whose n-grams a worker keeps; beyond that it starts anew.
-MEMO = 300_000
+#: Marks of numbers that stand for one and two characters; those of three need no mark.
+_ONE, _TWO = np.uint64(3 << 62), np.uint64(1 << 63)
+_PLACE = np.uint64(21)
 
-_WORDS = re.compile(r"[^\W\d_]+")
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
 
-def grams(word: str) -> list[str]:
-    """The n-grams of a word between its ends, which count as a character each."""
-    padded = f"_{word}_"
-    return [padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1) if padded[i : i + n] != "_"]
+
+def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a text's words, n from 1 to 3, and how often each occurs; what is no letter ends a word."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    c = np.zeros(len(codes) + 2, dtype=np.uint64)
+    c[1:-1] = np.where(_letters()[codes], codes, 0)
+    a, b, z = c[:-2], c[1:-1], c[2:]
+    inner = b > 0
+    one = b[inner] | _ONE
+    two = (c[:-1] << _PLACE | c[1:])[(c[:-1] | c[1:]) > 0] | _TWO
+    three = (a << _PLACE << _PLACE | b << _PLACE | z)[inner]
+    found = np.sort(np.concatenate([one, two, three]))
+    if not len(found):
+        return found, np.zeros(0, dtype=np.int64)
+    at = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    return found[at], np.diff(np.append(at, len(found)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,89 +73,56 @@ def _sampled(docs: DataFrame, fit_docs: int) -> DataFrame:
     return labelled.where(rank < below).select("lang", "text")
 
 
-def fit_profiles(docs: DataFrame, fit_docs: int = FIT_DOCS, size: int = PROFILE) -> dict[str, list[str]]:
-    """The profile of each language: at most size n-grams, most frequent first, ties in code-point order."""
+def fit_profiles(docs: DataFrame, fit_docs: int = FIT_DOCS, size: int = PROFILE) -> dict[str, list[int]]:
+    """The profile of each language: at most size n-grams, most frequent first, ties by number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[str, Counter] = {}
         for pdf in batches:
-            for lang, text in zip(pdf["lang"], pdf["text"]):
-                own = counts.setdefault(lang, Counter())
-                for word, n in Counter(_WORDS.findall(text.lower())).items():
-                    for g in grams(word):
-                        own[g] += n
-        yield from (pd.DataFrame({"lang": lang, "gram": list(c), "n": list(c.values())}) for lang, c in counts.items())
+            for lang, own in pdf.groupby("lang"):
+                found, n = grams("\n".join(own["text"]))
+                yield pd.DataFrame({"lang": lang, "gram": found.astype(np.int64), "n": n})
 
     prepare(docs.sparkSession)
-    counted = _sampled(docs, fit_docs).mapInPandas(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = _sampled(docs, fit_docs).mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
-    profiles: dict[str, list[str]] = {}
+    profiles: dict[str, list[int]] = {}
     for r in sorted(ranked.collect(), key=lambda r: (r["lang"], r["rank"])):  # size rows a language at most
         profiles.setdefault(r["lang"], []).append(r["gram"])
     return profiles
 
 
 class Ranker:
-    """Predicts by out-of-place distance. n-grams are numbered as they come up, those of the profiles first."""
-
-    def __init__(self, profiles: dict[str, list[str]], size: int = PROFILE):
-        self.langs, self.size, self.profiles = sorted(profiles), size, profiles
-        self._restart()
-
-    def _restart(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.names: list[str] = []
-        for lang in self.langs:
-            for g in self.profiles[lang]:
-                self._id(g)
-        self.known = len(self.ids)
-        self.place = np.full((len(self.langs), self.known), -1, dtype=np.int64)
-        for k, lang in enumerate(self.langs):
-            self.place[k, [self.ids[g] for g in self.profiles[lang]]] = np.arange(len(self.profiles[lang]))
-        self.memo: dict[str, np.ndarray] = {}
-
-    def _id(self, g: str) -> int:
-        n = self.ids.setdefault(g, len(self.ids))
-        if n == len(self.names):
-            self.names.append(g)
-        return n
-
-    def _of(self, word: str) -> np.ndarray:
-        found = self.memo.get(word)
-        if found is None:
-            found = self.memo[word] = np.array([self._id(g) for g in grams(word)], dtype=np.int64)
-        return found
+    """Predicts by out-of-place distance."""
+
+    def __init__(self, profiles: dict[str, list[int]], size: int = PROFILE):
+        self.langs, self.size = sorted(profiles), size
+        ranked = [np.array(profiles[lang], dtype=np.int64) for lang in self.langs]
+        self.known = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *ranked]))
+        self.place = np.full((len(self.langs), len(self.known) + 1), -1, dtype=np.int64)
+        for k, own in enumerate(ranked):
+            self.place[k, np.searchsorted(self.known, own)] = np.arange(len(own))
 
     def top(self, text: str) -> np.ndarray:
-        """The ids of the text's most frequent n-grams, most frequent first, ties in code-point order."""
-        if len(self.memo) > MEMO:
-            self._restart()
-        words = Counter(_WORDS.findall(text.lower()))
-        if not words:
-            return np.zeros(0, dtype=np.int64)
-        parts = [self._of(w) for w in words]
-        weights = np.repeat(np.fromiter(words.values(), dtype=np.int64, count=len(words)), [len(p) for p in parts])
-        ids, at = np.unique(np.concatenate(parts), return_inverse=True)
-        counts = np.bincount(at, weights=weights).astype(np.int64)
-        if len(ids) > self.size:  # ties at the end of the list are kept until they are put in order
-            least = np.partition(counts, len(counts) - self.size)[len(counts) - self.size]
-            ids, counts = ids[counts >= least], counts[counts >= least]
-        order = sorted(range(len(ids)), key=lambda i: (-counts[i], self.names[ids[i]]))
-        return ids[order[: self.size]]
+        """The text's most frequent n-grams, most frequent first."""
+        found, n = grams(text)
+        if len(found) > self.size:  # ties at the end of the list are kept until they are put in order
+            least = np.partition(n, len(n) - self.size)[len(n) - self.size]
+            found, n = found[n >= least], n[n >= least]
+        found = found.astype(np.int64)
+        return found[np.lexsort((found, -n))[: self.size]]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        ids = self.top(text) if text else np.zeros(0, dtype=np.int64)
-        if not len(ids) or not self.langs:
+        own = self.top(text) if text else np.zeros(0, dtype=np.int64)
+        if not len(own) or not self.langs:
             return "und", 0.0
-        place = np.full((len(self.langs), len(ids)), -1, dtype=np.int64)
-        inside = ids < self.known
-        place[:, inside] = self.place[:, ids[inside]]
-        far = np.where(place < 0, self.size, np.abs(place - np.arange(len(ids)))).sum(axis=1)
+        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        place = self.place[:, np.where(self.known[at] == own, at, len(self.known))]
+        far = np.where(place < 0, self.size, np.abs(place - np.arange(len(own)))).sum(axis=1)
         best = int(far.argmin())
-        return self.langs[best], float(1 - far[best] / (self.size * len(ids)))
+        return self.langs[best], float(1 - far[best] / (self.size * len(own)))
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[str]], size: int = PROFILE) -> DataFrame:
+def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; only the text is an input of the prediction."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
