@@ -5,6 +5,9 @@ Order is always a column. Windows are partitioned by manual and so are as large
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,14 +189,22 @@ def chunk_blocks(blocks: DataFrame, manual: str = "source", size: int = 450, ove
     )
 
 
-def build_chunks(manuals: DataFrame, least_page_tokens: int = 20, skip: tuple[list[str], int] = ([], 0), use_outline: bool = True, **chunking) -> DataFrame:
-    """Exported manuals (source, text) to chunks, as one lazy plan: parse, clean (paged manuals are cleaned on loading and
-    again), skip, outline or headings, merge, chunk."""
-    pages = parse_pages(manuals)
+def _kept(df: DataFrame) -> DataFrame:
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def build_chunks(manuals: DataFrame, least_page_tokens: int = 20, skip: tuple[list[str], int] = ([], 0), use_outline: bool = True, keep: Callable[[DataFrame], DataFrame] = _kept, **chunking) -> DataFrame:
+    """Exported manuals (source, text) to chunks: parse, clean (paged manuals are cleaned on loading and again), skip,
+    outline or headings, merge, chunk.
+
+    Cleaning reads its input several times, so each step's pages are kept: persisted, or by what keep does (a job over
+    very many manuals may write them to a table instead).
+    """
+    pages = keep(parse_pages(manuals))
     paged = clean_pages(pages.where("page_index is not null")).unionByName(pages.where("page_index is null"))
-    pages = clean_pages(skip_leading(paged, *skip))
+    pages = keep(clean_pages(keep(skip_leading(paged, *skip))))
     entries = page_outline(pages).where(F.lit(use_outline))
     body = filter_pages(pages, least_page_tokens)
     outlined = outline_blocks(body, entries)
     plain = split_blocks(body.join(outlined.select("source").distinct(), "source", "left_anti"))
-    return chunk_blocks(merge_blocks(outlined.unionByName(plain)), **chunking)
+    return chunk_blocks(merge_blocks(keep(outlined.unionByName(plain))), **chunking)
