@@ -19,7 +19,7 @@ def stem() -> Column:
 
 def manuals(spark: SparkSession, folder: str) -> DataFrame:
     """source (the file's name), text of every .txt file, whole."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+    raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True)
     return raw.select(F.url_decode(file_name()).alias("source"), F.col("value").alias("text"))
 
 
