@@ -89,7 +89,7 @@ def clean_pages(pages: DataFrame, manual: str = "source") -> DataFrame:
 def split_blocks(pages: DataFrame, manual: str = "source", page: str = "page_index", true_end: bool = False) -> DataFrame:
     """manual, block_no, page_index, page_end, heading, text: a block starts at each heading line and may span pages.
 
-    page_end repeats the first page, as the reference behaviour has it; true_end gives the last page instead.
+    page_end repeats the first page by default; true_end gives the last page instead.
     """
     lines = pages.select(manual, F.col(page).alias("page"), F.posexplode(F.transform(F.split("text", "\n"), T.strip)).alias("pos", "line")).where("line <> ''")
     lines = lines.withColumn("head", T.is_heading(F.col("line")))

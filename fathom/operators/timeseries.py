@@ -40,7 +40,18 @@ class Sensors:
 # Classes in order, status codes and texts, tags in order.
 CLASSES = ("VG;MT", "LE;ER", "LR;DA", "LE;CR", "SF;PO")
 NORMAL_STATUS = (0, 2)
-STATUS_LEGEND = {"0": "Normal operation", "1": "Derated operation", "2": "Idling", "3": "Service", "4": "Downtime", "5": "Other"}
+STATUS_LEGEND = {
+    "0": "Normal Operation - The turbine is in normal power production mode",
+    "1": "Derated Operation - Derated power generation with a power restriction",
+    "2": "Idling - Asset is idling and waits to operate again",
+    "3": "Service - Asset is in service mode / service team is at the site",
+    "4": "Downtime - Asset is down due a fault or other reasons",
+    "5": "Other - Other operational states",
+}
+SUMMARY_ASK = "Summarize this 6h SCADA window in 3-4 sentences. Focus on operational patterns and anomalies. Do not diagnose faults. Stats: "
+SUMMARY_STATS = (
+    "wind_speed_mean", "wind_speed_std", "wind_speed_max", "power_mean", "power_std", "rotor_rpm_std", "generator_rpm_std", "pitch_mean", "yaw_misalignment_mean", "power_residual_mean", "temp_mean",
+)
 STATS = (
     "wind_speed_mean", "wind_speed_std", "wind_speed_max", "power_mean", "power_std", "rotor_rpm_mean", "rotor_rpm_std", "generator_rpm_mean", "generator_rpm_std", "pitch_mean", "pitch_std",
     "yaw_misalignment_mean", "yaw_misalignment_std", "temp_mean",
@@ -285,8 +296,11 @@ def card_facets(listed: DataFrame) -> DataFrame:
 
 
 def summary_prompt(metrics: DataFrame, s: Sensors = Sensors()) -> DataFrame:
-    """dataset, prompt: what a language model would be asked to summarise; no call is made here."""
-    lines = [F.format_string(f"{name}: %s", F.col(name).cast("string")) for name in (*STATS, "power_residual_mean", "power_residual_std")]
-    legend = F.lit("Status codes: " + ", ".join(f"{k} = {v}" for k, v in STATUS_LEGEND.items()))
-    counts = F.array_join(F.transform(F.map_entries("status_counts"), lambda e: F.concat(e["key"], F.lit(" x "), e["value"].cast("string"))), ", ")
-    return metrics.select(s.dataset, F.concat_ws("\n", F.lit("Summarise this sensor window."), *lines, F.concat(F.lit("Status counts: "), counts), legend, F.concat(F.lit("Tags: "), F.array_join("tags", ", "))).alias("prompt"))
+    """dataset, prompt: what a language model would be asked to summarise; no call is made here. metrics must have tags."""
+    legend = F.create_map(*(F.lit(x) for pair in STATUS_LEGEND.items() for x in pair))
+    label = lambda code: F.coalesce(F.try_element_at(legend, code), F.concat(F.lit("Status "), code))
+    counts = F.transform(F.map_entries("status_counts"), lambda e: F.concat(e["value"].cast("string"), F.lit(" intervals: "), label(e["key"])))
+    status = F.coalesce(F.nullif(F.array_join(counts, "; "), F.lit("")), F.lit("no status data"))
+    stats = F.concat_ws(", ", *(F.concat(F.lit(f"{n}="), F.coalesce(F.col(n).cast("string"), F.lit("nan"))) for n in SUMMARY_STATS))
+    named = F.coalesce(F.nullif(F.array_join("tags", ", "), F.lit("")), F.lit("none"))
+    return metrics.select(s.dataset, F.concat(F.lit(SUMMARY_ASK), stats, F.lit(". Turbine status (10-min intervals): "), status, F.lit(". Tags: "), named, F.lit(".")).alias("prompt"))

@@ -20,10 +20,6 @@ def _asks(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 
 
-def _bench_id(spark, sf_dir):
-    return dict(table(spark, sf_dir, "benchmark").dtypes)["item_id"]
-
-
 def bm25_stats(spark, sf_dir):
     return R.corpus_stats(_docs(spark, sf_dir)).select("n", F.round("avgdl", 6).alias("avgdl"))
 
@@ -97,7 +93,7 @@ def _sides(spark, sf_dir):
     return docs, dense, R.bm25(docs, asks.select("query_id", "query_text"))
 
 
-def _hybrid(spark, sf_dir, preset, columns=("doc_id",)):
+def _hybrid(spark, sf_dir, preset, *columns):
     docs, dense, lexical = _sides(spark, sf_dir)
     hits = R.blend(dense.drop("rank"), lexical, docs.select("doc_id", *columns), 10, preset)
     return hits.select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
@@ -108,16 +104,11 @@ def hybrid_topk(spark, sf_dir):
 
 
 def hybrid_weighted(spark, sf_dir):
-    preset = R.Preset(synthetic=0.6, boosts=R.SERVICE.boosts)
-    docs, dense, lexical = _sides(spark, sf_dir)
-    hits = R.blend(dense.drop("rank"), lexical, docs.select("doc_id", "source", "chunk_kind"), 10, preset)
-    return hits.select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
+    return _hybrid(spark, sf_dir, R.Preset(synthetic=0.6, boosts=R.SERVICE.boosts), "source", "chunk_kind")
 
 
 def hybrid_kind_filter(spark, sf_dir):
-    docs, dense, lexical = _sides(spark, sf_dir)
-    hits = R.blend(dense.drop("rank"), lexical, docs.select("doc_id", "chunk_kind"), 10, R.Preset(kinds=("safety", "inspection")))
-    return hits.select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
+    return _hybrid(spark, sf_dir, R.Preset(kinds=("safety", "inspection")), "chunk_kind")
 
 
 def _hybrid_sql(weight: str = "1.0", where: str = "true") -> str:
