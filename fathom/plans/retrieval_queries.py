@@ -162,6 +162,8 @@ ORACLES = {
     "bm25_postings": f"WITH {_bm25_sql(_BATCH)} SELECT term, df, round(idf, 6) AS idf FROM i",
     "bm25_topk": f"WITH {_bm25_sql(f'SELECT 0 AS query_id, {S.quoted(_ONE)} AS query_text')}, r AS (SELECT *, {_TOP.format('bm25', 'doc_id')} FROM sc) SELECT doc_id, rank, round(bm25, 5) AS bm25 FROM r WHERE rank <= 20",
     "bm25_batch": f"WITH {_bm25_sql(_BATCH)}, r AS (SELECT *, {_TOP.format('bm25', 'doc_id')} FROM sc) SELECT query_id, doc_id, rank, round(bm25, 5) AS bm25 FROM r WHERE rank <= 10",
+    "query_text_assembly": f"""WITH src AS (SELECT conv_id * 1000 + turn AS id, '' AS kind, text FROM conversations WHERE role = 'user'), {S.term_tables('src')}
+SELECT id // 1000 AS conv_id, id % 1000 AS turn, substr(text, 1, 50) || CASE WHEN len(terms) > 0 THEN ' ' || array_to_string(terms[1:6], ' ') ELSE '' END AS query FROM src JOIN tt USING (id)""",
     "dense_topk": f"""WITH s AS (SELECT 7 AS query_id, e.vec_id, {_dot_sql('e.embedding', 'q.embedding')} AS dense FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q),
 r AS (SELECT *, {_TOP.format('dense', 'vec_id')} FROM s) SELECT vec_id, rank, round(dense, 5) AS dense FROM r WHERE rank <= 20""",
     "dense_batch": f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {_dot_sql('e.embedding', 'q.embedding')} AS dense FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) q),

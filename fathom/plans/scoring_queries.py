@@ -9,6 +9,7 @@ from fathom.operators import evaluation as E
 from fathom.operators import geometry as G
 from fathom.operators import querypack as Q
 from fathom.operators import retrieval as R
+from fathom.plans import sql_text as S
 from fathom.sources.tables import table
 
 _MEASURES = ("recall", "precision", "hit", "mrr", "ndcg", "weighted_recall")
@@ -272,7 +273,21 @@ _W = "CASE kind WHEN 'procedure' THEN 1.3 WHEN 'changelog' THEN 0.5 ELSE 1.0 END
 _ALLOC = """
 n AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand), r AS (SELECT *, n / sum(n) OVER () * 137 AS raw FROM n),
 a AS (SELECT p_brand, n, (floor(raw) + (row_number() OVER (ORDER BY raw - floor(raw) DESC, p_brand DESC) <= 137 - sum(floor(raw)) OVER ())::INT)::BIGINT AS taken FROM r)"""
+_SYN = "[" + ", ".join(S.quoted(x) for x in Q.SYNONYMS[: Q.SYNONYM_QUOTA]) + "]"
+_PACK = f"""
+WITH src AS (SELECT conv_id AS id, ['summary', 'image', 'notes'][turn + 1] AS kind, text FROM conversations WHERE turn < 3), {S.term_tables('src')},
+c AS (SELECT conv_id AS id, 'case-' || conv_id AS case_id, list_filter(['case-' || conv_id, CASE WHEN conv_id % 2 = 0 THEN 'VG;MT' END, CASE WHEN conv_id % 3 <> 0 THEN 'pitch fault' END, 'high_wind', 'case-1'],
+  lambda x: x IS NOT NULL) AS raw FROM (SELECT DISTINCT conv_id FROM conversations)),
+k AS (SELECT c.*, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS codes, coalesce(s.terms, [])[1:10] AS scada, coalesce(m.terms, [])[1:10] AS image, coalesce(n.terms, [])[1:10] AS notes FROM c
+  LEFT JOIN tt s ON s.id = c.id AND s.kind = 'summary' LEFT JOIN tt m ON m.id = c.id AND m.kind = 'image' LEFT JOIN tt n ON n.id = c.id AND n.kind = 'notes'),
+a AS (SELECT *, list_concat(list_concat(list_concat(scada, image), notes), {_SYN}) AS every FROM k)
+SELECT case_id, array_to_string(list_filter(['CODES: ' || array_to_string(codes, ' | '), CASE WHEN len(scada) > 0 THEN 'SCADA: ' || array_to_string(scada, ' ; ') END,
+  CASE WHEN len(image) > 0 THEN 'VISUAL: ' || array_to_string(image, ' ; ') END, CASE WHEN len(notes) > 0 THEN 'NOTES: ' || array_to_string(notes, ' ; ') END, 'SYNONYMS: ' || array_to_string({_SYN}, ' ; ')],
+  lambda x: x IS NOT NULL), '  ||  ') AS query,
+  array_to_string(list_filter(codes, lambda x: contains(x, ';') AND length(x) <= 10)[1:3], '|') AS must, array_to_string(list_filter(every, lambda x, i: list_position(every, x) = i)[1:20], '|') AS should,
+  {' + '.join(f'(id % {k + 2} = 0)::BIGINT' for k in range(len(Q.METRICS)))} AS n_metrics FROM a"""
 ORACLES = {
+    "query_pack": _PACK,
     "ir_metrics_strict": f"WITH {_NEAR}, {_metrics_sql('hits', 'gold', _W)}",
     "ir_metrics_group": f"WITH {_NEAR}, h2 AS (SELECT query_id, item // 25 AS item, rank FROM hits), g2 AS (SELECT query_id, item // 25 AS item FROM gold), {_metrics_sql('h2', 'g2', '1.0')}",
     "ir_metrics_proximity": f"""WITH {_NEAR},

@@ -40,6 +40,16 @@ def alpha_ratio(x: str) -> str:
     return f"coalesce({count('A-Za-z')} / nullif({count('A-Za-z0-9')}, 0), 0.0)"
 
 
+def term_tables(source: str) -> str:
+    """Common tables from a table source (id, kind, text) to tt (id, kind, terms): all simple terms in order."""
+    stop, priority = ", ".join(quoted(w) for w in T.STOP_WORDS), " OR ".join(f"contains(x, {quoted(k)})" for k in T.PRIORITY_PHRASES)
+    return f"""
+tw AS (SELECT id, kind, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+(?:-[a-z]+)?|\\d+(?:\\.\\d+)?|°'), lambda t: NOT list_contains([{stop}], t) AND length(t) > 2) AS w FROM {source}),
+tp AS (SELECT *, list_filter(list_transform(range(1, greatest(len(w), 1)), lambda i: CASE WHEN regexp_full_match(w[i], '[a-z]+') AND regexp_full_match(w[i + 1], '[a-z]+') THEN w[i] || ' ' || w[i + 1] END), lambda x: x IS NOT NULL) AS pairs FROM tw),
+ta AS (SELECT id, kind, list_concat(list_concat(list_filter(pairs, lambda x: {priority}), pairs), w) AS items FROM tp),
+tt AS (SELECT id, kind, list_filter(items, lambda x, i: list_position(items, x) = i) AS terms FROM ta)"""
+
+
 def is_heading(line: str) -> str:
     """line must be stripped."""
     rejected = " OR ".join(matches(line, p) for p in T.HEADING_REJECTS)
