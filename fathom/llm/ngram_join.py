@@ -8,10 +8,12 @@ A document is the set of hashes of its n-word shingles. Documents with one set a
 2. Tokens of prefixes that two sets share are kept with their sets; each token also names a few leaders among its sets.
    Leaders are groups of one: sets query the leaders that they share a token with. This finds most components.
 3. Tokens that still occur in different components are left. Their sets are partitioned into bounded groups of similar
-   sets (of one component, or of one rare token), and the matrix holds which tokens occur in which groups. A set queries
+   sets (parts of one component), and the matrix holds which tokens occur in which groups. A set queries
    the groups that share a token with it and hold a set of another component, from the smaller component to the larger.
-4. A queried group is opened only if the set's overlap with the union of the group's tokens reaches what the threshold
-   asks of it; its members are then compared exactly, those of an already linked component left out.
+4. Each group stores the union of its tokens as a bitmap of some bits a token. Every bit of the set that the union lacks
+   is a token less that they can share, which bounds their overlap from above; only groups whose bound reaches what the
+   threshold asks of the set are opened. Full sets are made for the members and queries of these alone, and compared
+   exactly, members of an already linked component left out.
 
 Links between components are all found, since every pair of sets of different components with a common prefix token is
 compared or bounded; links inside a component are not needed for the result.
@@ -31,11 +33,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, join_groups, prepare, same, staged
+from .common import join_groups, prepare, same, staged
 from .components import components
 
 #: Counters of the sketch, 2**SKETCH; leaders that a token names; sets and tokens of a group, about.
-SKETCH, LEADERS, GROUP_SETS, GROUP_TOKENS = 16, 3, 32, 16_384
+SKETCH, LEADERS, GROUP_SETS, GROUP_TOKENS = 18, 3, 32, 16_384
+#: Bits of a bitmap for each token, at least.
+BITS_A_TOKEN = 4
 #: Queries of a group that one task takes, about.
 QUERIES = 500
 
@@ -60,6 +64,10 @@ class Threshold:
         """Tokens that a set of n must share with any that it links to."""
         return -(-self.percent * n // 100)
 
+    def indexed(self, n):
+        """Length of the part of a prefix in which the smaller of two linked sets has a token of the larger's prefix."""
+        return n + F.floor(F.lit(-2 * self.percent) * n / (100 + self.percent)) + 1
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -107,6 +115,32 @@ def set_key(own: np.ndarray) -> int:
     return int(_mix(np.array([_mix(own * _TURN[7] + _TURN[9]).sum(dtype=np.uint64) + np.uint64(len(own))]))[0].astype(np.int64))
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    """Which low bits of the hashes occur; the number of bits is a power of two, so that a bitmap folds into a smaller one."""
+    size = max(64, 1 << (BITS_A_TOKEN * len(own) - 1).bit_length())
+    bits = np.zeros(size, dtype=bool)
+    bits[(own & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _fold(data: np.ndarray, size: int) -> np.ndarray:
+    return data if len(data) == size else np.bitwise_or.reduce(data.reshape(-1, size), axis=0)
+
+
+def union_of(bitmaps: list[bytes]) -> bytes:
+    """The bitmap of a union, as long as the shortest."""
+    rows = [np.frombuffer(b, dtype=np.uint8) for b in bitmaps]
+    size = min(map(len, rows))
+    return np.bitwise_or.reduce([_fold(r, size) for r in rows]).tobytes()
+
+
+def most_common(n: int, own: bytes, other: bytes) -> int:
+    """A bound from above on the tokens that a set of n shares with another set, or union, by their bitmaps."""
+    a, b = np.frombuffer(own, dtype=np.uint8), np.frombuffer(other, dtype=np.uint8)
+    size = min(len(a), len(b))
+    return n - int(np.bitwise_count(_fold(a, size) & ~_fold(b, size)).sum())
+
+
 def _sketch(docs: DataFrame, t: Threshold) -> np.ndarray:
     """How many documents have a shingle in each bucket of hashes; 2**SKETCH counters whatever the corpus."""
 
@@ -124,13 +158,13 @@ def _sketch(docs: DataFrame, t: Threshold) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, t: Threshold) -> DataFrame:
-    """doc_id, key and n of each document's set, and its prefix where the task first meets the key."""
+    """doc_id, key and n of each document's set, and its prefix and bitmap where the task first meets the key."""
     sketch = _sketch(docs, t)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: set[int] = set()
         for pdf in batches:
-            keys, sizes, prefixes = [], [], []
+            keys, sizes, prefixes, bits = [], [], [], []
             for text in pdf["text"]:
                 own = shingles(text, t.words)
                 n, key = len(own), set_key(own)
@@ -138,14 +172,16 @@ def _sets(docs: DataFrame, t: Threshold) -> DataFrame:
                 sizes.append(n)
                 if n == 0 or key in met:
                     prefixes.append(None)
+                    bits.append(None)
                     continue
                 met.add(key)
                 size = n - t.least(n) + 1
                 order = np.argsort(sketch[(own >> np.uint64(64 - SKETCH)).astype(np.int64)], kind="stable")
                 prefixes.append(own[order[:size]].astype(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": keys, "n": sizes, "prefix": prefixes})
+                bits.append(bitmap(own))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": keys, "n": sizes, "prefix": prefixes, "bits": bits})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, key long, n long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, key long, n long, prefix array<long>, bits binary")
 
 
 def _full(docs: DataFrame, keys: DataFrame, t: Threshold) -> DataFrame:
@@ -161,9 +197,31 @@ def _full(docs: DataFrame, keys: DataFrame, t: Threshold) -> DataFrame:
     return made.join(keys.select("key"), F.col("own") == F.col("key"), "left_semi").dropDuplicates(["own"]).withColumnRenamed("own", "key")
 
 
-def _open(queries: DataFrame, members: DataFrame, full: DataFrame, t: Threshold) -> DataFrame:
+def _qualified(queries: DataFrame, members: DataFrame, keys: DataFrame, t: Threshold) -> DataFrame:
+    """The queries (gid, key, comp, rank) whose bound with the union of the group's tokens reaches what they need."""
+
+    def unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"gid": pdf["gid"], "union": [union_of(list(b)) for b in pdf["all"]]})
+
+    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            good = [most_common(n, own, union) >= t.least(n) for n, own, union in zip(pdf["n"], pdf["bits"], pdf["union"])]
+            yield pdf.loc[np.array(good, dtype=bool), ["gid", "key", "comp", "rank"]]
+
+    bits = keys.select("key", "n", "bits")
+    unions = members.join(bits, "key").groupBy("gid").agg(F.collect_list("bits").alias("all")).mapInPandas(unite, "gid long, union binary")
+    asked = queries.join(bits, "key").join(unions, "gid")
+    return staged(asked.mapInPandas(bound, "gid long, key long, comp long, rank long"), "qualified")
+
+
+def _open(docs: DataFrame, queries: DataFrame, members: DataFrame, keys: DataFrame, t: Threshold) -> DataFrame:
     """a, b: linked keys. queries: gid, key, comp, rank; members: gid, key, comp, rank. A set is compared with members
     of a higher rank, or of the same rank and a smaller comp. A group with many queries is opened by several tasks."""
+    queries = _qualified(queries, members, keys, t)
+    members = staged(members.join(queries.select("gid").distinct(), "gid", "left_semi"), "members")
+    wanted = queries.select("key").unionByName(members.select("key")).distinct()
+    full = staged(_full(docs, staged(wanted.join(keys.select("key", "class_id"), "key"), "wanted"), t), "full")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, group, union = None, [], np.zeros(0, dtype=np.uint64)
@@ -232,14 +290,16 @@ def near_components(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     classes = sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"), F.count("*").alias("rows"))
     classes = staged(classes, "classes")
 
-    # Tokens that two sets share, with the leaders that each names.
-    pairs = sets.where("doc_id is not null").select("key", F.explode("prefix").alias("token"))
+    # Tokens that two sets share, with the leaders that each names. A token that only ever stands in the later part of
+    # prefixes proves nothing that an earlier one does not.
     w = Window.partitionBy("token")
+    rows = sets.where("doc_id is not null").select("key", "n", F.posexplode("prefix").alias("pos", "token"))
+    rows = rows.select("token", "key", "n", (F.col("pos") < t.indexed(F.col("n"))).alias("early"))
     leaders = [F.min(F.struct(F.xxhash64(F.lit(k), F.col("key")), F.col("key").alias("key"))).over(w)["key"].alias(f"l{k}") for k in range(LEADERS)]
-    shared = pairs.select("token", "key", F.min("key").over(w).alias("lo"), F.max("key").over(w).alias("hi"), *leaders).where("lo < hi")
-    shared = staged(shared.drop("lo", "hi"), "shared")
-    keys = staged(shared.select("key").distinct().join(classes, "key").select("key", "class_id", "n"), "keys")
-    full = staged(_full(docs, keys, t), "full")
+    shared = rows.select("*", F.min("key").over(w).alias("lo"), F.max("key").over(w).alias("hi"), F.max("early").over(w).alias("any"), *leaders)
+    shared = staged(shared.where("lo < hi and any").drop("lo", "hi", "any"), "shared")
+    met = sets.where("bits is not null").join(shared.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", "bits")
+    keys = staged(met.join(classes, "key").select("key", "class_id", "n", "bits"), "keys")
 
     # Leaders are groups of one; a set's rank is lower than its leader's.
     stars = shared.select("key", F.explode(F.array_distinct(F.array(*(F.col(f"l{k}") for k in range(LEADERS))))).alias("gid")).where("key <> gid").distinct()
@@ -247,18 +307,18 @@ def near_components(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     stars = staged(stars.where(100 * F.least("n", "m") >= t.percent * F.greatest("n", "m")).select("gid", "key"), "stars")
     queries = stars.select("gid", "key", F.col("key").alias("comp"), F.lit(0).cast("long").alias("rank"))
     members = stars.select("gid").distinct().select("gid", F.col("gid").alias("key"), F.col("gid").alias("comp"), F.lit(1).cast("long").alias("rank"))
-    edges = staged(_open(queries, members, full, t), "star_links")
+    edges = staged(_open(docs, queries, members, keys, t), "star_links")
     linked = _linked(edges, classes)
 
     # What is left: tokens that occur in different components.
-    info = keys.join(linked, "class_id", "left").withColumn("comp", F.coalesce("comp", "class_id"))
+    info = keys.select("key", "class_id", "n").join(linked, "class_id", "left").withColumn("comp", F.coalesce("comp", "class_id"))
     size = staged(info.groupBy("comp").agg(F.count("*").alias("rank"), F.sum("n").alias("weight")), "sizes")
     info = staged(info.join(size, "comp"), "info")
-    left = shared.select("token", "key").distinct().join(info.select("key", "comp", "rank"), "key")
+    left = shared.select("token", "key", "early").distinct().join(info.select("key", "comp", "rank", "n"), "key")
     left = left.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo < hi").drop("lo", "hi")
     left = staged(left, "left")
     if not left.isEmpty():
-        edges = edges.unionByName(staged(_open_groups(left, info, full, t), "group_links"))
+        edges = edges.unionByName(staged(_open_groups(docs, left, info, keys, t), "group_links"))
         linked = _linked(edges, classes)
 
     out = classes.join(linked, "class_id", "left").select("key", F.coalesce("comp", "class_id").alias("component_id"), "rows")
@@ -269,22 +329,26 @@ def near_components(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     return met.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def _open_groups(left: DataFrame, info: DataFrame, full: DataFrame, t: Threshold) -> DataFrame:
-    """Links between components, over tokens (token, key, comp, rank) that occur in several."""
-    # Components are split by hash; single sets are grouped by their smallest token that is left.
-    rare = left.groupBy("key").agg(F.min("token").alias("token"))
-    own = info.join(rare, "key").withColumn("home", F.when(F.col("rank") > 1, F.xxhash64(F.lit("c"), "comp")).otherwise(F.xxhash64(F.lit("t"), "token")))
-    load = staged(own.groupBy("home").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")), "homes")
-    parts = F.ceil(F.greatest(F.col("sets") / GROUP_SETS, F.col("tokens") / GROUP_TOKENS))
-    own = own.join(load, "home").withColumn("gid", F.xxhash64("home", F.pmod(F.xxhash64("key", F.lit("g")), parts)))
-    own = staged(own.select("key", "comp", "rank", "gid"), "grouped")
-    matrix_rows = left.select("token", "key").join(own, "key")
-    # The matrix: token, group, and the highest rank in it.
+def _open_groups(docs: DataFrame, left: DataFrame, info: DataFrame, keys: DataFrame, t: Threshold) -> DataFrame:
+    """Links between components, over tokens (token, key, early, comp, rank, n) that occur in several."""
+    # A component is cut into groups by hash; a set without links is a group of its own, for its union with others that
+    # it only shares a passage with would bound nothing.
+    parts = F.ceil(F.greatest(F.col("rank") / GROUP_SETS, F.col("weight") / GROUP_TOKENS))
+    gid = F.xxhash64("comp", F.pmod(F.xxhash64("key", F.lit("g")), parts))
+    own = staged(info.join(left.select("key").distinct(), "key", "left_semi").select("key", "comp", "rank", gid.alias("gid")), "grouped")
+    # The matrix: token and group, with the sizes of the group's sets that have the token.
     place = F.struct(F.col("rank").alias("rank"), (-F.col("comp")).alias("comp"))
-    matrix = staged(matrix_rows.groupBy("token", "gid").agg(F.max(place).alias("best")), "matrix")
-    asks = left.join(matrix, "token").where(F.col("best") > place).groupBy("gid", "key", "comp", "rank").agg(F.count("*").alias("met"))
-    asks = staged(asks.drop("met"), "asks")
-    return _open(asks, own.join(asks.select("gid").distinct(), "gid", "left_semi"), full, t)
+    rows = left.select("token", "key", "early", "n", "rank", "comp").join(own.select("key", "gid"), "key")
+    matrix = rows.groupBy("token", "gid").agg(
+        F.max(place).alias("best"), F.min("n").alias("least"), F.max("n").alias("most"), F.min(F.when(F.col("early"), F.col("n"))).alias("least_early")
+    )
+    # From the smaller component to the larger. Of two linked sets, the smaller has a shared token in its early part.
+    n = F.col("n")
+    lengths = (100 * n >= t.percent * F.col("least")) & (100 * F.col("most") >= t.percent * n)
+    early = (F.col("least_early") <= n) | (F.col("early") & (F.col("most") >= n))
+    asks = left.join(staged(matrix, "matrix"), "token").where((F.col("best") > place) & lengths & F.coalesce(early, F.lit(False)))
+    asks = staged(asks.select("gid", "key", "comp", "rank").distinct(), "asks")
+    return _open(docs, asks, own.join(asks.select("gid").distinct(), "gid", "left_semi"), keys, t)
 
 
 def drop_near_copies(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
