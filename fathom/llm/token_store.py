@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,13 +50,15 @@ _ODD_SPACES = tuple("\x1c\x1d\x1e\x1f")  # Python takes them for white space, th
 #: How a tokenizer that this class may take apart cuts lower-cased text (a fixed pattern of its file).
 _CUTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _ASCII_CUTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_ALL_CUTS = regex.compile(_CUTS)
 
 
 class WordTokenizer:
     """Encodes texts by a tokenizer that drops white space and never looks across it, so each word is encoded once.
 
-    Words of ASCII are cut further as the tokenizer itself cuts them, and of these parts, too, each is encoded once. The
-    ids of parts that are encoded together fall apart after each id that ends a word.
+    Words are cut further as the tokenizer itself cuts them, and of these parts, too, each is encoded once. The ids of
+    parts that are encoded together fall apart after each id that ends a word. Words that case folding or composition of
+    characters could treat by context are left to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -76,32 +80,58 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian integers of dtype."""
-        if any(c in text for c in _ODD_SPACES):
-            return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        words = text.split()
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; words that are new are learnt together."""
+        whole = {k for k, t in enumerate(texts) if any(c in t for c in _ODD_SPACES)}
+        split = [[] if k in whole else t.split() for k, t in enumerate(texts)]
+        words = set().union(*split)
+        if len(self.memo) > MEMO:
+            self.memo, self.parts = {}, {}
         memo = self.memo
-        if new := {w for w in set(words) if w not in memo}:
-            if len(self.memo) > MEMO:
-                self.memo, self.parts, new = {}, {}, set(words)
+        if new := [w for w in words if w not in memo]:
             self._learn(new)
-        return b"".join(map(self.memo.__getitem__, words))
+        out = [b"".join([memo[w] for w in own]) for own in split]
+        for k in whole:
+            out[k] = self._bytes(self.tokenizer.encode(texts[k], add_special_tokens=False).ids)
+        return out
 
-    def _learn(self, words: set[str]) -> None:
-        cuts = {w: _ASCII_CUTS.findall(w.lower()) for w in words if w.isascii() and "<|" not in w}
-        whole = [w for w in words if w not in cuts]
-        if new := [p for p in set().union(*cuts.values()) if p not in self.parts]:
+    def _learn(self, words: list[str]) -> None:
+        single: dict[str, str] = {}
+        cuts: dict[str, list[str]] = {}
+        whole: list[str] = []
+        for w in words:
+            if w.isascii():
+                if w.isalpha():
+                    single[w] = w.lower()
+                elif "<|" in w:
+                    whole.append(w)
+                else:
+                    cuts[w] = _ASCII_CUTS.findall(w.lower())
+            elif "Σ" in w or "<|" in w or not unicodedata.is_normalized("NFC", w):
+                whole.append(w)
+            elif w.isalpha() and (low := w.lower()).isalpha():
+                single[w] = low
+            else:
+                cuts[w] = _ALL_CUTS.findall(w.lower())
+        parts = self.parts
+        if new := [p for p in set(single.values()).union(*cuts.values()) if p not in parts]:
             ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, dtype=self.dtype)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(new) or stops[-1] != len(ids):  # a part that the vocabulary has no end for
-                self.parts |= {p: self._bytes(self.tokenizer.encode(p, add_special_tokens=False).ids) for p in new}
+                parts |= {p: self._bytes(self.tokenizer.encode(p, add_special_tokens=False).ids) for p in new}
             else:
                 data, at = ids.tobytes(), [0, *(stops * ids.itemsize).tolist()]
-                self.parts |= {p: data[a:b] for p, a, b in zip(new, at, at[1:])}
+                parts.update(zip(new, (data[a:b] for a, b in zip(at, at[1:]))))
+        memo = self.memo
+        for w, p in single.items():
+            memo[w] = parts[p]
         for w, own in cuts.items():
-            self.memo[w] = b"".join(map(self.parts.__getitem__, own))
+            memo[w] = b"".join([parts[p] for p in own])
         if whole:
             for word, found in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False)):
-                self.memo[word] = self._bytes(found.ids)
+                memo[word] = self._bytes(found.ids)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()
@@ -119,7 +149,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
         own = _tokenizer(path)
         end = np.array([end_id], dtype=own.dtype).tobytes()
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": [(own.encode(t) if t else b"") + end for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": [ids + end for ids in own.encode_all([t or "" for t in pdf["text"]])]})
 
     prepare(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids binary")
