@@ -6,7 +6,7 @@ A document is the set of hashes of its n-word shingles. Documents with one set a
    that reach the threshold share a token among the first n - ceil(t n) + 1 of each: its prefix. Any order is lossless;
    this one keeps passages that many documents share out of the prefixes.
 2. Tokens of prefixes that two sets share are kept with their sets; each token also names a few leaders among its sets.
-   Leaders are groups of one: sets query the leaders that they share a token with. This finds most components.
+   Leaders are groups of one: a set queries a few leaders that it shares a token with. This finds most components.
 3. Tokens that still occur in different components are left. Their sets are partitioned into bounded groups of similar
    sets (parts of one component), and the matrix holds which tokens occur in which groups. A set queries
    the groups that share a token with it and hold a set of another component, from the smaller component to the larger.
@@ -38,6 +38,8 @@ from .components import components
 
 #: Counters of the sketch, 2**SKETCH; leaders that a token names; sets and tokens of a group, about.
 SKETCH, LEADERS, GROUP_SETS, GROUP_TOKENS = 18, 3, 32, 16_384
+#: Bits, 2**MARKS, that mark the documents whose sets are made in full.
+MARKS = 22
 #: Bits of a bitmap for each token, at least.
 BITS_A_TOKEN = 4
 #: Queries of a group that one task takes, about.
@@ -184,16 +186,41 @@ def _sets(docs: DataFrame, t: Threshold) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, key long, n long, prefix array<long>, bits binary")
 
 
+def _marks(doc_ids: np.ndarray) -> np.ndarray:
+    return (_mix(doc_ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - MARKS)).astype(np.int64)
+
+
+def _marked(keys: DataFrame) -> np.ndarray:
+    """A bit for each hash of a class_id; 2**MARKS bits whatever the number of keys."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(1 << MARKS, dtype=bool)
+        for pdf in batches:
+            bits[_marks(pdf["class_id"].to_numpy())] = True
+        cells = np.packbits(bits).view(np.int64)
+        yield pd.DataFrame({"cell": np.flatnonzero(cells), "bits": cells[cells != 0]})
+
+    found = keys.select("class_id").mapInPandas(run, "cell int, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toPandas()
+    cells = np.zeros((1 << MARKS) // 64, dtype=np.int64)
+    cells[found["cell"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
+    return np.unpackbits(cells.view(np.uint8)).astype(bool)
+
+
 def _full(docs: DataFrame, keys: DataFrame, t: Threshold) -> DataFrame:
-    """key, n and tokens (binary, sorted 64-bit) of the sets with the given keys; keys has key and class_id."""
+    """key, n and tokens (binary, sorted 64-bit) of the sets with the given keys; keys has key and class_id.
+
+    The scan makes the sets of documents whose id is marked, so that no texts are shuffled; a few of others are made too
+    and do not pass the join.
+    """
+    marks = _marked(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sets = [shingles(text, t.words) for text in pdf["text"]]
+            pdf = pdf[pdf["doc_id"].notna()]
+            sets = [shingles(text, t.words) for text in pdf["text"][marks[_marks(pdf["doc_id"].to_numpy())]]]
             yield pd.DataFrame({"own": [set_key(s) for s in sets], "n": [len(s) for s in sets], "tokens": [s.tobytes() for s in sets]})
 
-    rows = docs.select("doc_id", "text").join(keys.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-    made = rows.mapInPandas(run, "own long, n long, tokens binary")
+    made = docs.select("doc_id", "text").mapInPandas(run, "own long, n long, tokens binary")
     return made.join(keys.select("key"), F.col("own") == F.col("key"), "left_semi").dropDuplicates(["own"]).withColumnRenamed("own", "key")
 
 
@@ -301,8 +328,10 @@ def near_components(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     met = sets.where("bits is not null").join(shared.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", "bits")
     keys = staged(met.join(classes, "key").select("key", "class_id", "n", "bits"), "keys")
 
-    # Leaders are groups of one; a set's rank is lower than its leader's.
-    stars = shared.select("key", F.explode(F.array_distinct(F.array(*(F.col(f"l{k}") for k in range(LEADERS))))).alias("gid")).where("key <> gid").distinct()
+    # Leaders are groups of one; a set's rank is lower than its leader's. Of the leaders that its tokens name, a set asks
+    # the first by each hash, so it asks LEADERS of them at most, however large its group of copies is.
+    firsts = [F.min(F.struct(F.xxhash64(F.lit(k), F.col(f"l{k}")), F.col(f"l{k}").alias("l")))["l"] for k in range(LEADERS)]
+    stars = shared.groupBy("key").agg(F.array_distinct(F.array(*firsts)).alias("firsts")).select("key", F.explode("firsts").alias("gid")).where("key <> gid")
     stars = stars.join(keys.select("key", "n"), "key").join(keys.select(F.col("key").alias("gid"), F.col("n").alias("m")), "gid")
     stars = staged(stars.where(100 * F.least("n", "m") >= t.percent * F.greatest("n", "m")).select("gid", "key"), "stars")
     queries = stars.select("gid", "key", F.col("key").alias("comp"), F.lit(0).cast("long").alias("rank"))
