@@ -6,8 +6,9 @@ counts, for each node of the wrapper, on how many pages the node occurs, whether
 how much of it is inside links. Nodes whose text is constant, and nodes of menus, notices and the like, are template;
 the others are slots, and the slots of a page are its text. A page's nodes that no wrapper knows count as slots.
 
-Within an article (or main) element, if a host's wrapper has one, text is never template for being constant, and only
-there is content looked for; so a host with one page, or with copies of one page, keeps its article.
+If a host's wrapper has an article (or main) element, content is looked for only there. Within it a constant text is
+template only if the node occurs in several different articles; so a host with one page, or with copies of one page,
+keeps its article. Nor is an element around an article a menu, however many links it has.
 
 Edge cases: a null or empty html has an empty text; a null or hostless URL belongs to the host ''; broken markup is read
 as far as it goes, a tag that does not end is dropped; repeated rows are extracted one by one; an empty table gives an
@@ -40,6 +41,7 @@ MAX_DEPTH = 200
 MAX_LINKS = 0.6
 
 # Elements of HTML by their role.
+ARTICLES = frozenset(["article", "main"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript template head iframe object svg canvas".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
@@ -225,53 +227,89 @@ def _linked(nodes: list[Node]) -> int:
     return sum(len(p) if isinstance(p, str) else _linked([p]) for n in nodes for p in n.parts)
 
 
-def observe(html: str | None, wrapper: str) -> list[tuple[int, str, int, int]]:
-    """number, own text (of nodes outside articles), length of the text inside and of that inside links, for each matched
-    node of a page."""
-    page = fold([parse(html)])
-    numbers, out = align(page, wrapper), []
+def ordered(root: Folded) -> list[tuple[Folded, int]]:
+    """The nodes of a tree in document order, each with the place of its parent."""
+    out, todo = [], [(root, -1)]
+    while todo:
+        n, up = todo.pop()
+        todo += [(c, len(out)) for c in reversed(n.children)]
+        out.append((n, up))
+    return out
+
+
+@dataclass
+class Place:
+    """A node of a page: whether it is inside an article or a link, or around an article, and the lengths of its text."""
+
+    node: Folded
+    up: int
+    inside: bool
+    in_link: bool
+    size: int
+    linked: int
+    around: bool = False
 
-    def walk(n: Folded, in_link: bool, inside: bool) -> tuple[int, int]:
+
+def survey(page: Folded) -> list[Place]:
+    out: list[Place] = []
+    for n, up in ordered(page):
         tag = n.label.split(".", 1)[0]
-        in_link, inside = in_link or tag == "a", inside or tag in ("article", "main")
+        in_link, inside = up >= 0 and out[up].in_link or tag == "a", up >= 0 and out[up].inside or tag in ARTICLES
         own = sum(map(len, n.texts))
-        size, linked = own, own if in_link else 0
-        for c in n.children:
-            s, k = walk(c, in_link, inside)
-            size, linked = size + s, linked + k
-        if id(n) in numbers:
-            out.append((numbers[id(n)], "" if inside else " ".join(" ".join(n.texts).split()), size, linked))
-        return size, linked
-
-    walk(page, False, False)
+        out.append(Place(n, up, inside, in_link, own, own if in_link else 0))
+    for p in reversed(out):
+        if p.up >= 0:
+            up = out[p.up]
+            up.size, up.linked, up.around = up.size + p.size, up.linked + p.linked, up.around or p.inside or p.around
     return out
 
 
-def decide(wrapper: str, stats: dict[int, tuple[int, bool, int, int]]) -> dict:
-    """Which nodes of a wrapper are template (with all that is inside), which have constant own text, and whether content
-    is looked for in article or main elements only. stats: pages, constant, size and linked size by number."""
-    root, template, constant, articles = load(json.loads(wrapper)), [], [], []
-    number = {id(n): k for k, n in numbered(root)}
+def _own(n: Folded) -> str:
+    return " ".join(" ".join(n.texts).split())
 
-    def walk(n: Folded, inside: bool) -> None:
-        tag, _, name = n.label.partition(".")
-        k = number[id(n)]
-        pages, same_text, size, linked = stats.get(k, (0, False, 0, 0))
-        if tag in ("article", "main") and not inside:
+
+def observe(html: str | None, wrapper: str) -> list[tuple[int, str, int, int, str | None]]:
+    """number, own text, length of the text inside and of that inside links, for each matched node of a page, and for
+    nodes inside articles a digest of all text that the page has in articles."""
+    page = fold([parse(html)])
+    numbers, places = align(page, wrapper), survey(page)
+    whole = hash_text("\n".join(_own(p.node) for p in places if p.inside))
+    return [(numbers[id(p.node)], _own(p.node), p.size, p.linked, whole if p.inside else None) for p in places if id(p.node) in numbers]
+
+
+def _chrome(tag: str, name: str, inside: bool) -> bool:
+    return tag in CHROME and not (inside and tag == "header") or bool(CHROME_NAME.search(name)) and tag not in ("body", "html", "article", "main")
+
+
+def _menu(tag: str, size: int, linked: int) -> bool:
+    return tag not in ("a", "#", "html", "body") and size > 0 and linked > MAX_LINKS * size
+
+
+def decide(wrapper: str, stats: dict[int, tuple[int, bool, int, int, int]]) -> dict:
+    """Which nodes of a wrapper are template (with all that is inside), which have constant own text, and whether content
+    is looked for in article or main elements only. stats: pages, constant, size, linked size and number of different
+    articles around the node (MIN_PAGES at most are told apart), by number."""
+    template, constant, articles = [], [], []
+    places = survey(load(json.loads(wrapper)))
+    same_text = [False] * len(places)
+    gone = [False] * len(places)
+    for k, p in enumerate(places):
+        tag, _, name = p.node.label.partition(".")
+        pages, same_, size, linked, varied = stats.get(k, (0, False, 0, 0, 0))
+        if p.up >= 0 and gone[p.up]:
+            gone[k] = True
+            continue
+        if tag in ARTICLES and not (p.up >= 0 and places[p.up].inside):
             articles.append(k)
-        inside = inside or tag in ("article", "main")
-        if tag in CHROME and not (inside and tag == "header") or CHROME_NAME.search(name) and tag not in ("body", "html", "article", "main"):
-            template.append(k)
-            return
-        if tag not in ("a", "#", "html", "body") and not inside and size and linked > MAX_LINKS * size:
+        if _chrome(tag, name, p.inside) or not p.inside and not p.around and _menu(tag, size, linked):
             template.append(k)
-            return
-        if same_text and pages >= MIN_PAGES and not inside:
+            gone[k] = True
+            continue
+        # A constant word in a sentence of an article is not template; its block must be constant too.
+        alone = tag in BLOCKS or p.up < 0 or same_text[p.up]
+        same_text[k] = same_ and (varied >= MIN_PAGES and alone if p.inside else pages >= MIN_PAGES)
+        if same_text[k]:
             constant.append(k)
-        for c in n.children:
-            walk(c, inside)
-
-    walk(root, False)
     return {"template": template, "constant": constant, "articles": articles}
 
 
@@ -371,30 +409,39 @@ def wrappers(pages: DataFrame) -> DataFrame:
         for pdf in batches:
             seen: dict[tuple[str, int], list] = {}
             for host, html, wrapper in zip(pdf["_host"], pdf["html"], pdf["wrapper"]):
-                for number, text, size, linked in observe(html, wrapper):
-                    s = seen.setdefault((host, number), [0, text, text, 0, 0])
+                for number, text, size, linked, whole in observe(html, wrapper):
+                    s = seen.setdefault((host, number), [0, text, text, 0, 0, set()])
                     s[0] += 1
                     s[1], s[2] = min(s[1], text), max(s[2], text)
                     s[3] += size
                     s[4] += linked
-            # Only whether least and greatest are equal matters, so a prefix and a hash of each will do.
+                    if whole is not None:
+                        s[5].add(whole)
+                        if len(s[5]) > MIN_PAGES:
+                            s[5].remove(max(s[5]))
+            # Only whether least and greatest are equal matters, so a prefix and a hash of each will do. Of the digests,
+            # the least MIN_PAGES are enough to tell whether there are as many; the first row of a node has its sums.
             key = lambda t: f"{t[:20]}|{hash_text(t)}"
-            yield pd.DataFrame(
-                [(h, k, s[0], key(s[1]) if s[1] == s[2] else "a", key(s[1]) if s[1] == s[2] else "b", s[3], s[4]) for (h, k), s in seen.items()],
-                columns=["_host", "number", "pages", "lo", "hi", "size", "linked"],
-            )
+            rows = []
+            for (h, k), s in seen.items():
+                lo, hi = (key(s[1]), key(s[1])) if s[1] == s[2] else ("a", "b")
+                for nth, whole in enumerate(sorted(s[5]) or [None]):
+                    rows.append((h, k, *((0, lo, hi, 0, 0) if nth else (s[0], lo, hi, s[3], s[4])), whole))
+            yield pd.DataFrame(rows, columns=["_host", "number", "pages", "lo", "hi", "size", "linked", "whole"])
 
     with_wrapper = _with(pages, made)
-    seen = with_wrapper.mapInPandas(count, "_host string, number int, pages long, lo string, hi string, size long, linked long")
-    sums = seen.groupBy("_host", "number").agg(F.sum("pages").alias("pages"), (F.min("lo") == F.max("hi")).alias("constant"), F.sum("size").alias("size"), F.sum("linked").alias("linked"))
-    stats = sums.groupBy("_host").agg(F.collect_list(F.struct("number", "pages", "constant", "size", "linked")).alias("stats"))
+    seen = with_wrapper.mapInPandas(count, "_host string, number int, pages long, lo string, hi string, size long, linked long, whole string")
+    sums = seen.groupBy("_host", "number").agg(
+        F.sum("pages").alias("pages"), (F.min("lo") == F.max("hi")).alias("constant"), F.sum("size").alias("size"), F.sum("linked").alias("linked"), F.countDistinct("whole").alias("varied")
+    )
+    stats = sums.groupBy("_host").agg(F.collect_list(F.struct("number", "pages", "constant", "size", "linked", "varied")).alias("stats"))
     full = made.join(stats.withColumnRenamed("_host", "_of"), F.col("_host") == F.col("_of"), "left").select("_host", "wrapper", "stats")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for wrapper, stats in zip(pdf["wrapper"], pdf["stats"]):
-                by = {s["number"]: (s["pages"], s["constant"], s["size"], s["linked"]) for s in (stats if stats is not None else [])}
+                by = {s["number"]: (s["pages"], s["constant"], s["size"], s["linked"], s["varied"]) for s in (stats if stats is not None else [])}
                 out.append(json.dumps(decide(wrapper, by)))
             yield pd.DataFrame({"_host": pdf["_host"], "wrapper": pdf["wrapper"], "decided": out})
 

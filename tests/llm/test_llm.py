@@ -147,6 +147,23 @@ def test_articles_of_the_tables(spark, sf_dir):
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+def texts_of(spark, htmls, host="h.com"):
+    df = spark.createDataFrame([(k, f"http://{host}/{k}", h) for k, h in enumerate(htmls)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in page_text.extract(df).collect()}
+
+
+def test_constant_parts_of_articles_are_template(spark):
+    inner = lambda k: f"<article><h1>Title {k}</h1><p>Text <b>Note</b> {k}</p><div class=box><b>Read</b> more of us</div></article>"
+    assert texts_of(spark, [inner(k) for k in range(5)]) == {k: f"Title {k}\nText Note {k}" for k in range(5)}
+    # Copies of one page keep their article, and so do two different articles.
+    assert set(texts_of(spark, [inner(0)] * 5 + [inner(1)]).values()) == {f"Title {k}\nText Note {k}\nRead more of us" for k in (0, 1)}
+
+
+def test_links_beside_an_article_do_not_drop_it(spark):
+    menu = "".join(f"<a href=/{k}>a long entry of the menu {k}</a>" for k in range(40))
+    assert texts_of(spark, [f"<div id=all><div id=m>{menu}</div><article><p>short {k}</p></article></div>" for k in range(4)]) == {k: f"short {k}" for k in range(4)}
+
+
 def test_tree_matching():
     tree = lambda s: page_text.fold([page_text.parse(s)])
     a, b = tree("<div><p>x</p><ul><li>1</li></ul></div>"), tree("<div><h1>t</h1><p>y</p><ul><li>2</li><li>3</li></ul></div>")
