@@ -1,10 +1,11 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host are parsed into DOM trees whose runs of like siblings are folded into one node. A few pages of each host
-are aligned by simple tree matching and merged into the host's wrapper; then every page is aligned with its wrapper and
-counts, for each node of the wrapper, on how many pages the node occurs, whether its text is the same on all of them and
-how much of it is inside links. Nodes whose text is constant, and nodes of menus, notices and the like, are template;
-the others are slots, and the slots of a page are its text. A page's nodes that no wrapper knows count as slots.
+Pages of a host are parsed into DOM trees whose like siblings are folded into one node. The different trees of all pages
+of a host, without what occurs on one or two pages only, are aligned by simple tree matching and merged step by step into
+the host's wrapper; then every page is aligned with its wrapper and counts, for each node of the wrapper, on how many
+pages the node occurs, whether its text is the same on all of them and how much of it is inside links. Nodes whose text
+is constant, and nodes of menus, notices and the like, are template; the others are slots, and the slots of a page are
+its text. Nodes that the wrapper lacks, being rare, are judged by themselves: menus and the like go, others are slots.
 
 If a host's wrapper has an article (or main) element, content is looked for only there. Within it a constant text is
 template only if the node occurs in several different articles; so a host with one page, or with copies of one page,
@@ -17,9 +18,11 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -31,10 +34,10 @@ from pyspark.sql import functions as F
 from .common import prepare, same, staged
 from .url_filter import host_of
 
-#: Pages of a host that its wrapper is merged from; the counts that decide on its nodes come from all pages.
-MERGED = 4
 #: A node must occur on this many pages before a constant text makes it template.
 MIN_PAGES = 3
+#: Trees that one step merges, about.
+FAN = 64
 #: Elements nested deeper stay open for no content of their own; what is inside belongs to the element around them.
 MAX_DEPTH = 200
 #: Share of a node's text inside links beyond which it is a menu.
@@ -169,27 +172,59 @@ def match(a: Folded, b: Folded) -> tuple[int, list[tuple[Folded, Folded]]]:
 
 
 def merge(a: Folded, b: Folded) -> Folded:
-    """a, with those parts of b that it lacks."""
-    pairs = {id(y): x for x, y in match(a, b)[1]} | {id(b): a}
-
-    def add(y: Folded) -> None:
-        x = pairs[id(y)]
+    """a, with those parts of b that it lacks, each after the part that it follows in b; both match the result in full."""
+    pairs = {id(y): x for x, y in match(a, b)[1]}
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        if not y.children:
+            continue
+        own, after = {id(c): k for k, c in enumerate(x.children)}, {}
+        at = -1
         for child in y.children:
             if id(child) in pairs:
-                add(child)
+                at = own[id(pairs[id(child)])]
+                todo.append((pairs[id(child)], child))
             else:
-                x.children.append(child)
-
-    add(b)
+                after.setdefault(at, []).append(child)
+        x.children = after.get(-1, []) + [n for k, c in enumerate(x.children) for n in (c, *after.get(k, ()))]
     return a
 
 
 def dump(n: Folded) -> list:
-    return [n.label, [dump(c) for c in n.children]]
+    """Depth and label of each node, in document order."""
+    out, todo = [], [(n, 0)]
+    while todo:
+        n, depth = todo.pop()
+        out.append([depth, n.label])
+        todo += [(c, depth + 1) for c in reversed(n.children)]
+    return out
 
 
 def load(data: list) -> Folded:
-    return Folded(data[0], [load(c) for c in data[1]])
+    path: list[Folded] = []
+    for depth, label in data:
+        n = Folded(label)
+        del path[depth:]
+        if path:
+            path[-1].children.append(n)
+        path.append(n)
+    return path[0]
+
+
+def paths(skeleton: list) -> list[int]:
+    """A hash of the labels from the root to each node of a page; like siblings are folded, so no two nodes have the same."""
+    out, path = [], [b""]
+    for depth, label in skeleton:
+        del path[depth + 1 :]
+        path.append(hashlib.blake2b(path[-1] + label.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+        out.append(int.from_bytes(path[-1], "big", signed=True))
+    return out
+
+
+def prune(skeleton: list, common: set[int]) -> list:
+    """The root and the nodes whose path is common; a path is no commoner than its beginnings."""
+    return [n for n, path in zip(skeleton, paths(skeleton)) if not n[0] or path in common]
 
 
 def numbered(root: Folded) -> list[tuple[int, Folded]]:
@@ -317,26 +352,29 @@ def text_of(html: str | None, wrapper: str | None, decided: str | None) -> str:
     """The blocks of a page that are content, joined by newlines."""
     tree = parse(html)
     page = fold([tree])
-    if wrapper is None:  # no wrapper: the page's own elements decide
-        wrapper = json.dumps(dump(page))
-        decided = json.dumps(decide(wrapper, {}))
-    numbers, plan = align(page, wrapper), _plan(decided)
-    template, constant, articles = plan
+    if wrapper is None or decided is None:  # no wrapper: the page's own elements decide
+        numbers, (template, constant, articles) = {}, (frozenset(), frozenset(), frozenset())
+    else:
+        numbers, (template, constant, articles) = align(page, wrapper), _plan(decided)
     dropped: set[int] = set()
     silent: set[int] = set()
     starts: set[int] = set()
-
-    def mark(n: Folded) -> None:
-        k = numbers.get(id(n))
-        tag, _, name = n.label.partition(".")
-        unknown_chrome = k is None and (tag in CHROME or bool(CHROME_NAME.search(name)))
-        for group, hit in ((dropped, k in template or unknown_chrome), (silent, k in constant), (starts, k in articles)):
-            if hit:
-                group.update(map(id, n.members))
-        for c in n.children:
-            mark(c)
-
-    mark(page)
+    places = survey(page)
+    for p in places:
+        k = numbers.get(id(p.node))
+        if k is None:  # on so few pages that only the node itself can tell
+            tag, _, name = p.node.label.partition(".")
+            drop = _chrome(tag, name, p.inside) or not p.inside and not p.around and _menu(tag, p.size, p.linked)
+            start = tag in ARTICLES and not (p.up >= 0 and places[p.up].inside)
+        else:
+            drop, start = k in template, k in articles
+        members = [id(m) for m in p.node.members]
+        if drop or p.up >= 0 and id(places[p.up].node.members[0]) in dropped:
+            dropped.update(members)
+        elif start:
+            starts.update(members)
+        if k in constant:
+            silent.update(members)
     blocks: list[str] = []
     words: list[str] = []
 
@@ -382,28 +420,56 @@ def _plan(decided: str) -> tuple[frozenset, frozenset, frozenset]:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """_host, wrapper, decided: one row per host; all of its pages are counted."""
+    """_host, wrapper, decided: one row per host; all of its pages are merged and counted."""
     prepare(pages.sparkSession)
-    ids = pages.select("page_id", host_of(F.col("url")).alias("_host"))
-    picks = [F.min(F.struct(F.xxhash64(F.lit(k), F.col("page_id")).alias("h"), F.col("page_id").alias("id"))).alias(f"p{k}") for k in range(MERGED)]
-    chosen = staged(ids.groupBy("_host").agg(*picks).select("_host", F.explode(F.array_distinct(F.array(*(F.col(f"p{k}.id") for k in range(MERGED))))).alias("_id")), "chosen")
-    some = pages.select("page_id", host_of(F.col("url")).alias("_h"), "html")
-    some = some.join(chosen, same(F.col("page_id"), F.col("_id")) & (F.col("_h") == F.col("_host"))).select("_host", "html").groupBy("_host")
-    # Rows that repeat a page_id could bring more than MERGED pages, so their number is bounded here too.
-    few = some.agg(F.slice(F.collect_set("html"), 1, MERGED).alias("htmls"))
+    own = pages.select(host_of(F.col("url")).alias("_host"), "html")
+
+    def skeletons(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            seen = Counter((host, json.dumps(dump(fold([parse(html)])))) for host, html in zip(pdf["_host"], pdf["html"]))
+            yield pd.DataFrame([(h, s, n) for (h, s), n in seen.items()], columns=["_host", "tree", "n"])
+
+    trees = own.mapInPandas(skeletons, "_host string, tree string, n long").groupBy("_host", "tree").agg(F.sum("n").alias("n"))
+    trees = staged(trees, "trees")
+
+    # A node on fewer than MIN_PAGES pages cannot become template by what it has in common with other pages, so wrappers
+    # do without: a name that each page has anew would make them as long as the host has pages.
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            seen: Counter = Counter()
+            for host, tree, n in zip(pdf["_host"], pdf["tree"], pdf["n"]):
+                for path in paths(json.loads(tree)):
+                    seen[host, path] += n
+            yield pd.DataFrame([(h, p, n) for (h, p), n in seen.items()], columns=["_of", "path", "n"])
+
+    common = trees.mapInPandas(walk, "_of string, path long, n long").groupBy("_of", "path").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_PAGES)
+    common = common.groupBy("_of").agg(F.collect_list("path").alias("common"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made, last = set(), (None, set())
+            for host, tree, common in zip(pdf["_host"], pdf["tree"], pdf["common"]):
+                if last[0] != host:
+                    last = (host, set() if common is None else set(map(int, common)))
+                made.add((host, json.dumps(prune(json.loads(tree), last[1]))))
+            yield pd.DataFrame(list(made), columns=["_host", "tree"])
 
     def induce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for htmls in pdf["htmls"]:
-                trees = [fold([parse(h)]) for h in sorted(htmls)]
-                root = trees[0] if trees else Folded("#")
-                for t in trees[1:]:
-                    root = merge(root, t)
-                out.append(json.dumps(dump(root)))
-            yield pd.DataFrame({"_host": pdf["_host"], "wrapper": out})
-
-    made = staged(few.mapInPandas(induce, "_host string, wrapper string"), "wrappers")
+            for trees in pdf["trees"]:
+                roots = [load(json.loads(t)) for t in sorted(trees)]
+                for t in roots[1:]:
+                    merge(roots[0], t)
+                out.append(json.dumps(dump(roots[0])))
+            yield pd.DataFrame({"_host": pdf["_host"], "tree": out})
+
+    made = staged(trees.join(common, F.col("_host") == F.col("_of"), "left").select("_host", "tree", "common").mapInPandas(cut, "_host string, tree string").distinct(), "cut")
+    while (most := made.groupBy("_host").count().agg(F.max("count")).first()[0] or 0) > 1:
+        part = F.pmod(F.xxhash64("tree"), F.lit(-(-most // FAN))).alias("part")
+        few = made.groupBy("_host", part).agg(F.collect_list("tree").alias("trees"))
+        made = staged(few.select("_host", "trees").mapInPandas(induce, "_host string, tree string"), "merged")
+    made = made.withColumnRenamed("tree", "wrapper")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -449,8 +515,6 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 
 def hash_text(text: str) -> str:
-    import hashlib
-
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 

@@ -164,6 +164,26 @@ def test_links_beside_an_article_do_not_drop_it(spark):
     assert texts_of(spark, [f"<div id=all><div id=m>{menu}</div><article><p>short {k}</p></article></div>" for k in range(4)]) == {k: f"short {k}" for k in range(4)}
 
 
+def test_wrappers_know_all_pages(spark):
+    """Parts that few of a host's pages have: a notice, and articles of another class."""
+    tail = lambda k: "<div class=note>Closed on Sundays</div>" if k % 20 == 0 else "<div class=own>Only here</div>" if k == 1 else ""
+    plain = texts_of(spark, [f"<div class=top>Site</div><div class=post><p>text {k}</p></div>{tail(k)}" for k in range(100)])
+    assert plain == {k: f"text {k}" + ("\nOnly here" if k == 1 else "") for k in range(100)}
+    kind = lambda k: "rare" if k % 25 == 0 else f"x{k}" if k == 7 else "usual"
+    assert texts_of(spark, [f"<div>beside {k}</div><article class={kind(k)}><p>text {k}</p></article>" for k in range(100)]) == {k: f"text {k}" for k in range(100)}
+
+
+def test_merged_wrapper_matches_its_pages():
+    tree = lambda s: page_text.fold([page_text.parse(s)])
+    sources = ["<p></p><ul></ul>", "<p></p><div><b></b><i></i></div><ul></ul>", "<ul></ul><p></p>", "<h1></h1><div><u></u><i></i></div>"]
+    whole = tree(sources[0])
+    for s in sources[1:]:
+        page_text.merge(whole, tree(s))
+    for s in sources:
+        assert page_text.match(tree(s), whole)[0] == len(page_text.dump(tree(s)))
+    assert page_text.dump(page_text.load(page_text.dump(whole))) == page_text.dump(whole)
+
+
 def test_tree_matching():
     tree = lambda s: page_text.fold([page_text.parse(s)])
     a, b = tree("<div><p>x</p><ul><li>1</li></ul></div>"), tree("<div><h1>t</h1><p>y</p><ul><li>2</li><li>3</li></ul></div>")
