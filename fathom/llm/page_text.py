@@ -38,8 +38,6 @@ from .url_filter import host_of
 MIN_PAGES = 3
 #: Trees that one step merges, about.
 FAN = 64
-#: Elements nested deeper stay open for no content of their own; what is inside belongs to the element around them.
-MAX_DEPTH = 200
 #: Share of a node's text inside links beyond which it is a menu.
 MAX_LINKS = 0.6
 
@@ -56,6 +54,8 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - frozenset("caption td th tr tbody thead tfoot body html".split())
 #: A start tag in the set closes an open element of the key.
 CLOSED_BY = {"p": CLOSES_P, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
+#: The keys of CLOSED_BY by start tag.
+CLOSES = {name: [k for k, names in CLOSED_BY.items() if name in names] for name in frozenset().union(*CLOSED_BY.values())}
 #: Elements that a start tag does not look beyond when it closes others.
 SCOPES = frozenset("table td th ul ol dl div section article main body html blockquote".split())
 CHROME_NAME = re.compile(
@@ -86,6 +86,7 @@ def parse(html: str | None) -> Node:
     """The DOM tree, under a node of its own. Reads as browsers do where it matters: implied ends, raw text, references."""
     root = Node("#")
     stack, raw = [root], ""
+    opened: Counter = Counter()
     for match in _TOKENS.finditer(html or ""):
         token = match.group()
         tag = _TAG.match(token) if token[0] == "<" else None
@@ -101,14 +102,16 @@ def parse(html: str | None) -> Node:
         name = tag[1].lower()
         if token[1] == "/":
             raw = ""
-            if any(n.tag == name for n in stack[1:]):
-                while stack.pop().tag != name:
-                    pass
+            if opened[name]:
+                while (last := stack.pop().tag) != name:
+                    opened[last] -= 1
+                opened[name] -= 1
             continue
-        depth = len(stack) - 1
+        depth = len(stack) - 1 if any(opened[k] for k in CLOSES.get(name, ())) else 0
         while depth > 0:
             open_ = stack[depth].tag
             if name in CLOSED_BY.get(open_, ()):
+                opened.subtract(n.tag for n in stack[depth:])
                 del stack[depth:]
                 break
             if open_ in SCOPES:
@@ -117,8 +120,9 @@ def parse(html: str | None) -> Node:
         attrs = " ".join(filter(None, (a[1] or a[2] or a[3] for a in _ATTR.findall(token)))) if " " in token else ""
         node = Node(name, attrs.strip())
         stack[-1].parts.append(node)
-        if name not in VOID and not token.endswith("/>") and len(stack) < MAX_DEPTH:
+        if name not in VOID and not token.endswith("/>"):
             stack.append(node)
+            opened[name] += 1
             raw = name if name in RAW else ""
     return root
 
@@ -135,40 +139,65 @@ class Folded:
 
 def fold(nodes: list[Node]) -> Folded:
     """Merges like siblings, so that a list or an article of any length is a few nodes."""
-    out = Folded(nodes[0].label, members=nodes)
-    by: dict[str, list[Node]] = {}
-    for n in nodes:
-        for p in n.parts:
-            if isinstance(p, str):
-                if not p.isspace():
-                    out.texts.append(p)
-            elif p.tag not in SKIPPED:
-                by.setdefault(p.label, []).append(p)
-    out.children = [fold(x) for x in by.values()]
-    return out
+    top = Folded(nodes[0].label, members=nodes)
+    todo = [top]
+    while todo:
+        out = todo.pop()
+        by: dict[str, list[Node]] = {}
+        for n in out.members:
+            for p in n.parts:
+                if isinstance(p, str):
+                    if not p.isspace():
+                        out.texts.append(p)
+                elif p.tag not in SKIPPED:
+                    by.setdefault(p.label, []).append(p)
+        out.children = [Folded(x[0].label, members=x) for x in by.values()]
+        todo += out.children
+    return top
 
 
 def match(a: Folded, b: Folded) -> tuple[int, list[tuple[Folded, Folded]]]:
     """Simple tree matching: the size of the largest top-down matching that keeps order, and its pairs of children."""
     if a.label != b.label:
         return 0, []
+    done: dict[tuple[int, int], tuple[int, list[tuple[Folded, Folded]]]] = {}
+    todo = [(a, b, False)]
+    while todo:
+        x, y, ready = todo.pop()
+        if ready:
+            done[id(x), id(y)] = _match_children(x, y, done)
+        else:
+            todo.append((x, y, True))
+            of: dict[str, list[Folded]] = {}
+            for c in y.children:
+                of.setdefault(c.label, []).append(c)
+            todo += [(c, d, False) for c in x.children for d in of.get(c.label, ())]
+    pairs, at = [], [(a, b)]
+    while at:
+        x, y = at.pop()
+        pairs += done[id(x), id(y)][1]
+        at += done[id(x), id(y)][1]
+    return done[id(a), id(b)][0], pairs
+
+
+def _match_children(a: Folded, b: Folded, done: dict) -> tuple[int, list[tuple[Folded, Folded]]]:
+    """The size of the largest matching of a and b, and its pairs of their own children; done has it for these."""
     m, n = len(a.children), len(b.children)
     best = [[0] * (n + 1) for _ in range(m + 1)]
-    found = {}
+    size = lambda i, j: done.get((id(a.children[i - 1]), id(b.children[j - 1])), (0,))[0]
     for i in range(1, m + 1):
         for j in range(1, n + 1):
-            w = found[i, j] = match(a.children[i - 1], b.children[j - 1])
-            best[i][j] = max(best[i][j - 1], best[i - 1][j], best[i - 1][j - 1] + w[0])
+            best[i][j] = max(best[i][j - 1], best[i - 1][j], best[i - 1][j - 1] + size(i, j))
     pairs, i, j = [], m, n
     while i and j:
-        if found[i, j][0] and best[i][j] == best[i - 1][j - 1] + found[i, j][0]:
-            pairs = [(a.children[i - 1], b.children[j - 1]), *found[i, j][1], *pairs]
+        if size(i, j) and best[i][j] == best[i - 1][j - 1] + size(i, j):
+            pairs.append((a.children[i - 1], b.children[j - 1]))
             i, j = i - 1, j - 1
         elif best[i][j] == best[i - 1][j]:
             i -= 1
         else:
             j -= 1
-    return 1 + best[m][n], pairs
+    return 1 + best[m][n], pairs[::-1]
 
 
 def merge(a: Folded, b: Folded) -> Folded:

@@ -164,6 +164,12 @@ def test_links_beside_an_article_do_not_drop_it(spark):
     assert texts_of(spark, [f"<div id=all><div id=m>{menu}</div><article><p>short {k}</p></article></div>" for k in range(4)]) == {k: f"short {k}" for k in range(4)}
 
 
+def test_deep_pages_are_read_like_others(spark):
+    deep = "<article>" + "<b>" * 5000 + "<script>var x;</script><nav>menu</nav>one <div>two</div></div> three" + "</b>" * 5000 + "<p>four</p></article>"
+    inside = "<article><div>" + "<span>" * 400 + "<div>one</div></span>" + " two</div>three</article>"
+    assert texts_of(spark, [deep]) == {0: "one\ntwo\nthree\nfour"} and texts_of(spark, [inside]) == {0: "one\ntwo\nthree"}
+
+
 def test_wrappers_know_all_pages(spark):
     """Parts that few of a host's pages have: a notice, and articles of another class."""
     tail = lambda k: "<div class=note>Closed on Sundays</div>" if k % 20 == 0 else "<div class=own>Only here</div>" if k == 1 else ""
