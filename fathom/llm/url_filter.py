@@ -10,6 +10,7 @@ html has no links. Repeated rows are judged one by one; an empty table gives an
 
 from __future__ import annotations
 
+import html as entities
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -39,9 +40,18 @@ def query_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its segments . and .. carried out."""
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    step = lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    whole = F.regexp_replace(path, r"(?s)(/\.\.?)$", "$1/")  # a last segment of dots is a folder
+    made = F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(F.substr(whole, F.lit(2)), "/"), F.array().cast("array<string>"), step), "/"))
+    return F.when(path.rlike(r"(?s)/\.\.?(/|$)"), made).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """A URL without its scheme and fragment, which lead to the same page; null if it has no host."""
-    return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), query_of(url)))
+    """A URL without its scheme, fragment and dot segments, which lead to the same page; null if it has no host."""
+    return F.when(host_of(url) != "", F.concat(host_of(url), without_dots(path_of(url)), query_of(url)))
 
 
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
@@ -53,21 +63,35 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
+def resolved(target: Column, url: Column) -> Column:
+    """The URL, of any scheme, that a link of the page at url leads to; null for a link to the page itself."""
+    base = F.concat(F.lit("x://"), host_of(url))
+    folder = F.concat(base, F.lit("/"), F.regexp_extract(path_of(url), r"(?s)^/(.*/)", 1))
+    return (
+        F.when((target == "") | target.startswith("#"), F.lit(None))
+        .when(target.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), target)
+        .when(target.startswith("//"), F.concat(F.lit("x:"), target))
+        .when(target.startswith("/"), F.concat(base, target))
+        .when(target.startswith("?"), F.concat(base, path_of(url), target))
+        .otherwise(F.concat(folder, target))
+    )
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """u, v: nodes that a canonical link or a meta refresh binds. Targets may be absolute or start with a slash."""
+    """u, v: nodes that a canonical link or a meta refresh binds. Targets are resolved against the page's URL."""
     html, url = F.col("html"), F.col("url")
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*(?:canonical|refresh)[^>]*>"), 0)
     tag = F.explode(tags).alias("tag")
     value = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
     attr = lambda name: F.concat(*(F.regexp_extract("tag", rf"(?is)\b{name}{value}", k) for k in (1, 2, 3)))
+    decoded = F.udf(lambda text: text and entities.unescape(text), "string")
     found = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select(url, tag)
-    target = F.when(F.lower(attr("rel")) == "canonical", attr("href")).when(
-        F.lower(attr("http-equiv")) == "refresh", F.regexp_extract(attr("content"), r"(?is)url\s*=\s*['\"]?([^'\"\s]*)", 1)
+    found = found.select(url, F.lower(attr("rel")).alias("rel"), F.lower(attr("http-equiv")).alias("equiv"), decoded(attr("href")).alias("href"), decoded(attr("content")).alias("content"))
+    target = F.when(F.array_contains(F.split("rel", r"\s+"), "canonical"), F.col("href")).when(
+        F.trim("equiv") == "refresh", F.regexp_extract("content", r"(?is)url\s*=\s*['\"]?([^'\"\s]*)", 1)
     )
-    full = F.when(target.startswith("//"), F.concat(F.lit("x:"), target)).when(
-        target.startswith("/"), F.concat(F.lit("x://"), host_of(url), target)
-    ).otherwise(target)
-    return found.select(node_of(url).alias("u"), node_of(full).alias("v")).where("u is not null and v is not null")
+    links = found.select(url, F.regexp_replace(target, r"^\s+|\s+$", "").alias("target"))
+    return links.select(node_of(url).alias("u"), node_of(resolved(F.col("target"), url)).alias("v")).where("u is not null and v is not null")
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:

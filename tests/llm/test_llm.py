@@ -466,6 +466,23 @@ def test_urls(spark):
 # the pipeline
 
 
+def test_link_targets_are_resolved(spark):
+    canonical = lambda href, rel="canonical": f'<link rel="{rel}" href="{href}">'
+    refresh = '<meta http-equiv=refresh content="0; url=next.html">'
+    cases = [
+        ("http://h.com/d/a.html", canonical("b.html"), "h.com/d/b.html"), ("http://h.com/d/e/a", canonical("../x?u=http://z.com/../q"), "h.com/d/x?u=http://z.com/../q"), ("http://h.com", canonical("p"), "h.com/p"),
+        ("http://h.com/d/a?x=1", canonical("?id=3&amp;k=4"), "h.com/d/a?id=3&k=4"), ("http://h.com/d/a", canonical("./"), "h.com/d/"), ("http://h.com/d/a", canonical("../../.."), "h.com/"), ("http://h.com/d/a", refresh, "h.com/d/next.html"),
+        ("http://h.com/a", canonical("https://H.com/x/./y", "nofollow Canonical"), "h.com/x/y"), ("http://h.com/a", canonical("/z&#x2F;w"), "h.com/z/w"), ("http://h.com/a", canonical("//k.com/a"), "k.com/a"),
+        ("http://h.com/a", canonical("#top") + canonical("mailto:me") + canonical("b", "notcanonical"), None),
+    ]
+    for url, html, want in cases:
+        pages = spark.createDataFrame([(url, html)], "url string, html string")
+        assert [r["v"] for r in url_filter.link_edges(pages).collect()] == ([want] if want else []), (url, html)
+    pages = spark.createDataFrame([(1, "http://b.com/d/bad", None), (2, "http://b.com/d/alias", canonical("bad", "canonical nofollow")), (3, "http://b.com/d/../d/alias", None)], "page_id long, url string, html string")
+    rules = [url_filter.Rule("block", "b.com", "/d/bad")]
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, rules).collect()} == {1: "block", 2: "block", 3: "block"}
+
+
 def test_pipeline_by_brute_force(spark, sf_dir):
     """Every stage on what its predecessor kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
