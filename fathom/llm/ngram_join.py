@@ -160,19 +160,19 @@ def _sketch(docs: DataFrame, t: Threshold) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, t: Threshold) -> DataFrame:
-    """doc_id, key and n of each document's set, and its prefix and bitmap where the task first meets the key."""
+    """doc_id, key and n of each document's set, and its prefix and bitmap where the task first meets the key in a document with an id."""
     sketch = _sketch(docs, t)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: set[int] = set()
         for pdf in batches:
             keys, sizes, prefixes, bits = [], [], [], []
-            for text in pdf["text"]:
+            for text, no_id in zip(pdf["text"], pdf["doc_id"].isna()):
                 own = shingles(text, t.words)
                 n, key = len(own), set_key(own)
                 keys.append(key)
                 sizes.append(n)
-                if n == 0 or key in met:
+                if n == 0 or no_id or key in met:
                     prefixes.append(None)
                     bits.append(None)
                     continue

@@ -337,6 +337,13 @@ def test_near_copies_around_the_threshold(spark, odd, empty):
     assert near_of(empty) == {} and ngram_join.drop_near_copies(odd).columns == odd.columns
 
 
+def test_null_ids_ahead_of_equal_texts(spark):
+    words = [f"w{k}" for k in range(60)]
+    text, near = " ".join(words), " ".join(words[:-1] + ["other"])
+    docs = documents(spark, [(None, text, None, None, 0), (5, text, None, None, 0), (3, near, None, None, 0)]).coalesce(1)
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_components(docs).collect()} == {None: None, 5: 3, 3: 3}
+
+
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=300), st.integers(0, 50))
 def test_bitmaps_bound_overlaps(a, b, both):
     b = b | set(list(a)[:both]) or {1}
