@@ -13,10 +13,11 @@ A document is the set of hashes of its n-word shingles. Documents with one set a
 4. Each group stores the union of its tokens as a bitmap of some bits a token. Every bit of the set that the union lacks
    is a token less that they can share, which bounds their overlap from above; only groups whose bound reaches what the
    threshold asks of the set are opened. Full sets are made for the members and queries of these alone, and compared
-   exactly, members of an already linked component left out.
+   exactly, for components with members of an already linked component left out.
 
 Links between components are all found, since every pair of sets of different components with a common prefix token is
-compared or bounded; links inside a component are not needed for the result.
+compared or bounded; links inside a component are not needed for components. near_links and link_counts find those
+too: there every set asks the groups of its own component, and all members are compared.
 
 Edge cases: a null or empty text has an empty set and is linked with nothing; a text with fewer than n words has one
 token; rows that repeat a doc_id are one document; rows with a null doc_id are linked with nothing, their component is
@@ -309,8 +310,19 @@ def _linked(edges: DataFrame, classes: DataFrame) -> DataFrame:
     return staged(components(ids).select(F.col("node").alias("class_id"), F.col("root").alias("comp")), "linked")
 
 
-def near_components(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
-    """doc_id, n_shingles, component_id; one row per document."""
+@dataclass
+class Joined:
+    """Tables of a join: sets (doc_id, key, n), classes (key, class_id, n, rows), shared (token, key, early), keys (key,
+    class_id, n, bits) of the sets in shared, and linked (class_id, comp)."""
+
+    sets: DataFrame
+    classes: DataFrame
+    shared: DataFrame
+    keys: DataFrame
+    linked: DataFrame
+
+
+def _join(docs: DataFrame, t: Threshold) -> Joined:
     spark = docs.sparkSession
     prepare(spark)
     sets = staged(_sets(docs, t), "sets")
@@ -349,7 +361,13 @@ def near_components(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     if not left.isEmpty():
         edges = edges.unionByName(staged(_open_groups(docs, left, info, keys, t), "group_links"))
         linked = _linked(edges, classes)
+    return Joined(sets, classes, shared, keys, linked)
+
 
+def near_components(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
+    """doc_id, n_shingles, component_id; one row per document."""
+    j = _join(docs, t)
+    sets, classes, linked = j.sets, j.classes, j.linked
     out = classes.join(linked, "class_id", "left").select("key", F.coalesce("comp", "class_id").alias("component_id"), "rows")
     rows = sets.select("doc_id", "key", "n")
     alone = rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
@@ -358,6 +376,52 @@ def near_components(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     return met.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def near_links(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
+    """a, b: the class_ids, a below b, of every two different sets that reach the threshold; a class_id is the smallest
+    doc_id with the set."""
+    return _all_links(docs, _join(docs, t), t)
+
+
+def link_counts(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
+    """doc_id, class_id (null without a set or an id) and n_links, the number of documents with another set that a
+    document is linked with; one row per document."""
+    j = _join(docs, t)
+    links = staged(_all_links(docs, j, t), "all_links")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rows = j.sets.where("n > 0 and doc_id is not null").select("doc_id", "key")
+    weights = rows.distinct().groupBy("key").agg(F.count("*").alias("docs")).join(j.classes.select("key", "class_id"), "key")
+    n = both.join(weights.select(F.col("class_id").alias("b"), "docs"), "b").groupBy("a").agg(F.sum("docs").alias("n_links"))
+    out = j.classes.join(n, F.col("class_id") == F.col("a"), "left").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "rows")
+    met = join_groups(rows, staged(out, "link_counts"), ["key"], "rows", j.sets.count()).select("doc_id", "class_id", "n_links")
+    alone = j.sets.where("n = 0 or doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return met.unionByName(alone)
+
+
+def _all_links(docs: DataFrame, j: Joined, t: Threshold) -> DataFrame:
+    # Linked sets are in one component, so a set asks the groups of its own component that have a token with it and a
+    # set of a smaller class_id. Each set counts as a component of its own in the comparison, so none is left out.
+    info = j.keys.select("key", "class_id", "n").join(j.linked, "class_id")
+    size = staged(info.groupBy("comp").agg(F.count("*").alias("rank"), F.sum("n").alias("weight")), "link_sizes")
+    parts = F.ceil(F.greatest(F.col("rank") / GROUP_SETS, F.col("weight") / GROUP_TOKENS))
+    gid = F.xxhash64("comp", F.pmod(F.xxhash64("key", F.lit("g")), parts))
+    own = staged(info.join(size, "comp").select("key", "n", "class_id", F.col("comp").alias("of"), gid.alias("gid")), "link_groups")
+    rows = staged(j.shared.select("token", "key", "early").distinct().join(own, "key"), "link_tokens")
+    matrix = rows.groupBy("token", "of", "gid").agg(
+        F.min("class_id").alias("first"), F.min("n").alias("least"), F.max("n").alias("most"), F.min(F.when(F.col("early"), F.col("n"))).alias("least_early")
+    )
+    n = F.col("n")
+    lengths = (100 * n >= t.percent * F.col("least")) & (100 * F.col("most") >= t.percent * n)
+    early = (F.col("least_early") <= n) | (F.col("early") & (F.col("most") >= n))
+    asks = rows.drop("gid").join(staged(matrix, "link_matrix"), ["token", "of"]).where((F.col("first") < F.col("class_id")) & lengths & F.coalesce(early, F.lit(False)))
+    each = [F.col("class_id").alias("comp"), F.lit(0).cast("long").alias("rank")]
+    asks = staged(asks.select("gid", "key", *each).distinct(), "link_asks")
+    members = own.select("gid", "key", *each).join(asks.select("gid").distinct(), "gid", "left_semi")
+    found = _open(docs, asks, members, j.keys, t)
+    of = j.classes.select("key", "class_id")
+    found = found.join(of.select(F.col("key").alias("a"), F.col("class_id").alias("u")), "a").join(of.select(F.col("key").alias("b"), F.col("class_id").alias("v")), "b")
+    return found.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+
+
 def _open_groups(docs: DataFrame, left: DataFrame, info: DataFrame, keys: DataFrame, t: Threshold) -> DataFrame:
     """Links between components, over tokens (token, key, early, comp, rank, n) that occur in several."""
     # A component is cut into groups by hash; a set without links is a group of its own, for its union with others that

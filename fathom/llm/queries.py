@@ -46,6 +46,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_components(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_counts(table(spark, sf_dir, "documents"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_rows(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_token_store,
         op5_mix_sources,
         op6_ngram_join,
+        op6_ngram_links,
         op7_pieces,
         op8_language_id,
         op9_quality_rules,

@@ -337,6 +337,24 @@ def test_near_copies_around_the_threshold(spark, odd, empty):
     assert near_of(empty) == {} and ngram_join.drop_near_copies(odd).columns == odd.columns
 
 
+def test_all_links(spark, empty, monkeypatch):
+    """Every link of a group of near copies, and of a chain whose ends are not linked, against brute force."""
+    monkeypatch.setattr(ngram_join, "GROUP_SETS", 4)
+    monkeypatch.setattr(ngram_join, "QUERIES", 3)
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join(words[:k] + ["x"] + words[k + 1 :]) for k in range(0, 200, 9)] + [" ".join(words[k : k + 120]) for k in range(0, 80, 8)]
+    texts += [texts[0], texts[0], texts[3], "", None, "two words"]
+    docs = documents(spark, [(k, text, None, None, 0) for k, text in enumerate(texts)] + [(None, texts[1], None, None, 0)])
+    sets = [set(ngram_join.shingles(text).tolist()) for text in texts]
+    near = {(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    first = [sets.index(x) if x else None for x in sets]
+    assert {(r["a"], r["b"]) for r in ngram_join.near_links(docs).collect()} == {(j, i) for i, j in near if first[i] == i and first[j] == j}
+    want = {k: (first[k], sum(k in pair and sets[pair[0]] != sets[pair[1]] for pair in near)) for k in range(len(sets))} | {None: (None, 0)}
+    got = ngram_join.link_counts(docs).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == want and len(got) == len(want)
+    assert ngram_join.near_links(empty).count() == 0 and ngram_join.link_counts(empty).count() == 0
+
+
 def test_null_ids_ahead_of_equal_texts(spark):
     words = [f"w{k}" for k in range(60)]
     text, near = " ".join(words), " ".join(words[:-1] + ["other"])
