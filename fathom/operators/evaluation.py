@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Weights of kinds, labels in their order, the abstaining label.
-KIND_WEIGHTS = {"procedure": 1.3, "checklist": 1.3, "troubleshooting": 1.3, "safety": 1.2, "inspection": 1.1, "training_admin": 0.7, "definition": 0.5, "changelog": 0.5}
+from fathom.operators.retrieval import SERVICE
+
+#: Weights of kinds are those of ranking.
+KIND_WEIGHTS = SERVICE.boosts
+# Labels in their order, the abstaining label.
 LABEL_ORDER = ("VG;MT", "LE;ER", "LR;DA", "LE;CR", "SF;PO", "No Damage", "Invalid_Image")
 UNCERTAIN = "Uncertain"
 MODES = ("strict", "abstain_penalize", "abstain_skip")
@@ -43,6 +46,22 @@ def ir_metrics(hits: DataFrame, gold: DataFrame, query: str = "query_id", item:
     )
 
 
+def section_keys(rows: DataFrame, query: str = "query_id") -> DataFrame:
+    """rows (query, source, section and, of hits, rank) with the key source::section as item; rows with neither drop out."""
+    src, sec = F.coalesce("source", F.lit("")), F.coalesce("section", F.lit(""))
+    return rows.where((src != "") | (sec != "")).withColumn("item", F.concat(src, F.lit("::"), sec)).drop("source", "section")
+
+
+def isolated(cases: DataFrame, metrics: DataFrame, query: str = "query_id") -> DataFrame:
+    """Every case (query, class_label) with its metrics and error: cases without a query text or without gold, or for which
+    there are no metrics, say why and have none; the others go on."""
+    why = F.when(F.coalesce(F.trim("query_text"), F.lit("")) == "", "no query text").when(F.coalesce(F.size("gold"), F.lit(0)) == 0, "no gold")
+    joined = cases.withColumn("_why", why).join(metrics.withColumn("_met", F.lit(True)), query, "left")
+    error = F.coalesce("_why", F.when(F.col("_met").isNull(), F.lit("no metrics")))
+    kept = [F.when(error.isNull(), F.col(c)).alias(c) for c in metrics.columns if c != query]
+    return joined.select(query, "class_label", error.alias("error"), *kept)
+
+
 def page_keys(hits: DataFrame, gold: DataFrame, tolerance: int = 1, query: str = "query_id") -> tuple[DataFrame, DataFrame]:
     """hits and gold as page keys (query, item, rank): a hit stands for the first gold page (by gold_no) of its source that
     is within tolerance, hits without one drop out. hits has query, source, page, rank; gold has query, source, page, gold_no."""
@@ -67,8 +86,13 @@ def mean_metrics(metrics: DataFrame, names: list[str], by: str = "class_label")
     return sets.agg(F.grouping(by).alias("is_all"), F.count("*").alias("n"), *(F.avg(n).alias(n) for n in names))
 
 
+def one_label(label: Column) -> Column:
+    """A single label as the array that label_set() takes; null and blank are no label."""
+    return F.when(F.trim(label) != "", F.array(label)).otherwise(F.array().cast("array<string>"))
+
+
 def label_set(labels: Column) -> Column:
-    """Stripped non-empty labels as a sorted set; null is the empty set."""
+    """Stripped non-empty labels as a sorted set; null is the empty set. For columns of single labels see one_label()."""
     trimmed = F.transform(F.coalesce(labels, F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit(""))))
     return F.array_sort(F.array_distinct(F.filter(trimmed, lambda x: x != "")))
 

@@ -9,13 +9,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import text as T
+from fathom.staging import sized, staged
 
 K1, B = 1.5, 0.75
+#: Asked terms that are literals, and blocks of queries that are broadcast, at most.
+FEW_TERMS, FEW_BLOCKS = 5_000, 200
 
 
 @dataclass(frozen=True)
@@ -37,29 +40,40 @@ SERVICE = Preset(
 )
 
 
-def lengths(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, dl: terms of every document."""
-    return docs.select(id, F.size(T.terms(F.col(text))).alias("dl"))
+def indexed(docs: DataFrame, asked: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, dl (terms of the document) and hits, an array of (term, tf) for the asked terms (term, distinct) in it.
+
+    One pass over the documents: their terms are cut out once, and few asked terms are literals, so that only hits leave
+    the row. Beyond FEW_TERMS of them they are joined.
+    """
+    words = docs.select(id, T.terms(F.col(text)).alias("_words"))
+    few = [r[0] for r in asked.limit(FEW_TERMS + 1).collect()]
+    if len(few) <= FEW_TERMS:
+        met = F.filter("_words", lambda w: w.isin(few))
+        rows = words.select(id, F.size("_words").alias("dl"), met.alias("_met"))
+        times = F.transform(F.array_distinct("_met"), lambda w: F.struct(w.alias("term"), F.size(F.filter("_met", lambda x: x == w)).cast("long").alias("tf")))
+        return rows.select(id, "dl", times.alias("hits"))
+    numbered = words.select(id, "_words", F.size("_words").alias("dl"), F.monotonically_increasing_id().alias("_row"))  # before a row becomes several
+    rows = numbered.select(id, "dl", "_row", F.explode_outer("_words").alias("term"))
+    kept = rows.join(asked.withColumn("_asked", F.lit(True)), "term", "left").groupBy("_row", id, "dl", "term").agg(F.count_if("_asked").alias("tf"))
+    pair = F.when(F.col("tf") > 0, F.struct("term", "tf"))
+    return kept.groupBy("_row", id, "dl").agg(F.collect_list(pair).alias("hits")).drop("_row")
 
 
 def corpus_stats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row: n and avgdl; empty documents count."""
-    return lengths(docs, id, text).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return docs.agg(F.count("*").alias("n"), F.avg(F.size(T.terms(F.col(text)))).alias("avgdl"))
 
 
-def postings(docs: DataFrame, id: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
-    """term, id, tf, dl. only (term) keeps the postings that are asked for, before they are summed and shuffled."""
-    # The terms are a column before they are counted and exploded: beside explode, they would be made anew for each of its rows.
-    words = docs.select(id, T.terms(F.col(text)).alias("_words"))
-    rows = words.select(id, "_words", F.size("_words").alias("dl")).select(id, "dl", F.explode("_words").alias("term"))
-    rows = rows if only is None else rows.join(only, "term", "left_semi")
-    return rows.groupBy("term", id, "dl").agg(F.count("*").alias("tf"))
+def postings(found: DataFrame, id: str = "doc_id") -> DataFrame:
+    """term, id, tf, dl from what indexed() has found."""
+    return found.select(id, "dl", F.explode("hits").alias("_hit")).select("_hit.term", id, "_hit.tf", "dl")
 
 
-def term_idf(posts: DataFrame, stats: DataFrame) -> DataFrame:
-    """term, df, idf; stats has one row."""
+def term_idf(posts: DataFrame, n: int) -> DataFrame:
+    """term, df, idf in a corpus of n documents."""
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(stats.select("n"))).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    return df.select("term", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def query_terms(queries: DataFrame, query: str = "query_id", text: str = "query_text") -> DataFrame:
@@ -68,14 +82,16 @@ def query_terms(queries: DataFrame, query: str = "query_id", text: str = "query_
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query_text") -> DataFrame:
-    """query, id, bm25 of every document that shares a term with a query."""
+    """query, id, bm25 of every document that shares a term with a query. What one pass has found in the documents is
+    staged; lengths, document frequencies and scores are made from it."""
     asked = query_terms(queries, query, query_text)
-    posts = postings(docs, id, text, asked.select("term").distinct())
-    stats = corpus_stats(docs, id, text)
-    scored = posts.join(term_idf(posts, stats), "term").join(F.broadcast(stats.select("avgdl")))
+    found = staged(indexed(docs, asked.select("term").distinct(), id, text), "bm25")
+    n, avgdl = found.agg(F.count("*"), F.avg("dl")).first()
+    posts = postings(found, id)
     tf = F.col("tf")
-    weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.select("term", id, weight.alias("w")).join(asked, "term").groupBy(query, id).agg(F.sum(F.col("w") * F.col("qtf")).alias("bm25"))
+    weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
+    scored = posts.join(term_idf(posts, n), "term").select("term", id, weight.alias("w"))
+    return scored.join(asked, "term").groupBy(query, id).agg(F.sum(F.col("w") * F.col("qtf")).alias("bm25"))
 
 
 def top(scores: DataFrame, k: int, score: str, id: str = "doc_id", query: str = "query_id", digits: int = 9) -> DataFrame:
@@ -95,49 +111,64 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
 
+def _blocks(rows: DataFrame, id: str, vector: str, size: int) -> DataFrame:
+    """ids, matrix (binary, rows of doubles) of blocks of at most size vectors; rows without a vector drop out."""
+    kind = rows.schema[id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, vectors = b.column(0), b.column(1)
+            for k in range(0, b.num_rows, size):
+                part = vectors.slice(k, size)
+                data = part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([ids.slice(k, size).to_pylist()], pa.list_(ids.type)), pa.array([data])], names=["ids", "matrix"])
+
+    return rows.where(F.col(vector).isNotNull()).select(id, vector).mapInArrow(run, f"ids array<{kind}>, matrix binary")
+
+
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", query: str = "query_id", vector: str = "embedding", block: int = 512) -> DataFrame:
-    """query, id, dense, rank by exact inner product.
+    """query, id, dense, rank by exact inner product; rows without a vector have no hits.
 
-    Queries are taken in blocks, which are collected (block vectors each); against a block, every partition of vectors
-    multiplies matrices and keeps its own k best of each query, so that the shuffle sees k rows per query and batch.
+    Vectors and queries are packed into blocks, and every block of queries meets every block of vectors: queries in
+    few blocks are broadcast, so that vectors are read once and not shuffled. Of each pair of blocks the k best of each
+    query are kept, and the shuffle sees these alone.
     """
-    spark, out = vectors.sparkSession, None
-    rows = [(r[0], list(r[1])) for r in queries.select(query, vector).toLocalIterator()]
     id_type, query_type = vectors.schema[id].dataType.simpleString(), queries.schema[query].dataType.simpleString()
-    schema = f"{query} {query_type}, {id} {id_type}, dense double"
-    for start in range(0, len(rows), block):
-        names = [r[0] for r in rows[start : start + block]]
-        matrix = np.array([r[1] for r in rows[start : start + block]], dtype=np.float64)
-
-        def run(batches: Iterator[pd.DataFrame], names=names, matrix=matrix) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                score = matrix @ np.stack(pdf[vector].to_numpy()).astype(np.float64).T
-                ids = pdf[id].to_numpy()
+    asked = staged(_blocks(queries, query, vector, block).select(F.col("ids").alias("asks"), F.col("matrix").alias("asked")), "asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                ids, asks = np.array(row["ids"]), row["asks"]
+                score = np.frombuffer(row["asked"]).reshape(len(asks), -1) @ np.frombuffer(row["matrix"]).reshape(len(ids), -1).T
                 best = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 9)), axis=1)[:, :k]
-                yield pd.DataFrame({query: np.repeat(names, best.shape[1]), id: ids[best].ravel(), "dense": np.take_along_axis(score, best, 1).ravel()})
+                of = [asks[n] for n in np.repeat(np.arange(len(asks)), best.shape[1])]
+                columns = [pa.array(of), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(score, best, 1).ravel())]
+                yield pa.RecordBatch.from_arrays(columns, names=[query, id, "dense"])
 
-        part = vectors.select(id, vector).mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return top(out if out is not None else spark.createDataFrame([], schema), k, "dense", id, query)
+    pairs = _blocks(vectors, id, vector, 2048).crossJoin(sized(asked, FEW_BLOCKS))
+    return top(pairs.mapInArrow(run, f"{query} {query_type}, {id} {id_type}, dense double"), k, "dense", id, query)
 
 
 def blend(dense: DataFrame, lexical: DataFrame, docs: DataFrame, k: int, preset: Preset = LIBRARY, id: str = "doc_id", query: str = "query_id", total: int | None = None) -> DataFrame:
     """query, id, score, rank of the k best of both rankings.
 
     dense has query, id, dense; lexical has query, id, bm25; docs has id and, if weights ask for them, source and
-    chunk_kind. Each side gives its max(k, k * multiplier) best; a side is divided by its maximum if that is positive, the
-    lexical one by its maximum over the corpus; a candidate outside the dense list has a dense score of 0.
+    chunk_kind. Each side gives its max(k, k * multiplier) best; a side is divided by its maximum, the lexical one by its
+    maximum over the corpus, and counts 0 if that is not positive; a candidate outside the dense list has a dense score
+    of 0. Queries are those that dense has.
     """
     each = max(k, k * preset.multiplier)
     each = each if total is None else min(each, total)
     most = Window.partitionBy(query)
-    scaled = lambda c: F.when(F.max(c).over(most) > 0, F.col(c) / F.max(c).over(most)).otherwise(F.col(c))
+    scaled = lambda c: F.when(F.max(c).over(most) > 0, F.col(c) / F.max(c).over(most)).otherwise(F.lit(0.0))
     d = top(dense, each, "dense", id, query).withColumn("d", scaled("dense")).select(query, id, "d")
-    # The lexical maximum is that of the whole corpus, so it is taken before the cut.
+    # The lexical maximum is that of the whole corpus, so it is taken before the cut. Documents without a common term
+    # have a score of 0 and fill up the candidates, the smallest ids first: of so many one or another is not a hit.
     lex = lexical.withColumn("b", scaled("bm25"))
-    near = top(lex, each, "bm25", id, query).select(query, id)
+    first = [r[0] for r in docs.select(id).distinct().orderBy(id).limit(2 * each).collect()]
+    fill = dense.select(query).distinct().select(query, F.explode(F.lit(first)).alias(id)).join(lex.select(query, id), [query, id], "left_anti")
+    near = top(lex.select(query, id, "bm25").unionByName(fill.withColumn("bm25", F.lit(0.0))), each, "bm25", id, query).select(query, id)
     both = d.select(query, id).unionByName(near).distinct()
     joined = both.join(d, [query, id], "left").join(lex.select(query, id, "b"), [query, id], "left").join(docs, id)
     score = preset.alpha * F.coalesce("d", F.lit(0.0)) + (1 - preset.alpha) * F.coalesce("b", F.lit(0.0))
@@ -150,6 +181,23 @@ def blend(dense: DataFrame, lexical: DataFrame, docs: DataFrame, k: int, preset:
     return top(joined.withColumn("score", score), k, "score", id, query)
 
 
+def chunk_details(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """The chunks that ids (chunk_id) ask for: source, page (0 if null), page_end (page if null), section, chunk_kind and
+    text; a chunk that is not there has found = false. Chunks sorted by id are skipped by row group."""
+    met = ids.select("chunk_id").distinct().join(chunks.withColumn("found", F.lit(True)), "chunk_id", "left")
+    page = F.coalesce("page", F.lit(0))
+    return met.select(
+        "chunk_id", F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("source", F.lit("")).alias("source"), page.alias("page"), F.coalesce("page_end", page).alias("page_end"), "section", "chunk_kind",
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+
+
+def query_text(query: Column, must: Column, should: Column) -> Column:
+    """The text that is searched for: the query, then its must and should terms, joined by spaces; blanks drop out."""
+    parts = F.concat(F.array(query), must, should)
+    return F.array_join(F.filter(F.transform(parts, lambda p: T.strip(F.coalesce(p, F.lit("")))), lambda p: p != ""), " ")
+
+
 def must_exclude(hits: DataFrame, must: list[str], exclude: list[str], section: str = "section", text: str = "text") -> DataFrame:
     """Hits that hold all of must and none of exclude. Applied after the cut; nothing is refilled."""
     return hits.where(T.allowed(F.col(section), F.col(text), must, exclude)) if must or exclude else hits

@@ -27,8 +27,7 @@ def bm25_stats(spark, sf_dir):
 def bm25_postings(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     asked = R.query_terms(_asks(spark, sf_dir)).select("term").distinct()
-    posts = R.postings(docs, only=asked)
-    return R.term_idf(posts, R.corpus_stats(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.term_idf(R.postings(R.indexed(docs, asked)), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark, sf_dir):
@@ -81,14 +80,15 @@ def _dot_sql(a: str, b: str) -> str:
 
 
 def _sides(spark, sf_dir):
-    """Documents with the vector of their id; benchmark items ask with the vector of theirs."""
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    docs = _docs(spark, sf_dir).join(v, "doc_id")
+    """Vectors are dealt out to documents and to benchmark items by their ids."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = F.lit(v.count())
+    docs = _docs(spark, sf_dir).withColumn("vec_id", F.col("doc_id") % n).join(v, "vec_id").drop("vec_id")
     kind = F.when(F.col("doc_id") % 3 == 0, "safety").when(F.col("doc_id") % 3 == 1, "definition").otherwise("other")
     source = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Synthetic "), "source")).otherwise(F.col("source"))
     docs = docs.withColumn("chunk_kind", kind).withColumn("source", source)
-    asks = _asks(spark, sf_dir).withColumn("q", F.regexp_extract(F.col("query_id").cast("string"), r"\d+", 0).cast("long"))
-    asked = asks.join(v.withColumnRenamed("doc_id", "q"), "q").select("query_id", "embedding")
+    asks = _asks(spark, sf_dir)
+    asked = asks.withColumn("vec_id", F.col("query_id") % n).join(v, "vec_id").select("query_id", "embedding")
     dense = R.dense_top(docs, asked, 50, "doc_id")
     return docs, dense, R.bm25(docs, asks.select("query_id", "query_text"))
 
@@ -113,15 +113,16 @@ def hybrid_kind_filter(spark, sf_dir):
 
 def _hybrid_sql(weight: str = "1.0", where: str = "true") -> str:
     return f"""
-WITH v AS (SELECT vec_id AS doc_id, embedding FROM embeddings),
-documents2 AS (SELECT d.doc_id, d.text, d.source, v.embedding FROM documents d JOIN v USING (doc_id)),
-{_bm25_sql(_BATCH).replace('FROM documents)', 'FROM documents2)')},
-qa AS (SELECT query_id, embedding AS q FROM asks JOIN v ON v.doc_id = regexp_extract(query_id::VARCHAR, '\\d+')::BIGINT),
+WITH v AS (SELECT vec_id, embedding, count(*) OVER () AS n FROM embeddings),
+documents2 AS (SELECT d.doc_id, v.embedding FROM documents d JOIN v ON vec_id = d.doc_id % n),
+{_bm25_sql(_BATCH)},
+qa AS (SELECT query_id, embedding AS q FROM asks JOIN v ON vec_id = query_id % n),
 dn AS (SELECT query_id, doc_id, {_dot_sql('embedding', 'q')} AS dense FROM documents2, qa),
 dt AS (SELECT * FROM (SELECT *, {_TOP.format('dense', 'doc_id')} FROM dn) WHERE rank <= 50),
-ds AS (SELECT query_id, doc_id, CASE WHEN max(dense) OVER w > 0 THEN dense / max(dense) OVER w ELSE dense END AS d FROM dt WINDOW w AS (PARTITION BY query_id)),
-bs AS (SELECT query_id, doc_id, bm25, CASE WHEN max(bm25) OVER w > 0 THEN bm25 / max(bm25) OVER w ELSE bm25 END AS b FROM sc WINDOW w AS (PARTITION BY query_id)),
-bt AS (SELECT query_id, doc_id FROM (SELECT *, {_TOP.format('bm25', 'doc_id')} FROM bs) WHERE rank <= 50),
+ds AS (SELECT query_id, doc_id, CASE WHEN max(dense) OVER w > 0 THEN dense / max(dense) OVER w ELSE 0 END AS d FROM dt WINDOW w AS (PARTITION BY query_id)),
+bs AS (SELECT query_id, doc_id, bm25, CASE WHEN max(bm25) OVER w > 0 THEN bm25 / max(bm25) OVER w ELSE 0 END AS b FROM sc WINDOW w AS (PARTITION BY query_id)),
+al AS (SELECT qa.query_id, d.doc_id, coalesce(bs.bm25, 0) AS bm25 FROM qa CROSS JOIN documents d LEFT JOIN bs ON bs.query_id = qa.query_id AND bs.doc_id = d.doc_id),
+bt AS (SELECT query_id, doc_id FROM (SELECT *, {_TOP.format('bm25', 'doc_id')} FROM al) WHERE rank <= 50),
 c AS (SELECT query_id, doc_id FROM ds UNION SELECT query_id, doc_id FROM bt),
 k AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'safety' WHEN 1 THEN 'definition' ELSE 'other' END AS kind FROM c),
 s AS (SELECT query_id, doc_id, (0.7 * coalesce(d, 0) + 0.3 * coalesce(b, 0)) * {weight} AS score FROM k LEFT JOIN ds USING (query_id, doc_id) LEFT JOIN bs USING (query_id, doc_id) WHERE {where}),
@@ -145,14 +146,21 @@ def query_text_assembly(spark, sf_dir):
     """query, must and should terms joined by spaces."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     terms = T.simple_terms(F.col("text"), 6)
-    return c.select("conv_id", "turn", F.concat_ws(" ", F.substring("text", 1, 50), F.slice(terms, 1, 3), F.slice(terms, 4, 3)).alias("query"))
+    return c.select("conv_id", "turn", R.query_text(F.col("text"), F.slice(terms, 1, 3), F.slice(terms, 4, 3)).alias("query"))
+
+
+def chunk_lookup(spark, sf_dir):
+    """Documents as chunks, asked for by the ids of benchmark items, of which one is unknown."""
+    docs, asks = _docs(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.concat(F.lit("c"), F.col("item_id") * 7).alias("chunk_id"))
+    chunks = docs.select(F.concat(F.lit("c"), "doc_id").alias("chunk_id"), "source", F.col("doc_id").alias("page"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") + 1).alias("page_end"), F.lit(None).cast("string").alias("section"), F.lit("other").alias("chunk_kind"), "text")
+    return R.chunk_details(chunks, asks.unionByName(spark.createDataFrame([("none",)], "chunk_id string"))).select("chunk_id", "found", "source", "page", "page_end", "chunk_kind", F.md5("text").alias("text_md5"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         bm25_stats, bm25_postings, bm25_topk, bm25_batch, dense_topk, dense_batch, dense_expression, hybrid_topk, hybrid_weighted, hybrid_kind_filter, must_exclude, prompt_text,
-        query_text_assembly,
+        query_text_assembly, chunk_lookup,
     )
 }
 
@@ -163,7 +171,10 @@ ORACLES = {
     "bm25_topk": f"WITH {_bm25_sql(f'SELECT 0 AS query_id, {S.quoted(_ONE)} AS query_text')}, r AS (SELECT *, {_TOP.format('bm25', 'doc_id')} FROM sc) SELECT doc_id, rank, round(bm25, 5) AS bm25 FROM r WHERE rank <= 20",
     "bm25_batch": f"WITH {_bm25_sql(_BATCH)}, r AS (SELECT *, {_TOP.format('bm25', 'doc_id')} FROM sc) SELECT query_id, doc_id, rank, round(bm25, 5) AS bm25 FROM r WHERE rank <= 10",
     "query_text_assembly": f"""WITH src AS (SELECT conv_id * 1000 + turn AS id, '' AS kind, text FROM conversations WHERE role = 'user'), {S.term_tables('src')}
-SELECT id // 1000 AS conv_id, id % 1000 AS turn, substr(text, 1, 50) || CASE WHEN len(terms) > 0 THEN ' ' || array_to_string(terms[1:6], ' ') ELSE '' END AS query FROM src JOIN tt USING (id)""",
+SELECT id // 1000 AS conv_id, id % 1000 AS turn, {S.strip('text')} || CASE WHEN len(terms) > 0 THEN ' ' || array_to_string(terms[1:6], ' ') ELSE '' END AS query FROM src JOIN tt USING (id)""",
+    "chunk_lookup": """WITH a AS (SELECT DISTINCT 'c' || item_id * 7 AS chunk_id FROM benchmark UNION SELECT 'none')
+SELECT chunk_id, doc_id IS NOT NULL AS found, coalesce(source, '') AS source, coalesce(doc_id, 0) AS page, CASE WHEN doc_id % 2 = 0 THEN doc_id + 1 ELSE coalesce(doc_id, 0) END AS page_end,
+CASE WHEN doc_id IS NOT NULL THEN 'other' END AS chunk_kind, md5(coalesce(text, '')) AS text_md5 FROM a LEFT JOIN documents ON chunk_id = 'c' || doc_id""",
     "dense_topk": f"""WITH s AS (SELECT 7 AS query_id, e.vec_id, {_dot_sql('e.embedding', 'q.embedding')} AS dense FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q),
 r AS (SELECT *, {_TOP.format('dense', 'vec_id')} FROM s) SELECT vec_id, rank, round(dense, 5) AS dense FROM r WHERE rank <= 20""",
     "dense_batch": f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {_dot_sql('e.embedding', 'q.embedding')} AS dense FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) q),
