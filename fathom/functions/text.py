@@ -52,12 +52,10 @@ KIND_RULES = (
     ("section", "training_admin", rf"\b({_TRAINING})\b"),
     ("lower", "training_admin", rf"\b({_TRAINING})\b"),
 )
-STOP_WORDS = "the a an and or of to in on with for is are was were".split()
+STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "on", "with", "for", "is", "are", "was", "were")
 PRIORITY_PHRASES = ("leading edge", "trailing edge", "yaw misalignment", "pitch angle", "power deficit", "power residual", "blade crack")
 
 
-
-
 def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
@@ -107,6 +105,15 @@ def is_noise(line: Column) -> Column:
     return any_of([s.rlike(p) for p in NOISE]) | (F.lower(s).contains("www.") & s.rlike(NOISE_WITH_WWW))
 
 
+def without_noise(text: Column) -> Column:
+    """A text whose noise lines are empty, by one expression over all of it; the tests of is_noise by line."""
+    space = r"(?U:[^\S\n]*)"
+    tests = [p.removeprefix("(?i)").removeprefix("^").removesuffix("$").replace(r"\s", r"[^\S\n]") for p in NOISE]
+    www = NOISE_WITH_WWW.replace(r"\s", r"[^\S\n]")
+    line = rf"{space}(?:{'|'.join(tests)}){space}|(?=[^\n]*www\.)(?=[^\n]*{www})[^\n]*"
+    return F.regexp_replace(text, f"(?dmi)^(?:{line})$", "")
+
+
 def chunk_kind(section: Column, text: Column) -> Column:
     """The kind that the first fitting rule names, else other."""
     title, raw = F.lower(strip(F.coalesce(section, F.lit("")))), F.coalesce(text, F.lit(""))
@@ -148,7 +155,7 @@ def unique(items: Column, most: int | None = None) -> Column:
 def simple_terms(text: Column, most: int = 12) -> Column:
     """Phrases of two neighbouring words, those with a priority phrase first, then single words; without stop words."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z]+(?:-[a-z]+)?|\d+(?:\.\d+)?|°"), 0)
-    words = F.filter(found, lambda t: ~t.isin(STOP_WORDS) & (F.length(t) > 2))
+    words = F.filter(found, lambda t: ~t.isin(list(STOP_WORDS)) & (F.length(t) > 2))
     after = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
     before = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
     alpha = lambda t: t.rlike("^[a-z]+$")
@@ -177,9 +184,3 @@ def allowed(section: Column, text: Column, must: list[str], exclude: list[str])
     body = F.lower(F.concat(F.coalesce(section, F.lit("")), F.lit(" "), F.coalesce(text, F.lit(""))))
     tests = [~body.contains(t.lower()) for t in exclude if t] + [body.contains(t.lower()) for t in must if t]
     return reduce(lambda a, b: a & b, tests, F.lit(True))
-
-
-def name_variants(name: str) -> list[str]:
-    """The forms in which a manual may be named in a list of manuals."""
-    base = name.rsplit(".", 1)[0] if name.lower().endswith((".pdf", ".txt")) else name
-    return ["*", name, base, f"{base}.pdf", f"{base}.txt"]

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import text as T
+from fathom.staging import staged
 
 PAGE, OUTLINE, SOURCE = r"^=== PAGE (\d+) ===$", r"^=== OUTLINE_SECTION: (.*?) ===$", "SOURCE_PDF:"
 
@@ -65,20 +65,21 @@ def filter_pages(pages: DataFrame, least_tokens: int = 20) -> DataFrame:
     return pages if least_tokens <= 0 else pages.where(T.token_count(F.col("text")) >= least_tokens)
 
 
-def common_lines(pages: DataFrame, manual: str = "source") -> DataFrame:
-    """manual, line, pages: lines of at most 80 characters on at least 80 % (and two) of a manual's pages, of which
-    there must be five. Each line counts once a page, before the shuffle."""
-    count = pages.groupBy(manual).agg(F.count("*").alias("total")).where("total >= 5")
+def common_lines(pages: DataFrame, manual: str = "source", share: float = 0.8, least_pages: int = 5) -> DataFrame:
+    """manual, line, pages: lines of at most 80 characters on at least share (and two) of a manual's pages, of which
+    there must be least_pages. Each line counts once a page, before the shuffle."""
+    count = pages.groupBy(manual).agg(F.count("*").alias("total")).where(F.col("total") >= least_pages)
     lines = pages.select(manual, F.explode(F.array_distinct(F.transform(F.split("text", "\n"), T.strip))).alias("line"))
     lines = lines.where((F.col("line") != "") & (F.length("line") <= 80)).groupBy(manual, "line").agg(F.count("*").alias("pages"))
-    least = F.greatest(F.lit(2), F.ceil(F.col("total") * 0.8))
+    least = F.greatest(F.lit(2), F.ceil(F.col("total") * share))
     return lines.join(count, manual).where(F.col("pages") >= least).drop("total")
 
 
 def clean_pages(pages: DataFrame, manual: str = "source") -> DataFrame:
-    """Noise lines go, then lines that most pages of a manual share; pages that get empty go. Other columns stay."""
-    kept = F.filter(F.split("text", "\n"), lambda x: ~T.is_noise(x))
-    cleaned = pages.withColumn("text", T.normalize(F.array_join(kept, "\n"))).where("text <> ''")
+    """Noise lines go, then lines that most pages of a manual share; pages that get empty go. Other columns stay.
+
+    Pages without noise are staged: their lines are counted, and then they are joined with the counts."""
+    cleaned = staged(pages.withColumn("text", T.normalize(T.without_noise(F.col("text")))).where("text <> ''"), "cleaned")
     shared = common_lines(cleaned, manual).groupBy(manual).agg(F.collect_set("line").alias("_common"))
     joined = cleaned.join(shared, manual, "left")
     rest = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("_common"), T.strip(x)))
@@ -130,9 +131,10 @@ def page_outline(pages: DataFrame, manual: str = "source") -> DataFrame:
 def merge_blocks(blocks: DataFrame, manual: str = "source", least_tokens: int = 60, least_alpha: float = 0.6) -> DataFrame:
     """Blocks are joined to the next until they have enough tokens and letters; what is left at the end stays as it is.
 
-    Tokens and letters add up under joining with spaces, so the fold over a manual's blocks carries three counts, and
-    texts are joined after it.
+    Tokens and letters add up under joining with spaces, so the fold over a manual's blocks carries three counts and
+    notes the last block of each group; texts are joined after it, by the number of ends before a block.
     """
+    blocks = staged(blocks, "blocks")
     size = F.struct(
         "block_no",
         T.token_count(F.col("text")).alias("n"),
@@ -140,22 +142,23 @@ def merge_blocks(blocks: DataFrame, manual: str = "source", least_tokens: int =
         F.regexp_count("text", F.lit("[A-Za-z0-9]")).alias("alnum"),
     )
     per_manual = blocks.groupBy(manual).agg(F.array_sort(F.collect_list(size)).alias("sizes"))
-    start = F.struct(F.array().cast("array<int>").alias("groups"), F.lit(0).alias("group"), F.lit(0).alias("n"), F.lit(0).alias("letters"), F.lit(0).alias("alnum"))
+    number = blocks.schema["block_no"].dataType.simpleString()
+    start = F.struct(F.array().cast(f"array<{number}>").alias("ends"), F.lit(0).alias("n"), F.lit(0).alias("letters"), F.lit(0).alias("alnum"))
 
     def step(acc, x):
         n, letters, alnum = acc["n"] + x["n"], acc["letters"] + x["letters"], acc["alnum"] + x["alnum"]
         full = (n >= least_tokens) & (F.coalesce(letters / F.nullif(alnum, F.lit(0)), F.lit(0.0)) >= least_alpha)
         return F.struct(
-            F.concat(acc["groups"], F.array(acc["group"])).alias("groups"),
-            (acc["group"] + full.cast("int")).alias("group"),
+            F.when(full, F.concat(acc["ends"], F.array(x["block_no"]))).otherwise(acc["ends"]).alias("ends"),
             F.when(full, 0).otherwise(n).alias("n"),
             F.when(full, 0).otherwise(letters).alias("letters"),
             F.when(full, 0).otherwise(alnum).alias("alnum"),
         )
 
-    folded = per_manual.withColumn("fold", F.aggregate("sizes", start, step))
-    places = folded.select(manual, F.explode(F.arrays_zip(F.col("sizes.block_no").alias("block_no"), F.col("fold.groups").alias("group"))).alias("p"))
-    placed = blocks.join(places.select(manual, "p.block_no", "p.group"), [manual, "block_no"])
+    ends = per_manual.select(manual, F.explode(F.aggregate("sizes", start, step)["ends"]).alias("block_no"))
+    marked = blocks.join(ends.withColumn("_end", F.lit(1)), [manual, "block_no"], "left")
+    before = Window.partitionBy(manual).orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
+    placed = marked.withColumn("group", F.coalesce(F.sum("_end").over(before), F.lit(0)).cast("int")).drop("_end")
     at = lambda c: F.struct("block_no", c)
     merged = placed.groupBy(manual, "group").agg(
         F.min(at("page_index"))["page_index"].alias("page_index"),
@@ -189,22 +192,17 @@ def chunk_blocks(blocks: DataFrame, manual: str = "source", size: int = 450, ove
     )
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def build_chunks(manuals: DataFrame, least_page_tokens: int = 20, skip: tuple[list[str], int] = ([], 0), use_outline: bool = True, keep: Callable[[DataFrame], DataFrame] = _kept, **chunking) -> DataFrame:
+def build_chunks(manuals: DataFrame, least_page_tokens: int = 20, skip: tuple[list[str], int] = ([], 0), use_outline: bool = True, keep: Callable[[DataFrame, str], DataFrame] = staged, **chunking) -> DataFrame:
     """Exported manuals (source, text) to chunks: parse, clean (paged manuals are cleaned on loading and again), skip,
     outline or headings, merge, chunk.
 
-    Cleaning reads its input several times, so each step's pages are kept: persisted, or by what keep does (a job over
-    very many manuals may write them to a table instead).
+    Each step's pages are read several times, so keep stages them (table and name).
     """
-    pages = keep(parse_pages(manuals))
+    pages = keep(parse_pages(manuals), "pages")
     paged = clean_pages(pages.where("page_index is not null")).unionByName(pages.where("page_index is null"))
-    pages = keep(clean_pages(keep(skip_leading(paged, *skip))))
+    pages = keep(clean_pages(skip_leading(paged, *skip)), "clean_pages")
     entries = page_outline(pages).where(F.lit(use_outline))
     body = filter_pages(pages, least_page_tokens)
     outlined = outline_blocks(body, entries)
     plain = split_blocks(body.join(outlined.select("source").distinct(), "source", "left_anti"))
-    return chunk_blocks(merge_blocks(keep(outlined.unionByName(plain))), **chunking)
+    return chunk_blocks(merge_blocks(outlined.unionByName(plain)), **chunking)

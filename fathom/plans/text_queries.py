@@ -72,11 +72,8 @@ SELECT o_orderkey, form, {S.is_heading('line')} AS heading, {S.is_noise('line')}
 
 
 def common_lines(spark, sf_dir):
-    """Lines that many pages share; at 80 % of the pages documents share none, so shares are reported from 1 %."""
-    pages = _pages(spark, sf_dir)
-    lines = pages.select("source", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), T.strip))).alias("line"))
-    lines = lines.where((F.col("line") != "") & (F.length("line") <= 80)).groupBy("source", "line").agg(F.count("*").alias("pages"))
-    return lines.where("pages >= 2")
+    """Lines that pages of a source share; at 80 % of the pages documents share none, so any two pages count here."""
+    return ingest.common_lines(_pages(spark, sf_dir), share=0.0, least_pages=1)
 
 
 def clean_pages(spark, sf_dir):
