@@ -37,7 +37,7 @@ class Sensors:
     )
 
 
-# Classes in order, status codes and texts, tags in order.
+# Classes in order, status codes and texts, tags in order, and the weights in class_scores().
 CLASSES = ("VG;MT", "LE;ER", "LR;DA", "LE;CR", "SF;PO")
 NORMAL_STATUS = (0, 2)
 STATUS_LEGEND = {
@@ -225,11 +225,11 @@ def tags(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("tags", F.array_compact(named))
 
 
-def time_slice(rows: DataFrame, hours: int, s: Sensors = Sensors()) -> DataFrame:
+def time_slice(rows: DataFrame, hours: int | Column, s: Sensors = Sensors()) -> DataFrame:
     """Readings of each dataset in the hours up to its last row, both ends included; readings without a time drop out."""
     last = rows.groupBy(s.dataset).agg(F.max_by(s.time, s.pos).alias("_end"))
     joined = rows.join(last, s.dataset)
-    return joined.where(F.col(s.time).between(F.col("_end") - F.expr(f"interval {hours} hours"), F.col("_end"))).select(rows.columns)
+    return joined.where(F.col(s.time).between(F.col("_end") - F.make_interval(hours=F.lit(hours)), F.col("_end"))).select(rows.columns)
 
 
 def select_windows(scored: DataFrame, per_class: int = 2, s: Sensors = Sensors()) -> DataFrame:
@@ -256,12 +256,20 @@ def select_windows(scored: DataFrame, per_class: int = 2, s: Sensors = Sensors()
     return scored.sparkSession.createDataFrame(picks, f"class_no int, nth int, {s.dataset} {kinds[s.dataset]}, end_id {kinds['end_id']}")
 
 
-def select_calm(windows: DataFrame, count: int = 1, s: Sensors = Sensors()) -> DataFrame:
-    """nth, dataset, end_id of the calmest windows (window_score ascending); fewer windows are gone through in turn."""
+def select_calm(windows: DataFrame, count: int = 1, s: Sensors = Sensors(), taken: DataFrame | None = None) -> DataFrame:
+    """nth, dataset, end_id of the calmest windows (window_score ascending), those that classes have taken (dataset,
+    end_id) last; if there are fewer than count, all are gone through again in the order of their scores."""
     keys = [s.dataset, "end_id"]
-    best = windows.select(*keys, F.round("window_score", 9).alias("score")).distinct().orderBy("score", *keys).limit(count)
-    ranked = best.withColumn("_n", F.row_number().over(Window.orderBy("score", *keys))).withColumn("_size", F.count("*").over(Window.partitionBy()))
-    return ranked.select(F.explode(F.sequence(F.col("_n"), F.lit(count), F.col("_size").cast("int"))).alias("nth"), *keys)
+    rows = windows.select(*keys, F.round("window_score", 9).alias("score")).distinct()
+    if taken is None:
+        rows = rows.withColumn("_taken", F.lit(0))
+    else:
+        rows = rows.join(taken.select(*keys).distinct().withColumn("_taken", F.lit(1)), keys, "left").fillna(0, ["_taken"])
+    best = rows.orderBy("_taken", "score", *keys).limit(count)  # count rows at most, so the windows are small
+    ranked = best.withColumn("_n", F.row_number().over(Window.orderBy("_taken", "score", *keys))).withColumn("_calm", F.row_number().over(Window.orderBy("score", *keys)))
+    size = F.count("*").over(Window.partitionBy()).cast("int")
+    again = F.filter(F.sequence(F.col("_calm"), F.col("_size") + count, F.col("_size")), lambda k: (k > F.col("_size")) & (k <= count))
+    return ranked.withColumn("_size", size).select(F.explode(F.concat(F.array("_n"), again)).alias("nth"), *keys)
 
 
 def window_ids(picked: DataFrame, s: Sensors = Sensors()) -> DataFrame:
@@ -271,14 +279,18 @@ def window_ids(picked: DataFrame, s: Sensors = Sensors()) -> DataFrame:
     return picked.withColumn("_again", again).withColumn("window_id", F.when(F.col("_again") > 0, F.concat(base, F.lit("-"), F.col("_again").cast("string"))).otherwise(base)).drop("_again")
 
 
-def cards(metrics: DataFrame, window_hours: int = 6, baseline_hours: int = 168, s: Sensors = Sensors()) -> DataFrame:
-    """window_id and card, the nested record of each window as JSON. metrics must have tags."""
+def cards(metrics: DataFrame, window_hours: int | Column = 6, baseline_hours: int | Column = 168, s: Sensors = Sensors(), window_id: Column | None = None, source: Column | None = None) -> DataFrame:
+    """window_id and card, the nested record of each window as JSON. metrics must have tags. window_id and source are made
+    of the dataset and the window's end unless they are given."""
     time = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    window_id = F.format_string("WF-A-%s-%s", F.col(s.dataset).cast("string"), F.col("end_id").cast("string"))
+    if window_id is None:
+        window_id = F.format_string("WF-A-%s-%s", F.col(s.dataset).cast("string"), F.col("end_id").cast("string"))
+    if source is None:
+        source = F.struct(F.col(s.dataset).alias("dataset_id"), time("end_time").alias("window_end"))
     legend = F.create_map(*(F.lit(x) for pair in STATUS_LEGEND.items() for x in pair))
     card = F.struct(
         window_id.alias("window_id"),
-        F.struct(F.col(s.dataset).alias("dataset_id"), time("end_time").alias("window_end")).alias("source"),
+        source.alias("source"),
         F.struct(
             time("end_time").alias("end_time"), time("start_time").alias("start_time"), F.col("row_count"), F.lit(baseline_hours).alias("baseline_hours"), F.lit(window_hours).alias("window_hours")
         ).alias("window"),

@@ -16,22 +16,22 @@ _MEASURES = ("recall", "precision", "hit", "mrr", "ndcg", "weighted_recall")
 
 
 def _neighbours(spark, sf_dir):
-    """Neighbours of every tenth vector; gold is the first twelve vectors of its label."""
+    """Neighbours of the vectors whose id is divisible by 20; gold is all vectors of its label."""
     v = table(spark, sf_dir, "embeddings")
-    asks = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    asks = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     hits = R.dense_top(v, asks, 10).select("query_id", F.col("vec_id").alias("item"), "rank")
     kind = F.when(F.col("vec_id") % 3 == 0, "procedure").when(F.col("vec_id") % 3 == 1, "changelog").otherwise("other")
     nth = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    few = v.withColumn("n", nth).where("n <= 12").select("label", F.col("vec_id").alias("item"), kind.alias("kind"), F.col("n").alias("gold_no"))
-    gold = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "label").join(few, "label")
+    few = v.withColumn("n", nth).select("label", F.col("vec_id").alias("item"), kind.alias("kind"), F.col("n").alias("gold_no"))
+    gold = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(few, "label")
     return hits, gold
 
 
 _NEAR = """
 hits AS (SELECT query_id, item, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS item, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS rank
-  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 10 = 0) q) WHERE rank <= 10),
-few AS (SELECT * FROM (SELECT label, vec_id AS item, CASE vec_id % 3 WHEN 0 THEN 'procedure' WHEN 1 THEN 'changelog' ELSE 'other' END AS kind, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS gold_no FROM embeddings) WHERE gold_no <= 12),
-gold AS (SELECT q.vec_id AS query_id, few.item, kind, gold_no FROM embeddings q JOIN few USING (label) WHERE q.vec_id % 10 = 0)"""
+  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rank <= 10),
+few AS (SELECT * FROM (SELECT label, vec_id AS item, CASE vec_id % 3 WHEN 0 THEN 'procedure' WHEN 1 THEN 'changelog' ELSE 'other' END AS kind, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS gold_no FROM embeddings)),
+gold AS (SELECT q.vec_id AS query_id, few.item, kind, gold_no FROM embeddings q JOIN few USING (label) WHERE q.vec_id % 20 = 0)"""
 
 
 def _metrics_sql(hits: str, gold: str, weight: str) -> str:
@@ -70,6 +70,13 @@ def ir_metrics_proximity(spark, sf_dir):
     return _shown(E.ir_metrics(*E.page_keys(hits.withColumns(placed), gold.withColumns(placed))))
 
 
+def ir_metrics_section(spark, sf_dir):
+    """Vectors stand for chunks of a source and a section."""
+    place = [F.concat(F.lit("m"), F.floor(F.col("item") / 25).cast("string")).alias("source"), F.concat(F.lit("S"), (F.col("item") % 5).cast("string")).alias("section")]
+    hits, gold = _neighbours(spark, sf_dir)
+    return _shown(E.ir_metrics(E.section_keys(hits.select("query_id", "rank", *place)), E.section_keys(gold.select("query_id", *place))))
+
+
 def simple_metrics(spark, sf_dir):
     hits, gold = _neighbours(spark, sf_dir)
     m = E.simple_metrics(hits, gold, 5)
@@ -234,7 +241,7 @@ def stratified_sample(spark, sf_dir):
 def subset_export(spark, sf_dir):
     """Wanted names are asked for in the order of orders; some are unknown, some come again."""
     images = _images(spark, sf_dir).select("image_id", F.concat(F.lit("a/IMG"), F.col("image_id").cast("string"), F.lit(".jpg")).alias("file_name"))
-    wanted = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 1").select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("img"), F.col("o_custkey").cast("string"), F.lit(".JPG")).alias("file_name"))
+    wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("img"), F.col("o_custkey").cast("string"), F.lit(".JPG")).alias("file_name"))
     return G.subset(images, _boxes(spark, sf_dir), wanted)
 
 
@@ -263,7 +270,7 @@ def query_pack(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        ir_metrics_strict, ir_metrics_group, ir_metrics_proximity, simple_metrics, mean_metrics, abstain_modes, label_counts, multilabel_metrics, confusion_sets, confusion_labels, confusion_matrix, tile_grid,
+        ir_metrics_strict, ir_metrics_section, ir_metrics_group, ir_metrics_proximity, simple_metrics, mean_metrics, abstain_modes, label_counts, multilabel_metrics, confusion_sets, confusion_labels, confusion_matrix, tile_grid,
         tile_positions, tile_names, bbox_clip, bbox_renumber, bbox_shift, bbox_clamp, boxes_by_original, category_counts, primary_category, largest_remainder, stratified_sample, subset_export, category_images,
         path_resolution, query_pack,
     )
@@ -288,6 +295,8 @@ SELECT case_id, array_to_string(list_filter(['CODES: ' || array_to_string(codes,
   {' + '.join(f'(id % {k + 2} = 0)::BIGINT' for k in range(len(Q.METRICS)))} AS n_metrics FROM a"""
 ORACLES = {
     "query_pack": _PACK,
+    "ir_metrics_section": f"""WITH {_NEAR}, h3 AS (SELECT query_id, 'm' || item // 25 || '::S' || item % 5 AS item, rank FROM hits), g3 AS (SELECT query_id, 'm' || item // 25 || '::S' || item % 5 AS item FROM gold),
+{_metrics_sql('h3', 'g3', '1.0')}""",
     "ir_metrics_strict": f"WITH {_NEAR}, {_metrics_sql('hits', 'gold', _W)}",
     "ir_metrics_group": f"WITH {_NEAR}, h2 AS (SELECT query_id, item // 25 AS item, rank FROM hits), g2 AS (SELECT query_id, item // 25 AS item FROM gold), {_metrics_sql('h2', 'g2', '1.0')}",
     "ir_metrics_proximity": f"""WITH {_NEAR},
@@ -332,7 +341,7 @@ SELECT image_id, category_id FROM c QUALIFY row_number() OVER (PARTITION BY imag
     "largest_remainder": f"WITH {_ALLOC} SELECT * FROM a",
     "stratified_sample": f"""WITH {_ALLOC}, p AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY md5('7-' || p_partkey), p_partkey) AS k FROM part)
 SELECT p_partkey, p_brand FROM p JOIN a USING (p_brand) WHERE k <= taken""",
-    "subset_export": f"""WITH {_SHAPES}, w AS (SELECT o_orderkey AS pos, 'img' || o_custkey || '.JPG' AS file_name, o_custkey AS image, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders WHERE o_orderkey % 50 = 1),
+    "subset_export": f"""WITH {_SHAPES}, w AS (SELECT o_orderkey AS pos, 'img' || o_custkey || '.JPG' AS file_name, o_custkey AS image, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
 b AS (SELECT image_id, count(*) AS n FROM boxes GROUP BY 1)
 SELECT pos, file_name, CASE WHEN images.image_id IS NULL THEN 'missing' WHEN k > 1 THEN 'duplicate' ELSE 'found' END AS status, images.image_id, coalesce(b.n, 0) AS n_boxes
 FROM w LEFT JOIN images ON image = images.image_id LEFT JOIN b ON b.image_id = images.image_id""",

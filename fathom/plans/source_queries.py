@@ -12,7 +12,7 @@ from fathom.sources.tables import table
 
 def embedded_csv(spark, sf_dir):
     """Line items of an order as CSV text inside one row."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+    li = table(spark, sf_dir, "lineitem")
     line = F.concat_ws(";", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_returnflag"))
     body = F.array_join(F.col("l.line"), "\n")
     rows = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))).alias("l"))
@@ -43,6 +43,6 @@ QUERIES = {f.__name__: f for f in (embedded_csv, paged_text, built_chunks)}
 
 
 ORACLES = {
-    "embedded_csv": "SELECT l_orderkey::VARCHAR AS window_id, l_linenumber::VARCHAR AS n, l_returnflag AS flag, NULL::VARCHAR AS absent FROM lineitem WHERE l_orderkey % 10 = 0",
+    "embedded_csv": "SELECT l_orderkey::VARCHAR AS window_id, l_linenumber::VARCHAR AS n, l_returnflag AS flag, NULL::VARCHAR AS absent FROM lineitem",
     "paged_text": f"""SELECT conv_id::VARCHAR AS source, (turn + 1)::INT AS page_index, CASE WHEN role = 'user' THEN 'Question' END AS outline_section, 'a.pdf' AS source_pdf, md5({S.normalize('text')}) AS text_md5 FROM conversations""",
 }

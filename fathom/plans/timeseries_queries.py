@@ -178,6 +178,12 @@ def events_best_window(spark, sf_dir):
     return X.best_window(e, 20).groupBy("dataset_id").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.round(F.max("window_score"), 6).alias("score"))
 
 
+def calm_selection(spark, sf_dir):
+    """The best windows of users as calm ones, of which classes have taken those of every other user; more are wanted than there are."""
+    ends = events_best_window(spark, sf_dir).select("dataset_id", F.col("last_id").alias("end_id"), F.col("score").alias("window_score"))
+    return X.select_calm(ends, 200, taken=ends.where("dataset_id % 2 = 0"))
+
+
 def angle_differences(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     return li.select("l_orderkey", "l_linenumber", X.angle_diff((F.col("l_orderkey") % 720 - 360).cast("double"), (F.col("l_partkey") % 360).cast("double")).alias("angle"))
@@ -201,10 +207,26 @@ QUERIES = {
     f.__name__: f
     for f in (
         power_model, power_residuals, baseline, event_candidates, row_anomaly, rolling_mean, rolling_best_window, calm_window, window_metrics, status_counts, z_scores, class_scores, window_tags,
-        select_by_class, select_calm, cards_json, summary_prompts, time_slice, events_best_window, angle_differences, number_coercion, card_facets,
+        select_by_class, select_calm, cards_json, summary_prompts, time_slice, events_best_window, calm_selection, angle_differences, number_coercion, card_facets,
     )
 }
 
+
+
+_BEST_EVENTS = """WITH e AS (SELECT user_id, event_id, row_number() OVER w AS nth, CASE WHEN row_number() OVER w >= 20 THEN avg(value) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS roll
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(roll, 9) DESC, nth) AS k FROM e WHERE roll IS NOT NULL) WHERE k = 1)
+SELECT e.user_id AS dataset_id, min(e.event_id) AS first_id, max(e.event_id) AS last_id, round(max(b.roll), 6) AS score FROM e JOIN b ON e.user_id = b.user_id AND e.nth BETWEEN b.nth - 19 AND b.nth GROUP BY e.user_id"""
+
+
+def _picks_sql(k: int) -> str:
+    """The windows of class k in the order in which it takes them, those of earlier classes last, and its three picks."""
+    taken = " UNION ALL ".join(f"SELECT dataset_id, end_id FROM p{j}" for j in range(k)) or "SELECT NULL, NULL"
+    return f"""o{k} AS (SELECT dataset_id, end_id, row_number() OVER (ORDER BY t.d IS NOT NULL, n) - 1 AS pos, count(*) OVER () AS size FROM r
+  LEFT JOIN (SELECT DISTINCT d, e FROM ({taken}) AS x(d, e)) t ON t.d = dataset_id AND t.e = end_id WHERE class_no = {k}),
+p{k} AS (SELECT {k} AS class_no, nth, dataset_id, end_id FROM (SELECT unnest([1, 2, 3]) AS nth) JOIN o{k} ON pos = (nth - 1) % size)"""
+
+
 _TAG_SQL = ", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in X.TAGS)
 ORACLES = {
     "power_model": f"WITH {_ROWS} SELECT dataset_id, round(slope, 6) AS slope, round(intercept, 6) AS intercept FROM model",
@@ -226,18 +248,17 @@ k AS (SELECT *, count(*) FILTER (inside) OVER (PARTITION BY dataset_id) AS n FRO
     "select_by_class": f"""WITH {_METRICS},
 w AS (SELECT dataset_id, end_id, unnest([0, 1, 2, 3, 4]) AS class_no, unnest([s1, s2, s3, s4, s5]) AS score FROM cl),
 r AS (SELECT class_no, dataset_id, end_id, row_number() OVER (PARTITION BY class_no ORDER BY round(score, 9) DESC, dataset_id, end_id) AS n FROM w),
-{', '.join(f"""p{k} AS (SELECT {k} AS class_no, row_number() OVER (ORDER BY n) AS nth, dataset_id, end_id FROM r WHERE class_no = {k}
-  {' '.join(f'AND (dataset_id, end_id) NOT IN (SELECT (dataset_id, end_id) FROM p{j})' for j in range(k))} ORDER BY n LIMIT 3)""" for k in range(5))},
-u AS ({' UNION ALL '.join(f'SELECT * FROM p{k}' for k in range(5))})
-SELECT class_no, nth, 'WF-A-' || dataset_id || '-' || end_id AS window_id FROM u""",
+{', '.join(_picks_sql(k) for k in range(5))},
+u AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, end_id ORDER BY class_no, nth) - 1 AS again FROM ({' UNION ALL '.join(f'SELECT * FROM p{k}' for k in range(5))}))
+SELECT class_no, nth, 'WF-A-' || dataset_id || '-' || end_id || CASE WHEN again > 0 THEN '-' || again ELSE '' END AS window_id FROM u""",
     "select_calm": f"WITH {_CALM}, e AS (SELECT dataset_id, max(id) AS end_id, max(score) AS score FROM wi GROUP BY dataset_id) SELECT row_number() OVER (ORDER BY round(score, 9), dataset_id) AS nth, dataset_id, end_id FROM e QUALIFY nth <= 7",
     "cards_json": f"WITH {_METRICS} SELECT 'WF-A-' || dataset_id || '-' || end_id AS window_id, row_count, power_mean, strftime(end_time, '%Y-%m-%d %H:%M:%S') AS end_time FROM me",
     "time_slice": """WITH l AS (SELECT user_id, arg_max(ts, event_id) AS last FROM events GROUP BY user_id)
 SELECT user_id AS dataset_id, event_id AS id FROM events JOIN l USING (user_id) WHERE ts BETWEEN last - INTERVAL 6 HOURS AND last""",
-    "events_best_window": """WITH e AS (SELECT user_id, event_id, row_number() OVER w AS nth, CASE WHEN row_number() OVER w >= 20 THEN avg(value) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS roll
-  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(roll, 9) DESC, nth) AS k FROM e WHERE roll IS NOT NULL) WHERE k = 1)
-SELECT e.user_id AS dataset_id, min(e.event_id) AS first_id, max(e.event_id) AS last_id, round(max(b.roll), 6) AS score FROM e JOIN b ON e.user_id = b.user_id AND e.nth BETWEEN b.nth - 19 AND b.nth GROUP BY e.user_id""",
+    "events_best_window": _BEST_EVENTS,
+    "calm_selection": f"""WITH q AS (SELECT dataset_id, last_id AS end_id, score FROM ({_BEST_EVENTS})),
+r AS (SELECT dataset_id, end_id, row_number() OVER (ORDER BY dataset_id % 2 = 0, score, dataset_id, end_id) AS n, row_number() OVER (ORDER BY score, dataset_id, end_id) AS calm, count(*) OVER () AS size FROM q)
+SELECT nth::INT AS nth, dataset_id, end_id FROM (SELECT n AS nth, dataset_id, end_id FROM r UNION ALL SELECT calm + size * k, dataset_id, end_id FROM r, (SELECT unnest(range(1, 200)) AS k)) WHERE nth <= 200""",
     "angle_differences": """SELECT l_orderkey, l_linenumber, abs((((l_orderkey % 720 - 360)::DOUBLE - (l_partkey % 360) + 180) % 360 + 360) % 360 - 180) AS angle FROM lineitem""",
     "number_coercion": """WITH o AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'n/a' WHEN 1 THEN o_orderkey || '.75' ELSE o_orderkey::VARCHAR END AS cell FROM orders)
 SELECT o_orderkey, try_cast(cell AS DOUBLE) AS number, trunc(try_cast(cell AS DOUBLE))::BIGINT AS whole FROM o""",
