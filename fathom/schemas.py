@@ -14,7 +14,7 @@ CASES = "id string, scada_case struct<window_id: string, summary: string, tags:
 LABEL_RESULT = "filename string, gold_labels array<string>, pred_labels array<string>"
 PAYLOAD = "window_id string, baseline_hours int, window_hours int, csv_sep string, csv string, meta map<string, string>"
 CARD = (
-    "window_id string, source struct<source: string, dataset_id: int, asset_id: int, window_end: string>, "
+    "window_id string, source struct<source: string, dataset_id: int, asset_id: int, window_end: string, event_label: string, event_description: string>, "
     "window struct<end_time: string, start_time: string, row_count: int, baseline_hours: int, window_hours: int>, stats map<string, double>, "
     "derived struct<power_residual_mean: double, power_residual_std: double, status_10min_interval_counts: map<string, bigint>, status_legend: map<string, string>>, "
     "tags array<string>, summary string"

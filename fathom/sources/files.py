@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,12 @@ def file_name() -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
 
 
+def time_of(c: Column) -> Column:
+    """A time of the usual two forms, null if it is of neither."""
+    forms = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
+    return F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in forms)).cast("timestamp_ntz")
+
+
 def stem() -> Column:
     return F.regexp_replace(file_name(), r"\.[^.]*$", "")
 
@@ -39,9 +47,8 @@ def sensor_rows(spark: SparkSession, folder: str, features: list[str], sep: str
     """
     raw = spark.read.option("header", True).option("sep", sep).option("pathGlobFilter", "*.csv").csv(folder)
     c = F.col
-    time = F.coalesce(F.try_to_timestamp("time_stamp", F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp("time_stamp", F.lit("yyyy-MM-dd'T'HH:mm:ss")))
     return raw.select(
-        whole(stem()).alias("dataset_id"), whole(c("asset_id")).alias("asset_id"), whole(c("id")).alias("id"), time.cast("timestamp_ntz").alias("ts"), "train_test",
+        whole(stem()).alias("dataset_id"), whole(c("asset_id")).alias("asset_id"), whole(c("id")).alias("id"), time_of(c("time_stamp")).alias("ts"), "train_test",
         whole(c("status_type_id")).alias("status_type_id"), *(number(c(f)).alias(f) for f in features),
     )
 
@@ -95,6 +102,31 @@ def write_json(df: DataFrame, path: str, partition: str | None = None, mode: str
     (writer.partitionBy(partition) if partition else writer).json(path)
 
 
+def write_records(rows: DataFrame, folder: str, record: str, suffix: str = "", mode: str = "errorifexists") -> None:
+    """One JSON text (column record) per window_id, in a folder of the window's name and suffix: payloads and cards."""
+    out = rows.select(F.concat("window_id", F.lit(suffix)).alias("window"), F.col(record).alias("value"))
+    out.write.mode(mode).partitionBy("window").text(folder)
+
+
+def write_class_map(by_class: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One JSON object: the window_ids of each class_no's class_code, in order. Classes are few."""
+    row = by_class.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("class_code"), F.col("window_ids"))))).alias("m"))
+    row.select(F.to_json("m").alias("value")).coalesce(1).write.mode(mode).text(path)
+
+
+def write_confusion(cells: DataFrame, labels: list[str], path: str, stats: DataFrame | None = None, mode: str = "errorifexists") -> None:
+    """A confusion matrix as CSV: a row for each label as gold, a column for each as prediction. cells has gold, pred, n;
+    stats (label, tp, fp, fn, tn), if given, adds these columns. labels are few, so the matrix is."""
+    wide = cells.groupBy("gold").pivot("pred", labels).agg(F.sum("n"))
+    order = cells.sparkSession.createDataFrame([(k, x) for k, x in enumerate(labels)], "nth int, gold string")
+    rows = order.join(wide, "gold", "left")
+    columns = [F.coalesce(F.col(f"`{x}`"), F.lit(0)).alias(x) for x in labels]
+    if stats is not None:
+        rows = rows.join(stats.withColumnRenamed("label", "gold"), "gold", "left")
+        columns += [F.coalesce(k, F.lit(0)).alias(k.upper()) for k in ("tp", "fp", "fn", "tn")]
+    rows.orderBy("nth").select(F.col("gold").alias("gold\\pred"), *columns).coalesce(1).write.mode(mode).option("header", True).csv(path)
+
+
 def write_labels(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """filename and pred_labels as CSV; labels sorted, joined by a bar."""
     out = rows.select("filename", F.array_join(F.array_sort(F.array_distinct("pred_labels")), "|").alias("pred_labels"))
@@ -131,8 +163,14 @@ def listed_names(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("name")).where("name <> ''")
 
 
-def save_index(folder: str, chunks: DataFrame, postings: DataFrame, stats: DataFrame, buckets: int = 16) -> None:
-    """An index as Parquet: chunks, postings sorted by term inside partitions (so that a query's terms skip row groups), stats."""
+def save_index(folder: str, chunks: DataFrame, postings: DataFrame, stats: DataFrame, buckets: int = 16, vectors: DataFrame | None = None, config: dict | None = None) -> None:
+    """An index as Parquet: chunks, postings sorted by term inside partitions (so that a query's terms skip row groups),
+    stats, and vectors and config (as JSON) if they are given."""
+    if vectors is not None:
+        vectors.write.mode("overwrite").parquet(f"{folder}/vectors")
+    if config is not None:
+        row = chunks.sparkSession.createDataFrame([(json.dumps(config),)], "value string")
+        row.coalesce(1).write.mode("overwrite").text(f"{folder}/config")
     chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
     postings.repartition(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
     stats.coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
@@ -141,3 +179,8 @@ def save_index(folder: str, chunks: DataFrame, postings: DataFrame, stats: DataF
 def load_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """chunks, postings, stats; a missing part is an error."""
     return tuple(spark.read.parquet(f"{folder}/{p}") for p in ("chunks", "postings", "stats"))
+
+
+def load_vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
+    """The vectors and the config of an index that has them."""
+    return spark.read.parquet(f"{folder}/vectors"), json.loads(spark.read.text(f"{folder}/config").first()[0])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as T
 from fathom.operators import evaluation, geometry, ingest, retrieval, timeseries
+from fathom.operators import timeseries as X
 from fathom.sources import files
 from fathom.streaming import rolling
 
@@ -156,3 +157,140 @@ def test_stream_of_running_means(spark, sf_dir, tmp_path):
     want = {r["event_id"]: r["roll"] for r in timeseries.rolling(events, 5, s, "value").collect()}
     got = {r["event_id"]: r["roll"] for r in spark.table("rolled").collect()}
     assert got.keys() == want.keys() and all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-9) for k in want)
+
+
+def test_blend_without_positive_scores(spark):
+    """A side whose greatest score is not positive counts nothing, and documents without a common term fill up the hits."""
+    docs = spark.createDataFrame([(k,) for k in range(1, 7)], "doc_id long")
+    dense = spark.createDataFrame([(1, 3, -0.5), (1, 4, -0.1)], "query_id long, doc_id long, dense double")
+    lexical = spark.createDataFrame([(1, 5, 2.0), (1, 6, 1.0)], "query_id long, doc_id long, bm25 double")
+    hits = retrieval.blend(dense, lexical, docs, 5).orderBy("rank").collect()
+    assert [(r["doc_id"], round(r["score"], 6)) for r in hits] == [(5, 0.3), (6, 0.15), (1, 0.0), (2, 0.0), (3, 0.0)]
+
+
+def test_dense_top_of_odd_vectors(spark):
+    vectors = spark.createDataFrame([(2**53 + 1, [1.0, 0.0]), (2**53 + 3, [0.0, 2.0]), (7, None)], "vec_id long, embedding array<float>")
+    asks = spark.createDataFrame([(1, [1.0, 1.0]), (2, None)], "query_id long, embedding array<float>")
+    got = [(r["query_id"], r["vec_id"], r["dense"], r["rank"]) for r in retrieval.dense_top(vectors, asks, 2).orderBy("rank").collect()]
+    assert got == [(1, 2**53 + 3, 2.0, 1), (1, 2**53 + 1, 1.0, 2)] and retrieval.dense_top(vectors, asks.limit(0), 2).count() == 0
+
+
+def test_many_asked_terms_are_joined(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None), (4, "c")], "doc_id long, text string")
+    asked = spark.createDataFrame([("a",), ("c",)], "term string")
+    read = lambda: sorted((r["doc_id"], r["dl"], sorted((h["term"], h["tf"]) for h in r["hits"])) for r in retrieval.indexed(docs, asked).collect())
+    few = read()
+    monkeypatch.setattr(retrieval, "FEW_TERMS", 0)
+    assert few == read() == [(1, 3, [("a", 2)]), (2, 0, []), (3, 0, []), (4, 1, [("c", 1)])]
+
+
+def test_scans_of_documents(spark, sf_dir):
+    """One scan of the documents for scores, and one of the pages for cleaning."""
+    from fathom.plans import retrieval_queries, text_queries
+
+    for query in (retrieval_queries.bm25_topk, text_queries.clean_pages, text_queries.merge_small_blocks):
+        plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "documents.parquet" not in plan, query
+
+
+def test_noise_of_whole_texts_is_that_of_lines(spark):
+    lines = ["Page 3 of 9", "  12 / 40 ", "1234567", "see www.a.org 3/7", "text", "\u00a0page 2\u2003", "12/", "www.a.org", "  indented 5 / 6", "", "x page 3"]
+    df = spark.createDataFrame([("\n".join(lines),)], "text string")
+    kept = df.select(T.normalize(F.array_join(F.filter(F.split("text", "\n"), lambda x: ~T.is_noise(x)), "\n")).alias("a"), T.normalize(T.without_noise(F.col("text"))).alias("b")).first()
+    assert kept["a"] == kept["b"]
+
+
+def test_hashed_vectors(spark):
+    import math
+
+    from fathom.operators import embedding
+
+    texts = ["Blade crack, blade!", "yaw", None, "yaw crack"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    model = embedding.hashed_model(docs, size=64)
+    tf = model.stages[0]
+    counts = []
+    for text in texts:
+        own = {}
+        for w in (text or "").lower().replace(",", " ").replace("!", " ").split():
+            own[tf.indexOf(w)] = own.get(tf.indexOf(w), 0) + 1
+        counts.append(own)
+    idf = {k: math.log((len(texts) + 1) / (sum(k in c for c in counts) + 1)) for c in counts for k in c}
+    for r in embedding.hashed_vectors(docs, model).collect():
+        want = [counts[r["doc_id"]].get(k, 0) * idf.get(k, 0) for k in range(64)]
+        norm = math.sqrt(sum(x * x for x in want)) or 1
+        assert all(abs(a - b / norm) < 1e-6 for a, b in zip(r["embedding"], want))
+    lengths = embedding.embed(docs, lambda: lambda batch: [[len(t), 0.0] for t in batch]).collect()
+    assert [list(r["embedding"]) for r in lengths] == [[1, 0], [1, 0], [0, 0], [1, 0]]
+
+
+def test_cards_of_payloads(spark, tmp_path):
+    """A card from embedded text equals one from rows, and lists with its class."""
+    import json
+    from datetime import datetime, timedelta
+
+    from fathom.operators import cards
+
+    names = [n for n in dict.fromkeys([*X.Sensors().features, "wind_dir", "nacelle_dir"])]
+    start = datetime(2024, 1, 1)
+    rows = [(1, k, start + timedelta(minutes=10 * k), k % 3, *(float((k * (j + 3)) % 17) for j in range(len(names)))) for k in range(120)]
+    df = spark.createDataFrame(rows, "dataset_id long, id long, ts timestamp_ntz, status_type_id int, " + ", ".join(f"{n} double" for n in names))
+    ends = spark.createDataFrame([("WF-A-1-110-1", 1, start + timedelta(minutes=1100))], "window_id string, dataset_id long, end_time timestamp_ntz")
+    payloads = cards.window_payloads(df, ends, ["ts", "status_type_id", *names], 10, 2)
+    meta = F.create_map(F.lit("asset_id"), F.lit("7"), F.lit("event_label"), F.lit("x"))
+    card = json.loads(cards.payload_cards(payloads.withColumn("meta", meta), "ts").first()["card"])
+    near = df.where("id between 50 and 110")
+    model = X.power_model(near)
+    want = X.tags(X.window_metrics(near.where("id >= 98"), X.baseline(near, model), model)).first()
+    assert card["window"] == {"end_time": "2024-01-01 18:20:00", "start_time": "2024-01-01 16:20:00", "row_count": 13, "baseline_hours": 10, "window_hours": 2}
+    assert card["stats"] == {k: want[k] for k in X.STATS if want[k] is not None} and card["tags"] == want["tags"] and card["source"] == {"asset_id": "7"}
+    assert card["derived"]["power_residual_mean"] == want["power_residual_mean"] and card["derived"]["status_10min_interval_counts"] == want["status_counts"]
+    folder = str(tmp_path / "cards")
+    files.write_records(spark.createDataFrame([("WF-A-1-110-1", json.dumps(card))], "window_id string, card string"), folder, "card", "_card")
+    assert json.loads(spark.read.text(f"{folder}/window=WF-A-1-110-1_card").first()[0]) == card
+    read = spark.createDataFrame([("WF-A-1-110-1", None, {"window_hours": 2.0, "end_time": "2024-01-01 18:20:00"}, ["t"]), ("W-2", {"event_label": "stop", "window_end": "e"}, {}, [])], "window_id string, source struct<window_end: string, event_label: string, event_description: string>, window struct<start_time: string, end_time: string, window_hours: double>, tags array<string>")
+    classes = spark.createDataFrame([("LE;ER", "WF-A-1-110")], "class_code string, window_id string")
+    got = {r["id"]: r for r in cards.listing(read, classes).collect()}
+    assert got["WF-A-1-110-1"][1:4] == ("LE;ER", "2024-01-01 16:20:00", "2024-01-01 18:20:00") and got["WF-A-1-110-1"]["event_label_display"] == "no recorded anomaly"
+    assert got["W-2"][1:4] == ("", "", "e") and got["W-2"]["event_label_display"] == "stop"
+
+
+def test_class_maps_and_confusions(spark, tmp_path):
+    import json
+
+    from fathom.operators import cards
+
+    picked = spark.createDataFrame([(0, 2, "b"), (0, 1, "a"), (1, 1, "c")], "class_no int, nth int, window_id string")
+    by = cards.by_class(picked).withColumn("class_code", F.concat(F.lit("C"), "class_no"))
+    files.write_class_map(by, str(tmp_path / "map"))
+    assert json.loads(spark.read.text(str(tmp_path / "map")).first()[0]) == {"C0": ["a", "b"], "C1": ["c"]}
+    rows = cards.manifest(picked, spark.createDataFrame([("a", 7)], "window_id string, asset_id int")).collect()
+    assert [(r["window_id"], r["file"], r["meta"]["asset_id"]) for r in rows] == [("a", "a.json", 7)]
+    cells = spark.createDataFrame([("x", "y", 2), ("y", "y", 1)], "gold string, pred string, n long")
+    files.write_confusion(cells, ["x", "y"], str(tmp_path / "m"), spark.createDataFrame([("y", 1, 2, 0, 0)], "label string, tp long, fp long, fn long, tn long"))
+    text = [r[0] for r in spark.read.text(str(tmp_path / "m")).collect()]
+    assert text[0].replace("\\", "").replace('"', "") == "goldpred,x,y,TP,FP,FN,TN" and text[1:] == ["x,0,2,0,0,0,0", "y,0,1,1,2,0,0"]
+
+
+def test_errors_stay_with_their_case(spark):
+    cases = spark.createDataFrame([(1, "q", "A", ["g"]), (2, " ", "A", ["g"]), (3, "q", "B", []), (4, "q", "B", ["g"])], "query_id int, query_text string, class_label string, gold array<string>")
+    metrics = spark.createDataFrame([(1, 1.0), (2, 0.5)], "query_id int, recall double")
+    got = {r["query_id"]: (r["error"], r["recall"]) for r in evaluation.isolated(cases, metrics).collect()}
+    assert got == {1: (None, 1.0), 2: ("no query text", None), 3: ("no gold", None), 4: ("no metrics", None)}
+    assert spark.createDataFrame([(" a ",), ("",), (None,)], "l string").select(evaluation.label_set(evaluation.one_label(F.col("l")))).collect() == [(["a"],), ([],), ([],)]
+
+
+def test_description_prompts(spark):
+    from fathom.operators import prompts
+
+    examples = spark.createDataFrame([(1, "a.jpg", [("LE;ER", "worn edge"), ("LE;CR", "")], "A worn edge."), (2, "b.jpg", [], "")], "nth int, path string, findings array<struct<category_name: string, image_description: string>>, gold_text string")
+    asks = spark.createDataFrame([("q", "q.jpg", ["t1", "t2"]), ("r", "r.jpg", None)], "image string, path string, tiles array<string>")
+    got = {r["image"]: r for r in prompts.description_prompts(asks, examples, "Describe.", ["Be exact."], ["LE;ER"], "JSON only.").collect()}
+    assert got["q"]["prompt"] == "\n".join([
+        "Describe.", "", "Categories:", "- 0: LE;ER", "", "Rules:", "- Be exact.", "", "Example 1:", "- Image: <example_1>", "Findings:", "- LE;ER: worn edge", "- LE;CR", "Expected output:", '{"description":"A worn edge."}', "",
+        "Example 2:", "- Image: <example_2>", "", "Query:", "- <query_full>", "- <query_tile_1>", "- <query_tile_2>", "", "JSON only.",
+    ])
+    assert [(a["label"], a["path"]) for a in got["r"]["attachments"]] == [("example_1", "a.jpg"), ("example_2", "b.jpg"), ("query_full", "r.jpg")]
+    answers = ['{"description": "x"}', "[1]", "no json", '{"other": 1}', '{"description": 3}', None]
+    errors = spark.createDataFrame([(k, a) for k, a in enumerate(answers)], "k int, a string").select("k", prompts.answer_errors(F.col("a")).alias("e")).orderBy("k").collect()
+    assert [r["e"] for r in errors] == [[], ["answer: not an object"], ["answer: not an object"], ["description: missing"], ["description: not a text"], ["answer: not an object"]]
