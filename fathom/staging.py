@@ -41,10 +41,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes staged tables whose consumers have been written."""
+    """Deletes staged tables whose consumers have been written.
+
+    Shuffle files of finished jobs go when the driver collects their plans, so it is asked to."""
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.staged_at)
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def sized(small: DataFrame, most: int = FEW_ROWS) -> DataFrame:
