@@ -256,9 +256,10 @@ def path_resolution(spark, sf_dir):
 
 
 def query_pack(spark, sf_dir):
-    """Conversations play incidents."""
+    """Conversations play incidents; every third turn is of the summary, of the images or of the notes."""
     c = table(spark, sf_dir, "conversations")
-    turns = c.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("summary"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("fault_images_description"), F.max(F.when(F.col("turn") == 2, F.col("text"))).alias("mechanic_notes"))
+    said = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("turn") % 3 == k, F.struct("turn", "text")))), lambda x: x["text"]), " ")
+    turns = c.groupBy("conv_id").agg(said(0).alias("summary"), said(1).alias("fault_images_description"), said(2).alias("mechanic_notes"))
     cases = turns.select(
         F.format_string("case-%d", "conv_id").alias("case_id"), F.when(F.col("conv_id") % 2 == 0, "VG;MT").alias("class_label"), F.when(F.col("conv_id") % 3 == 0, "nan").otherwise("pitch fault").alias("event_description"),
         F.array(F.lit("high_wind"), F.lit("case-1")).alias("tags"), "summary", "fault_images_description", "mechanic_notes", *(F.when(F.col("conv_id") % (k + 2) == 0, F.lit(k + 0.5)).alias(m) for k, m in enumerate(Q.METRICS)),
@@ -282,7 +283,7 @@ n AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand), r AS (SELECT *,
 a AS (SELECT p_brand, n, (floor(raw) + (row_number() OVER (ORDER BY raw - floor(raw) DESC, p_brand DESC) <= 137 - sum(floor(raw)) OVER ())::INT)::BIGINT AS taken FROM r)"""
 _SYN = "[" + ", ".join(S.quoted(x) for x in Q.SYNONYMS[: Q.SYNONYM_QUOTA]) + "]"
 _PACK = f"""
-WITH src AS (SELECT conv_id AS id, ['summary', 'image', 'notes'][turn + 1] AS kind, text FROM conversations WHERE turn < 3), {S.term_tables('src')},
+WITH src AS (SELECT conv_id AS id, ['summary', 'image', 'notes'][turn % 3 + 1] AS kind, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY ALL), {S.term_tables('src')},
 c AS (SELECT conv_id AS id, 'case-' || conv_id AS case_id, list_filter(['case-' || conv_id, CASE WHEN conv_id % 2 = 0 THEN 'VG;MT' END, CASE WHEN conv_id % 3 <> 0 THEN 'pitch fault' END, 'high_wind', 'case-1'],
   lambda x: x IS NOT NULL) AS raw FROM (SELECT DISTINCT conv_id FROM conversations)),
 k AS (SELECT c.*, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS codes, coalesce(s.terms, [])[1:10] AS scada, coalesce(m.terms, [])[1:10] AS image, coalesce(n.terms, [])[1:10] AS notes FROM c

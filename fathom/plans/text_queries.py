@@ -217,8 +217,9 @@ def snippets(spark, sf_dir):
 
 
 def json_payloads(spark, sf_dir):
-    """The JSON inside a talkative answer, and its description if it is valid."""
-    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Sure: "), F.col("props"), F.lit(" done")).alias("answer"))
+    """The JSON inside a talkative answer, and a field of it if it is valid, which every fifth is not."""
+    broken = F.when(F.col("event_id") % 5 == 0, F.regexp_replace("props", '"k"', '"k')).otherwise(F.col("props"))
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Sure: "), broken, F.lit(" done")).alias("answer"))
     body = T.json_in(F.col("answer"))
     return e.select("event_id", body.alias("body"), F.from_json(body, "k long")["k"].alias("k"))
 
@@ -251,5 +252,6 @@ SELECT source, line, count(DISTINCT doc_id) AS pages FROM l WHERE line <> '' AND
     "simple_terms": _TERMS_SQL,
     "snippets": """SELECT doc_id, CASE WHEN length(text) > 240 THEN substr(replace(text, chr(10), ' '), 1, 240) || '...' ELSE replace(text, chr(10), ' ') END AS snippet,
 regexp_replace(substr(text, 1, 30), '[^a-zA-Z0-9_.-]+', '_', 'g') AS name FROM documents""",
-    "json_payloads": "SELECT event_id, props AS body, (props->>'k')::BIGINT AS k FROM events",
+    "json_payloads": """WITH e AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN replace(props, '"k"', '"k') ELSE props END AS body FROM events)
+SELECT event_id, body, CASE WHEN json_valid(body) THEN (body->>'k')::BIGINT END AS k FROM e""",
 }

@@ -155,11 +155,19 @@ def select_calm(spark, sf_dir):
     return X.select_calm(ends, 7)
 
 
+_CARD_NUMBERS = (*(f"stats.{n}" for n in X.STATS), "derived.power_residual_mean", "derived.power_residual_std")
+
+
 def cards_json(spark, sf_dir):
     """The nested cards, taken apart again: what a reader of the JSON sees."""
     cards = X.cards(X.tags(_metrics(spark, sf_dir)))
-    field = lambda path: F.get_json_object("card", path)
-    return cards.select("window_id", field("$.window.row_count").cast("long").alias("row_count"), F.round(field("$.stats.power_mean").cast("double"), 4).alias("power_mean"), field("$.window.end_time").alias("end_time"))
+    field = lambda path: F.get_json_object("card", f"$.{path}")
+    texts = {"start_time": "window.start_time", "end_time": "window.end_time", "window_end": "source.window_end", "tags": "tags", "statuses": "derived.status_10min_interval_counts", "idling": "derived.status_legend.2"}
+    whole = {"dataset_id": "source.dataset_id", "row_count": "window.row_count", "baseline_hours": "window.baseline_hours", "window_hours": "window.window_hours"}
+    return cards.select(
+        "window_id", *(field(path).alias(n) for n, path in texts.items()), *(field(path).cast("long").alias(n) for n, path in whole.items()),
+        *(field(path).cast("double").alias(path.split(".")[1]) for path in _CARD_NUMBERS),
+    )
 
 
 def summary_prompts(spark, sf_dir):
@@ -227,7 +235,21 @@ def _picks_sql(k: int) -> str:
 p{k} AS (SELECT {k} AS class_no, nth, dataset_id, end_id FROM (SELECT unnest([1, 2, 3]) AS nth) JOIN o{k} ON pos = (nth - 1) % size)"""
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _as_spark(number: str) -> str:
+    """A number of four decimals as Spark writes doubles; a null is nan."""
+    return f"coalesce(CASE WHEN abs({number}) < 0.001 AND {number} <> 0 THEN replace(printf('%.1E', {number}), 'E-0', 'E-') ELSE {number}::DOUBLE::VARCHAR END, 'nan')"
+
+
+_LEGENDS = " ".join(f"WHEN '{k}' THEN {_quoted(v)}" for k, v in X.STATUS_LEGEND.items())
+_COUNTS = f"""co AS (SELECT dataset_id, status::VARCHAR AS code, count(*) AS n FROM wi WHERE status IS NOT NULL GROUP BY ALL),
+st AS (SELECT dataset_id, string_agg('"' || code || '":' || n, ',' ORDER BY code) AS as_json,
+  string_agg(n || ' intervals: ' || CASE code {_LEGENDS} ELSE 'Status ' || code END, '; ' ORDER BY code) AS as_text FROM co GROUP BY dataset_id)"""
 _TAG_SQL = ", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in X.TAGS)
+_TAGS_OF = f"list_filter([{_TAG_SQL}], lambda x: x IS NOT NULL)"
 ORACLES = {
     "power_model": f"WITH {_ROWS} SELECT dataset_id, round(slope, 6) AS slope, round(intercept, 6) AS intercept FROM model",
     "power_residuals": f"WITH {_ROWS} SELECT dataset_id, id, round(residual, 6) AS residual FROM d",
@@ -252,7 +274,15 @@ r AS (SELECT class_no, dataset_id, end_id, row_number() OVER (PARTITION BY class
 u AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, end_id ORDER BY class_no, nth) - 1 AS again FROM ({' UNION ALL '.join(f'SELECT * FROM p{k}' for k in range(5))}))
 SELECT class_no, nth, 'WF-A-' || dataset_id || '-' || end_id || CASE WHEN again > 0 THEN '-' || again ELSE '' END AS window_id FROM u""",
     "select_calm": f"WITH {_CALM}, e AS (SELECT dataset_id, max(id) AS end_id, max(score) AS score FROM wi GROUP BY dataset_id) SELECT row_number() OVER (ORDER BY round(score, 9), dataset_id) AS nth, dataset_id, end_id FROM e QUALIFY nth <= 7",
-    "cards_json": f"WITH {_METRICS} SELECT 'WF-A-' || dataset_id || '-' || end_id AS window_id, row_count, power_mean, strftime(end_time, '%Y-%m-%d %H:%M:%S') AS end_time FROM me",
+    "cards_json": f"""WITH {_METRICS}, {_COUNTS}
+SELECT 'WF-A-' || me.dataset_id || '-' || me.end_id AS window_id, strftime(me.start_time, '%Y-%m-%d %H:%M:%S') AS start_time, strftime(me.end_time, '%Y-%m-%d %H:%M:%S') AS end_time,
+  strftime(me.end_time, '%Y-%m-%d %H:%M:%S') AS window_end, to_json({_TAGS_OF})::VARCHAR AS tags, '{{' || coalesce(as_json, '') || '}}' AS statuses, {_quoted(X.STATUS_LEGEND['2'])} AS idling, me.dataset_id, me.row_count,
+  168 AS baseline_hours, 6 AS window_hours, {', '.join(f'me.{n}' for n in X.STATS)}, round(me.rm, 4) AS power_residual_mean, round(me.rs, 4) AS power_residual_std
+FROM me JOIN zs USING (dataset_id) LEFT JOIN st USING (dataset_id)""",
+    "summary_prompts": f"""WITH {_METRICS}, {_COUNTS}
+SELECT me.dataset_id, {_quoted(X.SUMMARY_ASK)} || {" || ', ' || ".join(f"'{n}=' || {_as_spark('round(me.rm, 4)' if n == 'power_residual_mean' else f'me.{n}')}" for n in X.SUMMARY_STATS)}
+  || '. Turbine status (10-min intervals): ' || coalesce(as_text, 'no status data') || '. Tags: ' || coalesce(nullif(array_to_string({_TAGS_OF}, ', '), ''), 'none') || '.' AS prompt
+FROM me JOIN zs USING (dataset_id) LEFT JOIN st USING (dataset_id)""",
     "time_slice": """WITH l AS (SELECT user_id, arg_max(ts, event_id) AS last FROM events GROUP BY user_id)
 SELECT user_id AS dataset_id, event_id AS id FROM events JOIN l USING (user_id) WHERE ts BETWEEN last - INTERVAL 6 HOURS AND last""",
     "events_best_window": _BEST_EVENTS,
