@@ -1,46 +1,50 @@
-"""What the operators of this subpackage share: staged tables, batch size, hashing and the word pattern."""
+"""What the operators of this subpackage share: staged tables, Arrow batches, joins of checked size and the word pattern."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from fathom.staging import discard, sized, staged, workspace
+
+__all__ = ["WORD", "computed", "discard", "join_groups", "prepare", "same", "sized", "staged", "text_or_empty", "workspace"]
 
 #: A word, as every contract of this subpackage has it: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of an Arrow batch. Texts may be long; 500 of them keep a batch in tens of MB even where all are.
-BATCH_ROWS = 500
-
+#: Bounds of an Arrow batch, by rows and, as texts may be long, by bytes; a row beyond the bytes is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session; the setting is read when a plan runs, so it stays set."""
+    """Bounds the Arrow batches of this session; the settings are read when a plan runs, so they stay set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-@functools.cache
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="fathom-")
-
-
-def workspace(spark: SparkSession) -> str:
-    """The shared folder for staged tables: spark.checkpoint.dir as the session has it, else (as in tests) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{base.rstrip('/')}/fathom"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back.
+def computed(df: DataFrame, keep: list[str], inputs: list[str], schema: str, worker: Callable[[], Callable[..., dict[str, list]]]) -> DataFrame:
+    """The columns keep of df, untouched, and those of schema, which worker()(*inputs) makes for the rows of a batch.
 
-    This cuts the lineage so that a lost executor costs no more than the running stage, it gives Spark the true size
-    for its choice of joins, and a table that is used twice is computed once.
+    Columns to keep stay in Arrow, so that no null turns a batch of 64-bit ids into floats. inputs come as lists.
     """
-    path = f"{workspace(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = [df.schema[c] for c in keep]
+    made = StructType.fromDDL(schema).fields
+    whole = StructType(kept + made)
+    arrow = to_arrow_schema(whole)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = worker()
+        for b in batches:
+            out = make(*(b.column(c).to_pylist() for c in inputs))
+            arrays = [b.column(c) for c in keep] + [pa.array(out[f.name], arrow.field(f.name).type) for f in made]
+            yield pa.RecordBatch.from_arrays(arrays, names=arrow.names)
+
+    prepare(df.sparkSession)
+    return df.select(*dict.fromkeys([*keep, *inputs])).mapInArrow(run, whole)
 
 
 def same(left: Column, right: Column) -> Column:

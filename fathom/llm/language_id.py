@@ -9,7 +9,8 @@ count as a character, and n-grams of equal frequency are in the order of their n
 Profiles are fitted on a bounded sample of labelled documents: those whose hash is lowest, about fit_docs of each
 language. Predictions read whole texts. score is 1 less the smallest distance over the largest possible.
 
-Edge cases: a null text, or one without a letter, is und with score 0; ties go to the language that sorts first; with
+Edge cases: texts of any length are read whole, in memory that is a multiple of a text; a null text, or one without a
+letter, is und with score 0; ties go to the language that sorts first; with
 no labelled rows everything is und; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import computed, prepare, sized, staged
 
 #: n-grams of a profile and of a document; the languages' profiles are this long whatever the corpus.
 PROFILE = 400
@@ -66,11 +67,8 @@ def _sampled(docs: DataFrame, fit_docs: int) -> DataFrame:
     other rows are not kept."""
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rank = F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id")), F.lit(1_000_000))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    below = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        below = F.when(F.col("lang") == lang, F.lit(1e6 * fit_docs / n)).otherwise(below)
-    return labelled.where(rank < below).select("lang", "text")
+    counts = staged(labelled.groupBy("lang").agg((F.lit(1e6 * fit_docs) / F.count("*")).alias("_below")), "labels")
+    return labelled.select("lang", "text", rank.alias("_rank")).join(sized(counts), "lang").where("_rank < _below").select("lang", "text")
 
 
 def fit_profiles(docs: DataFrame, fit_docs: int = FIT_DOCS, size: int = PROFILE) -> dict[str, list[int]]:
@@ -125,15 +123,17 @@ class Ranker:
 def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; only the text is an input of the prediction."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def worker():
         ranker = Ranker(profiles, size)
-        for pdf in batches:
-            found = [ranker.predict(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
 
-    prepare(docs.sparkSession)
+        def make(texts: list[str | None]) -> dict[str, list]:
+            found = [ranker.predict(t) for t in texts]
+            return {"lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
+
+        return make
+
     own = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
-    return own.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return computed(own, ["doc_id", "held_out"], ["text"], "lang_pred string, score double", worker)
 
 
 def identify(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:

@@ -6,20 +6,17 @@ the documents whose hash lies below a threshold. The threshold comes from histog
 hash bucket, the bucket in which the sum crosses the target is split by the next digits of the hash, and so on, until a
 bucket holds one hash. Nothing is sorted and no more than one bucket of a source is refined.
 
-Edge cases: a null text has size 0; the null source comes last; documents without words are never taken in part; rows
+Edge cases: a null text has size 0; texts of any length are counted whole; the null source comes last; documents without words are never taken in part; rows
 with equal ids have equal hashes and are taken together; an empty table gives an empty result; other columns are
 ignored. Reruns agree, for the hash is MD5 of the seed and the id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, prepare, same, staged
+from .common import WORD, computed, same, staged
 
 #: Hex digits of the hash that each histogram splits by, and in all.
 DIGITS, LEVELS = 3, 5
@@ -32,14 +29,11 @@ def hash_of(doc_id: Column, seed: str) -> Column:
 def sizes(docs: DataFrame, seed: str) -> DataFrame:
     """doc_id, source, size and hash of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            size = [len(t.encode("utf-8", "surrogatepass").split()) if t else 0 for t in pdf["text"]]
-            yield pdf[["doc_id", "source"]].assign(size=pd.Series(size, index=pdf.index, dtype="int64"))
+    def worker():
+        return lambda texts: {"size": [len(t.encode("utf-8", "surrogatepass").split()) if t else 0 for t in texts]}
 
-    prepare(docs.sparkSession)
     own = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")
-    rows = own.mapInPandas(run, "doc_id long, source string, size long")
+    rows = computed(own, ["doc_id", "source"], ["text"], "size long", worker)
     return rows.withColumn("hash", hash_of(F.col("doc_id"), seed))
 
 

@@ -5,7 +5,8 @@ pages bind URLs into aliases; connected components over these edges carry a bloc
 of the URL's own always wins, and an explicit allow anywhere among the aliases wins over a block.
 
 Edge cases: a null URL, or one without ://, has an empty host and path, fits no rule and has no aliases: allow. A null
-html has no links. Repeated rows are judged one by one; an empty table gives an empty result; other columns are ignored.
+html has no links. Of rules of one length the one that sorts last wins. Pages of any length are searched whole by Spark's
+own functions. Repeated rows are judged one by one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
