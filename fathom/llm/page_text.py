@@ -12,7 +12,8 @@ template only if the node occurs in several different articles; so a host with o
 keeps its article. Nor is an element around an article a menu, however many links it has.
 
 Edge cases: a null or empty html has an empty text; a null or hostless URL belongs to the host ''; broken markup is read
-as far as it goes, a tag that does not end is dropped; repeated rows are extracted one by one; an empty table gives an
+as far as it goes, a tag that does not end is dropped; of a node's like siblings all are one, so there are no ties; a page
+of any length is read whole, in memory that is a multiple of it; repeated rows are extracted one by one; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, same, staged
+from .common import computed, prepare, same, staged
 from .url_filter import host_of
 
 #: A node must occur on this many pages before a constant text makes it template.
@@ -58,15 +59,21 @@ CLOSED_BY = {"p": CLOSES_P, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"
 CLOSES = {name: [k for k, names in CLOSED_BY.items() if name in names] for name in frozenset().union(*CLOSED_BY.values())}
 #: Elements that a start tag does not look beyond when it closes others.
 SCOPES = frozenset("table td th ul ol dl div section article main body html blockquote".split())
-CHROME_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|banner|sponsor|promo|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|footer|header|masthead|cookie|consent|notice|popup|modal|newsletter|"
-    r"subscribe|comments?|replies|related|share|social|widget|pagination|login|signup)(?:$|[\s_-])",
-    re.I,
+#: Words of class, id and role names for what is no main text, and words that say nothing beside them.
+CHROME_WORDS = frozenset(
+    "ad ads advert advertisement advertising advertorial sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar side complementary footer contentinfo header "
+    "masthead cookie cookies consent notice alert popup modal dialog overlay newsletter subscribe subscription comment comments reply replies disqus related share sharing social widget widgets "
+    "pagination pager search login signin signup teaser teasers".split()
 )
+NEUTRAL_WORDS = frozenset(
+    "site page main top bottom left right inner outer wrap wrapper container box bar block area section slot unit item items list link links button buttons icons post posts article articles thread "
+    "content text title primary secondary global mobile desktop sticky fixed form panel row column group user reader readers the and in of".split()
+)
+_NAME_PARTS = re.compile(r"[^-_A-Z]+|[A-Z][^-_A-Z]*")
 
-_TOKENS = re.compile(r"<!--.*?(?:-->|$)|<[/!?]?[a-zA-Z!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|$)|[^<]+|<", re.S)
+_TOKENS = re.compile(r"<!--.*?(?:-->|$)|<[/!?]?[a-zA-Z!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|$)|<[/!?]?[a-zA-Z!?][^>]*(?:>|$)|[^<]+|<", re.S)
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(r"(?<![^\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 @dataclass
@@ -341,8 +348,20 @@ def observe(html: str | None, wrapper: str) -> list[tuple[int, str, int, int, st
     return [(numbers[id(p.node)], _own(p.node), p.size, p.linked, whole if p.inside else None) for p in places if id(p.node) in numbers]
 
 
+@lru_cache(maxsize=100_000)
+def _chrome_name(name: str, inside: bool) -> bool:
+    """Whether one of the names is made of the words above alone, with one of the former: so side and side-bar, but not
+    side-by-side. The header of an article is its own."""
+    for token in name.split():
+        parts = [p.lower() for p in _NAME_PARTS.findall(token)] or [token.lower()]
+        meant = [p for p in parts if p in CHROME_WORDS and not (inside and p == "header")]
+        if meant and all(p in CHROME_WORDS or p in NEUTRAL_WORDS or p.isdigit() for p in parts):
+            return True
+    return False
+
+
 def _chrome(tag: str, name: str, inside: bool) -> bool:
-    return tag in CHROME and not (inside and tag == "header") or bool(CHROME_NAME.search(name)) and tag not in ("body", "html", "article", "main")
+    return tag in CHROME and not (inside and tag == "header") or tag not in ("body", "html", "main") and _chrome_name(name, inside)
 
 
 def _menu(tag: str, size: int, linked: int) -> bool:
@@ -557,9 +576,11 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars; one row per page."""
     decided = wrappers(pages)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [text_of(h, w, d) for h, w, d in zip(pdf["html"], pdf["wrapper"], pdf["decided"])]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def worker():
+        def make(*rows: list) -> dict[str, list]:
+            texts = list(map(text_of, *rows))
+            return {"text": texts, "n_chars": list(map(len, texts))}
+
+        return make
 
-    return _with(pages, decided).mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return computed(_with(pages, decided), ["page_id", "url"], ["html", "wrapper", "decided"], "text string, n_chars long", worker)
