@@ -69,13 +69,19 @@ rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM tri, (VALUES (0), (1), (2
 m AS (SELECT doc_id, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols > n_words OR n_dup_lines > 0.5 * n_lines AS other FROM m),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR other) AS k FROM b GROUP BY source),
-p AS (SELECT avg(k / n) AS mean, var_pop(k / n) AS v FROM h),
-q AS (SELECT mean, CASE WHEN v > 0 THEN greatest(mean * (1 - mean) / v - 1, 1) ELSE 1 END AS weight FROM p),
-r AS (SELECT source, (k + mean * weight) / (n + weight) > 0.75 AS host_failed FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept
-FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source"""
+b AS (SELECT *, n_words < 50 AS f_short, 100 * n_repeat_words > 50 * n_words AS f_repeats, n_symbols > n_words AS f_symbols, n_dup_lines > 0.5 * n_lines AS f_dup_lines FROM m),
+l AS (SELECT doc_id, source, unnest(['short', 'repeats', 'symbols', 'dup_lines']) AS rule, unnest([f_short, f_repeats, f_symbols, f_dup_lines]) AS failed FROM b),
+h AS (SELECT source, rule, count(*) AS n, count(*) FILTER (failed) AS k FROM l GROUP BY ALL),
+t AS (SELECT rule, sum(n) AS total, sum(n * n) AS nn, count(*) AS hosts, sum(k) / sum(n) AS mean FROM h GROUP BY rule),
+v AS (SELECT rule, any_value(total) AS total, any_value(mean) AS mean, any_value(mean * (1 - mean)) AS noise,
+    (sum(n * (k / n - mean) * (k / n - mean)) - (any_value(hosts) - 1) * any_value(mean * (1 - mean))) / nullif(any_value(total - nn / total), 0) AS between FROM h JOIN t USING (rule) GROUP BY rule),
+q AS (SELECT *, CASE WHEN between > 0 AND noise > 0 THEN least(greatest(noise / between - 1, 1), total) ELSE greatest(total, 1) END AS weight FROM v),
+r AS (SELECT source, rule, round((k + mean * weight) / (n + weight), 9) AS rate, mean, least(greatest(mean + 4 * sqrt(noise / (weight + 1)), 0.5), 0.75) AS worst FROM h JOIN q USING (rule)),
+s AS (SELECT source, bool_or(rule IN ('short', 'repeats') AND rate > worst) AS host_failed, bool_or(rule = 'symbols' AND rate > round(mean, 9)) AS w_symbols,
+    bool_or(rule = 'dup_lines' AND rate > round(mean, 9)) AS w_dup_lines FROM r GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f_short OR f_repeats AS base_failed,
+    NOT (f_short OR f_repeats OR host_failed OR (w_symbols AND f_symbols) OR (w_dup_lines AND f_dup_lines)) AS kept
+FROM b JOIN s ON b.source IS NOT DISTINCT FROM s.source"""
 
 #: The pages of the test tables hold neither canonical links nor redirects; the components are in the recursive part.
 URL_FILTER = r"""

@@ -1,37 +1,58 @@
 """Quality rules by document and by host.
 
-Each document gets counts and a base verdict. Failures are then counted by host, each host's failure rate is shrunk
-towards the others by a beta prior fitted to the hosts' own rates (method of moments), and a host whose shrunk rate
-passes a limit takes its remaining documents with it.
+Each document gets counts and, by the base rules, a base verdict. Failures are counted by host and rule. For each rule the
+hosts' rates are shrunk towards the mean by a beta prior, which is fitted to the hosts by moments weighted with their
+sizes, binomial noise taken out: hosts that differ by chance alone shrink to the mean. Host verdicts are joined back:
+
+* A host is rejected, with all its documents, if its shrunk rate of a base rule is far beyond the prior's mean, by
+  deviations of the prior, and most of its documents fail.
+* A host is watched for a further rule if its shrunk rate of it is above the prior's mean. Documents that fail this rule
+  go on a watched host; on others a single failure is let pass.
 
 Edge cases: a null or empty text has no words and so fails; a null host is a host of its own; repeated rows are judged
-and counted one by one; an empty table gives an empty result; other columns of the input are ignored.
+and counted one by one; a host alone has the mean rate and is not watched; texts of any length are counted whole, in
+memory that is a small multiple of a text; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, same, staged
+from .common import computed, same, staged
 
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 
 
 @dataclass(frozen=True)
 class Limits:
-    """min_words and max_repeat make the base verdict; max_symbols (a word) and max_dup_lines (of the lines) count for hosts only."""
+    """min_words and max_repeat make the base verdict; max_symbols (a word) and max_dup_lines (of the lines) are the further
+    rules. Hosts are rejected beyond far deviations from the mean, which counts as least_rejected at least and as
+    most_rejected at most."""
 
     min_words: int = 50
     max_repeat: float = 0.5
     max_symbols: float = 1.0
     max_dup_lines: float = 0.5
-    max_host_rate: float = 0.75
+    far: float = 4.0
+    least_rejected: float = 0.5
+    most_rejected: float = 0.75
+
+    def rules(self) -> dict[str, Column]:
+        """Each rule by name: whether a document fails it. The base rules come first."""
+        c = F.col
+        return {
+            "short": c("n_words") < self.min_words,
+            "repeats": 100 * c("n_repeat_words") > F.lit(100 * self.max_repeat) * c("n_words"),
+            "symbols": c("n_symbols") > F.lit(self.max_symbols) * c("n_words"),
+            "dup_lines": c("n_dup_lines") > F.lit(self.max_dup_lines) * c("n_lines"),
+        }
+
+
+BASE_RULES, FURTHER_RULES = ("short", "repeats"), ("symbols", "dup_lines")
 
 
 def count_text(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -56,33 +77,55 @@ def count_text(text: str | None) -> tuple[int, int, int, int, int, int]:
 def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host and the counts of every document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def worker():
         names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
-        for pdf in batches:
-            counts = pd.DataFrame([count_text(t) for t in pdf["text"]], columns=names, dtype="int64")
-            yield pd.concat([pdf[["doc_id", "host"]].reset_index(drop=True), counts], axis=1)
+        return lambda texts: dict(zip(names, zip(*map(count_text, texts)))) if texts else {n: [] for n in names}
+
+    schema = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+    return computed(docs.select("doc_id", F.col(host).cast("string").alias("host"), "text"), ["doc_id", "host"], ["text"], schema, worker)
 
-    prepare(docs.sparkSession)
-    schema = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
-    return docs.select("doc_id", F.col(host).cast("string").alias("host"), "text").mapInPandas(run, schema)
+
+def priors(hosts: DataFrame) -> dict[str, tuple[float, float]]:
+    """mean and weight (in documents) of each rule's beta prior, from one row per host: n and its failures by rule.
+
+    The variance between hosts is what the weighted spread of their rates has beyond binomial noise; if nothing is left,
+    the prior weighs as much as all documents.
+    """
+    names = BASE_RULES + FURTHER_RULES
+    c = F.col
+    sums = hosts.agg(F.sum("n").alias("n"), F.sum(c("n") * c("n")).alias("nn"), F.count("*").alias("hosts"), *(F.sum(k).alias(k) for k in names)).first()
+    total = sums["n"] or 0
+    means = {k: (sums[k] or 0) / total if total else 0.0 for k in names}
+    spread = hosts.agg(*(F.sum(c("n") * (c(k) / c("n") - means[k]) * (c(k) / c("n") - means[k])).alias(k) for k in names)).first()
+    out = {}
+    for k in names:
+        noise, m = means[k] * (1 - means[k]), means[k]
+        room = total - sums["nn"] / total if total else 0.0
+        between = (spread[k] - (sums["hosts"] - 1) * noise) / room if room > 0 else 0.0
+        out[k] = m, min(max(noise / between - 1, 1.0), float(total)) if between > 0 and noise > 0 else float(max(total, 1))
+    return out
 
 
 def host_verdicts(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """host, host_rate (shrunk), host_failed. A row for each host; its failures are counted before the shuffle."""
-    hosts = staged(measured.groupBy("host").agg(F.count("*").alias("n"), F.count_if("any_failed").alias("k")), "hosts")
-    row = hosts.agg(F.avg(F.col("k") / F.col("n")), F.var_pop(F.col("k") / F.col("n"))).first()
-    mean, var = row[0] or 0.0, row[1] or 0.0
-    weight = max(mean * (1 - mean) / var - 1, 1.0) if var > 0 else 1.0  # of the prior, in documents
-    rate = (F.col("k") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
-    return hosts.select("host", rate.alias("host_rate"), (rate > limits.max_host_rate).alias("host_failed"))
+    """host, host_failed and, for each rule, rate_<rule> (shrunk); watch_<rule> for the further rules. A row for each host;
+    its failures are counted before the shuffle."""
+    fails = limits.rules()
+    hosts = staged(measured.groupBy("host").agg(F.count("*").alias("n"), *(F.count_if(f).alias(k) for k, f in fails.items())), "hosts")
+    fitted = priors(hosts)
+    rates = {k: F.round((F.col(k) + F.lit(m * w)) / (F.col("n") + F.lit(w)), 9) for k, (m, w) in fitted.items()}
+    limit = lambda m, w: min(max(m + limits.far * (m * (1 - m) / (w + 1)) ** 0.5, limits.least_rejected), limits.most_rejected)
+    beyond = [rates[k] > limit(*fitted[k]) for k in BASE_RULES]
+    watched = [(rates[k] > F.round(F.lit(fitted[k][0]), 9)).alias(f"watch_{k}") for k in FURTHER_RULES]
+    return hosts.select("host", (beyond[0] | beyond[1]).alias("host_failed"), *watched, *(r.alias(f"rate_{k}") for k, r in rates.items()))
 
 
 def judge(docs: DataFrame, host: str = "source", limits: Limits = Limits()) -> DataFrame:
-    """The counts of every document with base_failed, host_failed and kept."""
-    c = F.col
-    base = (c("n_words") < limits.min_words) | (100 * c("n_repeat_words") > F.lit(100 * limits.max_repeat) * c("n_words"))
-    other = (c("n_symbols") > limits.max_symbols * c("n_words")) | (c("n_dup_lines") > limits.max_dup_lines * c("n_lines"))
-    measured = staged(measure(docs, host).withColumn("base_failed", base).withColumn("any_failed", base | other), "measured")
+    """The counts of every document with base_failed, what is known of its host, and kept."""
+    fails, c = limits.rules(), F.col
+    measured = staged(measure(docs, host), "measured")
     hosts = host_verdicts(measured, limits).withColumnRenamed("host", "of")
-    joined = measured.join(hosts, same(measured["host"], hosts["of"]), "left")
-    return joined.withColumn("kept", ~c("base_failed") & ~F.coalesce(c("host_failed"), F.lit(False)))
+    joined = measured.join(hosts, same(measured["host"], hosts["of"]), "left").withColumn("base_failed", fails["short"] | fails["repeats"])
+    gone = c("base_failed") | c("host_failed")
+    for k in FURTHER_RULES:
+        gone = gone | (c(f"watch_{k}") & fails[k])
+    return joined.withColumn("kept", ~gone)
