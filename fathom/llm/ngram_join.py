@@ -48,7 +48,7 @@ from .components import components
 #: The table of common tokens has 2**ORDER bytes; sets and tokens of a group, about.
 ORDER, GROUP_SETS, GROUP_TOKENS = 22, 32, 16_384
 #: Tokens that a task counts or packs at once, and rows of prefixes that one task joins, about.
-CHUNK, PACKED = 1_000_000, 1_500_000
+CHUNK, PACKED = 500_000, 1_000_000
 #: Sets of a chunk with one token beyond which the task keeps them itself.
 HOT = 32
 #: Bits of a bitmap for each token, at least.
@@ -254,16 +254,23 @@ def _leaders(tokens: np.ndarray, keys: np.ndarray, marks: np.ndarray) -> tuple[n
     return run, np.lexsort((hashed, place, run))[first], np.lexsort((hashed, run))[first]
 
 
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Which of ordered values differ from the one before."""
+    return np.concatenate([np.ones(min(1, len(ordered)), dtype=bool), ordered[1:] != ordered[:-1]])
+
+
 def _named(keys: np.ndarray, marks: np.ndarray, run: np.ndarray, best: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """key, lead, margin: of the first leaders of each key's tokens the one with the greatest margin, which is how many
-    places earlier a token stands in the leader; and with margin -1 one of the other leaders."""
+    places earlier a token stands in the leader; and with margin -1 one of the other leaders. None leads itself."""
     place = ((marks & np.uint16(_SENT - 1)) >> np.uint16(1)).astype(np.int32)
     lead, margin = keys[best][run], place - place[best][run]
     at = np.lexsort((lead, -margin, keys))
-    at = at[np.concatenate([[True], keys[at][1:] != keys[at][:-1]])]
+    at = at[(lead != keys)[at]]
+    at = at[_firsts(keys[at])]
     aside = keys[other][run]
     by = np.lexsort((_mix(aside.view(np.uint64)), keys))
-    by = by[np.concatenate([[True], keys[by][1:] != keys[by][:-1]])]
+    by = by[(aside != keys)[by]]
+    by = by[_firsts(keys[by])]
     return np.concatenate([keys[at], keys[by]]), np.concatenate([lead[at], aside[by]]), np.concatenate([margin[at], np.full(len(by), -1, dtype=np.int32)])
 
 
@@ -477,14 +484,14 @@ def _placed(keys: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def _leads(shared: DataFrame, keys: DataFrame) -> DataFrame:
-    """cid, n, gid, m: each set and the leaders, itself among them, that its tokens name best; first marks the first of the two."""
+    """cid, n, gid, m: each set and the leaders that its tokens name best; first marks the first of the two."""
     margin = F.col("margin")
     best = F.max(F.when(margin >= 0, F.struct(margin.alias("margin"), F.col("lead").alias("lead"))))["lead"]
     other = F.min(F.when(margin < 0, F.struct(F.xxhash64("lead").alias("hash"), F.col("lead").alias("lead"))))["lead"]
     named = shared.where("token is null").groupBy("key").agg(best.alias("best"), other.alias("other"))
     both = named.select("key", F.explode(F.array(F.struct(F.col("best").alias("lead"), F.lit(True).alias("first")), F.struct(F.col("other").alias("lead"), F.lit(False).alias("first")))).alias("x"))
     own, its = keys.select("key", "cid", "n"), keys.select(F.col("key").alias("lead"), F.col("cid").alias("gid"), F.col("n").alias("m"))
-    return staged(both.select("key", "x.*").join(own, "key").join(its, "lead").select("cid", "n", "gid", "m", "first"), "leads")
+    return staged(both.select("key", "x.*").where("lead is not null").join(own, "key").join(its, "lead").select("cid", "n", "gid", "m", "first"), "leads")
 
 
 def _stars(docs: DataFrame, leads: DataFrame, keys: DataFrame, t: Threshold) -> DataFrame:
@@ -531,7 +538,9 @@ def _join(docs: DataFrame, t: Threshold) -> Joined:
     shared = staged(_shared(docs, order, 4 * max(1, -(-t.prefix(total) // PACKED)), t), "shared")
 
     # Sets of which 64 bits of the key are equal get each other's tokens; comparing the full sets tells them apart.
-    in_shared = classes.join(shared.select(F.col("key").alias("lo")).distinct(), "lo", "left_semi").select("hi", "lo", "cid", "n")
+    # Every set with a shared token is led by another or leads one.
+    star = shared.where("token is null")
+    in_shared = classes.join(star.select(F.col("key").alias("lo")).unionByName(star.select(F.col("lead").alias("lo"))).distinct(), "lo", "left_semi").select("hi", "lo", "cid", "n")
     bits = sets.where("bits is not null").select("hi", "lo", "bits")
     keys = in_shared.join(bits, ["hi", "lo"]).groupBy("hi", "lo").agg(*(F.first(c).alias(c) for c in ("cid", "n", "bits")))
     keys = staged(keys.select(F.col("lo").alias("key"), "cid", "n", "bits"), "keys")
@@ -623,8 +632,8 @@ def _open_groups(docs: DataFrame, left: DataFrame, leads: DataFrame, info: DataF
     info = info.join(left.select("cid").distinct(), "cid", "left_semi").select("cid", "n", "comp", "rank", "weight")
     linked = info.where("rank > 1").select("cid", "comp", "rank", cut("comp").alias("gid"))
     band = F.floor(F.log(F.col("n").cast("double")) * 10).alias("band")
-    kin = info.where("rank = 1").join(leads.where("first").select("cid", F.col("gid").alias("leader")), "cid")
-    kin = staged(kin.select("cid", "comp", "n", "leader", band), "kin")
+    kin = info.where("rank = 1").join(leads.where("first").select("cid", F.col("gid").alias("leader")), "cid", "left")
+    kin = staged(kin.select("cid", "comp", "n", F.coalesce("leader", "cid").alias("leader"), band), "kin")
     size = kin.groupBy("leader", "band").agg(F.count("*").alias("rank"), F.sum("n").alias("weight"))
     alone = kin.join(size, ["leader", "band"]).select("cid", "comp", F.lit(1).cast("long").alias("rank"), cut("leader", "band").alias("gid"))
     own = staged(linked.unionByName(alone), "grouped")

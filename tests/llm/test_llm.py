@@ -94,7 +94,7 @@ def test_cuckoo_index_is_a_map(steps):
             want[key] = number
         else:
             assert index.remove(key) == (want.pop(key, None) is not None)
-    assert index.store == want and all(index.get(k) == v for k, v in want.items())
+    assert dict(index.items()) == want and len(index) == len(want) and all(index.get(k) == v for k, v in want.items())
 
 
 def test_cuckoo_index_grows():
@@ -120,6 +120,13 @@ def test_hot_copies(spark):
     assert len(rows) == 3000 and {(r["keep_id"], r["group_size"]) for r in rows if r["doc_id"] % 3} == {(2999, 2000)} and sum(r["kept"] for r in rows) == 1001
 
 
+def test_repeated_ids_keep_their_own_texts(spark):
+    """Rows with one id and several texts, and rows that are equal but for another column."""
+    rows = [(1, "a", "en", "y", 0), (1, "b", "en", "x", 0), (1, "a", "en", "x", 0), (2, "b", "en", "x", 0), (None, "c", "en", "x", 0), (None, "d", "en", "x", 0), (3, "d", "en", "x", 0)]
+    kept = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in kept) == Counter([(1, "a", "x"), (2, "b", "x"), (None, "c", "x"), (3, "d", "x")])
+
+
 # 3 pages
 
 
@@ -164,6 +171,26 @@ def test_links_beside_an_article_do_not_drop_it(spark):
     assert texts_of(spark, [f"<div id=all><div id=m>{menu}</div><article><p>short {k}</p></article></div>" for k in range(4)]) == {k: f"short {k}" for k in range(4)}
 
 
+SINGLES = [
+    ('<article><div class="side-by-side"><p>kept</p></div></article>', "kept"), ('<article><p data-id="share">kept</p></article>', "kept"), ('<article><section id="related-work">kept</section></article>', "kept"),
+    ('<article><div class="notice-board">kept</div></article>', "kept"), ('<article><p>text</p><div class="sponsored">buy</div></article>', "text"), ('<article><p>text</p><p class="advertising">buy</p></article>', "text"),
+    ('<article><p>text</p><div id="disqus_thread">hello</div></article>', "text"), ('<article><p class="x>kept</p></article>', "kept"), ('<article><p>text</p></article><article class="teaser">more</article>', "text"),
+    ('<article><div class="entry-header"><h1>Title</h1></div><p>text</p><div class="siteFooter">foot</div></article>', "Title\ntext"),
+]
+
+
+@pytest.mark.parametrize("html,want", SINGLES)
+def test_names_are_matched_whole(html, want):
+    assert page_text.text_of(html, None, None) == want
+
+
+def test_the_wrapper_decides_where_no_name_does(spark):
+    """Pages without an article element or a telling name: what all of them share is template."""
+    htmls = [f"<div class=a>Welcome to us</div><div class=b><p>text {k}</p><h3>Call us today</h3></div><div class=c>All rights reserved</div>" for k in range(6)]
+    assert texts_of(spark, htmls) == {k: f"text {k}" for k in range(6)}
+    assert page_text.text_of(htmls[0], None, None) == "Welcome to us\ntext 0\nCall us today\nAll rights reserved"
+
+
 def test_deep_pages_are_read_like_others(spark):
     deep = "<article>" + "<b>" * 5000 + "<script>var x;</script><nav>menu</nav>one <div>two</div></div> three" + "</b>" * 5000 + "<p>four</p></article>"
     inside = "<article><div>" + "<span>" * 400 + "<div>one</div></span>" + " two</div>three</article>"
@@ -362,6 +389,37 @@ def test_null_ids_ahead_of_equal_texts(spark):
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_components(docs).collect()} == {None: None, 5: 3, 3: 3}
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 12)), min_size=1, max_size=200), st.integers(1, 4), st.integers(1, 3))
+def test_packed_rows_lose_no_shared_token(pairs, chunks, hot):
+    """Rows that tasks pack, keep and send on, against sets; and every key that shares a token is named a leader."""
+    pairs = sorted({(t * 0x0842108421084211 % 2**64, k + 1) for t, k in pairs})
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ngram_join, "HOT", hot)
+        out, slices = [], defaultdict(list)
+        for c in range(chunks):
+            own = [(t, k) for t, k in pairs if k % chunks == c]
+            if own:
+                columns = [np.array(x, dtype=kind) for x, kind in zip(zip(*((t, k, 2 * (k % 5) + 1) for t, k in own)), ngram_join._KINDS)]
+                for part, *blobs in ngram_join._packed(*columns, 3, 0):
+                    arrays = [np.frombuffer(x, dtype=kind) for x, kind in zip(blobs, ngram_join._KINDS)]
+                    if part < 0:
+                        out += zip(arrays[0].tolist(), arrays[1].tolist())
+                    else:
+                        slices[part].append(arrays)
+    for part in slices.values():
+        tokens, keys, marks = ngram_join._met_again(*(np.concatenate(x) for x in zip(*part)))
+        out += [(t, k) for t, k, m in zip(tokens.tolist(), keys.tolist(), marks.tolist()) if m < ngram_join._SENT]
+        if len(tokens):
+            key, lead, margin = ngram_join._named(keys, marks, *ngram_join._leaders(tokens, keys, marks))
+            of = defaultdict(set)
+            for t, k in zip(tokens.tolist(), keys.tolist()):
+                of[t].add(k)
+            assert set(key.tolist()) | set(lead.tolist()) == set().union(*(x for x in of.values() if len(x) > 1)) and (key != lead).all()
+    times = Counter(t for t, _ in pairs)
+    assert sorted(out) == [(t, k) for t, k in pairs if times[t] > 1]
+
+
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=300), st.integers(0, 50))
 def test_bitmaps_bound_overlaps(a, b, both):
     b = b | set(list(a)[:both]) or {1}
@@ -407,14 +465,19 @@ def test_unigram_viterbi_is_the_best_path():
         for end in range(1, len(word) + 1):
             best.append(max((best[s][0] + score[word[s:end]], best[s][1] + [word[s:end]]) for s in range(end) if word[s:end] in score))
         own.memo = {}
-        own._learn([word])
+        own._learn([word], [word])
         got = [own.model.pieces[k] for k in np.frombuffer(own.memo[word], own.model.dtype)]
         assert sum(score[p] for p in got) == best[-1][0]
 
 
 def test_pieces_of_tables(spark, odd, empty, sf_dir):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path("piece_bpe_32k.model"))
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries.op7_pieces(spark, sf_dir).collect():
+        ids = np.array(library.encode(texts[r["doc_id"]]), dtype="<u4")
+        assert (r["n_pieces"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
     path = queries.tokenizer_path("piece_bpe_32k.model")
     out = pieces.encode_rows(odd, path)
@@ -424,6 +487,44 @@ def test_pieces_of_tables(spark, odd, empty, sf_dir):
 # 8 language
 
 
+def brute_language(texts, labels):
+    """Profiles by Counter and ranks by sorting tuples, distances by dicts; n-grams are ordered as their numbers are."""
+    place = 1 << 21
+
+    def number(g):
+        marks = {1: 3 << 62, 2: 1 << 63, 3: 0}[len(g)]
+        value = marks | sum((0 if c == "\0" else ord(c)) * place ** (len(g) - 1 - k) for k, c in enumerate(g))
+        return value - (1 << 64) if value >> 63 else value
+
+    def ranked(text):
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        n = Counter(number(p[i : i + k]) for p in (f"\0{w}\0" for w in words) for k in (1, 2, 3) for i in range(len(p) - k + 1) if p[i : i + k] != "\0")
+        return sorted(n, key=lambda g: (-n[g], g))[:400], n
+
+    profiles = {}
+    for lang in sorted({x for x in labels if x}):
+        whole = Counter()
+        for text, label in zip(texts, labels):
+            if label == lang:
+                whole += ranked(text)[1]
+        profiles[lang] = {g: k for k, g in enumerate(sorted(whole, key=lambda g: (-whole[g], g))[:400])}
+    out = []
+    for text in texts:
+        own = ranked(text)[0]
+        far = {lang: sum(abs(p[g] - k) if g in p else 400 for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(far, key=lambda lang: (far[lang], lang))
+        out.append((best, 1 - far[best] / (400 * len(own))) if own else ("und", 0.0))
+    return out
+
+
+def test_language_by_brute_force(spark, sf_dir):
+    docs = sorted(((r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()), key=lambda r: r[0])
+    labels = [lang if zlib.crc32(str(d).encode()) % 3 != 1 else None for d, _, lang in docs]
+    want = dict(zip((d for d, *_ in docs), brute_language([t for _, t, _ in docs], labels)))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.op8_language_id(spark, sf_dir).collect()}
+    assert {d: p for d, (p, _) in got.items()} == {d: p for d, (p, _) in want.items()} and all(abs(got[d][1] - want[d][1]) < 1e-12 for d in want)
+
+
 def test_language(spark, sf_dir, odd, empty):
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = queries.op8_language_id(spark, sf_dir).collect()
@@ -462,6 +563,19 @@ def test_counts(text):
     assert quality_rules.count_text(text) == brute_quality(text)
 
 
+def test_hosts_change_verdicts_of_the_tables(spark, sf_dir):
+    """Documents that fail a further rule go on hosts whose shrunk rate of it is above the mean, and stay on others."""
+    rows = quality_rules.judge(spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")).collect()
+    odd = [r for r in rows if not r["base_failed"] and (r["n_symbols"] > r["n_words"] or r["n_dup_lines"] > 0.5 * r["n_lines"])]
+    assert {r["kept"] for r in odd} == {False, True} and all(r["kept"] for r in rows if not r["base_failed"] and r not in odd)
+
+
+def test_hosts_alike_shrink_to_the_mean(spark):
+    hosts = spark.createDataFrame([(f"h{k}", 100, 10 + k % 2, 0, 50 * (k % 2), 0) for k in range(20)], "host string, n long, short long, repeats long, symbols long, dup_lines long")
+    fitted = quality_rules.priors(hosts)
+    assert fitted["short"] == (0.105, 2000.0) and fitted["repeats"] == (0.0, 2000.0) and abs(fitted["symbols"][0] - 0.25) < 1e-12 and fitted["symbols"][1] < 4
+
+
 def test_hosts_take_their_documents_along(spark, odd, empty):
     good = " ".join(f"w{k}" for k in range(60))
     docs = documents(spark, [(k, good if k % 10 == 0 else "short", None, "bad", 0) for k in range(100)] + [(100 + k, good, None, f"h{k % 5}", 0) for k in range(100)])
@@ -488,6 +602,33 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), queries.URL_RULES).count() == 0
 
 
+# ids beyond 2**53 beside a null
+
+IDS = [2**53 + 1, None, 2**53 + 3]
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(IDS[0], text, "en", "a", 1), (IDS[1], text, "en", "a", 1), (IDS[2], text + " tail", "en", "b", 1)]
+    return documents(spark, rows).coalesce(1).cache()
+
+
+def test_wide_ids(spark, wide):
+    path, model = queries.tokenizer_path("word_bpe_49k.json"), queries.tokenizer_path("piece_bpe_32k.model")
+    outputs = [
+        secret_scan.report(wide), exact_dedup.mark_copies(wide), token_store.store_and_read(wide, path), mix_sources.mix(wide), ngram_join.near_components(wide),
+        pieces.digest_rows(wide, model), language_id.identify(wide), quality_rules.judge(wide),
+    ]
+    for out in outputs:
+        assert Counter(r["doc_id"] for r in out.collect()) == Counter(IDS)
+    assert {r["component_id"] for r in outputs[4].collect()} == {IDS[0], None}
+    assert {r["keep_id"] for r in outputs[1].collect()} == {IDS[0], IDS[2]}
+    pages = spark.createDataFrame([(k, "http://h.com/", "<p>x</p>") for k in IDS], "page_id long, url string, html string").coalesce(1)
+    for out in (page_text.extract(pages), url_filter.judge_urls(pages, queries.URL_RULES)):
+        assert Counter(r["page_id"] for r in out.collect()) == Counter(IDS)
+
+
 # the pipeline
 
 
