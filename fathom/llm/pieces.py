@@ -6,14 +6,16 @@ candidate's length is the backpointer.
 
 * A unigram model maximises the sum of the scores.
 * In a BPE model that sum is not what its encoder maximises. There, a path is right exactly if each two neighbouring
-  pieces are what merging their joint text gives, so the candidate that fits the last piece of the best path to its
-  start is taken; there is one. This gives the ids of the merge procedure itself, without merging words.
+  pieces are what merging their joint text gives, so a candidate weighs 1 if it fits the last piece of the best path to
+  its start, else 0, and the maximum is taken; one fits. This gives the ids of the merge procedure itself, without
+  merging words.
 
 Texts are cut before every run of spaces, where no piece of the model may reach across. Encoded words are kept.
 
 Edge cases: a null or empty text has no ids and decodes to an empty text; characters without a piece become their UTF-8
 bytes' pieces, or the unknown id if the model has none; an empty table gives an empty result; repeated rows are encoded
-each; other columns are kept by encode_rows and ignored else.
+each; texts of any length are cut into words, so memory is a small multiple of a batch, and words longer than a piece
+cost as they are long; other columns are kept by encode_rows and ignored else.
 """
 
 from __future__ import annotations
@@ -30,12 +32,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import computed, prepare
 
 SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Words whose ids, and pairs of pieces whose fit, a worker keeps; beyond that it starts anew.
-MEMO = 500_000
+#: Words whose ids, and pairs of pieces whose fit, a worker keeps, some 100 MB; beyond that it starts anew. 2**SLOTS pairs are kept in
+#: an array besides, and GROUP words advance together.
+MEMO, PAIRS, SLOTS, GROUP = 300_000, 400_000, 20, 8_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -139,113 +142,149 @@ class Codec:
         self.fits: dict[int, bool] = {}
         self.powers = np.ones(self.model.longest + 1, dtype=np.uint64)
         self.powers[1:] = np.cumprod(np.full(self.model.longest, BASE))
-
-    def _find(self, codes: np.ndarray, hashes: np.ndarray, start: int, end: int) -> np.ndarray:
-        """The piece that each row has from start to end, -1 if none."""
-        m, size = self.model, end - start
-        key = hashes[:, end] - hashes[:, start] * self.powers[size]
-        at = np.minimum(np.searchsorted(m.keys, key), len(m.keys) - 1)
-        found = np.where(m.keys[at] == key, m.ids[at], -1)
-        hit = np.flatnonzero(found >= 0)
-        if len(hit):
+        # The pairs of pieces that were asked for last, by a hash, so that most are answered without the dict.
+        self.asked, self.answers = np.full(1 << SLOTS, -1, dtype=np.int64), np.zeros(1 << SLOTS, dtype=bool)
+        self.lengths = np.array([len(x) for x in self.model.output], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(self.model.output), dtype=np.uint8)
+
+    def _found(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For each size, from 1, the piece that each row has at each start, -1 if none."""
+        m, (n, length), out = self.model, codes.shape, []
+        hashes = _hashes(codes)
+        for size in range(1, min(m.longest, length) + 1):
+            key = hashes[:, size:] - hashes[:, :-size] * self.powers[size]
+            at = np.minimum(np.searchsorted(m.keys, key.ravel()), len(m.keys) - 1)
+            found = np.where(m.keys[at] == key.ravel(), m.ids[at], -1)
+            hit = np.flatnonzero(found >= 0)
+            row, start = np.divmod(hit, length - size + 1)
             letters = m.letters[found[hit]]
-            same = (letters[:, :size] == codes[hit, start:end]).all(axis=1)
-            same &= letters[:, size] == 0 if size < m.longest else True
+            same = letters[:, size] == 0 if size < m.longest else np.ones(len(hit), dtype=bool)
+            for k in range(size):
+                same &= letters[:, k] == codes[row, start + k]
             found[hit[~same]] = -1
-        return found
+            out.append(found.reshape(n, -1))
+        return out
 
     def _fit(self, last: np.ndarray, new: np.ndarray) -> np.ndarray:
         """Whether piece new may follow piece last (-1: at the start of a word, -2: after an unknown character)."""
         m = self.model
-        pairs, at = np.unique((last + 2) * len(m.pieces) + new, return_inverse=True)
-        out = np.zeros(len(pairs), dtype=bool)
-        for k, pair in enumerate(pairs.tolist()):
-            known = self.fits.get(pair)
-            if known is None:
-                a, b = divmod(pair, len(m.pieces))
-                want = [m.pieces[a - 2], m.pieces[b]] if a > 1 else [m.pieces[b]]
-                known = self.fits[pair] = m.merge("".join(want)) == want
-            out[k] = known
-        return out[at]
-
-    def _bpe(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backpointers and pieces for each row and end."""
-        n, length = codes.shape
-        hashes = _hashes(codes)
-        back, piece = np.zeros((n, length + 1), dtype=np.int64), np.full((n, length + 1), -1, dtype=np.int64)
-        for end in range(1, length + 1):
-            open_ = np.arange(n)
-            for size in range(min(self.model.longest, end), 0, -1):
-                found = self._find(codes[open_], hashes[open_], end - size, end)
-                hit = np.flatnonzero(found >= 0)
-                if len(hit):
-                    rows = open_[hit]
-                    good = self._fit(piece[rows, end - size], found[hit])
-                    piece[rows[good], end], back[rows[good], end] = found[hit][good], size
-                    open_ = np.setdiff1d(open_, rows[good], assume_unique=True)
-                if not len(open_):
-                    break
-            piece[open_, end], back[open_, end] = -2, 1
-        return back, piece
-
-    def _unigram(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, length = codes.shape
-        hashes, m = _hashes(codes), self.model
+        pairs = (last + 2) * len(m.pieces) + new
+        slot = (pairs.astype(np.uint64) * BASE >> np.uint64(64 - SLOTS)).astype(np.int64)
+        out = self.answers[slot]
+        rest = np.flatnonzero(self.asked[slot] != pairs)
+        if len(rest):
+            unknown, at = np.unique(pairs[rest], return_inverse=True)
+            answers = np.zeros(len(unknown), dtype=bool)
+            for k, pair in enumerate(unknown.tolist()):
+                known = self.fits.get(pair)
+                if known is None:
+                    a, b = divmod(pair, len(m.pieces))
+                    want = [m.pieces[a - 2], m.pieces[b]] if a > 1 else [m.pieces[b]]
+                    known = self.fits[pair] = m.merge("".join(want)) == want
+                answers[k] = known
+            out[rest] = answers[at]
+            self.asked[slot[rest]], self.answers[slot[rest]] = pairs[rest], answers[at]
+        return out
+
+    def _viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backpointers (sizes of the last piece) and pieces for each row and end: at each end the candidates of all sizes
+        are weighed together, and the best is kept. Of a BPE model a candidate weighs 1 if it fits, which one does."""
+        m, (n, length) = self.model, codes.shape
+        found, rows = self._found(codes), np.arange(n)
+        back, piece = np.ones((n, length + 1), dtype=np.int64), np.full((n, length + 1), -1, dtype=np.int64)
         worst = m.scores[m.ids].min() - 10
         best = np.full((n, length + 1), -np.inf)
         best[:, 0] = 0
-        back, piece = np.zeros((n, length + 1), dtype=np.int64), np.full((n, length + 1), -1, dtype=np.int64)
         for end in range(1, length + 1):
             sizes = np.arange(min(m.longest, end), 0, -1)
-            found = np.stack([self._find(codes, hashes, end - k, end) for k in sizes], axis=1)
-            score = np.where(found >= 0, m.scores[found], -np.inf)
-            score[:, -1] = np.where(found[:, -1] >= 0, score[:, -1], worst)
-            score += best[:, end - sizes]
-            at = score.argmax(axis=1)
-            best[:, end], back[:, end] = score.max(axis=1), sizes[at]
-            piece[:, end] = np.where(found[np.arange(n), at] >= 0, found[np.arange(n), at], -2)
+            here = np.stack([found[k - 1][:, end - k] for k in sizes], axis=1)
+            if m.bpe:
+                weight = np.zeros(here.shape)
+                row, column = np.nonzero(here >= 0)
+                weight[row, column] = self._fit(piece[row, end - sizes[column]], here[row, column])
+                at = weight.argmax(axis=1)
+                known = weight[rows, at] > 0
+            else:
+                weight = np.where(here >= 0, m.scores[here], -np.inf)
+                weight[:, -1] = np.where(here[:, -1] >= 0, weight[:, -1], worst)
+                weight += best[:, end - sizes]
+                at = weight.argmax(axis=1)
+                best[:, end] = weight[rows, at]
+                known = here[rows, at] >= 0
+            back[:, end] = np.where(known, sizes[at], 1)
+            piece[:, end] = np.where(known, here[rows, at], -2)
         return back, piece
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes new words, those of one length together."""
+    def _learn(self, words: list[str], keys: list[str]) -> None:
+        """Encodes new words, those of one length together, and keeps their ids under their keys."""
         m, by_length = self.model, {}
-        for w in words:
-            by_length.setdefault(len(w), []).append(w)
-        for length, own in by_length.items():
-            codes = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(own), length)
-            back, piece = (self._bpe if m.bpe else self._unigram)(codes)
-            for row, word in enumerate(own):
-                ids, end, b, p = [], length, back[row].tolist(), piece[row].tolist()
-                while end:
-                    if p[end] >= 0:
-                        ids.append(p[end])
-                    elif m.byte_ids:
-                        ids += [m.byte_ids[x] for x in reversed(word[end - 1].encode("utf-8", "surrogatepass"))]
-                    elif not ids or ids[-1] != m.unknown:
-                        ids.append(m.unknown)
-                    end -= b[end]
-                self.memo[word] = np.array(ids[::-1], dtype=m.dtype).tobytes()
+        for w, key in zip(words, keys):
+            by_length.setdefault(len(w), []).append((w, key))
+        for length, both in by_length.items():
+            for start in range(0, len(both), GROUP):
+                self._learn_group(both[start : start + GROUP], length)
+
+    def _learn_group(self, both: list[tuple[str, str]], length: int) -> None:
+        m, n = self.model, len(both)
+        codes = np.frombuffer("".join([w for w, _ in both]).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(n, length)
+        back, piece = self._viterbi(codes)
+        # All words are traced back together, from their ends.
+        rows, end, steps = np.arange(n), np.full(n, length), []
+        while (end > 0).any():
+            steps.append(np.where(end > 0, piece[rows, end], -1))
+            end = np.where(end > 0, end - back[rows, end], 0)
+        ids = np.stack(steps[::-1], axis=1)
+        counts = (ids != -1).sum(axis=1)
+        data = ids[ids != -1].astype(m.dtype).tobytes()
+        ends = (np.cumsum(counts) * m.dtype.itemsize).tolist()
+        odd = set(np.flatnonzero((ids == -2).any(axis=1)).tolist())
+        a = 0
+        for row, (b, (word, key)) in enumerate(zip(ends, both)):
+            self.memo[key] = data[a:b] if row not in odd else self._with_unknown(word, ids[row][ids[row] != -1].tolist())
+            a = b
+
+    def _with_unknown(self, word: str, ids: list[int]) -> bytes:
+        """The ids of a word with characters (-2) that no piece has: their bytes' pieces, or the unknown id once a run."""
+        m, out, at = self.model, [], 0
+        for k in ids:
+            if k >= 0:
+                out.append(k)
+                at += len(m.pieces[k])
+                continue
+            if m.byte_ids:
+                out += [m.byte_ids[x] for x in word[at].encode("utf-8", "surrogatepass")]
+            elif not out or out[-1] != m.unknown:
+                out.append(m.unknown)
+            at += 1
+        return np.array(out, dtype=m.dtype).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of the model's dtype."""
         m, split = self.model, []
         if len(self.memo) > MEMO:
             self.memo = {}
-        if len(self.fits) > 4 * MEMO:
+        if len(self.fits) > PAIRS:
             self.fits = {}
         for text in texts:
             text = text or ""
             if m.squeeze:
                 text = re.sub(" +", " ", text.strip(" "))
+            if m.prefix and text and "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ":
+                split.append(text.split(" "))  # each word stands for itself behind a space
+                continue
             text = text.replace(" ", SPACE)
-            split.append(_WORDS.findall(SPACE + text if m.prefix and text else text))
-        new = [w for w in set().union(*split) if w not in self.memo]
-        if new:
-            self._learn(sorted(new))
+            split.append([w if w[0] == SPACE else " " + w for w in _WORDS.findall(SPACE + text if m.prefix and text else text)])
+        new = sorted(w for w in set().union(*split) if w not in self.memo)
+        # A key with a space in front is a word without one, a key that starts with SPACE is as it is.
+        self._learn([w[1:] if w[:1] == " " else w if w[:1] == SPACE else SPACE + w for w in new], new)
         return [b"".join(map(self.memo.__getitem__, words)) for words in split]
 
     def decode(self, ids: bytes) -> str:
-        text = b"".join(map(self.model.output.__getitem__, np.frombuffer(ids, dtype=self.model.dtype).tolist())).decode("utf-8", "replace")
+        own = np.frombuffer(ids, dtype=self.model.dtype).astype(np.int64)
+        sizes = self.lengths[own]
+        at = np.arange(int(sizes.sum())) + np.repeat(self.starts[own] - (np.cumsum(sizes) - sizes), sizes)
+        text = self.bytes[at].tobytes().decode("utf-8", "replace")
         return text[1:] if self.model.prefix and text.startswith(" ") else text
 
 
@@ -274,17 +313,15 @@ def encode_rows(docs: DataFrame, model: str) -> DataFrame:
 def digest_rows(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers), decoded_sha256; one row per document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def worker():
         own = codec(model)
-        for pdf in batches:
-            coded = own.encode(list(pdf["text"]))
+
+        def make(texts: list[str | None]) -> dict[str, list]:
+            coded = own.encode(texts)
             ids = [np.frombuffer(c, dtype=own.model.dtype).astype("<u4") for c in coded]
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"], "n_pieces": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids],
-                    "decoded_sha256": [hashlib.sha256(own.decode(c).encode("utf-8", "surrogatepass")).hexdigest() for c in coded],
-                }
-            )
+            decoded = [hashlib.sha256(own.decode(c).encode("utf-8", "surrogatepass")).hexdigest() for c in coded]
+            return {"n_pieces": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids], "decoded_sha256": decoded}
 
-    prepare(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string")
+        return make
+
+    return computed(docs, ["doc_id"], ["text"], "n_pieces long, ids_crc32 long, decoded_sha256 string", worker)
