@@ -11,7 +11,7 @@ A store is a folder with two Parquet tables, so that any file system Spark knows
 Shards are ranges of doc_id in ascending order (null first; equal ids by their token ids). Tokens are counted over the
 whole corpus before any block is written.
 
-Edge cases: a null or empty text has the end id alone; an empty table makes a store without blocks and an empty result;
+Edge cases: a null or empty text has the end id alone; a text of any length is encoded whole and cut into blocks; an empty table makes a store without blocks and an empty result;
 repeated rows are stored each; other columns are ignored.
 """
 
@@ -23,17 +23,19 @@ import re
 import unicodedata
 import uuid
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, same, staged, workspace
+from .common import computed, discard, prepare, same, staged, workspace
 
 BITS, BLOCK, LANES = 20, 65_536, 64
 LOW = np.uint64(1 << 31)
@@ -51,14 +53,17 @@ _ODD_SPACES = tuple("\x1c\x1d\x1e\x1f")  # Python takes them for white space, th
 _CUTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _ASCII_CUTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _ALL_CUTS = regex.compile(_CUTS)
+#: The last character of the Latin, Greek and Cyrillic blocks. Of those beyond, the versions of Unicode that libraries
+#: know do not all have the same letters, so words with them are left to the tokenizer whole.
+_SETTLED = "\u052f"
 
 
 class WordTokenizer:
-    """Encodes texts by a tokenizer that drops white space and never looks across it, so each word is encoded once.
+    """Encodes texts; if the tokenizer drops white space and never looks across it, each word is encoded once.
 
-    Words are cut further as the tokenizer itself cuts them, and of these parts, too, each is encoded once. The ids of
+    Words are cut further as the tokenizer itself cuts them, and of these parts, too, each is encoded once a batch. The ids of
     parts that are encoded together fall apart after each id that ends a word. Words that case folding or composition of
-    characters could treat by context are left to the tokenizer whole.
+    characters could treat by context, or that have letters of newer blocks, are left to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -69,12 +74,11 @@ class WordTokenizer:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 65_536 else "<u4")
         self.memo: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         config = json.loads(self.tokenizer.to_str())
         steps = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         cut = steps[0].get("pattern", {}).get("Regex") == _CUTS and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True
-        if not cut or config["model"].get("end_of_word_suffix") != "</w>":
-            raise ValueError("a tokenizer is asked for that cuts at white space and marks the ends of words")
+        #: Whether texts may be taken apart; texts of a tokenizer of another kind are encoded whole.
+        self.by_words = cut and config["model"].get("end_of_word_suffix") == "</w>"
         self.ends = np.zeros(self.size, dtype=bool)
         self.ends[[k for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items() if token.endswith("</w>")]] = True
 
@@ -84,53 +88,53 @@ class WordTokenizer:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; words that are new are learnt together."""
+        if not self.by_words:
+            return [self._bytes(found.ids) for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         whole = {k for k, t in enumerate(texts) if any(c in t for c in _ODD_SPACES)}
         split = [[] if k in whole else t.split() for k, t in enumerate(texts)]
-        words = set().union(*split)
         if len(self.memo) > MEMO:
-            self.memo, self.parts = {}, {}
+            self.memo = {}
         memo = self.memo
-        if new := [w for w in words if w not in memo]:
+        if new := set().union(*split).difference(memo):
             self._learn(new)
-        out = [b"".join([memo[w] for w in own]) for own in split]
+        out = [b"".join(map(memo.__getitem__, own)) for own in split]
         for k in whole:
             out[k] = self._bytes(self.tokenizer.encode(texts[k], add_special_tokens=False).ids)
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        single: dict[str, str] = {}
+    def _learn(self, words: set[str]) -> None:
+        memo, parts = self.memo, {}
+        plain, others = [], []
+        for w in words:
+            (plain if w.isascii() and w.isalpha() else others).append(w)
+        low = " ".join(plain).lower().split(" ") if plain else []
         cuts: dict[str, list[str]] = {}
         whole: list[str] = []
-        for w in words:
+        for w in others:
             if w.isascii():
-                if w.isalpha():
-                    single[w] = w.lower()
-                elif "<|" in w:
+                if "<|" in w:
                     whole.append(w)
                 else:
                     cuts[w] = _ASCII_CUTS.findall(w.lower())
-            elif "Σ" in w or "<|" in w or not unicodedata.is_normalized("NFC", w):
+            elif max(w) > _SETTLED or "Σ" in w or "<|" in w or not unicodedata.is_normalized("NFC", w):
                 whole.append(w)
-            elif w.isalpha() and (low := w.lower()).isalpha():
-                single[w] = low
+            elif w.isalpha() and (own := w.lower()).isalpha():
+                cuts[w] = [own]
             else:
                 cuts[w] = _ALL_CUTS.findall(w.lower())
-        parts = self.parts
-        if new := [p for p in set(single.values()).union(*cuts.values()) if p not in parts]:
-            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, dtype=self.dtype)
+        if new := list(set(low).union(*cuts.values())):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(new) or stops[-1] != len(ids):  # a part that the vocabulary has no end for
-                parts |= {p: self._bytes(self.tokenizer.encode(p, add_special_tokens=False).ids) for p in new}
+                parts = {p: self._bytes(self.tokenizer.encode(p, add_special_tokens=False).ids) for p in new}
             else:
                 data, at = ids.tobytes(), [0, *(stops * ids.itemsize).tolist()]
-                parts.update(zip(new, (data[a:b] for a, b in zip(at, at[1:]))))
-        memo = self.memo
-        for w, p in single.items():
-            memo[w] = parts[p]
+                parts = dict(zip(new, [data[a:b] for a, b in zip(at, at[1:])]))
+        memo.update(zip(plain, map(parts.__getitem__, low)))
         for w, own in cuts.items():
             memo[w] = b"".join([parts[p] for p in own])
         if whole:
-            for word, found in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False)):
+            for word, found in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
                 memo[word] = self._bytes(found.ids)
 
     def _bytes(self, ids: list[int]) -> bytes:
@@ -145,14 +149,12 @@ def _tokenizer(path: str) -> WordTokenizer:
 def tokenize(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     """doc_id, ids (binary, little-endian 16 or 32 bits as the vocabulary needs) of every whole text, with the end id."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def worker():
         own = _tokenizer(path)
         end = np.array([end_id], dtype=own.dtype).tobytes()
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": [ids + end for ids in own.encode_all([t or "" for t in pdf["text"]])]})
+        return lambda texts: {"ids": [ids + end for ids in own.encode_all([t or "" for t in texts])]}
 
-    prepare(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids binary")
+    return computed(docs, ["doc_id"], ["text"], "ids binary", worker)
 
 
 def scale(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -228,22 +230,34 @@ class Coder:
         return ids.reshape(n, -1)[:, :length]
 
 
-def _blocks(batches: Iterator[pd.DataFrame], freq: np.ndarray, dtype: np.dtype) -> Iterator[pd.DataFrame]:
+#: Columns of the blocks, in Arrow and as Spark reads them.
+_BLOCK_COLUMNS = pa.schema(
+    [(c, pa.int32()) for c in ("shard", "block")] + [("first", pa.int64()), ("n_ids", pa.int32())] + [(c, pa.binary()) for c in ("states", "words")]
+    + [(c, pa.int64()) for c in ("payload_crc32", "ids_crc32")] + [(c, pa.list_(pa.int64())) for c in ("doc_ids", "nth", "lengths")] + [("whole", pa.list_(pa.bool_()))]
+)
+_BLOCK_DDL = (
+    "shard int, block int, first long, n_ids int, states binary, words binary, payload_crc32 long, ids_crc32 long, "
+    "doc_ids array<long>, nth array<long>, lengths array<long>, whole array<boolean>"
+)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], freq: np.ndarray, dtype: np.dtype) -> Iterator[pa.RecordBatch]:
     """The block rows of a shard, from its documents in order."""
     coder, shard = Coder(freq), TaskContext.get().partitionId()
-    rest, pieces, first, block, nth = np.zeros(0, dtype=dtype), [], 0, 0, 0
+    waiting, held, pieces, first, block, nth = [], 0, deque(), 0, 0, 0
 
-    def pack(ids: np.ndarray, length: int) -> pd.DataFrame:
-        nonlocal pieces, first, block
+    def pack(ids: np.ndarray, length: int) -> pa.RecordBatch:
+        nonlocal first, block
         coded, rows = coder.encode(ids.reshape(-1, length)), []
         for k, (states, words) in enumerate(coded):
             own, left = [], length
-            while left and pieces:
-                doc, number, size, total = pieces[0]
+            while left:
+                doc, number, size, total = pieces.popleft()
                 take = min(size, left)
                 own.append((doc, number, take, total))
                 left -= take
-                pieces = pieces[1:] if take == size else [(doc, number, size - take, total), *pieces[1:]]
+                if take < size:
+                    pieces.appendleft((doc, number, size - take, total))
             rows.append(
                 {
                     "shard": shard, "block": block, "first": first, "n_ids": length, "states": states, "words": words,
@@ -252,20 +266,26 @@ def _blocks(batches: Iterator[pd.DataFrame], freq: np.ndarray, dtype: np.dtype)
                 }
             )
             first, block = first + length, block + 1
-        return pd.DataFrame(rows)
-
-    for pdf in batches:
-        parts = [np.frombuffer(b, dtype=dtype) for b in pdf["ids"]]
-        for doc, ids in zip(pdf["doc_id"], parts):
-            pieces.append((None if pd.isna(doc) else int(doc), nth, len(ids), len(ids)))
-            nth += 1
-        rest = np.concatenate([rest, *parts])
-        while len(rest) >= BLOCK:
-            n = min(SIDE, len(rest) // BLOCK)
-            yield pack(rest[: n * BLOCK], BLOCK)
-            rest = rest[n * BLOCK :]
-    if len(rest):
-        yield pack(rest, len(rest))
+        return pa.RecordBatch.from_pylist(rows, schema=_BLOCK_COLUMNS)
+
+    for b in batches:
+        for doc, ids in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
+            size = len(ids) // dtype.itemsize
+            pieces.append((doc, nth, size, size))
+            waiting.append(ids)
+            held, nth = held + size, nth + 1
+        if held >= SIDE * BLOCK:
+            rest = np.frombuffer(b"".join(waiting), dtype=dtype)
+            n = held // BLOCK
+            for k in range(0, n, SIDE):
+                yield pack(rest[k * BLOCK : min(k + SIDE, n) * BLOCK], BLOCK)
+            waiting, held = [rest[n * BLOCK :].tobytes()], held - n * BLOCK
+    rest = np.frombuffer(b"".join(waiting), dtype=dtype)
+    for length in (BLOCK, held % BLOCK):
+        n = held // BLOCK if length == BLOCK else 1
+        if n * length:
+            yield pack(rest[: n * length], length)
+            rest = rest[n * length :]
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
@@ -286,30 +306,32 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
     freq, total = scale(counts), int(counts.sum())
     spark.createDataFrame(pd.DataFrame({"id": np.flatnonzero(freq), "freq": freq[freq > 0]}), "id int, freq long").coalesce(1).write.parquet(f"{path}/table")
     shards = min(MAX_SHARDS, max(1, -(-total // SHARD_IDS)))
-    schema = (
-        "shard int, block int, first long, n_ids int, states binary, words binary, payload_crc32 long, ids_crc32 long, "
-        "doc_ids array<long>, nth array<long>, lengths array<long>, whole array<boolean>"
-    )
     ordered = tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInPandas(lambda batches: _blocks(batches, freq, dtype), schema).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(lambda batches: _blocks(batches, freq, dtype), _BLOCK_DDL).write.parquet(f"{path}/blocks")
+    discard(tokens)
 
 
-def _crc_shift(crc: int, zeros: int) -> int:
-    """The CRC-32 register crc after so many zero bytes, by squaring the matrix of one byte."""
-    row = [0xEDB88320, *(1 << k for k in range(31))]  # one zero bit
+def _times(matrix: tuple[int, ...], v: int) -> int:
+    out = 0
+    for k, column in enumerate(matrix):
+        out ^= column if v >> k & 1 else 0
+    return out
 
-    def times(m: list[int], v: int) -> int:
-        out = 0
-        for k in range(32):
-            out ^= m[k] if v >> k & 1 else 0
-        return out
 
-    for _ in range(3):
-        row = [times(row, x) for x in row]
-    while zeros:
-        crc = times(row, crc) if zeros & 1 else crc
-        zeros >>= 1
-        row = [times(row, x) for x in row]
+@lru_cache(maxsize=None)
+def _zero_bits(k: int) -> tuple[int, ...]:
+    """What 2**k zero bits do to a CRC-32 register, as a matrix of columns."""
+    if k == 0:
+        return 0xEDB88320, *(1 << j for j in range(31))
+    half = _zero_bits(k - 1)
+    return tuple(_times(half, x) for x in half)
+
+
+def _crc_shift(crc: int, zeros: int) -> int:
+    """The CRC-32 register crc after so many zero bytes."""
+    for k in range(zeros.bit_length()):
+        if zeros >> k & 1:
+            crc = _times(_zero_bits(k + 3), crc)
     return crc
 
 
@@ -329,31 +351,37 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     for r in rows:
         freq[r["id"]] = r["freq"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(freq)
-        for pdf in batches:
-            for length, same_length in pdf.groupby("n_ids"):
-                for k in range(0, len(same_length), SIDE):
-                    part = same_length.iloc[k : k + SIDE]
-                    for s, w, crc in zip(part["states"], part["words"], part["payload_crc32"]):
-                        if zlib.crc32(w, zlib.crc32(s)) != crc:
-                            raise ValueError("a block's payload does not match its checksum")
-                    ids = coder.decode(list(part["states"]), list(part["words"]), int(length))
-                    for own, row in zip(ids, part.itertuples()):
-                        data = memoryview(own.astype("<u4").tobytes())
-                        if zlib.crc32(data) != row.ids_crc32:
-                            raise ValueError("a block's ids do not match their checksum")
-                        lengths = np.asarray(row.lengths, dtype=np.int64)
-                        ends = np.cumsum(lengths)
-                        yield pd.DataFrame(
-                            {
-                                "shard": row.shard, "nth": row.nth, "block": row.block, "doc_id": pd.array(row.doc_ids, dtype="Int64"), "at": row.first + ends - lengths,
-                                "n": lengths, "crc": [zlib.crc32(data[4 * (e - n) : 4 * e]) for e, n in zip(ends, lengths)], "whole": row.whole,
-                            }
-                        )
+        for b in batches:
+            by_length: dict[int, list[dict]] = {}
+            for row in b.to_pylist():
+                if zlib.crc32(row["words"], zlib.crc32(row["states"])) != row["payload_crc32"]:
+                    raise ValueError("a block's payload does not match its checksum")
+                by_length.setdefault(row["n_ids"], []).append(row)
+            for length, rows in by_length.items():
+                for k in range(0, len(rows), SIDE):
+                    part = rows[k : k + SIDE]
+                    ids = coder.decode([r["states"] for r in part], [r["words"] for r in part], length)
+                    yield from map(inside, part, ids)
+
+    def inside(row: dict, own: np.ndarray) -> pa.RecordBatch:
+        """A row for each piece of a document in a block."""
+        data = memoryview(own.astype("<u4").tobytes())
+        if zlib.crc32(data) != row["ids_crc32"]:
+            raise ValueError("a block's ids do not match their checksum")
+        lengths = np.array(row["lengths"], dtype=np.int64)
+        ends = np.cumsum(lengths)
+        crc = [zlib.crc32(data[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), row["lengths"])]
+        count = len(lengths)
+        arrays = [
+            pa.array(np.full(count, row["shard"], dtype=np.int32)), pa.array(row["nth"], pa.int64()), pa.array(np.full(count, row["block"], dtype=np.int32)),
+            pa.array(row["doc_ids"], pa.int64()), pa.array(row["first"] + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64()), pa.array(row["whole"]),
+        ]
+        return pa.RecordBatch.from_arrays(arrays, names=["shard", "nth", "block", "doc_id", "at", "n", "crc", "whole"])
 
     blocks = spark.read.parquet(f"{path}/blocks")
-    pieces = staged(blocks.mapInPandas(run, "shard int, nth long, block int, doc_id long, at long, n long, crc long, whole boolean"), "pieces")
+    pieces = staged(blocks.mapInArrow(run, "shard int, nth long, block int, doc_id long, at long, n long, crc long, whole boolean"), "pieces")
 
     @F.pandas_udf("long")
     def joined(parts: pd.Series) -> pd.Series:
