@@ -121,6 +121,26 @@ r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (mask & (own
     coalesce(sum(toxic) FILTER (mask & own > 0 AND mask & earlier = 0), 0)::BIGINT AS toxic_lost FROM m, s GROUP BY ALL)
 SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r"""
 
+COLLOCATIONS = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+i AS (SELECT lang, ws, unnest(generate_series(1, len(ws))) AS i FROM w WHERE len(ws) > 0),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM i, (VALUES (1), (2), (3), (4), (5)) AS s(k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+x AS (SELECT c.lang, c.phrase, c.k, c.a, c.ws, j, array_to_string(c.ws[1:j], ' ') AS head, array_to_string(c.ws[j + 1:], ' ') AS rest FROM c, (VALUES (1), (2), (3), (4)) AS s(j) WHERE j < c.k),
+y AS (SELECT x.lang, x.phrase, x.a, j, l.a AS l, r.a AS r, n, (1000::HUGEINT * x.a * n) // (l.a::HUGEINT * r.a) AS score FROM x
+    JOIN f AS l ON l.lang = x.lang AND l.phrase = head JOIN f AS r ON r.lang = x.lang AND r.phrase = rest JOIN n ON n.lang = x.lang),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+o AS (SELECT DISTINCT o.lang, array_to_string(o.ws[i:i + s.k - 1], ' ') AS phrase, o.a AS around FROM c AS o, (VALUES (2), (3), (4)) AS s(k), (VALUES (1), (2), (3), (4)) AS t(i)
+    WHERE s.k < o.k AND i + s.k - 1 <= o.k),
+m AS (SELECT lang, phrase, max(around) AS around FROM o GROUP BY ALL),
+k AS (SELECT z.* FROM z LEFT JOIN m USING (lang, phrase) WHERE around IS NULL OR around < a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM k
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000"""
+
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secret_scan(),
     "op2_exact_dedup": EXACT_DEDUP,
@@ -128,4 +148,5 @@ ORACLES: dict[str, str] = {
     "op9_quality_rules": QUALITY_RULES,
     "op10_url_filter": URL_FILTER,
     "op12_filter_audit": FILTER_AUDIT,
+    "op13_collocations": COLLOCATIONS,
 }
