@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from fathom.staging import discard, sized, staged, workspace
 
-__all__ = ["WORD", "computed", "discard", "join_groups", "prepare", "same", "sized", "staged", "text_or_empty", "workspace"]
+__all__ = ["WORD", "computed", "discard", "fresh", "join_groups", "prepare", "same", "sized", "staged", "text_or_empty", "workspace"]
 
 #: A word, as every contract of this subpackage has it: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,6 +47,17 @@ def computed(df: DataFrame, keep: list[str], inputs: list[str], schema: str, wor
     return df.select(*dict.fromkeys([*keep, *inputs])).mapInArrow(run, whole)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Those names, changed where df has a column of that name (in any case) itself."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def same(left: Column, right: Column) -> Column:
     """Null-safe equality; Spark hashes it like plain equality."""
     return left.eqNullSafe(right)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_groups, prepare, same, sized, staged, text_or_empty
+from .common import fresh, join_groups, prepare, same, sized, staged, text_or_empty
 
 #: Partial sums that a digest may send to its bucket; keys that one task indexes, about.
 SALTS, TASK_KEYS = 16, 200_000
@@ -205,19 +205,20 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     Only ids are joined: those of rows that go are taken out, so texts are not shuffled unless very many go. Rows whose
     id is null or comes again are told apart by their texts; of these alone digests are joined.
     """
+    again, gone_id, id_, digest, own, as_json, nth = fresh(docs, "again", "gone", "id", "digest", "own", "as_json", "nth")
     marked = staged(mark_copies(docs), "marked")
-    repeated = staged(marked.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_again")), "repeated")
-    gone = staged(marked.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    repeated = staged(marked.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias(again)), "repeated")
+    gone = staged(marked.where("not kept and doc_id is not null").select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
     any_repeated = not repeated.isEmpty()
     once = docs
     if any_repeated:
-        once = docs.join(sized(repeated), same(docs["doc_id"], F.col("_again")), "left_anti")
-    kept = once.join(sized(gone), once["doc_id"] == F.col("_gone"), "left_anti")
+        once = docs.join(sized(repeated), same(docs["doc_id"], F.col(again)), "left_anti")
+    kept = once.join(sized(gone), once["doc_id"] == F.col(gone_id), "left_anti")
     if not any_repeated:
         return kept
-    rows = docs.join(sized(repeated), same(docs["doc_id"], F.col("_again")), "left_semi")
-    rows = rows.withColumns({"_own": F.unhex(F.sha2(text_or_empty(rows), 256)), "_as_json": F.to_json(F.struct(*(rows[c] for c in docs.columns)))})
-    stays = marked.where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    rows = rows.join(stays, same(rows["doc_id"], F.col("_id")) & (rows["_own"] == F.col("_digest")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy("_as_json"))
-    return kept.unionByName(rows.withColumn("_nth", nth).where("_nth = 1").select(docs.columns))
+    rows = docs.join(sized(repeated), same(docs["doc_id"], F.col(again)), "left_semi")
+    rows = rows.withColumns({own: F.unhex(F.sha2(text_or_empty(rows), 256)), as_json: F.to_json(F.struct(*(rows[c] for c in docs.columns)))})
+    stays = marked.where("kept").select(F.col("doc_id").alias(id_), F.col("digest").alias(digest))
+    rows = rows.join(stays, same(rows["doc_id"], F.col(id_)) & (rows[own] == F.col(digest)), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", own).orderBy(as_json))
+    return kept.unionByName(rows.withColumn(nth, first).where(F.col(nth) == 1).select(docs.columns))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, computed, same, staged
+from .common import WORD, computed, fresh, same, staged
 
 #: Hex digits of the hash that each histogram splits by, and in all.
 DIGITS, LEVELS = 3, 5
@@ -109,8 +109,8 @@ def plan_of(rows: DataFrame, weights: list[int], max_repeat: int) -> DataFrame:
     return staged(plan.select(F.col("source").alias("_p"), "source_size", "target", "whole", "below"), "plan")
 
 
-def _passes(hashed: Column, has_words: Column) -> Column:
-    return F.col("whole") + F.coalesce((hashed < F.col("below")) & has_words, F.lit(False)).cast("long")
+def _passes(hashed: Column, has_words: Column, whole: str = "whole", below: str = "below") -> Column:
+    return F.col(whole) + F.coalesce((hashed < F.col(below)) & has_words, F.lit(False)).cast("long")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, seed: str = "mix-1") -> DataFrame:
@@ -123,7 +123,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int =
 
 def repeat_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, seed: str = "mix-1") -> DataFrame:
     """The rows of docs as often as the mix takes them, with their columns. The texts are not shuffled."""
-    plan = plan_of(staged(sizes(docs, seed), "sizes"), list(weights), max_repeat).select("_p", "whole", "below")
-    joined = docs.join(plan, same(docs["source"], plan["_p"]))
-    often = F.array_repeat(F.lit(1), _passes(hash_of(docs["doc_id"], seed), F.coalesce(docs["text"].rlike(WORD), F.lit(False))).cast("int"))
-    return joined.select(*(docs[c] for c in docs.columns), F.explode(often).alias("_nth")).drop("_nth")
+    own, whole, below, nth = fresh(docs, "of_source", "whole", "below", "nth")
+    plan = plan_of(staged(sizes(docs, seed), "sizes"), list(weights), max_repeat).select(F.col("_p").alias(own), F.col("whole").alias(whole), F.col("below").alias(below))
+    joined = docs.join(plan, same(docs["source"], plan[own]))
+    has_words = F.coalesce(docs["text"].rlike(WORD), F.lit(False))
+    often = F.array_repeat(F.lit(1), _passes(hash_of(docs["doc_id"], seed), has_words, whole, below).cast("int"))
+    return joined.select(*(docs[c] for c in docs.columns), F.explode(often).alias(nth)).drop(nth)

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_groups, prepare, same, sized, staged
+from .common import discard, fresh, join_groups, prepare, same, sized, staged
 from .components import components
 
 #: The table of common tokens has 2**ORDER bytes; sets and tokens of a group, about.
@@ -655,5 +655,6 @@ def drop_near_copies(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     """The rows of docs, with their columns, of which one document of each component stays: that with the smallest id.
     Rows that repeat this id are the same document and stay; so do rows with a null id. Texts are not shuffled unless
     very many documents go."""
-    gone = near_components(docs, t).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(sized(staged(gone, "gone")), docs["doc_id"] == F.col("_gone"), "left_anti")
+    (gone_id,) = fresh(docs, "gone")
+    gone = near_components(docs, t).where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(sized(staged(gone, "gone")), docs["doc_id"] == F.col(gone_id), "left_anti")

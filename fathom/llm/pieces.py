@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import computed, prepare
+from .common import computed, fresh, prepare
 
 SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -305,9 +305,10 @@ def encode_rows(docs: DataFrame, model: str) -> DataFrame:
             yield pd.DataFrame({"piece_ids": [np.frombuffer(c, dtype=own.model.dtype).astype(np.int32) for c in coded], "decoded": [own.decode(c) for c in coded]})
 
     prepare(docs.sparkSession)
-    made = docs.withColumn("_coded", run(docs["text"]))
-    kept = [made[c] for c in docs.columns if c not in ("piece_ids", "decoded")]
-    return made.select(*kept, "_coded.piece_ids", "_coded.decoded")
+    (coded,) = fresh(docs, "coded")
+    made = docs.withColumn(coded, run(docs["text"]))
+    kept = [made[c] for c in docs.columns if c.lower() not in ("piece_ids", "decoded")]
+    return made.select(*kept, f"{coded}.piece_ids", f"{coded}.decoded")
 
 
 def digest_rows(docs: DataFrame, model: str) -> DataFrame:
