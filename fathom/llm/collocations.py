@@ -6,9 +6,11 @@ together, in reverse lexicographic order; then one stack holds the words of the
 it the count of the phrase that ends there is complete and is added to its prefix's. Scores need the counts of the
 phrases' parts, which are joined afterwards.
 
-Two things keep this small. A phrase has no more occurrences than each of its words, so suffixes end before the first
-word that is rare in its language; frequent words are told by a filter of FILTER_BITS bits at most that may take a rare
-word for a frequent one, which costs rows and changes no result. And suffixes are added up in each task.
+Three things keep this small. A phrase has no more occurrences than each of its words and pairs of words, so suffixes end
+before the first word or pair that is rare in its language. Words are counted as they are; pairs of frequent words by
+numbers that stand for them, of which two may share one. Both then pass a filter of FILTER_BITS bits at most. Shared
+numbers and filters may take what is rare for frequent, which costs rows and changes no result, but never the reverse.
+And suffixes are added up in each task.
 Hot first words are split: the shuffle is by ranges of whole suffixes, so a range may begin or end anywhere inside a
 word's suffixes. The phrases on which a range begins or ends may be incomplete; they are kept whatever their
 count, and summed over ranges before the threshold applies.
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +37,14 @@ from .common import join_groups, prepare, sized, staged, text_or_empty
 
 #: Words of a phrase at most, its occurrences at least, and phrases of a language that are reported.
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
-#: Counts that a task adds up before it hands them on.
-HELD = 300_000
-#: Bits of the filter for each frequent word, and all of them at most (64 MB); hashes of a word.
-BITS_A_WORD, FILTER_BITS, HASHES = 16, 1 << 29, 4
+#: Counts that a task adds up, words that it remembers, and pairs that it counts at once.
+HELD, KNOWN, PAIRS = 300_000, 500_000, 1 << 21
+#: Bits of a filter for each entry, all of them at most (64 MB), and places of an entry; numbers of pairs have so many bits
+#: more than the number of words.
+BITS_EACH, FILTER_BITS, PLACES, SPARE_BITS = 16, 1 << 29, 2, 6
 _LETTERS = bytes(range(0x41, 0x5B))
-#: Lower-cases A to Z, ends pieces by line feeds and words by spaces.
-_PLAIN = bytes.maketrans(_LETTERS + b".,;:!?\x0b\x0c\r\t", _LETTERS.lower() + b"\n" * 9 + b" ")
+#: Lower-cases A to Z; pieces end at full stops, which no word holds, and words at spaces.
+_PLAIN = bytes.maketrans(_LETTERS + b",;:!?\n\x0b\x0c\r\t", _LETTERS.lower() + b"." * 9 + b" ")
 #: Words of a suffix are joined by zero bytes, so zero bytes of a word are written as others.
 _HIDDEN = re.compile(rb"\x01[\x01\x02]")
 
@@ -82,7 +85,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = text.translate(_PLAIN).split()
+                words = text.translate(_PLAIN).replace(b".", b" ").split()
                 counts.setdefault(lang, Counter()).update(words)
                 sums[lang] += len(words)
             if sum(map(len, counts.values())) > HELD:
@@ -94,65 +97,132 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return _plain_texts(docs).mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-class Frequent:
-    """A filter of words by language: every frequent word is in it, and few others."""
+class Filter:
+    """A set of 64-bit numbers as bits: every number put in is in it, and few others. Sizes are powers of two."""
 
     def __init__(self, size: int, pages: dict[int, bytes]):
-        self.size = size
+        self.shift = np.uint64(64 - size.bit_length() + 1)
         self.bits = np.zeros(size // 8, dtype=np.uint8)
         for k, page in pages.items():
-            own = np.frombuffer(page, dtype=np.uint8)[: len(self.bits) - k * 4096]
-            self.bits[k * 4096 : k * 4096 + len(own)] = own
+            self.bits[k * 4096 : (k + 1) * 4096] = np.frombuffer(page, dtype=np.uint8)
 
     @staticmethod
-    def places(lang: bytes, word: bytes, size: int) -> list[int]:
-        h = xxhash.xxh64_intdigest(word, seed=xxhash.xxh32_intdigest(lang))
-        step = (h >> 32) | 1
-        return [(h + k * step) % size for k in range(HASHES)]
+    def places(numbers: np.ndarray, shift: np.uint64) -> list[np.ndarray]:
+        return [numbers * np.uint64(odd) >> shift for odd in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)[:PLACES]]
 
-    def __contains__(self, key: tuple[bytes, bytes]) -> bool:
-        return all(self.bits[p >> 3] >> (p & 7) & 1 for p in self.places(*key, self.size))
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        out = np.ones(len(numbers), dtype=bool)
+        for at in self.places(numbers, self.shift):
+            out &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return out
 
 
-def frequent_filter(words: DataFrame) -> Frequent:
-    """The filter of words (lang, word), made of bitmaps of 4096 bytes; what comes to the driver is FILTER_BITS at most."""
-    size = 1 << 15
-    n = words.count()
-    while size < min(BITS_A_WORD * n, FILTER_BITS):
+def filter_of(rows: DataFrame, columns: list[str], numbers: Callable[..., np.ndarray]) -> Filter:
+    """The filter of numbers(*columns) of rows, made of bitmaps of 4096 bytes; FILTER_BITS come to the driver at most."""
+    size, n = 1 << 15, rows.count()
+    while size < min(BITS_EACH * n, FILTER_BITS):
         size *= 2
+    shift = np.uint64(64 - size.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            places = [p for lang, word in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for p in Frequent.places(lang, word, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64())], names=["place"])
+            own = numbers(*(b.column(c) for c in columns))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at.astype(np.int64) for at in Filter.places(own, shift)]))], names=["place"])
 
-    places = words.select(F.col("lang").cast("binary"), F.col("word").cast("binary")).mapInArrow(run, "place long")
+    places = rows.select(*columns).mapInArrow(run, "place long")
     page, bit = F.shiftright("place", 15), F.col("place").bitwiseAND((1 << 15) - 1)
     pages = places.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(bit).alias("bits"))
-    return Frequent(size, {r["page"]: bytes(r["bits"]) for r in pages.toLocalIterator()})
+    return Filter(size, {r["page"]: bytes(r["bits"]) for r in pages.toLocalIterator()})
+
+
+def word_number(lang: str, word: bytes) -> int:
+    """A number for a word of a language; 0 stands for no word."""
+    return xxhash.xxh64_intdigest(word, seed=xxhash.xxh32_intdigest(lang.encode())) or 1
+
 
+def pair_numbers(words: np.ndarray, bits: int) -> np.ndarray:
+    """A number of so many bits for each pair of neighbours; 0 where either is no word."""
+    a, b = words[:-1], words[1:]
+    mixed = (a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - bits)
+    return np.where((a > 0) & (b > 0), mixed | np.uint64(1), np.uint64(0))
 
-class _Known(dict):
-    """The word as it stands in suffixes, or None if it is rare; asks the filter once for each word that it holds."""
 
-    def __init__(self, lang: bytes, words: Frequent):
-        self.lang, self.words = lang, words
+def _listed(langs: pa.Array, words: pa.Array) -> np.ndarray:
+    return np.array([word_number(lang, w) for lang, w in zip(langs.to_pylist(), words.cast(pa.binary()).to_pylist())], dtype=np.uint64)
 
-    def __missing__(self, word: bytes) -> bytes | None:
-        if len(self) > HELD:
+
+class _Words(dict):
+    """Numbers of the words of a language, 0 for rare ones and for the full stop; words are looked up in the filter together."""
+
+    def __init__(self, lang: str, frequent: Filter):
+        self.lang, self.frequent = lang, frequent
+
+    def numbers(self, tokens: list[bytes]) -> np.ndarray:
+        if len(self) > KNOWN:
             self.clear()
-        self[word] = out = _hidden(word) if (self.lang, word) in self.words else None
-        return out
+        new = [w for w in set(tokens) if w not in self]
+        own = np.array([word_number(self.lang, w) for w in new], dtype=np.uint64)
+        self.update(zip(new, np.where(self.frequent.has(own), own, np.uint64(0)).tolist()))
+        self[b"."] = 0
+        return np.fromiter(map(self.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
 
-def suffixes(docs: DataFrame, frequent: Frequent, max_words: int = MAX_WORDS) -> DataFrame:
-    """lang, suffix, n: suffixes of two words and more, counted in each task."""
-    shared = docs.sparkSession.sparkContext.broadcast((frequent.size, frequent.bits))
+def _shared(docs: DataFrame, *filters: Filter):
+    return docs.sparkSession.sparkContext.broadcast([(f.shift, f.bits) for f in filters])
+
+
+def _opened(shared) -> list[Filter]:
+    out = []
+    for shift, bits in shared.value:
+        own = Filter.__new__(Filter)
+        own.shift, own.bits = shift, bits
+        out.append(own)
+    return out
+
+
+def _tokens(batches: Iterator[pa.RecordBatch], frequent: Filter) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+    """Language, words and full stops, and their numbers, of each text."""
+    known: dict[str, _Words] = {}
+    for b in batches:
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            tokens = text.translate(_PLAIN).replace(b".", b" . ").split()
+            if tokens:
+                yield lang, tokens, known.setdefault(lang, _Words(lang, frequent)).numbers(tokens)
+
+
+def pair_counts(docs: DataFrame, frequent: Filter, bits: int) -> DataFrame:
+    """pair, n: how often the pairs of frequent words with each number occur."""
+    shared = _shared(docs, frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Frequent(8, {})
-        words.size, words.bits = shared.value
-        known: dict[str, _Known] = {}
+        (words,) = _opened(shared)
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            pairs, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(pairs.astype(np.int64)), pa.array(n.astype(np.int32))], names=["pair", "n"])
+
+        for _, _, numbers in _tokens(batches, words):
+            pairs = pair_numbers(numbers, bits)
+            held.append(pairs[pairs > 0])
+            size += len(held[-1])
+            if size > PAIRS:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    prepare(docs.sparkSession)
+    return _plain_texts(docs).mapInArrow(run, "pair long, n int").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def suffixes(docs: DataFrame, words: Filter, pairs: Filter, bits: int, max_words: int = MAX_WORDS) -> DataFrame:
+    """lang, suffix, n: suffixes that begin with a frequent pair, up to the first rare one, counted in each task."""
+    shared = _shared(docs, words, pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs = _opened(shared)
         counts: dict[str, Counter] = {}
         join = b"\x00".join
 
@@ -161,21 +231,17 @@ def suffixes(docs: DataFrame, frequent: Frequent, max_words: int = MAX_WORDS) ->
                 yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(found, pa.binary()), pa.array(n)], names=["lang", "suffix", "n"])
             counts.clear()
 
-        for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = known.get(lang) or known.setdefault(lang, _Known(lang.encode(), words))
-                found: list[bytes] = []
-                for piece in text.translate(_PLAIN).split(b"\n"):
-                    run_of: list[bytes] = []
-                    for w in [*(own[w] for w in piece.split()), None]:
-                        if w is not None:
-                            run_of.append(w)
-                        elif run_of:
-                            found += [join(run_of[i : i + max_words]) for i in range(len(run_of) - 1)]
-                            run_of = []
-                counts.setdefault(lang, Counter()).update(found)
-                if sum(map(len, counts.values())) > HELD:
-                    yield from out()
+        for lang, tokens, numbers in _tokens(batches, words):
+            own = pair_numbers(numbers, bits)
+            fits = (own > 0) & pairs.has(own)
+            size = np.ones(len(tokens), dtype=np.int64)  # words of the suffix at each place
+            for _ in range(max_words - 1):  # one word longer wherever the pair fits and the next suffix is long enough
+                size[:-1] = np.where(fits, np.minimum(size[1:] + 1, max_words), 1)
+            starts = np.flatnonzero(size > 1)
+            tokens = [_hidden(t) for t in tokens]
+            counts.setdefault(lang, Counter()).update([join(tokens[i : i + k]) for i, k in zip(starts.tolist(), size[starts].tolist())])
+            if sum(map(len, counts.values())) > HELD:
+                yield from out()
         yield from out()
 
     prepare(docs.sparkSession)
@@ -288,7 +354,12 @@ def without_contained(phrases: DataFrame, of: DataFrame) -> DataFrame:
 def mine(docs: DataFrame, least: int = MIN_COUNT, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a (its count), l, r (its parts' at the weakest cut), n (words of the language), score."""
     words = staged(word_counts(docs).where((F.col("n") >= least) | F.col("word").isNull()), "words")
-    found = staged(suffixes(docs, frequent_filter(words.where("word is not null"))), "suffixes")
+    total = words.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = min(62, int(total).bit_length() + SPARE_BITS)
+    frequent = filter_of(words.where("word is not null"), ["lang", "word"], _listed)
+    pairs = staged(pair_counts(docs, frequent, bits).where(F.col("n") >= least).select("pair"), "pairs")
+    known = filter_of(pairs, ["pair"], lambda p: p.to_numpy().astype(np.uint64))
+    found = staged(suffixes(docs, frequent, known, bits), "suffixes")
     phrases = staged(frequent_phrases(found, least), "phrases")
     scored = without_contained(best_cuts(phrases, words), phrases)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("n"), "phrase")

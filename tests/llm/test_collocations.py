@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,18 +88,22 @@ def test_ranges_that_split_a_word():
 
 def test_filter_knows_every_word(spark):
     words = [("en", f"w{k}") for k in range(5000)]
-    made = col.frequent_filter(spark.createDataFrame(words, "lang string, word string"))
-    assert all((lang.encode(), w.encode()) in made for lang, w in words)
-    assert sum((b"de", f"w{k}".encode()) in made for k in range(5000)) < 100
+    made = col.filter_of(spark.createDataFrame(words, "lang string, word string"), ["lang", "word"], col._listed)
+    numbers = lambda lang: np.array([col.word_number(lang, f"w{k}".encode()) for k in range(5000)], dtype=np.uint64)
+    assert made.has(numbers("en")).all() and made.has(numbers("de")).sum() < 250
 
 
-def test_a_full_filter_changes_nothing(odd):
+def test_full_filters_change_nothing(odd):
+    """Filters and shared numbers only save rows: with filters that let everything pass, phrases are the same."""
     words = col.word_counts(odd).where("n >= 3 and word is not null")
-    full = col.Frequent(1 << 15, {0: b"\xff" * 4096})
-    counted = [staged(col.suffixes(odd, f), "suffixes") for f in (col.frequent_filter(words), full)]
-    assert counted[1].count() > counted[0].count() > 0
+    own, full = col.filter_of(words, ["lang", "word"], col._listed), col.Filter(1 << 15, {0: b"\xff" * 4096})
+    pairs = col.filter_of(staged(col.pair_counts(odd, own, 40).where("n >= 3"), "pairs"), ["pair"], lambda p: p.to_numpy().astype(np.uint64))
+    few = col.filter_of(staged(col.pair_counts(odd, own, 3).where("n >= 3"), "pairs"), ["pair"], lambda p: p.to_numpy().astype(np.uint64))
+    counted = [staged(col.suffixes(odd, *f), "suffixes") for f in ((own, pairs, 40), (own, few, 3), (own, full, 40), (full, full, 40))]
+    rows = [f.count() for f in counted]
+    assert 0 < rows[0] <= rows[1] <= rows[2] < rows[3]
     got = [sorted(tuple(r) for r in col.frequent_phrases(f, 3).collect()) for f in counted]
-    assert got[0] == got[1] and got[0]
+    assert all(g == got[0] for g in got) and got[0]
 
 
 def test_scores_beyond_64_bits(spark):
