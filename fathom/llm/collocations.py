@@ -6,11 +6,12 @@ together, in reverse lexicographic order; then one stack holds the words of the
 it the count of the phrase that ends there is complete and is added to its prefix's. Scores need the counts of the
 phrases' parts, which are joined afterwards.
 
-Three things keep this small. A phrase has no more occurrences than each of its words and pairs of words, so suffixes end
-before the first word or pair that is rare in its language. Words are counted as they are; pairs of frequent words by
-numbers that stand for them, of which two may share one. Both then pass a filter of FILTER_BITS bits at most. Shared
-numbers and filters may take what is rare for frequent, which costs rows and changes no result, but never the reverse.
-And suffixes are added up in each task.
+Three things keep this small. A phrase has no more occurrences than each of its words, pairs and triples of words, so
+suffixes end before the first word, pair or triple that is rare in its language. Words are counted as they are, pairs of
+frequent words and triples of frequent pairs by numbers that stand for them, of which two may share one. Each then passes a
+filter of FILTER_BITS bits at most. Shared numbers and filters may take what is rare for frequent, which costs rows and
+changes no result, but never the reverse. And suffixes are added up in each task. Texts are scanned as arrays of bytes:
+words get their numbers by prefix sums.
 Hot first words are split: the shuffle is by ranges of whole suffixes, so a range may begin or end anywhere inside a
 word's suffixes. The phrases on which a range begins or ends may be incomplete; they are kept whatever their
 count, and summed over ranges before the threshold applies.
@@ -33,13 +34,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_groups, prepare, sized, staged, text_or_empty
+from .common import discard, join_groups, prepare, sized, staged, text_or_empty
 
 #: Words of a phrase at most, its occurrences at least, and phrases of a language that are reported.
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
-#: Counts that a task adds up, words that it remembers, and pairs that it counts at once.
-HELD, KNOWN, PAIRS = 300_000, 500_000, 1 << 21
-#: Bits of a filter for each entry, all of them at most (64 MB), and places of an entry; numbers of pairs have so many bits
+#: Counts that a task adds up, grams that it counts at once, and bytes of texts that are scanned together.
+HELD, GRAMS, CHUNK_BYTES = 300_000, 1 << 21, 1 << 20
+#: Bits of a filter for each entry, all of them at most (64 MB), and places of an entry; numbers of grams have so many bits
 #: more than the number of words.
 BITS_EACH, FILTER_BITS, PLACES, SPARE_BITS = 16, 1 << 29, 2, 6
 _LETTERS = bytes(range(0x41, 0x5B))
@@ -135,40 +136,55 @@ def filter_of(rows: DataFrame, columns: list[str], numbers: Callable[..., np.nda
     return Filter(size, {r["page"]: bytes(r["bits"]) for r in pages.toLocalIterator()})
 
 
-def word_number(lang: str, word: bytes) -> int:
-    """A number for a word of a language; 0 stands for no word."""
-    return xxhash.xxh64_intdigest(word, seed=xxhash.xxh32_intdigest(lang.encode())) or 1
+class Scanner:
+    """Words of texts and their numbers, from arrays of bytes."""
 
+    def __init__(self) -> None:
+        self.powers = self.inverses = np.ones(1, dtype=np.uint64)
 
-def pair_numbers(words: np.ndarray, bits: int) -> np.ndarray:
-    """A number of so many bits for each pair of neighbours; 0 where either is no word."""
-    a, b = words[:-1], words[1:]
-    mixed = (a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - bits)
-    return np.where((a > 0) & (b > 0), mixed | np.uint64(1), np.uint64(0))
+    def _grow(self, size: int) -> None:
+        if len(self.powers) < size:
+            base = 0x9E3779B97F4A7C15
+            for name, step in (("powers", base), ("inverses", pow(base, -1, 1 << 64))):
+                steps = np.full(size, step, dtype=np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.multiply.accumulate(steps))
 
+    def scan(self, lang: str, plain: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where words of a plain text start and end, their numbers (never 0), and of each but the last whether the next one is
+        in the same piece."""
+        data = np.frombuffer(plain, dtype=np.uint8)
+        stop = data == 0x2E
+        inside = ~(stop | (data == 0x20))
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
+        starts, ends = edges[::2], edges[1::2]
+        self._grow(len(data))
+        upto = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)], out=upto[1:])
+        numbers = (upto[ends] - upto[starts]) * self.inverses[starts] + np.uint64(xxhash.xxh64_intdigest(lang.encode()))
+        pieces = np.cumsum(stop, dtype=np.int32)[starts] if len(data) else np.zeros(0, dtype=np.int32)
+        return starts, ends, _mixed(numbers) | np.uint64(1), pieces[1:] == pieces[:-1]
 
-def _listed(langs: pa.Array, words: pa.Array) -> np.ndarray:
-    return np.array([word_number(lang, w) for lang, w in zip(langs.to_pylist(), words.cast(pa.binary()).to_pylist())], dtype=np.uint64)
+
+def _mixed(numbers: np.ndarray) -> np.ndarray:
+    numbers = (numbers ^ numbers >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (numbers ^ numbers >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
 
 
-class _Words(dict):
-    """Numbers of the words of a language, 0 for rare ones and for the full stop; words are looked up in the filter together."""
+def _listed(langs: pa.Array, words: pa.Array) -> np.ndarray:
+    """Numbers of single words."""
+    scanner, words = Scanner(), words.cast(pa.binary()).to_pylist()
+    return np.concatenate([np.zeros(0, dtype=np.uint64), *(scanner.scan(lang, w)[2] for lang, w in zip(langs.to_pylist(), words))])
 
-    def __init__(self, lang: str, frequent: Filter):
-        self.lang, self.frequent = lang, frequent
 
-    def numbers(self, tokens: list[bytes]) -> np.ndarray:
-        if len(self) > KNOWN:
-            self.clear()
-        new = [w for w in set(tokens) if w not in self]
-        own = np.array([word_number(self.lang, w) for w in new], dtype=np.uint64)
-        self.update(zip(new, np.where(self.frequent.has(own), own, np.uint64(0)).tolist()))
-        self[b"."] = 0
-        return np.fromiter(map(self.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+def longer(grams: np.ndarray, together: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers, of so many bits, of grams one word longer, from those of neighbours; 0 where either is 0 or they are apart."""
+    a, b = grams[:-1], grams[1:]
+    made = _mixed(a * np.uint64(0x9E3779B97F4A7C15) + b) >> np.uint64(64 - bits)
+    return np.where((a > 0) & (b > 0) & together[: len(a)], made | np.uint64(1), np.uint64(0))
 
 
-def _shared(docs: DataFrame, *filters: Filter):
+def _shared(docs: DataFrame, filters: list[Filter]):
     return docs.sparkSession.sparkContext.broadcast([(f.shift, f.bits) for f in filters])
 
 
@@ -181,65 +197,89 @@ def _opened(shared) -> list[Filter]:
     return out
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], frequent: Filter) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-    """Language, words and full stops, and their numbers, of each text."""
-    known: dict[str, _Words] = {}
+def _scanned(batches: Iterator[pa.RecordBatch], filters: list[Filter], bits: int):
+    """lang, plain text, starts and ends of its words, and numbers of its grams of 1, 2, ... words, 0 for those that the filter of
+    their length lacks; the last ones are one word longer than there are filters. Texts of a language are joined by full stops."""
+    scanner = Scanner()
+
+    def out(lang: str, texts: list[bytes]):
+        plain = b".".join(texts).translate(_PLAIN)
+        starts, ends, numbers, together = scanner.scan(lang, plain)
+        grams = []
+        for f in filters:
+            grams.append(np.where(f.has(numbers), numbers, np.uint64(0)) if len(numbers) else numbers)
+            numbers = longer(grams[-1], together, bits) if len(numbers) else numbers
+        return lang, plain, starts, ends, [*grams, numbers]
+
+    held: dict[str, tuple[list[bytes], list[int]]] = {}
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            tokens = text.translate(_PLAIN).replace(b".", b" . ").split()
-            if tokens:
-                yield lang, tokens, known.setdefault(lang, _Words(lang, frequent)).numbers(tokens)
+            texts, size = held.setdefault(lang, ([], [0]))
+            texts.append(text)
+            size[0] += len(text)
+            if size[0] >= CHUNK_BYTES:
+                yield out(lang, held.pop(lang)[0])
+    for lang, (texts, _) in held.items():
+        yield out(lang, texts)
 
 
-def pair_counts(docs: DataFrame, frequent: Filter, bits: int) -> DataFrame:
-    """pair, n: how often the pairs of frequent words with each number occur."""
-    shared = _shared(docs, frequent)
+def gram_counts(docs: DataFrame, filters: list[Filter], bits: int) -> DataFrame:
+    """gram, n: how often the grams one word longer than there are filters occur, by their numbers."""
+    shared = _shared(docs, filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (words,) = _opened(shared)
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            pairs, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs.astype(np.int64)), pa.array(n.astype(np.int32))], names=["pair", "n"])
+            grams, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int32))], names=["gram", "n"])
 
-        for _, _, numbers in _tokens(batches, words):
-            pairs = pair_numbers(numbers, bits)
-            held.append(pairs[pairs > 0])
+        for *_, grams in _scanned(batches, _opened(shared), bits):
+            held.append(grams[-1][grams[-1] > 0])
             size += len(held[-1])
-            if size > PAIRS:
+            if size > GRAMS:
                 yield out()
                 held, size = [], 0
         if held:
             yield out()
 
     prepare(docs.sparkSession)
-    return _plain_texts(docs).mapInArrow(run, "pair long, n int").groupBy("pair").agg(F.sum("n").alias("n"))
+    return _plain_texts(docs).mapInArrow(run, "gram long, n int").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def gram_filter(docs: DataFrame, filters: list[Filter], bits: int, least: int) -> Filter:
+    """The filter of frequent grams one word longer than there are filters."""
+    often = staged(gram_counts(docs, filters, bits).where(F.col("n") >= least).select("gram"), "grams")
+    out = filter_of(often, ["gram"], lambda g: g.to_numpy().astype(np.uint64))
+    discard(often)
+    return out
 
 
-def suffixes(docs: DataFrame, words: Filter, pairs: Filter, bits: int, max_words: int = MAX_WORDS) -> DataFrame:
-    """lang, suffix, n: suffixes that begin with a frequent pair, up to the first rare one, counted in each task."""
-    shared = _shared(docs, words, pairs)
+def suffixes(docs: DataFrame, filters: list[Filter], bits: int, max_words: int = MAX_WORDS) -> DataFrame:
+    """lang, suffix, n: suffixes that begin with a frequent pair, up to the first rare gram, counted in each task. filters are those of
+    words, pairs and triples."""
+    shared = _shared(docs, filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = _opened(shared)
         counts: dict[str, Counter] = {}
-        join = b"\x00".join
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, found, n in _rows(counts):
                 yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(found, pa.binary()), pa.array(n)], names=["lang", "suffix", "n"])
             counts.clear()
 
-        for lang, tokens, numbers in _tokens(batches, words):
-            own = pair_numbers(numbers, bits)
-            fits = (own > 0) & pairs.has(own)
-            size = np.ones(len(tokens), dtype=np.int64)  # words of the suffix at each place
-            for _ in range(max_words - 1):  # one word longer wherever the pair fits and the next suffix is long enough
-                size[:-1] = np.where(fits, np.minimum(size[1:] + 1, max_words), 1)
-            starts = np.flatnonzero(size > 1)
-            tokens = [_hidden(t) for t in tokens]
-            counts.setdefault(lang, Counter()).update([join(tokens[i : i + k]) for i, k in zip(starts.tolist(), size[starts].tolist())])
+        for lang, plain, starts, ends, (_, pairs, triples, _) in _scanned(batches, _opened(shared), bits):
+            size = np.ones(len(starts), dtype=np.int64)  # words of the suffix at each place
+            size[:-1][pairs > 0] = 2
+            three = np.flatnonzero(triples > 0)
+            for k in range(3, max_words + 1):  # k words wherever a triple stands and k - 1 words follow from the next place
+                size[three[size[three + 1] >= k - 1]] = k
+            at = np.flatnonzero(size > 1)
+            found = [plain[a:b] for a, b in zip(starts[at].tolist(), ends[at + size[at] - 1].tolist())]
+            if b"  " in plain:
+                found = [re.sub(b" +", b" ", f) if b"  " in f else f for f in found]
+            own = Counter(found)
+            counts.setdefault(lang, Counter()).update({b"\x00".join(map(_hidden, f.split(b" "))): n for f, n in own.items()})
             if sum(map(len, counts.values())) > HELD:
                 yield from out()
         yield from out()
@@ -356,10 +396,10 @@ def mine(docs: DataFrame, least: int = MIN_COUNT, top: int = TOP) -> DataFrame:
     words = staged(word_counts(docs).where((F.col("n") >= least) | F.col("word").isNull()), "words")
     total = words.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(62, int(total).bit_length() + SPARE_BITS)
-    frequent = filter_of(words.where("word is not null"), ["lang", "word"], _listed)
-    pairs = staged(pair_counts(docs, frequent, bits).where(F.col("n") >= least).select("pair"), "pairs")
-    known = filter_of(pairs, ["pair"], lambda p: p.to_numpy().astype(np.uint64))
-    found = staged(suffixes(docs, frequent, known, bits), "suffixes")
+    filters = [filter_of(words.where("word is not null"), ["lang", "word"], _listed)]
+    for _ in range(2):
+        filters.append(gram_filter(docs, filters, bits, least))
+    found = staged(suffixes(docs, filters, bits), "suffixes")
     phrases = staged(frequent_phrases(found, least), "phrases")
     scored = without_contained(best_cuts(phrases, words), phrases)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("n"), "phrase")

@@ -87,9 +87,9 @@ def test_ranges_that_split_a_word():
 
 
 def test_filter_knows_every_word(spark):
-    words = [("en", f"w{k}") for k in range(5000)]
-    made = col.filter_of(spark.createDataFrame(words, "lang string, word string"), ["lang", "word"], col._listed)
-    numbers = lambda lang: np.array([col.word_number(lang, f"w{k}".encode()) for k in range(5000)], dtype=np.uint64)
+    words = [f"w{k}" for k in range(5000)]
+    made = col.filter_of(spark.createDataFrame([("en", w) for w in words], "lang string, word string"), ["lang", "word"], col._listed)
+    numbers = lambda lang: col.Scanner().scan(lang, " ".join(words).encode())[2]
     assert made.has(numbers("en")).all() and made.has(numbers("de")).sum() < 250
 
 
@@ -97,11 +97,12 @@ def test_full_filters_change_nothing(odd):
     """Filters and shared numbers only save rows: with filters that let everything pass, phrases are the same."""
     words = col.word_counts(odd).where("n >= 3 and word is not null")
     own, full = col.filter_of(words, ["lang", "word"], col._listed), col.Filter(1 << 15, {0: b"\xff" * 4096})
-    pairs = col.filter_of(staged(col.pair_counts(odd, own, 40).where("n >= 3"), "pairs"), ["pair"], lambda p: p.to_numpy().astype(np.uint64))
-    few = col.filter_of(staged(col.pair_counts(odd, own, 3).where("n >= 3"), "pairs"), ["pair"], lambda p: p.to_numpy().astype(np.uint64))
-    counted = [staged(col.suffixes(odd, *f), "suffixes") for f in ((own, pairs, 40), (own, few, 3), (own, full, 40), (full, full, 40))]
+    pairs, few = col.gram_filter(odd, [own], 40, 3), col.gram_filter(odd, [own], 3, 3)
+    triples = col.gram_filter(odd, [own, pairs], 40, 3)
+    sets = (([own, pairs, triples], 40), ([own, pairs, full], 40), ([own, few, full], 3), ([own, full, full], 40), ([full] * 3, 40))
+    counted = [staged(col.suffixes(odd, *f), "suffixes") for f in sets]
     rows = [f.count() for f in counted]
-    assert 0 < rows[0] <= rows[1] <= rows[2] < rows[3]
+    assert 0 < rows[0] < rows[1] <= rows[3] < rows[4] and rows[2] <= rows[3]
     got = [sorted(tuple(r) for r in col.frequent_phrases(f, 3).collect()) for f in counted]
     assert all(g == got[0] for g in got) and got[0]
 
