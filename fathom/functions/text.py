@@ -56,13 +56,17 @@ STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "on", "with", "fo
 PRIORITY_PHRASES = ("leading edge", "trailing edge", "yaw misalignment", "pitch angle", "power deficit", "power residual", "blade crack")
 
 
+#: Every character with the property White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
 def strip(c: Column) -> Column:
     """White space of any kind goes from both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def normalize(c: Column) -> Column:
@@ -110,8 +114,10 @@ def without_noise(text: Column) -> Column:
     space = r"(?U:[^\S\n]*)"
     tests = [p.removeprefix("(?i)").removeprefix("^").removesuffix("$").replace(r"\s", r"[^\S\n]") for p in NOISE]
     www = NOISE_WITH_WWW.replace(r"\s", r"[^\S\n]")
-    line = rf"{space}(?:{'|'.join(tests)}){space}|(?=[^\n]*www\.)(?=[^\n]*{www})[^\n]*"
-    return F.regexp_replace(text, f"(?dmi)^(?:{line})$", "")
+    line = rf"{space}(?:{'|'.join(tests)}){space}"
+    without = lambda lines: F.regexp_replace(text, f"(?dmi)^(?:{lines})$", "")
+    # few texts name a site, and only these are looked through for one
+    return F.when(F.lower(text).contains("www."), without(rf"{line}|(?=[^\n]*www\.)(?=[^\n]*{www})[^\n]*")).otherwise(without(line))
 
 
 def chunk_kind(section: Column, text: Column) -> Column:

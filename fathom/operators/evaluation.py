@@ -67,7 +67,8 @@ def page_keys(hits: DataFrame, gold: DataFrame, tolerance: int = 1, query: str =
     is within tolerance, hits without one drop out. hits has query, source, page, rank; gold has query, source, page, gold_no."""
     key = lambda page: F.concat_ws("::p", "source", page.cast("string"))
     g = gold.where("source is not null and page is not null")
-    near = hits.join(g.select(query, "source", F.col("page").alias("gp"), "gold_no"), [query, "source"]).where(F.abs(F.col("page") - F.col("gp")) <= tolerance)
+    reach = F.explode(F.sequence(F.col("page") - tolerance, F.col("page") + tolerance))  # so that pages meet by equality
+    near = hits.join(g.select(query, "source", F.col("page").alias("gp"), "gold_no", reach.alias("page")), [query, "source", "page"])
     matched = near.groupBy(query, "source", "page", "rank").agg(F.min_by("gp", "gold_no").alias("gp"))
     return matched.select(query, key(F.col("gp")).alias("item"), "rank"), g.select(query, key(F.col("page")).alias("item"))
 

@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.operators.ordered import numbered
+from fathom.staging import staged
+
+
+#: Hexadecimal digits of a hash that a sample's bins are told by.
+BIN_DIGITS = 3
+
 
 def stride_positions(size: Column, tile: int, stride: int) -> Column:
     """0, stride, ... while a tile fits, and one flush with the edge if the last leaves something uncovered."""
@@ -62,11 +69,28 @@ def tile_of(name: Column) -> Column:
     return F.when(name.rlike(p), F.struct(part(1).alias("name"), part(2).cast("int").alias("row"), part(3).cast("int").alias("col")))
 
 
+def overlapping(placed: DataFrame, boxes: DataFrame, tile: int, image: str = "image_id") -> DataFrame:
+    """Every tile with every box of its image that overlaps it, once.
+
+    Both are put in the cells of a grid, tile wide, that they touch, and meet in an equi-join on the cell, so what the join
+    makes grows with the overlaps and an image of any number of boxes is spread over its cells. Of the cells that a pair
+    shares, the one that holds the upper left corner of their overlap makes the row.
+    """
+    cell = lambda c: F.floor(c / tile)
+    span = lambda low, high: F.sequence(cell(low), F.greatest(cell(low), cell(high)))
+    x, y, bx, by = (F.col(c) for c in ("x", "y", "bx", "by"))
+    gridded = placed.withColumn("_cy", F.explode(span(y, y + tile - 1))).withColumn("_cx", F.explode(span(x, x + tile - 1)))
+    solid = boxes.where((F.col("bw") > 0) & (F.col("bh") > 0))
+    met = solid.withColumn("_cy", F.explode(span(by, by + F.col("bh")))).withColumn("_cx", F.explode(span(bx, bx + F.col("bw"))))
+    owner = (F.col("_cx") == cell(F.greatest(bx, x))) & (F.col("_cy") == cell(F.greatest(by, y)))
+    return gridded.join(met, [image, "_cx", "_cy"]).where(owner).drop("_cx", "_cy")
+
+
 def clip_boxes(placed: DataFrame, boxes: DataFrame, tile: int, pad: bool = False, image: str = "image_id") -> DataFrame:
     """Boxes (image, ann_id, category_id, bx, by, bw, bh) cut to the tiles (image, width, height, row, col, x, y) that they
     overlap, in the tile's coordinates, with their area. Tiles that reach over the image's edge count only if pad."""
     inside = placed if pad else placed.where((F.col("x") + tile <= F.col("width")) & (F.col("y") + tile <= F.col("height")))
-    j = inside.join(boxes, image)
+    j = overlapping(inside, boxes, tile, image)
     x1, y1 = F.greatest("bx", "x"), F.greatest("by", "y")
     x2, y2 = F.least(F.col("bx") + F.col("bw"), F.col("x") + tile), F.least(F.col("by") + F.col("bh"), F.col("y") + tile)
     hit = j.where((x2 > x1) & (y2 > y1))
@@ -76,15 +100,10 @@ def clip_boxes(placed: DataFrame, boxes: DataFrame, tile: int, pad: bool = False
 
 def renumber(clipped: DataFrame, image: str = "image_id") -> DataFrame:
     """clipped with tile_no and new_ann_id from 0, in the order of image, row, column and annotation. Numbers are dense
-    over the whole table: offsets of images are summed first, so that no window holds more than one image's rows or one
-    row per image."""
-    own = Window.partitionBy(image)
-    ordered = own.orderBy("row", "col", "ann_id")
-    local = clipped.withColumn("_tile", F.dense_rank().over(own.orderBy("row", "col")) - 1).withColumn("_ann", F.row_number().over(ordered) - 1)
-    sizes = local.groupBy(image).agg((F.max("_tile") + 1).alias("t"), F.count("*").alias("a"))
-    before = Window.orderBy(image).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(image, F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("a").over(before), F.lit(0)).alias("a0"))
-    return local.join(offsets, image).select(*clipped.columns, (F.col("_tile") + F.col("t0")).alias("tile_no"), (F.col("_ann") + F.col("a0")).alias("new_ann_id"))
+    over the whole table; both tiles and rows are numbered by ranges, so no task holds an image."""
+    rows = numbered(clipped, [image, "row", "col", "ann_id"], "new_ann_id")
+    tile_nos = numbered(clipped.select(image, "row", "col").distinct(), [image, "row", "col"], "tile_no")
+    return rows.join(tile_nos, [image, "row", "col"]).select(*clipped.columns, "tile_no", "new_ann_id")
 
 
 def to_full(boxes: DataFrame, tile: int = 1024) -> DataFrame:
@@ -135,10 +154,24 @@ def allocate(counts: DataFrame, total: int, key: str = "category_id") -> DataFra
 
 
 def stratified_sample(items: DataFrame, total: int, id: str, stratum: str, seed: str = "0") -> DataFrame:
-    """items by allocation to their strata; inside one, those whose MD5 of seed and id is smallest."""
-    taken = allocate(items.groupBy(stratum).agg(F.count("*").alias("n")), total, stratum)
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(seed), F.col(id).cast("string"))), id))
-    return items.withColumn("_rank", rank).join(taken.select(stratum, "taken"), stratum).where(F.col("_rank") <= F.col("taken")).select(items.columns)
+    """items by allocation to their strata; inside one, those whose MD5 of seed and id is smallest, of equals the smallest
+    ids. Items with a null stratum or id belong to none.
+
+    No stratum is sorted. Hashes are counted by stratum and first BIN_DIGITS hexadecimal digits; the bin in which the
+    count reaches what is to be taken is the boundary. Items of bins below it are taken whole by a filter, and only those of
+    the boundary are put in order.
+    """
+    own = items.where(F.col(id).isNotNull() & F.col(stratum).isNotNull())
+    hashed = own.withColumn("_hash", F.md5(F.concat(F.lit(seed), F.col(id).cast("string")))).withColumn("_bin", F.substring("_hash", 1, BIN_DIGITS))
+    bins = staged(hashed.groupBy(stratum, "_bin").agg(F.count("*").alias("n")), "bins")  # at most 16 ** BIN_DIGITS rows a stratum
+    taken = allocate(bins.groupBy(stratum).agg(F.sum("n").alias("n")), total, stratum).withColumn("taken", F.least("taken", "n"))
+    upto = F.sum("n").over(Window.partitionBy(stratum).orderBy("_bin"))
+    edges = bins.withColumn("_upto", upto).join(taken.select(stratum, "taken"), stratum).where(F.col("_upto") >= F.col("taken"))
+    edges = edges.groupBy(stratum).agg(F.min("_bin").alias("_edge"), F.min("taken").alias("taken"), F.min_by(F.col("_upto") - F.col("n"), "_bin").alias("_below"))
+    met = hashed.join(F.broadcast(staged(edges, "edges")), stratum)  # a row for each stratum, as allocate() has them
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy("_hash", id))
+    edge = met.where(F.col("_bin") == F.col("_edge")).withColumn("_rank", rank).where(F.col("_rank") <= F.col("taken") - F.col("_below"))
+    return met.where(F.col("_bin") < F.col("_edge")).select(items.columns).unionByName(edge.select(items.columns))
 
 
 def subset(images: DataFrame, boxes: DataFrame, wanted: DataFrame) -> DataFrame:

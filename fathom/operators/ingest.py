@@ -5,12 +5,15 @@ Order is always a column. Windows are partitioned by manual and so are as large
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fathom.functions import text as T
+from fathom.operators.ordered import carried
 from fathom.staging import staged
 
 PAGE, OUTLINE, SOURCE = r"^=== PAGE (\d+) ===$", r"^=== OUTLINE_SECTION: (.*?) ===$", "SOURCE_PDF:"
@@ -36,7 +39,7 @@ def parse_pages(manuals: DataFrame) -> DataFrame:
         F.sum(F.when(is_page, 1).otherwise(0)).over(w).alias("page"),
         F.when(is_page, F.regexp_extract("bare", PAGE, 1).cast("int")).alias("page_index"),
         F.when(is_outline, T.strip(F.regexp_extract("bare", OUTLINE, 1))).alias("outline"),
-        F.last(F.when(is_source, T.strip(F.substring("line", len(SOURCE) + 1, 1_000_000))), ignorenulls=True).over(w).alias("pdf"),
+        F.last(F.when(is_source, T.strip(F.expr(f"substring(line, {len(SOURCE) + 1})"))), ignorenulls=True).over(w).alias("pdf"),
         (is_source | is_page | is_outline).alias("marker"),
     )
     body = F.filter(F.array_sort(F.collect_list(F.when(~F.col("marker"), F.struct("pos", "line")))), lambda x: x.isNotNull())
@@ -109,6 +112,16 @@ def split_blocks(pages: DataFrame, manual: str = "source", page: str = "page_ind
     )
 
 
+def with_section(pages: DataFrame, sections: DataFrame, manual: str = "source") -> DataFrame:
+    """manual, page_index, text, at: each page with the last section (a struct of sections' first, page_end, heading) that begins
+    at or before it; an as-of merge by one pass over both in order, so no task holds a manual and no two rows are compared."""
+    at = F.struct(F.col("first"), F.col("page_end"), F.col("heading"))
+    asked = pages.where("page_index is not null").select(manual, "page_index", F.lit(1).alias("_kind"), "text", F.lit(None).cast(sections.select(at.alias("at")).schema["at"].dataType).alias("_at_section"))
+    answers = sections.select(manual, F.col("first").cast(pages.schema["page_index"].dataType).alias("page_index"), F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("text"), at.alias("_at_section"))
+    merged = carried(answers.unionByName(asked), manual, ["page_index", "_kind"], "_at_section", "at")
+    return merged.where("_kind = 1").select(manual, "page_index", "text", "at")
+
+
 def outline_blocks(pages: DataFrame, outline: DataFrame, manual: str = "source") -> DataFrame:
     """Sections from outline entries (manual, page_index, title, entry_no): the last entry of a page wins, a section ends
     before the next one or with the manual; sections without text and pages before the first entry are lost."""
@@ -116,9 +129,10 @@ def outline_blocks(pages: DataFrame, outline: DataFrame, manual: str = "source")
     end = pages.groupBy(manual).agg(F.max("page_index").alias("max_page"))
     w = Window.partitionBy(manual).orderBy("page_index")
     ranges = last.join(end, manual).select(manual, F.col("page_index").alias("first"), F.coalesce(F.lead("page_index").over(w) - 1, "max_page").alias("page_end"), "heading")
-    ranges = ranges.where("first > 0 and page_end > 0 and page_end >= first")
-    found = pages.where("text <> ''").join(ranges, manual).where(F.col("page_index").between(F.col("first"), F.col("page_end")))
-    grouped = found.groupBy(manual, "first", "page_end", "heading").agg(F.array_sort(F.collect_list(F.struct("page_index", "text"))).alias("texts"))
+    found = with_section(pages.where("text <> ''"), ranges, manual).where("at.first > 0 and at.page_end > 0 and page_index between at.first and at.page_end")
+    grouped = found.groupBy(manual, F.col("at.first").alias("first"), F.col("at.page_end").alias("page_end"), F.col("at.heading").alias("heading")).agg(
+        F.array_sort(F.collect_list(F.struct("page_index", "text"))).alias("texts")
+    )
     number = F.row_number().over(Window.partitionBy(manual).orderBy("first")) - 1
     return grouped.select(manual, number.alias("block_no"), F.col("first").alias("page_index"), "page_end", "heading", F.array_join(F.col("texts.text"), " ").alias("text"))
 
@@ -128,37 +142,38 @@ def page_outline(pages: DataFrame, manual: str = "source") -> DataFrame:
     return pages.where("outline_section is not null").select(manual, "page_index", F.col("outline_section").alias("title"), F.lit(0).alias("entry_no"))
 
 
+def merge_groups(sizes: DataFrame, manual: str = "source", least_tokens: int = 60, least_alpha: float = 0.6) -> DataFrame:
+    """manual, block_no, group: the number of the group that each block of sizes (manual, block_no, n, letters, alnum) goes to; a
+    group ends with the block that gives it enough tokens and letters."""
+    schema = StructType([sizes.schema[manual], sizes.schema["block_no"], *StructType.fromDDL("group int").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, group, n, letters, alnum = object(), 0, 0, 0, 0
+        for b in batches:
+            groups = []
+            for name, *size in zip(*(b.column(c).to_pylist() for c in (manual, "n", "letters", "alnum"))):
+                if name != own:
+                    own, group, n, letters, alnum = name, 0, 0, 0, 0
+                n, letters, alnum = n + size[0], letters + size[1], alnum + size[2]
+                groups.append(group)
+                if n >= least_tokens and (letters / alnum if alnum else 0.0) >= least_alpha:
+                    group, n, letters, alnum = group + 1, 0, 0, 0
+            yield pa.RecordBatch.from_arrays([b.column(manual), b.column("block_no"), pa.array(groups, pa.int32())], names=schema.names)
+
+    in_order = sizes.repartition(manual).sortWithinPartitions(manual, "block_no")
+    return in_order.select(manual, "block_no", "n", "letters", "alnum").mapInArrow(run, schema)
+
+
 def merge_blocks(blocks: DataFrame, manual: str = "source", least_tokens: int = 60, least_alpha: float = 0.6) -> DataFrame:
     """Blocks are joined to the next until they have enough tokens and letters; what is left at the end stays as it is.
 
-    Tokens and letters add up under joining with spaces, so the fold over a manual's blocks carries three counts and
-    notes the last block of each group; texts are joined after it, by the number of ends before a block.
+    Tokens and letters add up under joining with spaces, so the fold carries three counts from block to block: it streams
+    over a manual's sizes in order, in memory that does not grow with the manual. Texts are joined after it.
     """
     blocks = staged(blocks, "blocks")
-    size = F.struct(
-        "block_no",
-        T.token_count(F.col("text")).alias("n"),
-        F.regexp_count("text", F.lit("[A-Za-z]")).alias("letters"),
-        F.regexp_count("text", F.lit("[A-Za-z0-9]")).alias("alnum"),
-    )
-    per_manual = blocks.groupBy(manual).agg(F.array_sort(F.collect_list(size)).alias("sizes"))
-    number = blocks.schema["block_no"].dataType.simpleString()
-    start = F.struct(F.array().cast(f"array<{number}>").alias("ends"), F.lit(0).alias("n"), F.lit(0).alias("letters"), F.lit(0).alias("alnum"))
-
-    def step(acc, x):
-        n, letters, alnum = acc["n"] + x["n"], acc["letters"] + x["letters"], acc["alnum"] + x["alnum"]
-        full = (n >= least_tokens) & (F.coalesce(letters / F.nullif(alnum, F.lit(0)), F.lit(0.0)) >= least_alpha)
-        return F.struct(
-            F.when(full, F.concat(acc["ends"], F.array(x["block_no"]))).otherwise(acc["ends"]).alias("ends"),
-            F.when(full, 0).otherwise(n).alias("n"),
-            F.when(full, 0).otherwise(letters).alias("letters"),
-            F.when(full, 0).otherwise(alnum).alias("alnum"),
-        )
-
-    ends = per_manual.select(manual, F.explode(F.aggregate("sizes", start, step)["ends"]).alias("block_no"))
-    marked = blocks.join(ends.withColumn("_end", F.lit(1)), [manual, "block_no"], "left")
-    before = Window.partitionBy(manual).orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = marked.withColumn("group", F.coalesce(F.sum("_end").over(before), F.lit(0)).cast("int")).drop("_end")
+    count = lambda letters: F.regexp_count("text", F.lit(letters)).alias
+    sizes = blocks.select(manual, "block_no", T.token_count(F.col("text")).alias("n"), count("[A-Za-z]")("letters"), count("[A-Za-z0-9]")("alnum"))
+    placed = blocks.join(merge_groups(sizes, manual, least_tokens, least_alpha), [manual, "block_no"])
     at = lambda c: F.struct("block_no", c)
     merged = placed.groupBy(manual, "group").agg(
         F.min(at("page_index"))["page_index"].alias("page_index"),

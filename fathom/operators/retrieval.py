@@ -5,6 +5,8 @@ Ties are broken by the document's id, ascending. Ranks are partitioned by query.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,19 +42,30 @@ SERVICE = Preset(
 )
 
 
+def _counted(docs: DataFrame, asked: frozenset[str], id: str, text: str) -> DataFrame:
+    """id, dl, hits of every document, counted over Arrow batches; a word is what fathom.functions.text.terms() says."""
+    kind, word = docs.schema[id].dataType.simpleString(), re.compile("[a-z0-9]+")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [word.findall((t or "").lower()) for t in b.column(1).to_pylist()]
+            hits = [[{"term": t, "tf": n} for t, n in Counter(filter(asked.__contains__, words)).items()] for words in found]
+            columns = [b.column(0), pa.array(map(len, found), pa.int32()), pa.array(hits, pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())])))]
+            yield pa.RecordBatch.from_arrays(columns, names=[id, "dl", "hits"])
+
+    return docs.select(id, text).mapInArrow(run, f"{id} {kind}, dl int, hits array<struct<term: string, tf: bigint>>")
+
+
 def indexed(docs: DataFrame, asked: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, dl (terms of the document) and hits, an array of (term, tf) for the asked terms (term, distinct) in it.
 
-    One pass over the documents: their terms are cut out once, and few asked terms are literals, so that only hits leave
-    the row. Beyond FEW_TERMS of them they are joined.
+    One pass over the documents: if few terms are asked for, they go along with the task, which counts them in each text,
+    so that only hits leave it. Beyond FEW_TERMS of them they are joined.
     """
-    words = docs.select(id, T.terms(F.col(text)).alias("_words"))
     few = [r[0] for r in asked.limit(FEW_TERMS + 1).collect()]
     if len(few) <= FEW_TERMS:
-        met = F.filter("_words", lambda w: w.isin(few))
-        rows = words.select(id, F.size("_words").alias("dl"), met.alias("_met"))
-        times = F.transform(F.array_distinct("_met"), lambda w: F.struct(w.alias("term"), F.size(F.filter("_met", lambda x: x == w)).cast("long").alias("tf")))
-        return rows.select(id, "dl", times.alias("hits"))
+        return _counted(docs, frozenset(few), id, text)
+    words = docs.select(id, T.terms(F.col(text)).alias("_words"))
     numbered = words.select(id, "_words", F.size("_words").alias("dl"), F.monotonically_increasing_id().alias("_row"))  # before a row becomes several
     rows = numbered.select(id, "dl", "_row", F.explode_outer("_words").alias("term"))
     kept = rows.join(asked.withColumn("_asked", F.lit(True)), "term", "left").groupBy("_row", id, "dl", "term").agg(F.count_if("_asked").alias("tf"))
@@ -156,8 +169,9 @@ def blend(dense: DataFrame, lexical: DataFrame, docs: DataFrame, k: int, preset:
     dense has query, id, dense; lexical has query, id, bm25; docs has id and, if weights ask for them, source and
     chunk_kind. Each side gives its max(k, k * multiplier) best; a side is divided by its maximum, the lexical one by its
     maximum over the corpus, and counts 0 if that is not positive; a candidate outside the dense list has a dense score
-    of 0. Queries are those that dense has.
+    of 0. Queries are those that dense has. Both sides are staged, so each is searched once.
     """
+    dense, lexical, docs = staged(dense, "dense"), staged(lexical, "lexical"), staged(docs, "sides")
     each = max(k, k * preset.multiplier)
     each = each if total is None else min(each, total)
     most = Window.partitionBy(query)

@@ -11,6 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.operators.ordered import numbered
+from fathom.staging import staged
+
+#: Readings of a chunk of a long series.
+CHUNK = 100_000
+
 
 @dataclass(frozen=True)
 class Sensors:
@@ -158,6 +164,34 @@ def rolling(rows: DataFrame, n: int = 36, s: Sensors = Sensors(), column: str =
     return rows.withColumn("roll", F.when(F.count(F.lit(1)).over(w) == n, F.avg(column).over(w)))
 
 
+def chunked(rows: DataFrame, n: int = 36, s: Sensors = Sensors(), size: int = CHUNK) -> DataFrame:
+    """rows with _nth (their number in the order of dataset and position), _chunk and _halo: chunks of size rows, each with the
+    n - 1 rows before it once more (_halo), so that every window of n rows lies in one chunk, however long a series is."""
+    size = max(size, n)
+    placed = numbered(rows, [s.dataset, s.pos], "_nth")
+    own = F.floor(F.col("_nth") / size).cast("long")
+    chunks = F.when(F.col("_nth") % size >= size - (n - 1), F.array(own, own + 1)).otherwise(F.array(own))
+    return placed.select("*", F.posexplode(chunks).alias("_copy", "_chunk")).withColumn("_halo", F.col("_copy") == 1).drop("_copy")
+
+
+def rolling_chunked(rows: DataFrame, n: int = 36, s: Sensors = Sensors(), column: str = "anomaly", size: int = CHUNK) -> DataFrame:
+    """What rolling() gives, with the number of each row as _nth; a series is cut into chunks that go to different tasks."""
+    w = Window.partitionBy("_chunk", s.dataset).orderBy("_nth").rowsBetween(-(n - 1), 0)
+    rolled = chunked(rows, n, s, size).withColumn("roll", F.when(F.count(F.lit(1)).over(w) == n, F.avg(column).over(w)))
+    return rolled.where(~F.col("_halo")).select(*rows.columns, "_nth", "roll")
+
+
+def best_window_chunked(rows: DataFrame, n: int = 36, calm: bool = False, s: Sensors = Sensors(), size: int = CHUNK) -> DataFrame:
+    """What best_window() gives. The best end is found in each chunk before the shuffle, and the window's rows are joined by
+    their numbers, so no task holds a series."""
+    placed = staged(rolling_chunked(rows, n, s, size=size), "rolled")
+    score = F.round("roll", 9)
+    key = F.struct((-score if calm else score).alias("score"), (-F.col("_nth")).alias("nth"), F.col("roll").alias("roll"))
+    best = placed.where("roll is not null").groupBy(s.dataset).agg(F.max(key).alias("_best"))
+    wanted = best.select(F.col("_best.roll").alias("window_score"), F.explode(F.sequence(-F.col("_best.nth") - (n - 1), -F.col("_best.nth"))).alias("_nth"))
+    return placed.join(wanted, "_nth").select(*rows.columns, "window_score")
+
+
 def best_window(rows: DataFrame, n: int = 36, calm: bool = False, s: Sensors = Sensors()) -> DataFrame:
     """The n rows of each dataset that end where roll is greatest (least if calm), the first of equals, with roll of that
     end as window_score. Datasets with fewer than n rows have none. rows must have anomaly."""

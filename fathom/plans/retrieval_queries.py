@@ -8,6 +8,7 @@ from fathom.functions import text as T
 from fathom.operators import retrieval as R
 from fathom.plans import sql_text as S
 from fathom.sources.tables import table
+from fathom.staging import staged
 
 _ONE = "the power deficit of the onand therein and the tion tion"
 
@@ -86,11 +87,11 @@ def _sides(spark, sf_dir):
     docs = _docs(spark, sf_dir).withColumn("vec_id", F.col("doc_id") % n).join(v, "vec_id").drop("vec_id")
     kind = F.when(F.col("doc_id") % 3 == 0, "safety").when(F.col("doc_id") % 3 == 1, "definition").otherwise("other")
     source = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Synthetic "), "source")).otherwise(F.col("source"))
-    docs = docs.withColumn("chunk_kind", kind).withColumn("source", source)
+    docs = staged(docs.select("doc_id", source.alias("source"), kind.alias("chunk_kind"), "embedding"), "documents")
     asks = _asks(spark, sf_dir)
     asked = asks.withColumn("vec_id", F.col("query_id") % n).join(v, "vec_id").select("query_id", "embedding")
     dense = R.dense_top(docs, asked, 50, "doc_id")
-    return docs, dense, R.bm25(docs, asks.select("query_id", "query_text"))
+    return docs, dense, R.bm25(_docs(spark, sf_dir), asks.select("query_id", "query_text"))
 
 
 def _hybrid(spark, sf_dir, preset, *columns):

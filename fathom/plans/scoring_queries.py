@@ -34,8 +34,9 @@ few AS (SELECT * FROM (SELECT label, vec_id AS item, CASE vec_id % 3 WHEN 0 THEN
 gold AS (SELECT q.vec_id AS query_id, few.item, kind, gold_no FROM embeddings q JOIN few USING (label) WHERE q.vec_id % 20 = 0)"""
 
 
-def _metrics_sql(hits: str, gold: str, weight: str) -> str:
-    """Measures of deduplicated hits and gold (query_id, item[, rank])."""
+def _metrics_sql(hits: str, gold: str, weight: str, digits: int | None = 6) -> str:
+    """Measures of deduplicated hits and gold (query_id, item[, rank]), rounded unless digits is None."""
+    shown = _MEASURES if digits is None else [f"round({m}, {digits}) AS {m}" for m in _MEASURES]
     return f"""
 fh AS (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY rank, item) AS place FROM (SELECT query_id, item, min(rank) AS rank FROM {hits} GROUP BY ALL)),
 fg AS (SELECT query_id, item, max({weight}) AS w FROM {gold} GROUP BY ALL),
@@ -44,7 +45,7 @@ mm AS (SELECT fg.query_id, count(*) AS n_gold, count(place) AS n_hits, min(place
   FROM fg LEFT JOIN fh USING (query_id, item) GROUP BY fg.query_id),
 rs AS (SELECT query_id, n_hits, n_hits / n_gold AS recall, coalesce(n_hits / nullif(n_got, 0), 0) AS precision, (n_hits > 0)::INT::DOUBLE AS hit, coalesce(1 / best, 0) AS mrr,
   coalesce(dcg / list_sum(list_transform(range(1, greatest(least(n_gold, coalesce(n_got, 0)), 1) + 1), lambda k: 1 / log2(k + 1))), 0) AS ndcg, coalesce(wh, 0) / wa AS weighted_recall FROM mm LEFT JOIN nh USING (query_id))
-SELECT query_id, n_hits, {', '.join(f'round({m}, 6) AS {m}' for m in _MEASURES)} FROM rs"""
+SELECT query_id, n_hits, {', '.join(shown)} FROM rs"""
 
 
 def _shown(metrics):
@@ -306,7 +307,7 @@ h2 AS (SELECT hits.query_id, arg_min(g2.item, gold_no) AS item, rank FROM hits J
 {_metrics_sql('h2', 'g2', '1.0')}""",
     "simple_metrics": f"""WITH {_NEAR}, p AS (SELECT gold.query_id, count(rank) AS n, min(rank) AS best FROM gold LEFT JOIN (SELECT * FROM hits WHERE rank <= 5) h USING (query_id, item) GROUP BY gold.query_id)
 SELECT round(avg(n / 5), 6) AS precision_at_k, round(avg(coalesce(1 / best, 0)), 6) AS mrr FROM p""",
-    "mean_metrics": f"""WITH base AS (WITH {_NEAR}, {_metrics_sql('hits', 'gold', _W)})
+    "mean_metrics": f"""WITH base AS (WITH {_NEAR}, {_metrics_sql('hits', 'gold', _W, None)})
 SELECT (query_id % 30)::VARCHAR AS class_label, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr FROM base GROUP BY GROUPING SETS ((), (class_label))""",
     "abstain_modes": f"WITH {_PREPARED} SELECT mode, id, array_to_string(gold, '|') AS gold, array_to_string(pred, '|') AS pred, skipped FROM p",
     "label_counts": f"WITH {_PREPARED} SELECT mode, label, tp, fp, fn, tn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f",

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-import json
+import logging
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom import schemas
+from fathom.functions import text as T
+from fathom.operators import ingest
+from fathom.operators.ordered import numbered
 from fathom.operators.timeseries import number, whole
+from fathom.sources import pdf
+from fathom.staging import staged
+
+log = logging.getLogger(__name__)
+#: Names of skipped files that are logged, at most.
+LOGGED = 100
 
 
 def file_name() -> Column:
@@ -31,13 +40,39 @@ def manuals(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(F.url_decode(file_name()).alias("source"), F.col("value").alias("text"))
 
 
+def manual_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """nth, name, path, kind of the files of a folder, in the order of their names: pdf, txt, or unsupported for all others, which the
+    scans skip. Contents are not read."""
+    named = spark.read.format("binaryFile").load(folder).select(F.col("path"), F.url_decode(F.regexp_extract("path", r"([^/]+)$", 1)).alias("name"))
+    ending = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
+    return numbered(named.withColumn("kind", F.when(ending.isin("pdf", "txt"), ending).otherwise("unsupported")), ["name", "path"], "nth").select("nth", "name", "path", "kind")
+
+
+def manual_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """source, page_index, text, outline_section of the PDF and text manuals of a folder; of a PDF the last bookmark of a page names
+    its section. Files that are neither are named in the log, and so are PDF files that cannot be read; both are skipped."""
+    found = manual_listing(spark, folder)
+    for r in found.where("kind = 'unsupported'").select("name").limit(LOGGED).collect():
+        log.warning("skipped %s: neither PDF nor text", r["name"])
+    pdfs = pdf.pdf_files(spark, folder)
+    read = staged(pdf.pages_of(pdfs), "pdf-pages")
+    for r in read.where("error is not null").limit(LOGGED).collect():
+        log.warning("skipped %s: %s", r["path"], r["error"])
+    marks = pdf.outline_of(pdfs).where("page_index is not null").groupBy("path", "page_index").agg(F.max_by("title", "entry").alias("outline_section"))
+    name = F.url_decode(F.regexp_extract("path", r"([^/]+)$", 1))
+    pages = read.where("error is null").join(marks, ["path", "page_index"], "left").select(name.alias("source"), "page_index", T.normalize(F.col("text")).alias("text"), "outline_section")
+    texts = ingest.parse_pages(manuals(spark, folder)).select("source", "page_index", "text", "outline_section")
+    return pages.unionByName(texts)
+
+
 def write_manuals(pages: DataFrame, folder: str, overwrite: bool = False) -> None:
-    """Pages (source, page_index, text, outline_section) as exported text, one folder per source; kept if it is there."""
+    """Pages (source, page_index, text, outline_section) as exported text, a folder for each source. Without overwrite nothing is
+    written if the folder is there; with it the sources at hand are replaced and others stay."""
     title = F.when(F.col("outline_section").isNotNull(), F.concat(F.lit("=== OUTLINE_SECTION: "), "outline_section", F.lit(" ===\n"))).otherwise("")
     page = F.concat(F.lit("=== PAGE "), F.col("page_index").cast("string"), F.lit(" ===\n"), title, "text")
     rows = pages.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("page_index", page.alias("page")))).alias("p"))
     out = rows.select("source", F.concat(F.lit("SOURCE_PDF: "), "source", F.lit("\n"), F.array_join(F.col("p.page"), "\n")).alias("value"))
-    out.write.mode("overwrite" if overwrite else "ignore").partitionBy("source").text(folder)
+    out.write.mode("overwrite" if overwrite else "ignore").option("partitionOverwriteMode", "dynamic").partitionBy("source").text(folder)
 
 
 def sensor_rows(spark: SparkSession, folder: str, features: list[str], sep: str = ";") -> DataFrame:
@@ -63,7 +98,7 @@ def event_info(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
 def embedded_csv(payloads: DataFrame, columns: list[str]) -> DataFrame:
     """window_id, nth and the named columns (strings) of the CSV texts inside payloads (window_id, csv, csv_sep)."""
     lines = payloads.select("window_id", "csv_sep", F.split(F.regexp_replace("csv", "\r\n?", "\n"), "\n").alias("l"))
-    rows = lines.select("window_id", "csv_sep", F.col("l")[0].alias("head"), F.posexplode(F.slice("l", 2, 10_000_000)).alias("nth", "line")).where("line <> ''")
+    rows = lines.select("window_id", "csv_sep", F.col("l")[0].alias("head"), F.posexplode(F.slice("l", F.lit(2), F.greatest(F.size("l") - 1, F.lit(0)))).alias("nth", "line")).where("line <> ''")
     cut = lambda c: F.split(c, F.concat(F.lit("\\Q"), F.coalesce("csv_sep", F.lit(";")), F.lit("\\E")))
     cells = rows.select("window_id", "nth", F.map_from_arrays(cut(F.col("head")), cut(F.col("line"))).alias("m"))
     return cells.select("window_id", "nth", *(F.try_element_at("m", F.lit(c)).alias(c) for c in columns))
@@ -161,26 +196,3 @@ def file_paths(spark: SparkSession, folder: str) -> DataFrame:
 def listed_names(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines."""
     return spark.read.text(path).select(F.trim("value").alias("name")).where("name <> ''")
-
-
-def save_index(folder: str, chunks: DataFrame, postings: DataFrame, stats: DataFrame, buckets: int = 16, vectors: DataFrame | None = None, config: dict | None = None) -> None:
-    """An index as Parquet: chunks, postings sorted by term inside partitions (so that a query's terms skip row groups),
-    stats, and vectors and config (as JSON) if they are given."""
-    if vectors is not None:
-        vectors.write.mode("overwrite").parquet(f"{folder}/vectors")
-    if config is not None:
-        row = chunks.sparkSession.createDataFrame([(json.dumps(config),)], "value string")
-        row.coalesce(1).write.mode("overwrite").text(f"{folder}/config")
-    chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
-    postings.repartition(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
-    stats.coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
-
-
-def load_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """chunks, postings, stats; a missing part is an error."""
-    return tuple(spark.read.parquet(f"{folder}/{p}") for p in ("chunks", "postings", "stats"))
-
-
-def load_vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
-    """The vectors and the config of an index that has them."""
-    return spark.read.parquet(f"{folder}/vectors"), json.loads(spark.read.text(f"{folder}/config").first()[0])
