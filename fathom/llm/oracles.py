@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .quality_rules import quantile
 from .secret_scan import RULES
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -76,9 +77,11 @@ t AS (SELECT rule, sum(n) AS total, sum(n * n) AS nn, count(*) AS hosts, sum(k)
 v AS (SELECT rule, any_value(total) AS total, any_value(mean) AS mean, any_value(mean * (1 - mean)) AS noise,
     (sum(n * (k / n - mean) * (k / n - mean)) - (any_value(hosts) - 1) * any_value(mean * (1 - mean))) / nullif(any_value(total - nn / total), 0) AS between FROM h JOIN t USING (rule) GROUP BY rule),
 q AS (SELECT *, CASE WHEN between > 0 AND noise > 0 THEN least(greatest(noise / between - 1, 1), total) ELSE greatest(total, 1) END AS weight FROM v),
-r AS (SELECT source, rule, round((k + mean * weight) / (n + weight), 9) AS rate, mean, least(greatest(mean + 4 * sqrt(noise / (weight + 1)), 0.5), 0.75) AS worst FROM h JOIN q USING (rule)),
-s AS (SELECT source, bool_or(rule IN ('short', 'repeats') AND rate > worst) AS host_failed, bool_or(rule = 'symbols' AND rate > round(mean, 9)) AS w_symbols,
-    bool_or(rule = 'dup_lines' AND rate > round(mean, 9)) AS w_dup_lines FROM r GROUP BY source)
+p AS (SELECT source, rule, mean, k + mean * weight AS a, n - k + (1 - mean) * weight AS b FROM h JOIN q USING (rule) WHERE mean > 0 AND mean < 1),
+r AS (SELECT source, rule, CASE WHEN rule IN ('short', 'repeats') THEN round(ln(a / b) / sqrt(1 / a + 1 / b), 9) >= {quantile(0.95)}
+    ELSE round((ln(a / b) - ln(mean / (1 - mean))) / sqrt(1 / a + 1 / b), 9) >= {quantile(0.9)} END AS sure FROM p),
+s AS (SELECT h.source, coalesce(bool_or(sure) FILTER (rule IN ('short', 'repeats')), false) AS host_failed, coalesce(bool_or(sure) FILTER (rule = 'symbols'), false) AS w_symbols,
+    coalesce(bool_or(sure) FILTER (rule = 'dup_lines'), false) AS w_dup_lines FROM (SELECT DISTINCT source FROM h) AS h LEFT JOIN r ON h.source IS NOT DISTINCT FROM r.source GROUP BY h.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f_short OR f_repeats AS base_failed,
     NOT (f_short OR f_repeats OR host_failed OR (w_symbols AND f_symbols) OR (w_dup_lines AND f_dup_lines)) AS kept
 FROM b JOIN s ON b.source IS NOT DISTINCT FROM s.source"""

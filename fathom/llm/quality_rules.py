@@ -2,21 +2,25 @@
 
 Each document gets counts and, by the base rules, a base verdict. Failures are counted by host and rule. For each rule the
 hosts' rates are shrunk towards the mean by a beta prior, which is fitted to the hosts by moments weighted with their
-sizes, binomial noise taken out: hosts that differ by chance alone shrink to the mean. Host verdicts are joined back:
+sizes, binomial noise taken out: hosts that differ by chance alone shrink to the mean. Prior and counts give the posterior
+of each host's rate, and a verdict asks how much of it lies beyond a limit, so it hangs on the number of a host's
+documents and on the prior's weight, not on the raw rate alone. Host verdicts are joined back:
 
-* A host is rejected, with all its documents, if its shrunk rate of a base rule is far beyond the prior's mean, by
-  deviations of the prior, and most of its documents fail.
-* A host is watched for a further rule if its shrunk rate of it is above the prior's mean. Documents that fail this rule
-  go on a watched host; on others a single failure is let pass.
+* A host is rejected, with all its documents, if it is sure (sure_rejected) that most of them fail a base rule.
+* A host is watched for a further rule if it is sure (sure_watched) that its rate of it is above the mean. Documents that
+  fail this rule go on a watched host; on others a single failure is let pass.
 
 Edge cases: a null or empty text has no words and so fails; a null host is a host of its own; repeated rows are judged
-and counted one by one; a host alone has the mean rate and is not watched; texts of any length are counted whole, in
-memory that is a small multiple of a text; an empty table gives an empty result; other columns of the input are ignored.
+and counted one by one; a host alone has the mean rate and is not watched; a rule that all or no documents fail rejects
+and watches no host; texts of any length are counted whole, in memory that is a small multiple of a text; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -30,16 +34,16 @@ SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 @dataclass(frozen=True)
 class Limits:
     """min_words and max_repeat make the base verdict; max_symbols (a word) and max_dup_lines (of the lines) are the further
-    rules. Hosts are rejected beyond far deviations from the mean, which counts as least_rejected at least and as
-    most_rejected at most."""
+    rules. A host is rejected if its posterior has sure_rejected of its mass above most_failing, and watched if it has
+    sure_watched above the mean."""
 
     min_words: int = 50
     max_repeat: float = 0.5
     max_symbols: float = 1.0
     max_dup_lines: float = 0.5
-    far: float = 4.0
-    least_rejected: float = 0.5
-    most_rejected: float = 0.75
+    most_failing: float = 0.5
+    sure_rejected: float = 0.95
+    sure_watched: float = 0.9
 
     def rules(self) -> dict[str, Column]:
         """Each rule by name: whether a document fails it. The base rules come first."""
@@ -106,6 +110,20 @@ def priors(hosts: DataFrame) -> dict[str, tuple[float, float]]:
     return out
 
 
+def quantile(share: float) -> float:
+    """The standard normal value below which a share of the mass lies, as verdicts compare it."""
+    return round(NormalDist().inv_cdf(share), 9)
+
+
+def above(n: Column, k: Column, mean: float, weight: float, limit: float) -> Column:
+    """How far the posterior of a rate lies above limit, in deviations of its logit, after k failures of n under a beta prior
+    of that mean and weight: the logit of Beta(a, b) is taken as normal around ln(a / b) with variance 1 / a + 1 / b."""
+    if not 0 < mean < 1:
+        return F.lit(None).cast("double")
+    a, b = k + F.lit(mean * weight), n - k + F.lit((1 - mean) * weight)
+    return F.round((F.log(a / b) - F.lit(log(limit / (1 - limit)))) / F.sqrt(1 / a + 1 / b), 9)
+
+
 def host_verdicts(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """host, host_failed and, for each rule, rate_<rule> (shrunk); watch_<rule> for the further rules. A row for each host;
     its failures are counted before the shuffle."""
@@ -113,9 +131,9 @@ def host_verdicts(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
     hosts = staged(measured.groupBy("host").agg(F.count("*").alias("n"), *(F.count_if(f).alias(k) for k, f in fails.items())), "hosts")
     fitted = priors(hosts)
     rates = {k: F.round((F.col(k) + F.lit(m * w)) / (F.col("n") + F.lit(w)), 9) for k, (m, w) in fitted.items()}
-    limit = lambda m, w: min(max(m + limits.far * (m * (1 - m) / (w + 1)) ** 0.5, limits.least_rejected), limits.most_rejected)
-    beyond = [rates[k] > limit(*fitted[k]) for k in BASE_RULES]
-    watched = [(rates[k] > F.round(F.lit(fitted[k][0]), 9)).alias(f"watch_{k}") for k in FURTHER_RULES]
+    sure = lambda k, limit, share: F.coalesce(above(F.col("n"), F.col(k), *fitted[k], limit) >= quantile(share), F.lit(False))
+    beyond = [sure(k, limits.most_failing, limits.sure_rejected) for k in BASE_RULES]
+    watched = [sure(k, fitted[k][0], limits.sure_watched).alias(f"watch_{k}") for k in FURTHER_RULES]
     return hosts.select("host", (beyond[0] | beyond[1]).alias("host_failed"), *watched, *(r.alias(f"rate_{k}") for k, r in rates.items()))
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as entities
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,14 +79,21 @@ def resolved(target: Column, url: Column) -> Column:
     )
 
 
+def _decoded(texts: pd.Series) -> pd.Series:
+    """Character references as what they stand for."""
+    return texts.map(entities.unescape, na_action="ignore")
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """u, v: nodes that a canonical link or a meta refresh binds. Targets are resolved against the page's URL."""
+    """u, v: nodes that a canonical link or a meta refresh binds. Targets are resolved against the page's URL. What stands in
+    comments, scripts, styles, text areas and titles is no link."""
     html, url = F.col("html"), F.col("url")
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*(?:canonical|refresh)[^>]*>"), 0)
+    shown = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title)\b.*?(?:</\1\s*>|\z)", " ")
+    tags = F.regexp_extract_all(shown, F.lit(r"(?is)<(?:link|meta)\b[^>]*(?:canonical|refresh)[^>]*>"), 0)
     tag = F.explode(tags).alias("tag")
     value = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
+    decoded = F.pandas_udf(_decoded, "string")
     attr = lambda name: F.concat(*(F.regexp_extract("tag", rf"(?is)\b{name}{value}", k) for k in (1, 2, 3)))
-    decoded = F.udf(lambda text: text and entities.unescape(text), "string")
     found = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select(url, tag)
     found = found.select(url, F.lower(attr("rel")).alias("rel"), F.lower(attr("http-equiv")).alias("equiv"), decoded(attr("href")).alias("href"), decoded(attr("content")).alias("content"))
     target = F.when(F.array_contains(F.split("rel", r"\s+"), "canonical"), F.col("href")).when(

@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -18,12 +19,15 @@ from fathom.llm import components, exact_dedup, language_id, mix_sources, ngram_
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Names that operators use themselves, as further columns of the input.
-CLASH = ["kept", "size", "token", "key", "n", "host", "_id", "rules", "hash", "passes", "comp", "ids", "digest"]
+CLASH = [
+    "kept", "size", "token", "key", "n", "host", "_id", "rules", "hash", "passes", "comp", "ids", "digest", "again", "gone", "id", "own", "as_json", "nth", "whole", "below", "of_source", "coded",
+    "_again", "_gone", "_own", "_as_json", "_nth", "_digest", "_coded", "_p", "keep_id", "group_size", "bucket", "score", "lang_pred", "component_id", "NTH_", "Coded_",
+]
 
 
 def documents(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    return df.withColumns({c: F.lit("x") for c in CLASH if c != "_id"})
+    return df.withColumns({c: F.lit(c) for c in CLASH})
 
 
 @pytest.fixture(scope="module")
@@ -564,10 +568,35 @@ def test_counts(text):
 
 
 def test_hosts_change_verdicts_of_the_tables(spark, sf_dir):
-    """Documents that fail a further rule go on hosts whose shrunk rate of it is above the mean, and stay on others."""
+    """Documents that fail a further rule go on hosts that are surely above the mean, and stay on others."""
     rows = quality_rules.judge(spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")).collect()
     odd = [r for r in rows if not r["base_failed"] and (r["n_symbols"] > r["n_words"] or r["n_dup_lines"] > 0.5 * r["n_lines"])]
-    assert {r["kept"] for r in odd} == {False, True} and all(r["kept"] for r in rows if not r["base_failed"] and r not in odd)
+    assert odd and all(r["kept"] for r in rows if not r["base_failed"] and r not in odd)
+    assert all(r["kept"] != (r["watch_symbols"] and r["n_symbols"] > r["n_words"] or r["watch_dup_lines"] and r["n_dup_lines"] > 0.5 * r["n_lines"]) for r in odd)
+
+
+def test_hosts_of_one_rate_differ_by_their_size(spark):
+    """The prior decides: a host of few documents is not sure to be above the mean where a large one of the same rate is, and
+    a heavier prior takes the verdict from the large one too."""
+    rows = [(f"h{k}", 1000, 0, 0, 100 + 60 * (k % 3), 0) for k in range(12)] + [("few", 5, 5, 0, 2, 0), ("many", 500, 500, 0, 200, 0)]
+    hosts = spark.createDataFrame(rows, "host string, n long, short long, repeats long, symbols long, dup_lines long")
+    m, w = quality_rules.priors(hosts)["symbols"]
+    at = lambda n, k, weight: spark.range(1).select(quality_rules.above(F.lit(n), F.lit(k), m, weight, m)).first()[0]
+    limit = quality_rules.quantile(0.9)
+    assert at(5, 2, w) < limit < at(500, 200, w) and at(500, 200, 1e6) < limit
+    # exact tails of the posterior agree with the normal one of the logit
+    for n, k in ((5, 2), (50, 20), (500, 200)):
+        a, b = k + m * w, n - k + (1 - m) * w
+        above = np.mean(np.random.default_rng(1).beta(a, b, 200_000) > m)
+        assert abs(above - NormalDist().cdf(at(n, k, w))) < 0.03
+
+
+def test_hosts_are_rejected_by_their_posterior(spark):
+    good = " ".join(f"w{k}" for k in range(60))
+    docs = [(f"h{k}", good if j else "short") for k in range(20) for j in range(20)] + [("few", "short")] * 2 + [("many", "short")] * 60 + [("many", good), ("few", good)]
+    rows = quality_rules.judge(spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(docs)], "doc_id long, text string, source string")).collect()
+    failed = {r["host"]: r["host_failed"] for r in rows}
+    assert failed["many"] and not failed["few"] and sum(failed.values()) == 1
 
 
 def test_hosts_alike_shrink_to_the_mean(spark):
@@ -649,6 +678,16 @@ def test_link_targets_are_resolved(spark):
     assert {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, rules).collect()} == {1: "block", 2: "block", 3: "block"}
 
 
+def test_links_that_no_reader_sees(spark):
+    link = lambda name: f'<link rel="canonical" href="http://b.com/{name}">'
+    shells = ["<!-- {} -->", "<script>var x = '{}';</script>", "<style>{}</style>", "<title>{}</title>", "<textarea>{}</textarea>", "<!-- never closed {}", "<script>{}"]
+    pages = [(k, f"http://b.com/p{k}", shell.format(link("bad"))) for k, shell in enumerate(shells)] + [(50, "http://b.com/p50", "<!-- a -->" + link("bad&#46;x") + "<script></script>")]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("tag", F.lit("x")).withColumn("u", F.lit(1)).withColumn("root", F.lit("x"))
+    assert [tuple(r) for r in url_filter.link_edges(table).collect()] == [("b.com/p50", "b.com/bad.x")]
+    verdicts = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(table, [url_filter.Rule("block", "b.com", "/bad")]).collect()}
+    assert verdicts == {k: "block" if k == 50 else "allow" for k, *_ in pages}
+
+
 def test_pipeline_by_brute_force(spark, sf_dir):
     """Every stage on what its predecessor kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -667,4 +706,16 @@ def test_pipeline_by_brute_force(spark, sf_dir):
 
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES[:-1])
 def test_stages_keep_columns(name, stage, spark, odd, empty, sf_dir):
-    assert stage(spark, odd, sf_dir).columns == odd.columns and stage(spark, empty, sf_dir).count() == 0
+    """Whatever the input's columns are called, they and their values stay."""
+    kept = stage(spark, odd, sf_dir)
+    assert kept.columns == odd.columns and stage(spark, empty, sf_dir).count() == 0
+    before = {tuple(r) for r in odd.collect()}
+    rows = kept.collect()
+    assert rows and {tuple(r) for r in rows} <= before and all(r[c] == c for r in rows for c in CLASH)
+
+
+def test_last_stage_of_odd_rows(spark, odd, empty, sf_dir):
+    rows = corpus_pipeline.encode_pieces(spark, odd, sf_dir).collect()
+    assert len(rows) == odd.count() and corpus_pipeline.encode_pieces(spark, empty, sf_dir).count() == 0
+    coded = pieces.encode_rows(odd.withColumn("PIECE_IDS", F.lit(1)), queries.tokenizer_path("piece_bpe_32k.model"))
+    assert coded.columns == [*odd.columns, "piece_ids", "decoded"] and all(r[c] == c for r in coded.collect() for c in CLASH)
