@@ -58,7 +58,8 @@ def build(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", piv
             ids, rows, of, far = (list(c) for c in zip(*held))
             held.clear()
             columns = [[ids], [np.array(rows, dtype=np.float64).tobytes()], [centres[of[0]].tolist()], [max(far)]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.list_(id_type), pa.binary(), pa.list_(pa.float64()), pa.float64()))], names=["ids", "matrix", "pivot", "radius"])
+            kinds = pa.list_(id_type), pa.binary(), pa.list_(pa.float64()), pa.float64()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["ids", "matrix", "pivot", "radius"])
 
         for b in batches:
             id_type = b.column(0).type
@@ -88,15 +89,13 @@ def _bounds(blocks: DataFrame, asks: DataFrame, query: str, kind: str, floor: bo
                 bound = bound + _SLACK * (1 + np.abs(bound))
                 a, k = np.nonzero(bound >= np.array(row["floors"])[:, None]) if floor else np.indices(bound.shape).reshape(2, -1)
                 asks_, names = row["asks"], row["blocks"]
-                columns = [pa.array([asks_[n] for n in a]), pa.array([names[n] for n in k], pa.int64()), pa.array(bound[a, k])]
-                yield pa.RecordBatch.from_arrays([c if len(c) else c.cast(t) for c, t in zip(columns, (columns[0].type, pa.int64(), pa.float64()))], names=[query, "block", "bound"]) if len(a) else None
-
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return (b for b in run(batches) if b is not None)
+                if len(a):
+                    columns = [pa.array([asks_[n] for n in a]), pa.array([names[n] for n in k], pa.int64()), pa.array(bound[a, k])]
+                    yield pa.RecordBatch.from_arrays(columns, names=[query, "block", "bound"])
 
     small = blocks.groupBy(F.floor(F.col("block").bitwiseAND((1 << 33) - 1) / 512).alias("_g"), F.shiftright("block", 33).alias("_h"))
     metas = small.agg(F.collect_list(F.struct("block", "pivot", "radius")).alias("m")).select(F.col("m.block").alias("blocks"), F.col("m.pivot").alias("pivots"), F.col("m.radius").alias("radii"))
-    return metas.crossJoin(sized(asks, R.FEW_BLOCKS)).mapInArrow(some, f"{query} {kind}, block long, bound double")
+    return metas.crossJoin(sized(asks, R.FEW_BLOCKS)).mapInArrow(run, f"{query} {kind}, block long, bound double")
 
 
 def _asks(queries: DataFrame, query: str, vector: str, floors: DataFrame | None = None) -> DataFrame:

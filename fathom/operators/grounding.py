@@ -82,7 +82,8 @@ def report_payloads(queries: DataFrame, hits: DataFrame, most: int = 10, size: i
     their texts cut to size, and the form of the answer that is asked for. A query without hits has an empty list."""
     chunk = F.struct("rank", F.struct("chunk_id", "source", "page", "page_end", "section", "chunk_kind", F.substring("text", 1, size).alias("text")).alias("c"))
     per = hits.where(F.col("rank") <= most).groupBy(query).agg(F.transform(F.array_sort(F.collect_list(chunk)), lambda x: x["c"]).alias("chunks"))
-    form = F.struct(F.lit("string").alias("summary"), F.lit("string").alias("recommended_action"), F.array(F.struct(F.lit("string").alias("chunk_id"), F.lit("string").alias("quote_or_reason"))).alias("evidence"))
+    asked = lambda *names: [F.lit("string").alias(n) for n in names]
+    form = F.struct(*asked("summary", "recommended_action"), F.array(F.struct(*asked("chunk_id", "quote_or_reason"))).alias("evidence"))
     joined = queries.select(query, text).join(per, query, "left")
     none = F.array().cast(per.schema["chunks"].dataType)
     return joined.select(query, F.to_json(F.struct(F.col(text).alias("query"), F.coalesce("chunks", none).alias("chunks"), form.alias("output_schema"))).alias("payload"))

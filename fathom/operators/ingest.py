@@ -116,8 +116,10 @@ def with_section(pages: DataFrame, sections: DataFrame, manual: str = "source")
     """manual, page_index, text, at: each page with the last section (a struct of sections' first, page_end, heading) that begins
     at or before it; an as-of merge by one pass over both in order, so no task holds a manual and no two rows are compared."""
     at = F.struct(F.col("first"), F.col("page_end"), F.col("heading"))
-    asked = pages.where("page_index is not null").select(manual, "page_index", F.lit(1).alias("_kind"), "text", F.lit(None).cast(sections.select(at.alias("at")).schema["at"].dataType).alias("_at_section"))
-    answers = sections.select(manual, F.col("first").cast(pages.schema["page_index"].dataType).alias("page_index"), F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("text"), at.alias("_at_section"))
+    none = lambda kind: F.lit(None).cast(kind)
+    section, page = sections.select(at.alias("at")).schema["at"].dataType, pages.schema["page_index"].dataType
+    asked = pages.where("page_index is not null").select(manual, "page_index", F.lit(1).alias("_kind"), "text", none(section).alias("_at_section"))
+    answers = sections.select(manual, F.col("first").cast(page).alias("page_index"), F.lit(0).alias("_kind"), none("string").alias("text"), at.alias("_at_section"))
     merged = carried(answers.unionByName(asked), manual, ["page_index", "_kind"], "_at_section", "at")
     return merged.where("_kind = 1").select(manual, "page_index", "text", "at")
 

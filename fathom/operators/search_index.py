@@ -63,7 +63,8 @@ def _entries(docs: DataFrame, id: str, text: str, segment: int) -> tuple[DataFra
 
     counted = docs.select(id, text).mapInArrow(run, f"{id} {kind}, dl long, words array<string>, times array<int>")
     placed = staged(numbered(counted, ["dl", id], "place"), "counted")
-    rows = placed.where(F.col(id).isNotNull()).select(F.floor(F.col("place") / segment).cast("long").alias("segment"), id, "dl", F.inline(F.arrays_zip(F.col("words").alias("term"), F.col("times").alias("tf"))))
+    number, pairs = F.floor(F.col("place") / segment).cast("long"), F.arrays_zip(F.col("words").alias("term"), F.col("times").alias("tf"))
+    rows = placed.where(F.col(id).isNotNull()).select(number.alias("segment"), id, "dl", F.inline(pairs))
     return placed.select(id, "dl"), rows.toDF("segment", id, "dl", "term", "tf")
 
 
@@ -107,7 +108,9 @@ def weighed(index: Index, queries: DataFrame, query: str = "query_id", text: str
 def bounds(index: Index, asked: DataFrame, query: str = "query_id") -> DataFrame:
     """query, segment, bound, blocks, docs (at least so many have a term): from the small columns of the blocks."""
     small = index.blocks.select("term", "bucket", "segment", "docs", "most")
-    return small.join(sized(asked), ["bucket", "term"]).groupBy(query, "segment").agg((F.sum(F.col("w") * F.col("most")) + _SLACK).alias("bound"), F.count("*").alias("blocks"), F.max("docs").alias("docs"))
+    bound = F.sum(F.col("w") * F.col("most")) + _SLACK
+    met = small.join(sized(asked), ["bucket", "term"])
+    return met.groupBy(query, "segment").agg(bound.alias("bound"), F.count("*").alias("blocks"), F.max("docs").alias("docs"))
 
 
 def score_segments(index: Index, asked: DataFrame, wanted: DataFrame, query: str = "query_id", avgdl: float | None = None) -> DataFrame:

@@ -102,7 +102,9 @@ class BestWindow(StatefulProcessor):
         pass
 
 
-def best_windows(readings: DataFrame, key: str = "dataset_id", time: str = "ts", pos: str = "id", value: str = "anomaly", n: int = 36, calm: bool = False, late: str = "2 hours", close_after_hours: float = 24) -> DataFrame:
+def best_windows(
+    readings: DataFrame, key: str = "dataset_id", time: str = "ts", pos: str = "id", value: str = "anomaly", n: int = 36, calm: bool = False, late: str = "2 hours", close_after_hours: float = 24
+) -> DataFrame:
     """A row for each event of a dataset, when it closes: key, first, last, n_rows, score. Windows that never fill give nulls.
     readings may be a stream or a table; a table's events all close at its end."""
     if not readings.isStreaming:
