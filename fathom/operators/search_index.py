@@ -1,6 +1,7 @@
 """A lexical index that is kept as Parquet and searched without the texts.
 
-Documents are put in order of their length and cut into segments of so many; for each term and segment there is one
+Documents are put in order of their most frequent term and of their length, so that those alike stand together, and cut
+into segments of so many; for each term and segment there is one
 block, a row with the documents' ids, term counts and lengths and, beside these, the largest impact of the block: what
 the term adds to a score at most, but for its weight. Blocks of a term lie in one folder of BUCKETS, sorted by term.
 
@@ -30,7 +31,7 @@ from fathom.operators.ordered import numbered
 from fathom.staging import sized, staged
 
 #: Documents of a segment, folders of terms, segments that are scored before there is a threshold.
-SEGMENT, BUCKETS, FIRST = 128, 64, 2
+SEGMENT, BUCKETS, FIRST = 32, 64, 2
 #: Bounds are sums in another order than scores are; so much is added to them.
 _SLACK = 1e-6
 _TERM = re.compile(r"[a-z0-9]+")
@@ -58,11 +59,12 @@ def _entries(docs: DataFrame, id: str, text: str, segment: int) -> tuple[DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [list(map(list, zip(*Counter(_TERM.findall((t or "").lower())).items()))) or [[], []] for t in b.column(1).to_pylist()]
-            columns = [b.column(0), pa.array([sum(n) for _, n in found], pa.int64()), pa.array([t for t, _ in found], pa.list_(pa.string())), pa.array([n for _, n in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[id, "dl", "words", "times"])
+            common = [min(zip((-k for k in n), t))[1] if t else "" for t, n in found]
+            columns = [b.column(0), pa.array(common), pa.array([sum(n) for _, n in found], pa.int64()), pa.array([t for t, _ in found], pa.list_(pa.string())), pa.array([n for _, n in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[id, "common", "dl", "words", "times"])
 
-    counted = docs.select(id, text).mapInArrow(run, f"{id} {kind}, dl long, words array<string>, times array<int>")
-    placed = staged(numbered(counted, ["dl", id], "place"), "counted")
+    counted = docs.select(id, text).mapInArrow(run, f"{id} {kind}, common string, dl long, words array<string>, times array<int>")
+    placed = staged(numbered(counted, ["common", "dl", id], "place"), "counted")
     number, pairs = F.floor(F.col("place") / segment).cast("long"), F.arrays_zip(F.col("words").alias("term"), F.col("times").alias("tf"))
     rows = placed.where(F.col(id).isNotNull()).select(number.alias("segment"), id, "dl", F.inline(pairs))
     return placed.select(id, "dl"), rows.toDF("segment", id, "dl", "term", "tf")
