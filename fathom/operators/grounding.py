@@ -28,6 +28,7 @@ class Field:
     optional: bool = False
 
 
+# The fields of query packs, diagnoses and reports.
 TEXT, NUMBER = Field("text"), Field("number")
 TEXTS = Field("list", items=TEXT)
 METRICS = Field("list", items=Field("object", {"name": TEXT, "value": NUMBER}))
@@ -90,7 +91,7 @@ def report_payloads(queries: DataFrame, hits: DataFrame, most: int = 10, size: i
 
 
 def advice_payloads(contexts: DataFrame, hits: DataFrame, most: int = 10, size: int = 1800, query: str = "query_id", context: str = "context") -> DataFrame:
-    """query, payload: a context (a struct) and its first hits as numbered blocks of text."""
+    """query, payload: a context (a struct) and its first hits as numbered blocks of text, whose form is fixed."""
     unknown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
     block = F.concat(
         F.lit("CHUNK "), F.col("rank").cast("string"), F.lit(": ["), unknown("source"), F.lit(" p"), unknown("page"), F.lit("-"), unknown("page_end"), F.lit("] "), F.coalesce("section", F.lit("")), F.lit("\n"),
