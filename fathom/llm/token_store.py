@@ -40,11 +40,13 @@ from .common import computed, discard, prepare, same, staged, workspace
 BITS, BLOCK, LANES = 20, 65_536, 64
 LOW = np.uint64(1 << 31)
 #: Blocks that are coded side by side, which only saves calls of numpy.
-SIDE = 16
+SIDE = 64
 #: Ids of a shard, about; shards are tasks.
 SHARD_IDS, MAX_SHARDS = 4_000_000, 20_000
-#: Words whose ids a worker keeps; beyond that it starts anew.
+#: Words and parts of words whose ids a worker keeps; beyond that it starts anew.
 MEMO = 800_000
+#: Texts that are encoded together; more would leave the processor's caches.
+STEP = 100
 
 _ODD_SPACES = tuple("\x1c\x1d\x1e\x1f")  # Python takes them for white space, the tokenizer does not
 
@@ -56,12 +58,26 @@ _ALL_CUTS = regex.compile(_CUTS)
 #: The last character of the Latin, Greek and Cyrillic blocks. Of those beyond, the versions of Unicode that libraries
 #: know do not all have the same letters, so words with them are left to the tokenizer whole.
 _SETTLED = "\u052f"
+#: The same cuts for texts in Latin-1, which composition of characters leaves alone, as bytes in lower case.
+_LATIN_LOWER = bytes(ord(chr(k).lower()) for k in range(256))
+_LETTER, _DIGIT, _SPACE = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc-\xbe", rb"\x09-\x0d\x20\x85\xa0"
+_LATIN_CUTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[%b]+|[%b]|[^%b%b%b]+" % (_LETTER, _DIGIT, _SPACE, _LETTER, _DIGIT))
+
+
+def _latin_parts(text: str) -> list[bytes] | None:
+    """The parts of a text in Latin-1, in lower case; None for others and if it could hold a token of the tokenizer's own."""
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return None if b"<|" in data else _LATIN_CUTS.findall(data.translate(_LATIN_LOWER))
 
 
 class WordTokenizer:
-    """Encodes texts; if the tokenizer drops white space and never looks across it, each word is encoded once.
+    """Encodes texts; if the tokenizer drops white space and never looks across it, each part of a word is encoded once.
 
-    Words are cut further as the tokenizer itself cuts them, and of these parts, too, each is encoded once a batch. The ids of
+    Texts in Latin-1 are put in lower case and cut into parts as the tokenizer itself does it, so its model alone is asked, and
+    ids of parts are kept. Of other texts the ids of words are kept, which are cut further alike. The ids of
     parts that are encoded together fall apart after each id that ends a word. Words that case folding or composition of
     characters could treat by context, or that have letters of newer blocks, are left to the tokenizer whole.
     """
@@ -74,11 +90,18 @@ class WordTokenizer:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 65_536 else "<u4")
         self.memo: dict[str, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
         config = json.loads(self.tokenizer.to_str())
         steps = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         cut = steps[0].get("pattern", {}).get("Regex") == _CUTS and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True
         #: Whether texts may be taken apart; texts of a tokenizer of another kind are encoded whole.
         self.by_words = cut and config["model"].get("end_of_word_suffix") == "</w>"
+        #: The model without the steps before it, for parts that are cut already.
+        self.inner = self.tokenizer
+        if self.by_words:
+            own = [{"type": "CharDelimiterSplit", "delimiter": " "}, *steps[1:]]
+            bare = {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": own}}
+            self.inner = Tokenizer.from_str(json.dumps(config | bare))
         self.ends = np.zeros(self.size, dtype=bool)
         self.ends[[k for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items() if token.endswith("</w>")]] = True
 
@@ -87,13 +110,37 @@ class WordTokenizer:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; words that are new are learnt together."""
+        """The ids of each text; parts and words that are new are learnt together."""
         if not self.by_words:
             return [self._bytes(found.ids) for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for k in range(0, len(texts), STEP):
+            if len(self.memo) + len(self.parts) > MEMO:
+                self.memo, self.parts = {}, {}
+            out += self._by_parts(texts[k : k + STEP])
+        return out
+
+    def _by_parts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, from those of its parts, or of its words where it is not in Latin-1."""
+        cuts = list(map(_latin_parts, texts))
+        rest = [k for k, own in enumerate(cuts) if own is None]
+        known = self.parts.get
+        found = [list(map(known, own or ())) for own in cuts]
+        gaps = [[k for k, ids in enumerate(own) if ids is None] for own in found]
+        if new := list({cuts[k][at] for k, own in enumerate(gaps) for at in own}):
+            self.parts.update(zip(new, self._encode_parts([part.decode("latin-1") for part in new])))
+            for own, ids, places in zip(cuts, found, gaps):
+                for at in places:
+                    ids[at] = self.parts[own[at]]
+        out = list(map(b"".join, found))
+        for k, ids in zip(rest, self._by_words([texts[k] for k in rest])):
+            out[k] = ids
+        return out
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, from those of its words."""
         whole = {k for k, t in enumerate(texts) if any(c in t for c in _ODD_SPACES)}
         split = [[] if k in whole else t.split() for k, t in enumerate(texts)]
-        if len(self.memo) > MEMO:
-            self.memo = {}
         memo = self.memo
         if new := set().union(*split).difference(memo):
             self._learn(new)
@@ -102,6 +149,15 @@ class WordTokenizer:
             out[k] = self._bytes(self.tokenizer.encode(texts[k], add_special_tokens=False).ids)
         return out
 
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of each of parts, which are cut and in lower case."""
+        ids = np.array(self.inner.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(parts) or stops[-1] != len(ids):  # a part that the vocabulary has no end for
+            return [self._bytes(self.tokenizer.encode(p, add_special_tokens=False).ids) for p in parts]
+        data, at = ids.tobytes(), [0, *(stops * ids.itemsize).tolist()]
+        return [data[a:b] for a, b in zip(at, at[1:])]
+
     def _learn(self, words: set[str]) -> None:
         memo, parts = self.memo, {}
         plain, others = [], []
@@ -123,13 +179,7 @@ class WordTokenizer:
             else:
                 cuts[w] = _ALL_CUTS.findall(w.lower())
         if new := list(set(low).union(*cuts.values())):
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(new) or stops[-1] != len(ids):  # a part that the vocabulary has no end for
-                parts = {p: self._bytes(self.tokenizer.encode(p, add_special_tokens=False).ids) for p in new}
-            else:
-                data, at = ids.tobytes(), [0, *(stops * ids.itemsize).tolist()]
-                parts = dict(zip(new, [data[a:b] for a, b in zip(at, at[1:])]))
+            parts = dict(zip(new, self._encode_parts(new)))
         memo.update(zip(plain, map(parts.__getitem__, low)))
         for w, own in cuts.items():
             memo[w] = b"".join([parts[p] for p in own])
