@@ -35,7 +35,7 @@ PROFILE = 400
 #: texts in other scripts with a few Latin words 0.14 at most.
 MIN_SCORE = 0.2
 #: n-grams that a task adds up, and characters of texts that are counted together when profiles are fitted.
-HELD, CHUNK = 1_000_000, 1 << 18
+HELD, CHUNK = 300_000, 1 << 15
 #: Marks of numbers that stand for one and two characters; those of three need no mark.
 _ONE, _TWO = np.uint64(3 << 62), np.uint64(1 << 63)
 _PLACE = np.uint64(21)
