@@ -6,12 +6,13 @@ together, in reverse lexicographic order; then one stack holds the words of the
 it the count of the phrase that ends there is complete and is added to its prefix's. Scores need the counts of the
 phrases' parts, which are joined afterwards.
 
-Three things keep this small. A phrase has no more occurrences than each of its words, pairs and triples of words, so
-suffixes end before the first word, pair or triple that is rare in its language. Words are counted as they are, pairs of
-frequent words and triples of frequent pairs by numbers that stand for them, of which two may share one. Each then passes a
-filter of FILTER_BITS bits at most. Shared numbers and filters may take what is rare for frequent, which costs rows and
-changes no result, but never the reverse. And suffixes are added up in each task. Texts are scanned as arrays of bytes:
-words get their numbers by prefix sums.
+Three things keep this small. A phrase has no more occurrences than each of its words, pairs, triples and quadruples of words,
+so suffixes end before the first of these that is rare in its language. Words are counted as they are, pairs of frequent
+words, triples of frequent pairs and quadruples of frequent triples by numbers that stand for them, of which two may share
+one. Each then passes a filter of FILTER_BITS bits at most. Shared numbers and filters may take what is rare for frequent,
+which costs rows and changes no result, but never the reverse. And suffixes are added up in each task. A task hands on one
+row for nearly every frequent phrase, so splits are joined into tasks of up to WORDS_EACH words, as long as every core has
+one. Texts are scanned as arrays of bytes: words get their numbers by prefix sums.
 Hot first words are split: the shuffle is by ranges of whole suffixes, so a range may begin or end anywhere inside a
 word's suffixes. The phrases on which a range begins or ends may be incomplete; they are kept whatever their
 count, and summed over ranges before the threshold applies.
@@ -40,9 +41,13 @@ from .common import discard, join_groups, prepare, sized, staged, text_or_empty
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
 #: Counts that a task adds up, grams that it counts at once, and bytes of texts that are scanned together.
 HELD, GRAMS, CHUNK_BYTES = 300_000, 1 << 21, 1 << 20
+#: Words of the longest grams that are filtered, and words that a task adds suffixes up over.
+GRAM_WORDS, WORDS_EACH = 4, 1 << 26
 #: Bits of a filter for each entry, all of them at most (64 MB), and places of an entry; numbers of grams have so many bits
 #: more than the number of words.
-BITS_EACH, FILTER_BITS, PLACES, SPARE_BITS = 16, 1 << 29, 2, 6
+BITS_EACH, FILTER_BITS, PLACES, SPARE_BITS = 32, 1 << 29, 4, 6
+#: Multipliers that make the places of an entry.
+ODDS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xAEF17502108EF2D9, 0xF1357AEA2E62A9C5)
 _LETTERS = bytes(range(0x41, 0x5B))
 #: Lower-cases A to Z; pieces end at full stops, which no word holds, and words at spaces.
 _PLAIN = bytes.maketrans(_LETTERS + b",;:!?\n\x0b\x0c\r\t", _LETTERS.lower() + b"." * 9 + b" ")
@@ -109,12 +114,15 @@ class Filter:
 
     @staticmethod
     def places(numbers: np.ndarray, shift: np.uint64) -> list[np.ndarray]:
-        return [numbers * np.uint64(odd) >> shift for odd in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)[:PLACES]]
+        return [numbers * np.uint64(odd) >> shift for odd in ODDS[:PLACES]]
 
     def has(self, numbers: np.ndarray) -> np.ndarray:
-        out = np.ones(len(numbers), dtype=bool)
-        for at in self.places(numbers, self.shift):
-            out &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        left = np.arange(len(numbers))  # those found at all places so far
+        for odd in ODDS[:PLACES]:
+            at = numbers[left] * np.uint64(odd) >> self.shift
+            left = left[self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0]
+        out = np.zeros(len(numbers), dtype=bool)
+        out[left] = True
         return out
 
 
@@ -255,9 +263,14 @@ def gram_filter(docs: DataFrame, filters: list[Filter], bits: int, least: int) -
     return out
 
 
+def merged(docs: DataFrame, words: int) -> DataFrame:
+    """docs, which have so many words, in as few tasks as leave every core one and none more than about WORDS_EACH words."""
+    return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-words // WORDS_EACH)))
+
+
 def suffixes(docs: DataFrame, filters: list[Filter], bits: int, max_words: int = MAX_WORDS) -> DataFrame:
     """lang, suffix, n: suffixes that begin with a frequent pair, up to the first rare gram, counted in each task. filters are those of
-    words, pairs and triples."""
+    words, pairs, triples and so on."""
     shared = _shared(docs, filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,12 +281,13 @@ def suffixes(docs: DataFrame, filters: list[Filter], bits: int, max_words: int =
                 yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(found, pa.binary()), pa.array(n)], names=["lang", "suffix", "n"])
             counts.clear()
 
-        for lang, plain, starts, ends, (_, pairs, triples, _) in _scanned(batches, _opened(shared), bits):
+        for lang, plain, starts, ends, grams in _scanned(batches, _opened(shared), bits):
             size = np.ones(len(starts), dtype=np.int64)  # words of the suffix at each place
-            size[:-1][pairs > 0] = 2
-            three = np.flatnonzero(triples > 0)
-            for k in range(3, max_words + 1):  # k words wherever a triple stands and k - 1 words follow from the next place
-                size[three[size[three + 1] >= k - 1]] = k
+            for k, own in enumerate(grams[1:-1], 2):
+                size[: len(own)][own > 0] = k
+            last = np.flatnonzero(grams[-2] > 0)
+            for k in range(len(filters) + 1, max_words + 1):  # k words wherever a longest gram stands and k - 1 words follow from the next place
+                size[last[size[last + 1] >= k - 1]] = k
             at = np.flatnonzero(size > 1)
             found = [plain[a:b] for a, b in zip(starts[at].tolist(), ends[at + size[at] - 1].tolist())]
             if b"  " in plain:
@@ -397,9 +411,9 @@ def mine(docs: DataFrame, least: int = MIN_COUNT, top: int = TOP) -> DataFrame:
     total = words.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(62, int(total).bit_length() + SPARE_BITS)
     filters = [filter_of(words.where("word is not null"), ["lang", "word"], _listed)]
-    for _ in range(2):
+    while len(filters) < GRAM_WORDS:
         filters.append(gram_filter(docs, filters, bits, least))
-    found = staged(suffixes(docs, filters, bits), "suffixes")
+    found = staged(suffixes(merged(docs, total), filters, bits), "suffixes")
     phrases = staged(frequent_phrases(found, least), "phrases")
     scored = without_contained(best_cuts(phrases, words), phrases)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("n"), "phrase")

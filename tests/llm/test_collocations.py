@@ -107,6 +107,50 @@ def test_full_filters_change_nothing(odd):
     assert all(g == got[0] for g in got) and got[0]
 
 
+@pytest.fixture
+def suffix_rows(monkeypatch):
+    """What mine() stages as suffixes."""
+    seen = []
+
+    def watched(df, name):
+        out = staged(df, name)
+        if name == "suffixes":
+            seen.append(out)
+        return out
+
+    monkeypatch.setattr(col, "staged", watched)
+    return seen
+
+
+def test_rows_of_suffixes_do_not_follow_splits(spark, suffix_rows):
+    """Splits are joined before suffixes are added up: each of 40 splits handed on its own count of every phrase."""
+    docs = spark.createDataFrame([("en", f"a b c d{k}") for k in range(400)], "lang string, text string")
+    for splits in (4, 40):
+        got = [(r["phrase"], r["a"]) for r in col.mine(docs.repartition(splits), 100, 50).collect()]
+        assert got == [("a b c", 400)]
+    assert [f.count() for f in suffix_rows] == [8, 8]
+
+
+def test_tasks_grow_with_words(odd):
+    split = odd.repartition(40)
+    parts = lambda words: col.merged(split, words).rdd.getNumPartitions()
+    assert parts(0) == parts(4 * col.WORDS_EACH) == 4 and parts(9 * col.WORDS_EACH + 1) == 10 and parts(99 * col.WORDS_EACH) == 40
+
+
+def test_suffixes_end_at_rare_quadruples(spark, suffix_rows):
+    rows = [("en", "a b c")] * 5 + [("en", "b c d")] * 5 + [("en", "a b c d")]
+    got = {r["phrase"]: r["a"] for r in col.mine(spark.createDataFrame(rows, "lang string, text string"), 3, 50).collect()}
+    assert got == {"a b c": 6, "b c d": 6, "b c": 11}
+    assert max(bytes(r["suffix"]).count(b"\x00") for r in suffix_rows[0].collect()) == 2
+
+
+def test_filters_take_few_rare_grams_for_frequent(spark):
+    words = [f"w{k}" for k in range(5000)]
+    made = col.filter_of(spark.createDataFrame([("en", w) for w in words], "lang string, word string"), ["lang", "word"], col._listed)
+    others = col.Scanner().scan("en", " ".join(f"v{k}" for k in range(200_000)).encode())[2]
+    assert made.has(others).mean() < 0.001
+
+
 def test_scores_beyond_64_bits(spark):
     n = 10**17
     phrases = spark.createDataFrame([("en", "a b c", 3, 900_000_000_000_007)], "lang string, phrase string, size int, n long")
