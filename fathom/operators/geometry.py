@@ -74,7 +74,8 @@ def overlapping(placed: DataFrame, boxes: DataFrame, tile: int, image: str = "im
 
     Both are put in the cells of a grid, tile wide, that they touch, and meet in an equi-join on the cell, so what the join
     makes grows with the overlaps and an image of any number of boxes is spread over its cells. Of the cells that a pair
-    shares, the one that holds the upper left corner of their overlap makes the row.
+    shares, the one that holds the upper left corner of their overlap makes the row. Both sides are shuffled: Spark takes
+    the size of tiles from that of the images, many times too small, and would send them all through the driver.
     """
     cell = lambda c: F.floor(c / tile)
     span = lambda low, high: F.sequence(cell(low), F.greatest(cell(low), cell(high)))
@@ -83,7 +84,7 @@ def overlapping(placed: DataFrame, boxes: DataFrame, tile: int, image: str = "im
     solid = boxes.where((F.col("bw") > 0) & (F.col("bh") > 0))
     met = solid.withColumn("_cy", F.explode(span(by, by + F.col("bh")))).withColumn("_cx", F.explode(span(bx, bx + F.col("bw"))))
     owner = (F.col("_cx") == cell(F.greatest(bx, x))) & (F.col("_cy") == cell(F.greatest(by, y)))
-    return gridded.join(met, [image, "_cx", "_cy"]).where(owner).drop("_cx", "_cy")
+    return gridded.hint("merge").join(met, [image, "_cx", "_cy"]).where(owner).drop("_cx", "_cy")
 
 
 def clip_boxes(placed: DataFrame, boxes: DataFrame, tile: int, pad: bool = False, image: str = "image_id") -> DataFrame:
@@ -102,7 +103,7 @@ def renumber(clipped: DataFrame, image: str = "image_id") -> DataFrame:
     """clipped with tile_no and new_ann_id from 0, in the order of image, row, column and annotation. Numbers are dense
     over the whole table; both tiles and rows are numbered by ranges, so no task holds an image."""
     rows = numbered(clipped, [image, "row", "col", "ann_id"], "new_ann_id")
-    tile_nos = numbered(clipped.select(image, "row", "col").distinct(), [image, "row", "col"], "tile_no")
+    tile_nos = numbered(rows.select(image, "row", "col").distinct(), [image, "row", "col"], "tile_no")  # rows are staged, boxes are cut once
     return rows.join(tile_nos, [image, "row", "col"]).select(*clipped.columns, "tile_no", "new_ann_id")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fathom.operators import dense_blocks, geometry, ingest, ordered, outline, retrieval, search_index
 from fathom.operators import evaluation as E
 from fathom.operators import timeseries as X
+from fathom.plans import scoring_queries
 from fathom.sources import files, pdf
 from fathom.streaming import online, rolling
 
@@ -163,6 +164,18 @@ def test_overlaps_make_few_rows(spark):
     assert met.count() < 0.1 * len(grid) * len(boxes) and "CartesianProduct" not in plan(met) and "NestedLoop" not in plan(met)
 
 
+def test_tiles_are_not_sent_through_the_driver(spark, sf_dir):
+    for query in (scoring_queries.bbox_clip, scoring_queries.bbox_shift):
+        assert "BroadcastExchange" not in plan(query(spark, sf_dir))
+
+
+def test_boxes_are_cut_once(spark, sf_dir, monkeypatch):
+    seen, real = [], geometry.numbered
+    monkeypatch.setattr(geometry, "numbered", lambda rows, *more: seen.append(plan(rows)) or real(rows, *more))
+    scoring_queries.bbox_renumber(spark, sf_dir)
+    assert ["Generate" in p for p in seen] == [True, False] and "BroadcastExchange" not in seen[0]
+
+
 def test_pages_within_a_tolerance_meet_by_equality(spark):
     hits = spark.createDataFrame([(1, "a", 5, 1), (1, "a", 9, 2), (1, None, 5, 3), (1, "a", None, 4)], "query_id int, source string, page int, rank int")
     gold = spark.createDataFrame([(1, "a", 4, 2), (1, "a", 6, 1), (1, "a", 8, 3)], "query_id int, source string, page int, gold_no int")
