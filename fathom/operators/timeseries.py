@@ -96,6 +96,11 @@ def row_mean(columns: list[Column]) -> Column:
     return total / F.nullif(n, F.lit(0))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """c rounded as arithmetic on doubles does it: halves of c times ten to the digits away from zero. Zero keeps its sign."""
+    return F.signum(c) * F.round(F.abs(c * 10.0**digits)) / 10.0**digits
+
+
 def z_score(value: Column, mean: Column, std: Column) -> Column:
     return F.when(std.isNull() | (std == 0), 0.0).otherwise((value - mean) / std)
 
@@ -207,7 +212,7 @@ def best_window(rows: DataFrame, n: int = 36, calm: bool = False, s: Sensors = S
 def window_metrics(window: DataFrame, base: DataFrame, model: DataFrame, s: Sensors = Sensors(), digits: int = 4) -> DataFrame:
     """One row per dataset: bounds, 14 stats, residual mean and std, status share and counts, and ten z-scores. z-scores are
     of the rounded stats, but for those of the residual and the status share."""
-    r = lambda c: F.round(c, digits)
+    r = lambda c: rounded(c, digits)
     pair = lambda name, column: [r(F.avg(column)).alias(f"{name}_mean"), r(F.stddev_samp(column)).alias(f"{name}_std")]
     rows = _derived(window, model, s)
     stats = [*pair("wind_speed", s.wind), r(F.max(s.wind_max)).alias("wind_speed_max"), *pair("power", s.power), *pair("rotor_rpm", s.rotor), *pair("generator_rpm", s.gen), *pair("pitch", s.pitch)]

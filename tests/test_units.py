@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fathom.functions import text as T
 from fathom.operators import evaluation, geometry, ingest, retrieval, timeseries
 from fathom.operators import timeseries as X
+from fathom.plans import timeseries_queries as TQ
 from fathom.sources import files
 from fathom.streaming import rolling
 
@@ -224,6 +225,22 @@ def test_hashed_vectors(spark):
     assert [list(r["embedding"]) for r in lengths] == [[1, 0], [1, 0], [0, 0], [1, 0]]
 
 
+def test_metrics_are_rounded_as_in_sql(spark, duck):
+    """Ties in decimal form, which lie beside them as doubles, and negative numbers that become zero."""
+    cells = [k * 0.00036 / 36 + 0.00005 for k in range(0, 40_000, 7)] + [-0.00004, -0.0, 0.0, 0.00004, -0.00005, -2.00005, 1e12 + 0.5, float("nan"), None]
+    want = [r[0] for r in duck.execute("SELECT round(unnest(?::DOUBLE[]), 4)::VARCHAR", [cells]).fetchall()]
+    got = values(spark, lambda c: X.rounded(c, 4), cells, "double")
+    assert [repr(g) if g is not None else None for g in got] == [repr(float(w)) if w is not None else None for w in want]
+
+
+def test_prompts_keep_the_sign_of_zero(spark, duck, tmp_path):
+    """A series of sf0.1 whose mean residual is a little less than zero."""
+    spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").where("l_suppkey = 41").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = [tuple(r) for r in TQ.summary_prompts(spark, str(tmp_path)).collect()]
+    sql = TQ.ORACLES["summary_prompts"].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == duck.execute(sql).fetchall() and "power_residual_mean=-0.0," in got[0][1]
+
+
 def test_cards_of_payloads(spark, tmp_path):
     """A card from embedded text equals one from rows, and lists with its class."""
     import json
