@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.operators.retrieval import SERVICE
+from fathom.staging import sized, staged
 
 #: Weights of kinds are those of ranking.
 KIND_WEIGHTS = SERVICE.boosts
@@ -19,25 +20,45 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
 
 
-def ir_metrics(hits: DataFrame, gold: DataFrame, query: str = "query_id", item: str = "item") -> DataFrame:
+def gold_groups(asks: DataFrame, gold: DataFrame, query: str = "query_id", group: str = "label") -> tuple[DataFrame, DataFrame]:
+    """of (query, group) and gold, where queries share gold by their group: asks has query and group, gold has group and its
+    items. Both go to the measures as they are, so gold is never repeated for each query of a group.
+
+    Groups become arrays: a query that comes with several groups has an array of its own, whose gold is theirs together.
+    """
+    of = asks.where(F.col(group).isNotNull()).groupBy(query).agg(F.array_sort(F.collect_set(group)).alias("_of"))
+    sets = sized(staged(of.select("_of").distinct().select("_of", F.explode("_of").alias(group)), "groups"))
+    met = gold.join(sets, group)
+    return of.withColumnRenamed("_of", group), met.drop(group).withColumnRenamed("_of", group)
+
+
+def _asked(hits: DataFrame, gold: DataFrame, query: str, of: DataFrame | None, group: str) -> tuple[str, DataFrame, DataFrame]:
+    """The key of gold, hits with that key, and the queries that have gold, with it."""
+    if of is None:
+        return query, hits, gold.select(query).distinct()
+    return group, hits.join(of, query), of.join(gold.select(group).distinct(), group)
+
+
+def ir_metrics(hits: DataFrame, gold: DataFrame, query: str = "query_id", item: str = "item", of: DataFrame | None = None, group: str = "label") -> DataFrame:
     """query, n_hits, recall, precision, hit, mrr, ndcg, weighted_recall for each query of gold.
 
     hits has query, item, rank; gold has query, item and, for weights, kind. Both are taken as sets in order of the best
-    rank: an item that comes twice counts at its first place, and places are counted without repeats.
+    rank: an item that comes twice counts at its first place, and places are counted without repeats. With of, gold has
+    the group of gold_groups() instead of query; it is counted by group and meets hits alone.
     """
     weighed = "kind" in gold.columns
     kinds = F.create_map(*(F.lit(x) for pair in KIND_WEIGHTS.items() for x in pair))
     weight = F.coalesce(F.try_element_at(kinds, F.col("kind")), F.lit(1.0)) if weighed else F.lit(1.0)
-    wanted = gold.groupBy(query, item).agg(F.max(weight).alias("w"))
+    key = query if of is None else group
+    wanted = gold.groupBy(key, item).agg(F.max(weight).alias("w"))
     first = hits.groupBy(query, item).agg(F.min("rank").alias("rank"))
     ordered = first.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("rank", item))).alias("list"))
     placed = ordered.select(query, F.size("list").alias("n_got"), F.posexplode("list").alias("pos", "x")).select(query, "n_got", (F.col("pos") + 1).alias("place"), F.col(f"x.{item}").alias(item))
-    found = wanted.join(placed, [query, item], "left")
-    per = found.groupBy(query).agg(
-        F.count("*").alias("n_gold"), F.count("place").alias("n_hits"), F.min("place").alias("best"), F.sum(F.when(F.col("place").isNotNull(), 1 / F.log2(F.col("place") + 1))).alias("dcg"),
-        F.sum("w").alias("w_all"), F.sum(F.when(F.col("place").isNotNull(), F.col("w"))).alias("w_hit"),
-    )
-    j = per.join(placed.groupBy(query).agg(F.first("n_got").alias("n_got")), query, "left").withColumn("n_got", F.coalesce("n_got", F.lit(0)))
+    own = placed if of is None else placed.join(of, query)
+    met = own.join(wanted, [key, item], "left").withColumn("_hit", F.when(F.col("w").isNotNull(), F.col("place")))
+    found = met.groupBy(query).agg(F.first("n_got").alias("n_got"), F.count("_hit").alias("n_hits"), F.min("_hit").alias("best"), F.sum(1 / F.log2(F.col("_hit") + 1)).alias("dcg"), F.sum("w").alias("w_hit"))
+    counts = wanted.groupBy(key).agg(F.count("*").alias("n_gold"), F.sum("w").alias("w_all"))
+    j = (counts if of is None else of.join(counts, group)).join(found, query, "left").fillna(0, ["n_got", "n_hits"])
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least("n_gold", "n_got"), F.lit(1)).cast("int")), F.lit(0.0), lambda s, k: s + 1 / F.log2(k + 1))
     c = F.col
     return j.select(
@@ -62,22 +83,27 @@ def isolated(cases: DataFrame, metrics: DataFrame, query: str = "query_id") -> D
     return joined.select(query, "class_label", error.alias("error"), *kept)
 
 
-def page_keys(hits: DataFrame, gold: DataFrame, tolerance: int = 1, query: str = "query_id") -> tuple[DataFrame, DataFrame]:
+def page_keys(hits: DataFrame, gold: DataFrame, tolerance: int = 1, query: str = "query_id", of: DataFrame | None = None, group: str = "label") -> tuple[DataFrame, DataFrame]:
     """hits and gold as page keys (query, item, rank): a hit stands for the first gold page (by gold_no) of its source that
-    is within tolerance, hits without one drop out. hits has query, source, page, rank; gold has query, source, page, gold_no."""
-    key = lambda page: F.concat_ws("::p", "source", page.cast("string"))
+    is within tolerance, hits without one drop out. hits has query, source, page, rank; gold has query, source, page, gold_no.
+    With of, gold has the group of gold_groups() instead of query, and keeps it."""
+    name = lambda page: F.concat_ws("::p", "source", page.cast("string"))
+    key, own, _ = _asked(hits, gold, query, of, group)
     g = gold.where("source is not null and page is not null")
     reach = F.explode(F.sequence(F.col("page") - tolerance, F.col("page") + tolerance))  # so that pages meet by equality
-    near = hits.join(g.select(query, "source", F.col("page").alias("gp"), "gold_no", reach.alias("page")), [query, "source", "page"])
-    matched = near.groupBy(query, "source", "page", "rank").agg(F.min_by("gp", "gold_no").alias("gp"))
-    return matched.select(query, key(F.col("gp")).alias("item"), "rank"), g.select(query, key(F.col("page")).alias("item"))
+    near = g.select(key, "source", F.col("page").alias("gp"), "gold_no", reach.alias("page")).groupBy(key, "source", "page").agg(F.min_by("gp", "gold_no").alias("gp"))
+    matched = own.join(near, [key, "source", "page"]).select(query, "source", "page", "rank", "gp").distinct()
+    return matched.select(query, name(F.col("gp")).alias("item"), "rank"), g.select(key, name(F.col("page")).alias("item"))
 
 
-def simple_metrics(hits: DataFrame, gold: DataFrame, k: int, query: str = "query_id", item: str = "item") -> DataFrame:
-    """One row: mean precision at k (of k, not of what was found) and mean reciprocal rank over the queries of gold."""
+def simple_metrics(hits: DataFrame, gold: DataFrame, k: int, query: str = "query_id", item: str = "item", of: DataFrame | None = None, group: str = "label") -> DataFrame:
+    """One row: mean precision at k (of k, not of what was found) and mean reciprocal rank over the queries of gold. With
+    of, gold has the group of gold_groups() instead of query."""
     best = hits.where(F.col("rank") <= k).groupBy(query, item).agg(F.min("rank").alias("rank"))
-    per = gold.select(query, item).distinct().join(best, [query, item], "left").groupBy(query).agg(F.count("rank").alias("n"), F.min("rank").alias("first"))
-    return per.agg((F.avg(F.col("n") / k)).alias("precision_at_k"), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"))
+    key, own, asked = _asked(best, gold, query, of, group)
+    met = own.join(gold.select(key, item).distinct(), [key, item]).groupBy(query).agg(F.count("rank").alias("n"), F.min("rank").alias("first"))
+    per = asked.join(met, query, "left")
+    return per.agg(F.avg(F.coalesce("n", F.lit(0)) / k).alias("precision_at_k"), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"))
 
 
 def mean_metrics(metrics: DataFrame, names: list[str], by: str = "class_label") -> DataFrame:

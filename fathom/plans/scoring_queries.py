@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fathom.operators import evaluation as E
@@ -16,15 +15,14 @@ _MEASURES = ("recall", "precision", "hit", "mrr", "ndcg", "weighted_recall")
 
 
 def _neighbours(spark, sf_dir):
-    """Neighbours of the vectors whose id is divisible by 20; gold is all vectors of its label."""
+    """Neighbours of the vectors whose id is divisible by 20; gold is all vectors of its label, kept by label."""
     v = table(spark, sf_dir, "embeddings")
-    asks = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    asks = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
     hits = R.dense_top(v, asks, 10).select("query_id", F.col("vec_id").alias("item"), "rank")
     kind = F.when(F.col("vec_id") % 3 == 0, "procedure").when(F.col("vec_id") % 3 == 1, "changelog").otherwise("other")
-    nth = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    few = v.withColumn("n", nth).select("label", F.col("vec_id").alias("item"), kind.alias("kind"), F.col("n").alias("gold_no"))
-    gold = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(few, "label")
-    return hits, gold
+    few = v.select("label", F.col("vec_id").alias("item"), kind.alias("kind"), F.col("vec_id").alias("gold_no"))
+    of, gold = E.gold_groups(asks, few)
+    return hits, gold, of
 
 
 _NEAR = """
@@ -53,40 +51,40 @@ def _shown(metrics):
 
 
 def ir_metrics_strict(spark, sf_dir):
-    hits, gold = _neighbours(spark, sf_dir)
-    return _shown(E.ir_metrics(hits, gold))
+    hits, gold, of = _neighbours(spark, sf_dir)
+    return _shown(E.ir_metrics(hits, gold, of=of))
 
 
 def ir_metrics_group(spark, sf_dir):
     """Vectors' source is their id by 25: hits and gold count by source."""
-    hits, gold = _neighbours(spark, sf_dir)
+    hits, gold, of = _neighbours(spark, sf_dir)
     by = F.floor(F.col("item") / 25)
-    return _shown(E.ir_metrics(hits.withColumn("item", by), gold.drop("kind").withColumn("item", by)))
+    return _shown(E.ir_metrics(hits.withColumn("item", by), gold.drop("kind").withColumn("item", by), of=of))
 
 
 def ir_metrics_proximity(spark, sf_dir):
     """Source is the id by 25 and page its remainder; a page off still counts."""
-    hits, gold = _neighbours(spark, sf_dir)
+    hits, gold, of = _neighbours(spark, sf_dir)
     placed = {"source": F.floor(F.col("item") / 25).cast("string"), "page": F.col("item") % 25}
-    return _shown(E.ir_metrics(*E.page_keys(hits.withColumns(placed), gold.withColumns(placed))))
+    return _shown(E.ir_metrics(*E.page_keys(hits.withColumns(placed), gold.withColumns(placed), of=of), of=of))
 
 
 def ir_metrics_section(spark, sf_dir):
     """Vectors stand for chunks of a source and a section."""
     place = [F.concat(F.lit("m"), F.floor(F.col("item") / 25).cast("string")).alias("source"), F.concat(F.lit("S"), (F.col("item") % 5).cast("string")).alias("section")]
-    hits, gold = _neighbours(spark, sf_dir)
-    return _shown(E.ir_metrics(E.section_keys(hits.select("query_id", "rank", *place)), E.section_keys(gold.select("query_id", *place))))
+    hits, gold, of = _neighbours(spark, sf_dir)
+    return _shown(E.ir_metrics(E.section_keys(hits.select("query_id", "rank", *place)), E.section_keys(gold.select("label", *place)), of=of))
 
 
 def simple_metrics(spark, sf_dir):
-    hits, gold = _neighbours(spark, sf_dir)
-    m = E.simple_metrics(hits, gold, 5)
+    hits, gold, of = _neighbours(spark, sf_dir)
+    m = E.simple_metrics(hits, gold, 5, of=of)
     return m.select(F.round("precision_at_k", 6).alias("precision_at_k"), F.round("mrr", 6).alias("mrr"))
 
 
 def mean_metrics(spark, sf_dir):
-    hits, gold = _neighbours(spark, sf_dir)
-    m = E.ir_metrics(hits, gold).withColumn("class_label", (F.col("query_id") % 30).cast("string"))
+    hits, gold, of = _neighbours(spark, sf_dir)
+    m = E.ir_metrics(hits, gold, of=of).withColumn("class_label", (F.col("query_id") % 30).cast("string"))
     out = E.mean_metrics(m, ["recall", "mrr"])
     return out.select("class_label", "n", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
 

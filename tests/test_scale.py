@@ -184,6 +184,29 @@ def test_pages_within_a_tolerance_meet_by_equality(spark):
     assert "abs(" not in plan(near).split("Physical")[-1]
 
 
+def test_gold_of_groups_is_that_of_their_queries(spark):
+    """Measures with gold by group equal those with gold by query, also for queries of two groups, of an unknown one or of none."""
+    draw = random.Random(4)
+    asks = spark.createDataFrame([(q, q % 3) for q in range(12)] + [(3, 1), (12, 9), (13, None), (4, 1)], "query_id int, label int")
+    members = [(m % 4, draw.randrange(40), draw.choice(["procedure", "changelog", "other", None]), m, f"s{m % 2}", draw.randrange(9)) for m in range(60)]
+    few = spark.createDataFrame(members, "label int, item int, kind string, gold_no int, source string, page int")
+    hits = spark.createDataFrame([(q, draw.randrange(40), r, f"s{r % 2}", draw.randrange(9)) for q in range(14) for r in range(1, 8)], "query_id int, item int, rank int, source string, page int")
+    of, shared = E.gold_groups(asks, few)
+    each = asks.distinct().join(few, "label").drop("label")
+    rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    assert rows(E.ir_metrics(hits, shared, of=of)) == rows(E.ir_metrics(hits, each))
+    assert rows(E.simple_metrics(hits, shared, 5, of=of)) == rows(E.simple_metrics(hits, each, 5))
+    near, keys = E.page_keys(hits, shared, of=of)
+    near_each, keys_each = E.page_keys(hits, each)
+    assert rows(near) == rows(near_each) and rows(E.ir_metrics(near, keys, of=of)) == rows(E.ir_metrics(near_each, keys_each))
+
+
+def test_gold_of_neighbours_grows_with_the_vectors(spark, sf_dir):
+    _, gold, of = scoring_queries._neighbours(spark, sf_dir)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    assert gold.count() == vectors.count() and of.count() == vectors.where("vec_id % 20 = 0").count()
+
+
 def test_sections_by_one_pass(spark):
     pages = spark.createDataFrame([("m", k, f"t{k}") for k in range(1, 9)] + [("n", 1, "x"), ("n", None, "lost")], "source string, page_index int, text string")
     entries = spark.createDataFrame([("m", 3, "A", 0), ("m", 3, "B", 1), ("m", 6, "C", 2), ("m", 0, "bad", 3), ("n", 5, "late", 0)], "source string, page_index int, title string, entry_no int")
