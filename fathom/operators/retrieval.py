@@ -139,6 +139,19 @@ def _blocks(rows: DataFrame, id: str, vector: str, size: int) -> DataFrame:
     return rows.where(F.col(vector).isNotNull()).select(id, vector).mapInArrow(run, f"ids array<{kind}>, matrix binary")
 
 
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best of each row of score, as rounded, of equals those with the smallest ids: only what
+    reaches a row's k-th best is sorted."""
+    own = np.nan_to_num(np.round(score, 9), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+    floor = np.partition(own, -k, axis=1)[:, -k, None] if own.shape[1] > k else -np.inf
+    n, at = np.nonzero(own >= floor)
+    order = np.lexsort((ids[at], -own[n, at], n))
+    n, at = n[order], at[order]
+    first = np.searchsorted(n, np.arange(len(score)))
+    kept = np.arange(len(n)) - first[n] < k
+    return n[kept], at[kept]
+
+
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", query: str = "query_id", vector: str = "embedding", block: int = 512) -> DataFrame:
     """query, id, dense, rank by exact inner product; rows without a vector have no hits.
 
@@ -154,9 +167,8 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id"
             for row in b.to_pylist():
                 ids, asks = np.array(row["ids"]), row["asks"]
                 score = np.frombuffer(row["asked"]).reshape(len(asks), -1) @ np.frombuffer(row["matrix"]).reshape(len(ids), -1).T
-                best = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 9)), axis=1)[:, :k]
-                of = [asks[n] for n in np.repeat(np.arange(len(asks)), best.shape[1])]
-                columns = [pa.array(of), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(score, best, 1).ravel())]
+                n, at = _best(score, ids, k)
+                columns = [pa.array([asks[x] for x in n]), pa.array(ids[at]), pa.array(score[n, at])]
                 yield pa.RecordBatch.from_arrays(columns, names=[query, id, "dense"])
 
     pairs = _blocks(vectors, id, vector, 2048).crossJoin(sized(asked, FEW_BLOCKS))

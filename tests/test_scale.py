@@ -70,6 +70,16 @@ def test_counts_equal_the_joined_form(spark, sf_dir, monkeypatch):
 # Dense blocks
 
 
+def test_best_scores_are_those_of_a_whole_sort():
+    draw = np.random.default_rng(2)
+    score, ids = np.round(draw.normal(size=(40, 300)), 1), draw.permutation(300)
+    score[3], score[4, :7] = 0.0, np.nan
+    for k in (1, 10, 300, 400):
+        n, at = retrieval._best(score, ids, k)
+        want = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 9)), axis=1)[:, :k]
+        assert n.tolist() == np.repeat(np.arange(40), min(k, 300)).tolist() and np.array_equal(ids[at].reshape(want.shape), ids[want])
+
+
 def test_dense_blocks_are_exact_and_skip(spark):
     draw = np.random.default_rng(3)
     centres = draw.normal(size=(12, 16)) * 4
