@@ -1,9 +1,10 @@
 """A lexical index that is kept as Parquet and searched without the texts.
 
 Documents are put in order of their most frequent term and of their length, so that those alike stand together, and cut
-into segments of so many; for each term and segment there is one
+into segments of so many, within the ranges in which they are sorted; for each term and segment there is one
 block, a row with the documents' ids, term counts and lengths and, beside these, the largest impact of the block: what
-the term adds to a score at most, but for its weight. Blocks of a term lie in one folder of BUCKETS, sorted by term.
+the term adds to a score at most, but for its weight. Blocks of a term lie in one folder of BUCKETS, sorted by
+term in each file.
 
 Search is exact and opens few blocks (block-max pruning). The bound of a query in a segment is the sum of its
 terms' largest impacts there times their weights. The segments with the highest bounds are scored first; the k-th
@@ -22,13 +23,13 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.operators import retrieval as R
-from fathom.operators.ordered import numbered
-from fathom.staging import sized, staged
+from fathom.staging import discard, sized, staged
 
 #: Documents of a segment, folders of terms, segments that are scored before there is a threshold.
 SEGMENT, BUCKETS, FIRST = 32, 64, 2
@@ -39,53 +40,88 @@ _TERM = re.compile(r"[a-z0-9]+")
 
 @dataclass(frozen=True)
 class Index:
-    """The tables of an index, where they are, and the names of its columns."""
+    """The tables of an index, where they are, and the name of its ids, and whether ids repeat."""
 
     blocks: DataFrame
     terms: DataFrame
     n: int
     id: str
     path: str
+    repeats: bool
 
 
 def _bucket(term) -> F.Column:
     return F.pmod(F.crc32(term), F.lit(BUCKETS)).cast("int")
 
 
-def _entries(docs: DataFrame, id: str, text: str, segment: int) -> tuple[DataFrame, DataFrame]:
-    """Lengths (id, dl) of all documents, and an entry (segment, id, dl, term, tf) for each term of each document."""
+def _counted(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """id, common (the most frequent term), dl, words (distinct terms, joined by spaces) and times (their counts, binary)."""
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [list(map(list, zip(*Counter(_TERM.findall((t or "").lower())).items()))) or [[], []] for t in b.column(1).to_pylist()]
-            common = [min(zip((-k for k in n), t))[1] if t else "" for t, n in found]
-            columns = [b.column(0), pa.array(common), pa.array([sum(n) for _, n in found], pa.int64()), pa.array([t for t, _ in found], pa.list_(pa.string())), pa.array([n for _, n in found], pa.list_(pa.int32()))]
+            found = [Counter(_TERM.findall((t or "").lower())) for t in b.column(1).to_pylist()]
+            common = [min((-n, t) for t, n in c.items())[1] if c else "" for c in found]
+            times = [np.fromiter(c.values(), np.int32, len(c)).tobytes() for c in found]
+            columns = [b.column(0), pa.array(common, pa.string()), pa.array([c.total() for c in found], pa.int64()), pa.array(map(" ".join, found), pa.string()), pa.array(times, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[id, "common", "dl", "words", "times"])
 
-    counted = docs.select(id, text).mapInArrow(run, f"{id} {kind}, common string, dl long, words array<string>, times array<int>")
-    placed = staged(numbered(counted, ["common", "dl", id], "place"), "counted")
-    number, pairs = F.floor(F.col("place") / segment).cast("long"), F.arrays_zip(F.col("words").alias("term"), F.col("times").alias("tf"))
-    rows = placed.where(F.col(id).isNotNull()).select(number.alias("segment"), id, "dl", F.inline(pairs))
-    return placed.select(id, "dl"), rows.toDF("segment", id, "dl", "term", "tf")
+    return docs.select(id, text).mapInArrow(run, f"{id} {kind}, common string, dl long, words string, times binary")
+
+
+def _blocks(counted: DataFrame, id: str, segment: int, avgdl: float) -> DataFrame:
+    """term, segment, docs, most, ids, tfs, dls: a segment's documents stand together in a sorted range, so the task that reads
+    them makes its blocks, and no entry of a term and a document is shuffled. Ranges end segments."""
+    order = ["common", "dl", id]
+    ranged = counted.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_segment", F.expr(f"monotonically_increasing_id() div {segment}"))
+    names = ["term", "segment", "docs", "most", "ids", "tfs", "dls"]
+
+    def block(number: int, rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        rows = sorted(rows, key=lambda r: r[0])
+        code: dict[str, int] = {}
+        terms = np.array([code.setdefault(t, len(code)) for r in rows for t in r[2].split()], dtype=np.int64)
+        tf = np.frombuffer(b"".join(r[3] for r in rows), np.int32)
+        of = np.repeat(np.arange(len(rows)), [len(r[3]) // 4 for r in rows])
+        by = np.argsort(terms, kind="stable")
+        of, tf = of[by], tf[by]
+        dl = np.array([r[1] for r in rows], dtype=np.int64)[of]
+        impact = tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B * dl / avgdl))
+        docs = np.bincount(terms, minlength=len(code))
+        ends = np.concatenate([[0], np.cumsum(docs)])
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), v) for v in (pa.array([r[0] for r in rows], kind).take(pa.array(of)), pa.array(tf), pa.array(dl))]
+        return pa.RecordBatch.from_arrays([pa.array(list(code), pa.string()), pa.array([number] * len(code), pa.int64()), pa.array(docs, pa.int64()), pa.array(np.maximum.reduceat(impact, ends[:-1])), *lists], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number = [], None
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                for at, *row in zip(*(c.to_pylist() for c in b.slice(k, 256).columns)):
+                    if at != number and held:
+                        yield block(number, held, b.column(1).type)
+                        held = []
+                    number = at
+                    if row[0] is not None and row[1]:
+                        held.append(tuple(row))
+        if held:
+            yield block(number, held, b.column(1).type)
+
+    kind = counted.schema[id].dataType.simpleString()
+    return ranged.select("_segment", id, "dl", "words", "times").mapInArrow(run, f"term string, segment long, docs long, most double, ids array<{kind}>, tfs array<int>, dls array<long>")
 
 
 def write_index(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", segment: int = SEGMENT, mode: str = "errorifexists") -> None:
     """Writes the index of docs: blocks, terms with their document frequencies, and the corpus' numbers."""
     spark = docs.sparkSession
-    lengths, entries = _entries(docs, id, text, segment)
-    n, avgdl = lengths.agg(F.count("*"), F.avg("dl")).first()
-    tf, dl = F.col("tf"), F.col("dl")
-    impact = tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B * dl / F.lit(avgdl or 1.0)))
-    posting = F.array_sort(F.collect_list(F.struct(id, "tf", "dl")))
-    blocks = entries.withColumn("impact", impact).groupBy("term", "segment").agg(F.count("*").alias("docs"), F.max("impact").alias("most"), posting.alias("p"))
-    rows = blocks.select("term", "segment", "docs", "most", F.col(f"p.{id}").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"), _bucket(F.col("term")).alias("bucket"))
-    # One task for each folder's share of segments: terms come sorted in the files, so that their statistics tell them apart.
-    ordered = rows.repartitionByRange("bucket", "term", "segment").sortWithinPartitions("bucket", "term", "segment")
-    ordered.write.mode(mode).partitionBy("bucket").parquet(f"{path}/blocks")
+    counted = staged(_counted(docs, id, text), "counted")
+    n, avgdl = counted.agg(F.count("*"), F.avg("dl")).first()
+    repeats = bool(counted.where(F.col(id).isNotNull()).groupBy(id).agg(F.count("*").alias("n")).where("n > 1").take(1))
+    rows = _blocks(counted, id, segment, avgdl or 1.0).withColumn("bucket", _bucket(F.col("term")))
+    # Each task writes its segments' share of every folder: terms come sorted in the files, so that their statistics tell them apart.
+    rows.sortWithinPartitions("bucket", "term", "segment").write.mode(mode).partitionBy("bucket").parquet(f"{path}/blocks")
+    discard(counted)
     kept = spark.read.schema(rows.schema).parquet(f"{path}/blocks")
     kept.groupBy("bucket", "term").agg(F.sum("docs").alias("df"), F.max("most").alias("most")).sortWithinPartitions("bucket", "term").write.mode(mode).partitionBy("bucket").parquet(f"{path}/terms")
-    about = json.dumps({"n": n, "avgdl": avgdl or 1.0, "id": id, "kind": docs.schema[id].dataType.simpleString()})
+    about = json.dumps({"n": n, "repeats": repeats, "avgdl": avgdl or 1.0, "id": id, "kind": docs.schema[id].dataType.simpleString()})
     spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode(mode).text(f"{path}/about")
 
 
@@ -93,7 +129,7 @@ def open_index(spark: SparkSession, path: str) -> Index:
     about = json.loads(spark.read.text(f"{path}/about").first()[0])
     blocks = f"term string, segment long, docs long, most double, ids array<{about['kind']}>, tfs array<int>, dls array<long>, bucket int"
     terms = "term string, df long, most double, bucket int"
-    return Index(spark.read.schema(blocks).parquet(f"{path}/blocks"), spark.read.schema(terms).parquet(f"{path}/terms"), about["n"], about["id"], path)
+    return Index(spark.read.schema(blocks).parquet(f"{path}/blocks"), spark.read.schema(terms).parquet(f"{path}/terms"), about["n"], about["id"], path, about.get("repeats", True))
 
 
 def _avgdl(index: Index) -> float:
@@ -116,14 +152,42 @@ def bounds(index: Index, asked: DataFrame, query: str = "query_id") -> DataFrame
 
 
 def score_segments(index: Index, asked: DataFrame, wanted: DataFrame, query: str = "query_id", avgdl: float | None = None) -> DataFrame:
-    """query, id, bm25 of all documents of the segments wanted (query, segment) that share a term with the query."""
+    """query, id, bm25 of all documents of the segments wanted (query, segment) that share a term with the query.
+
+    A block goes to its segment's task once, with all queries that ask for its term; scores are a product of weights and
+    impacts there. A row of a segment is an id; rows of other segments that repeat it are not added yet."""
     avgdl = avgdl or _avgdl(index)
-    opened = asked.join(sized(wanted.select(query, "segment")), query)
-    met = index.blocks.join(sized(staged(opened, "opened")), ["bucket", "term", "segment"])
-    rows = met.select(query, "w", F.inline(F.arrays_zip(F.col("ids").alias(index.id), F.col("tfs").alias("tf"), F.col("dls").alias("dl")))).toDF(query, "w", index.id, "tf", "dl")
-    tf = F.col("tf")
-    impact = tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B * F.col("dl") / F.lit(avgdl)))
-    return rows.groupBy(query, index.id).agg(F.sum(F.col("w") * impact).alias("bm25"))
+    asks = sized(staged(asked.groupBy("bucket", "term").agg(F.collect_list(F.struct(query, "w")).alias("asks")), "asks"))
+    wants = staged(wanted.groupBy("segment").agg(F.collect_set(query).alias("wants")), "wants")
+    met = index.blocks.join(asks, ["bucket", "term"]).join(sized(wants.select("segment")), "segment").select("segment", "ids", "tfs", "dls", "asks")
+    kinds, id = {f.name: f.dataType.simpleString() for f in asked.schema}, index.id
+
+    def score(blocks: pa.Table, wanting: pa.Table) -> pa.Table:
+        ids, tfs, dls, pairs = (blocks.column(c).combine_chunks() for c in ("ids", "tfs", "dls", "asks"))
+        docs, every = ids.flatten().dictionary_encode(), pairs.flatten()
+        who = every.field(query).dictionary_encode()
+        tf, dl = tfs.flatten().to_numpy(), dls.flatten().to_numpy()
+        impact = np.zeros((len(ids), len(docs.dictionary)))
+        np.add.at(impact, (np.repeat(np.arange(len(ids)), np.diff(ids.offsets.to_numpy())), docs.indices.to_numpy()), tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B * dl / avgdl)))
+        of, at, w = np.repeat(np.arange(len(pairs)), np.diff(pairs.offsets.to_numpy())), who.indices.to_numpy(), every.field("w").to_numpy()
+        wants_ = set(wanting.column("wants").combine_chunks().flatten().to_pylist())
+        asking = np.array([k for k, q in enumerate(who.dictionary.to_pylist()) if q in wants_], dtype=np.int64)
+        found: list[list] = [[], [], []]
+        for k in range(0, len(asking), 256):  # so many queries at once
+            place = np.full(len(who.dictionary), -1)
+            place[asking[k : k + 256]] = np.arange(len(asking[k : k + 256]))
+            own = place[at] >= 0
+            weights = np.zeros((len(asking[k : k + 256]), len(ids)))
+            weights[place[at[own]], of[own]] = w[own]
+            total = weights @ impact
+            q, d = np.nonzero(total)
+            for out, values in zip(found, (asking[k + q], d, total[q, d])):
+                out.append(values)
+        q, d, v = (np.concatenate(x) if x else np.array([], dtype=np.int64) for x in found)
+        return pa.table({query: who.dictionary.take(pa.array(q)), id: docs.dictionary.take(pa.array(d)), "bm25": pa.array(v, pa.float64())})
+
+    id_kind = index.blocks.schema["ids"].dataType.elementType.simpleString()
+    return met.groupBy("segment").cogroup(wants.groupBy("segment")).applyInArrow(score, f"{query} {kinds[query]}, {id} {id_kind}, bm25 double")
 
 
 def search(index: Index, queries: DataFrame, k: int, query: str = "query_id", text: str = "query_text", first: int = FIRST) -> tuple[DataFrame, DataFrame]:
@@ -134,11 +198,12 @@ def search(index: Index, queries: DataFrame, k: int, query: str = "query_id", te
     place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("bound"), "segment"))
     early = staged(bound.withColumn("place", place).where(F.col("place") <= first).select(query, "segment"), "early")
     found = staged(score_segments(index, asked, early, query, avgdl), "early-scores")
-    kth = R.top(found, k, "bm25", index.id, query).groupBy(query).agg(F.count("*").alias("n"), F.min("bm25").alias("kth"))
+    added = lambda scores: scores.groupBy(query, index.id).agg(F.sum("bm25").alias("bm25")) if index.repeats else scores
+    kth = R.top(added(found), k, "bm25", index.id, query).groupBy(query).agg(F.count("*").alias("n"), F.min("bm25").alias("kth"))
     kth = kth.select(query, F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(0.0)).alias("kth"))
     late = bound.join(sized(early).withColumn("done", F.lit(True)), [query, "segment"], "left").where("done is null").join(sized(staged(kth, "kth")), query)
     late = staged(late.where(F.col("bound") >= F.col("kth")).select(query, "segment", "blocks"), "late")
-    every = found.unionByName(score_segments(index, asked, late, query, avgdl)).groupBy(query, index.id).agg(F.sum("bm25").alias("bm25"))
+    every = added(found.unionByName(score_segments(index, asked, late, query, avgdl)))
     opened = early.join(bound, [query, "segment"]).select(query, "blocks").unionByName(late.select(query, "blocks")).groupBy(query).agg(F.sum("blocks").alias("opened"))
     return R.top(every, k, "bm25", index.id, query), bound.groupBy(query).agg(F.sum("blocks").alias("blocks")).join(opened, query)
 

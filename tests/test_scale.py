@@ -58,6 +58,29 @@ def test_index_edges(spark, tmp_path):
     assert search_index.search(search_index.open_index(spark, str(tmp_path / "e")), asks, 5)[0].count() == 0
 
 
+def test_blocks_are_not_taken_apart(spark, indexed):
+    """No row for each entry of a term, a document and a query is made: blocks meet at their segments."""
+    index = indexed[1]
+    asks = spark.createDataFrame([(1, "the of"), (2, "of and tion")], "query_id long, query_text string")
+    asked = search_index.weighed(index, asks)
+    wanted = search_index.bounds(index, asked).select("query_id", "segment")
+    found = search_index.score_segments(index, asked, wanted)
+    assert "Generate" not in plan(found) and "inline" not in plan(found)
+    rows = lambda df: sorted((r["query_id"], r["doc_id"], round(r["bm25"], 6)) for r in df.collect())
+    assert rows(found) == rows(retrieval.bm25(indexed[0], asks))
+    assert rows(search_index.score_segments(index, asked, wanted.where("query_id = 2"))) == [r for r in rows(found) if r[0] == 2]
+
+
+def test_ids_that_repeat_in_other_segments_add_up(spark, tmp_path):
+    docs = spark.createDataFrame([(k % 5, f"alpha beta {'gamma ' * (k % 4)}") for k in range(12)], "doc_id long, text string")
+    asks = spark.createDataFrame([(1, "gamma alpha"), (2, "beta")], "query_id long, query_text string")
+    search_index.write_index(docs, str(tmp_path / "r"), segment=1)
+    index = search_index.open_index(spark, str(tmp_path / "r"))
+    hits, _ = search_index.search(index, asks, 9)
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["bm25"], 6)) for r in df.collect())
+    assert index.repeats and rows(hits) == rows(retrieval.top(retrieval.bm25(docs, asks), 9, "bm25"))
+
+
 def test_counts_equal_the_joined_form(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
     asked = spark.createDataFrame([("the",), ("tion",), ("e1",), ("absent",)], "term string")
