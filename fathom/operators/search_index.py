@@ -17,6 +17,7 @@ they do in a scan; a query without a known term has no hits; nulls as ids drop o
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from collections import Counter
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ from fathom.staging import discard, sized, staged
 
 #: Documents of a segment, folders of terms, segments that are scored before there is a threshold.
 SEGMENT, BUCKETS, FIRST = 32, 64, 2
+#: Entries (a term of a document) of a range, about; those from which another task is worth its files; those that weigh as a row.
+RANGE, LEAST, ROW = 2_000_000, 150_000, 256
 #: Bounds are sums in another order than scores are; so much is added to them.
 _SLACK = 1e-6
 _TERM = re.compile(r"[a-z0-9]+")
@@ -55,7 +59,7 @@ def _bucket(term) -> F.Column:
 
 
 def _counted(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """id, common (the most frequent term), dl, words (distinct terms, joined by spaces) and times (their counts, binary)."""
+    """id, common (the most frequent term), dl, size (distinct terms), words (these, joined by spaces) and times (their counts, binary)."""
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,17 +67,26 @@ def _counted(docs: DataFrame, id: str, text: str) -> DataFrame:
             found = [Counter(_TERM.findall((t or "").lower())) for t in b.column(1).to_pylist()]
             common = [min((-n, t) for t, n in c.items())[1] if c else "" for c in found]
             times = [np.fromiter(c.values(), np.int32, len(c)).tobytes() for c in found]
-            columns = [b.column(0), pa.array(common, pa.string()), pa.array([c.total() for c in found], pa.int64()), pa.array(map(" ".join, found), pa.string()), pa.array(times, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[id, "common", "dl", "words", "times"])
+            columns = [b.column(0), pa.array(common, pa.string()), pa.array([c.total() for c in found], pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(map(" ".join, found), pa.string()), pa.array(times, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[id, "common", "dl", "size", "words", "times"])
 
-    return docs.select(id, text).mapInArrow(run, f"{id} {kind}, common string, dl long, words string, times binary")
+    return docs.select(id, text).mapInArrow(run, f"{id} {kind}, common string, dl long, size long, words string, times binary")
 
 
-def _blocks(counted: DataFrame, id: str, segment: int, avgdl: float) -> DataFrame:
+def _ranged(counted: DataFrame, id: str, entries: int) -> DataFrame:
+    """id, dl, words, times in sorted ranges of about as many entries each, so that no task holds much more than RANGE of them.
+
+    Ranges are cut by rows, so a document with many terms comes as several, of which all but one only weigh and have no words."""
+    spark, order = counted.sparkSession, ["common", "dl", id]
+    ranges = max(-(-entries // RANGE), min(spark.sparkContext.defaultParallelism, entries // LEAST), 1)
+    rows = counted.withColumn("_nth", F.explode(F.sequence(F.lit(0), F.expr(f"int(size div {ROW})"))))
+    whole = [F.when(F.col("_nth") == 0, F.col(c)).alias(c) for c in ("words", "times")]
+    return rows.select(*order, *whole).repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(id, "dl", "words", "times")
+
+
+def _blocks(counted: DataFrame, id: str, segment: int, avgdl: float, entries: int) -> DataFrame:
     """term, segment, docs, most, ids, tfs, dls: a segment's documents stand together in a sorted range, so the task that reads
     them makes its blocks, and no entry of a term and a document is shuffled. Ranges end segments."""
-    order = ["common", "dl", id]
-    ranged = counted.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_segment", F.expr(f"monotonically_increasing_id() div {segment}"))
     names = ["term", "segment", "docs", "most", "ids", "tfs", "dls"]
 
     def block(number: int, rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
@@ -92,30 +105,29 @@ def _blocks(counted: DataFrame, id: str, segment: int, avgdl: float) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array(list(code), pa.string()), pa.array([number] * len(code), pa.int64()), pa.array(docs, pa.int64()), pa.array(np.maximum.reduceat(impact, ends[:-1])), *lists], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, number = [], None
+        held, numbers = [], itertools.count(TaskContext.get().partitionId() << 33)
         for b in batches:
             for k in range(0, b.num_rows, 256):
-                for at, *row in zip(*(c.to_pylist() for c in b.slice(k, 256).columns)):
-                    if at != number and held:
-                        yield block(number, held, b.column(1).type)
+                for row in zip(*(c.to_pylist() for c in b.slice(k, 256).columns)):
+                    if row[0] is not None and row[2]:
+                        held.append(row)
+                    if len(held) == segment:
+                        yield block(next(numbers), held, b.column(0).type)
                         held = []
-                    number = at
-                    if row[0] is not None and row[1]:
-                        held.append(tuple(row))
         if held:
-            yield block(number, held, b.column(1).type)
+            yield block(next(numbers), held, b.column(0).type)
 
     kind = counted.schema[id].dataType.simpleString()
-    return ranged.select("_segment", id, "dl", "words", "times").mapInArrow(run, f"term string, segment long, docs long, most double, ids array<{kind}>, tfs array<int>, dls array<long>")
+    return _ranged(counted, id, entries).mapInArrow(run, f"term string, segment long, docs long, most double, ids array<{kind}>, tfs array<int>, dls array<long>")
 
 
 def write_index(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", segment: int = SEGMENT, mode: str = "errorifexists") -> None:
     """Writes the index of docs: blocks, terms with their document frequencies, and the corpus' numbers."""
     spark = docs.sparkSession
     counted = staged(_counted(docs, id, text), "counted")
-    n, avgdl = counted.agg(F.count("*"), F.avg("dl")).first()
+    n, avgdl, entries = counted.agg(F.count("*"), F.avg("dl"), F.coalesce(F.sum("size"), F.lit(0))).first()
     repeats = bool(counted.where(F.col(id).isNotNull()).groupBy(id).agg(F.count("*").alias("n")).where("n > 1").take(1))
-    rows = _blocks(counted, id, segment, avgdl or 1.0).withColumn("bucket", _bucket(F.col("term")))
+    rows = _blocks(counted, id, segment, avgdl or 1.0, entries).withColumn("bucket", _bucket(F.col("term")))
     # Each task writes its segments' share of every folder: terms come sorted in the files, so that their statistics tell them apart.
     rows.sortWithinPartitions("bucket", "term", "segment").write.mode(mode).partitionBy("bucket").parquet(f"{path}/blocks")
     discard(counted)
